@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .decontaminate import decontaminate
+from .quality import judge
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,5 +23,5 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op8_decontaminate": op8_decontaminate}
+QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_decontaminate": op8_decontaminate}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}

@@ -26,3 +26,41 @@ SELECT dw.doc_id, len(w)::BIGINT AS n_words, coalesce(words.n, 0)::BIGINT AS n_h
   coalesce(items.h, sha256('')) AS items_sha256, words.n IS NOT NULL AS contaminated
 FROM dw LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+SQL["op4_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS l
+  FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (
+  SELECT doc_id, unnest(range(i, i + 5)) AS p FROM g JOIN (SELECT doc_id, g FROM g GROUP BY ALL HAVING count(*) > 1) USING (doc_id, g)) GROUP BY doc_id),
+m0 AS (
+  SELECT doc_id, stratum, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+    (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+  FROM d LEFT JOIN rep USING (doc_id)),
+m AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m0),
+r AS (SELECT doc_id, stratum, rule, unnest(CASE rule WHEN 'symbols' THEN [0.5, 0.3, 0.2, 0.1, 0.05, 0.02]::DOUBLE[]
+    WHEN 'dup_lines' THEN [0.95, 0.9, 0.8, 0.7, 0.6, 0.5]::DOUBLE[] WHEN 'word_length' THEN [20, 15, 12, 10, 9, 8, 7]::DOUBLE[]
+    ELSE [0.19, 0.17, 0.15]::DOUBLE[] END) AS c,
+    CASE rule WHEN 'symbols' THEN n_symbols::DOUBLE / nullif(word_chars, 0) WHEN 'dup_lines' THEN n_dup_lines::DOUBLE / nullif(n_lines, 0)
+    WHEN 'word_length' THEN word_chars::DOUBLE / nullif(n_words, 0) ELSE n_repeat_words::DOUBLE / nullif(n_words, 0) END AS v
+  FROM m, (SELECT unnest(['symbols', 'dup_lines', 'word_length', 'repeats']) AS rule)),
+lab AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+t AS (
+  SELECT stratum, rule, c, -c AS o,
+    count(*) FILTER (good) AS n, count(*) FILTER (good AND v > c) AS k, count(*) FILTER (NOT good AND v > c) AS bad
+  FROM r JOIN lab USING (doc_id) GROUP BY ALL),
+s AS (SELECT 4 * greatest(1, count(DISTINCT stratum)) AS tests FROM t WHERE n > 0),
+p AS (
+  SELECT t.*, n > 0 AND k <= n * 0.005 AND (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln(0.005) + (n - i) * ln(0.995)))
+    FROM (SELECT unnest(range(0, least(k, 1000000) + 1)) AS i)) <= 0.05 / (SELECT tests FROM s) AS ok FROM t),
+f AS (SELECT stratum, rule, c FROM (SELECT *, bool_and(ok) OVER (PARTITION BY stratum, rule ORDER BY o) AS allowed FROM p) WHERE allowed AND bad > 0),
+best AS (SELECT stratum, rule, min(c) AS c FROM f GROUP BY ALL),
+rejected AS (SELECT DISTINCT doc_id FROM (SELECT DISTINCT doc_id, stratum, rule, v FROM r) JOIN best USING (stratum, rule) WHERE v > best.c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
+FROM m
+"""
