@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from . import sql
 from .common import table
 from .decontaminate import decontaminate
+from .licenses import scan
 from .quality import judge
+from .url_filters import filter_urls, sample_entries
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +18,14 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages have no fetch time: page n counts as fetched on day n mod 366 of 2024."""
+    pages = table(spark, sf_dir, "pages")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int")).cast("timestamp")
+    found = filter_urls(pages.select("page_id", "url", fetched.alias("fetched_at")), sample_entries(spark))
+    return found.select("page_id", "url", F.to_date("fetched_at").cast("string").alias("fetched"), "host", F.array_join("lists", ",").alias("lists"), "blocked")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -23,5 +33,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
-QUERIES = {"op4_quality_rules": op4_quality_rules, "op8_decontaminate": op8_decontaminate}
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
+
+
+QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_url_filters, op8_decontaminate, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}

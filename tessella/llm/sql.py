@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from .license_texts import KNOWN, SPELLINGS
+from .licenses import COPYRIGHT_LINE, JOINED, OTHER
+from .url_filters import ENTRIES
+
 SQL: dict[str, str] = {}
 
 SQL["op8_decontaminate"] = r"""
@@ -64,3 +68,45 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM rejected) AS kept
 FROM m
 """
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+_SAME = "MAP {" + ", ".join(f"{_quoted(a)}: {_quoted(b)}" for a, b in SPELLINGS.items()) + "}"
+
+
+def _canonical(x: str) -> str:
+    bare = (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), {_quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g'), "
+            f"{_quoted(JOINED)}, '', 'g'), {_quoted(OTHER)}, ' ', 'g'))")
+    return f"array_to_string(list_transform(string_split({bare}, ' '), lambda w: coalesce({_SAME}[w], w)), ' ')"
+
+
+SQL["op10_license_scan"] = f"""
+WITH k0 AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) AS t(license, txt)),
+known AS (SELECT sha256({_canonical("txt")}) AS digest, min(license) AS license FROM k0 GROUP BY 1),
+d AS (SELECT doc_id, {_canonical("text")} AS c FROM documents),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
+ll AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS ids
+  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM l WHERE contains(lower(line), 'licen')) JOIN known USING (digest) GROUP BY doc_id),
+dd AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM d)
+SELECT dd.doc_id, dd.digest, known.license, coalesce(ll.ids, '') AS line_licenses
+FROM dd LEFT JOIN known USING (digest) LEFT JOIN ll ON ll.doc_id = dd.doc_id
+"""
+
+SQL["op5_url_filters"] = f"""
+WITH e AS (SELECT lower(entry) AS key, list, since::DATE AS since, max(action) = 'add' AS adds
+  FROM (VALUES {", ".join("(" + ", ".join(map(_quoted, e)) + ")" for e in ENTRIES)}) AS t(entry, list, action, since) GROUP BY 1, 2, 3),
+v AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY key, list ORDER BY since) AS until FROM e) WHERE adds),
+p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
+  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
+  regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM pages),
+k AS (
+  SELECT page_id, fetched, array_to_string(h[i:], '.') AS key FROM (SELECT page_id, fetched, string_split(host, '.') AS h, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p)
+  UNION
+  SELECT page_id, fetched, host || '/' || lower(array_to_string(s[1:i], '/')) FROM (SELECT page_id, fetched, host, string_split(path, '/') AS s, unnest(range(1, len(string_split(path, '/')) + 1)) AS i FROM p WHERE path <> '')),
+m AS (SELECT page_id, string_agg(DISTINCT list, ',' ORDER BY list) AS lists FROM k JOIN v USING (key)
+  WHERE since <= fetched AND (until IS NULL OR fetched < until) GROUP BY page_id)
+SELECT p.page_id, url, fetched::VARCHAR AS fetched, host, coalesce(lists, '') AS lists, lists IS NOT NULL AS blocked FROM p LEFT JOIN m USING (page_id)
+"""
