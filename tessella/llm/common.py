@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +17,9 @@ BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
+# Executors get the code of functions with them and need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
+
 _local: dict[str, str] = {}
 
 

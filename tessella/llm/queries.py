@@ -9,10 +9,15 @@ from . import sql
 from .common import table
 from .decontaminate import decontaminate
 from .licenses import scan
+from .minhash import link
 from .quality import judge
 from .url_filters import filter_urls, sample_entries
 
 
+def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -37,5 +42,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op4_quality_rules, op5_url_filters, op8_decontaminate, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_quality_rules, op5_url_filters, op8_decontaminate, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
