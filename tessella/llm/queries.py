@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from . import sql
 from .common import table
 from .decontaminate import decontaminate
 from .licenses import scan
+from .langid import identify, load_pieces
 from .minhash import link
 from .quality import judge
 from .url_filters import filter_urls, sample_entries
@@ -38,9 +40,13 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), load_pieces(public_tokenizers.path("piece_bpe_32k.model")))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_quality_rules, op5_url_filters, op8_decontaminate, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_quality_rules, op5_url_filters, op8_decontaminate, op9_language_id, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
