@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .bpe import decode, digests, encode, load_ranks
 from .common import table
 from .decontaminate import decontaminate
 from .licenses import scan
@@ -16,6 +17,11 @@ from .quality import judge
 from .url_filters import filter_urls, sample_entries
 
 
+def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = load_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return digests(decode(encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks))
+
+
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
@@ -48,5 +54,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_dedup, op4_quality_rules, op5_url_filters, op8_decontaminate, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op4_quality_rules, op5_url_filters, op8_decontaminate, op9_language_id, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
