@@ -8,13 +8,14 @@ from pyspark.sql import functions as F
 
 from . import sql
 from .bpe import decode, digests, encode, load_ranks
-from .common import table
+from .common import new_path, table
 from .decontaminate import decontaminate
 from .licenses import scan
 from .langid import identify, load_pieces
 from .minhash import link
 from .quality import judge
 from .url_filters import filter_urls, sample_entries
+from .warc import read_archives, write_archives
 
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +27,12 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_path(spark, "warc")
+    write_archives(table(spark, sf_dir, "pages"), path)
+    return read_archives(spark, path).drop("url")
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -54,5 +61,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op4_quality_rules, op5_url_filters, op8_decontaminate, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op8_decontaminate, op9_language_id, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
