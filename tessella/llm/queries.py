@@ -11,6 +11,7 @@ from .bpe import decode, digests, encode, load_ranks
 from .common import new_path, table
 from .decontaminate import decontaminate
 from .licenses import scan
+from .html_text import extract
 from .langid import identify, load_pieces
 from .minhash import link
 from .quality import judge
@@ -46,6 +47,10 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.to_date("fetched_at").cast("string").alias("fetched"), "host", F.array_join("lists", ",").alias("lists"), "blocked")
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -61,5 +66,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op8_decontaminate, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op8_decontaminate, op9_language_id, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
