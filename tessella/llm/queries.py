@@ -13,6 +13,7 @@ from .decontaminate import decontaminate
 from .licenses import scan
 from .html_text import extract
 from .langid import identify, load_pieces
+from .line_dedup import line_report
 from .minhash import link
 from .quality import judge
 from .url_filters import filter_urls, sample_entries
@@ -51,6 +52,11 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "n_links", F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -66,5 +72,5 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op8_decontaminate, op9_language_id, op10_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op7_line_dedup, op8_decontaminate, op9_language_id, op10_license_scan)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}

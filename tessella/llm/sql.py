@@ -129,3 +129,18 @@ q AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN first <> page_id THEN first END AS refers_to FROM q
 """
+
+SQL["op7_line_dedup"] = r"""
+WITH l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
+l AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l0 WHERE length(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) >= 30),
+d AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l GROUP BY line),
+r AS (SELECT line, n AS m FROM d UNION ALL SELECT line, n - 1 FROM d),
+k AS (SELECT line, m, 1 AS side, line[1:m // 2] AS seg FROM r UNION ALL SELECT line, m, 2, right(line, m - m // 2) FROM r),
+e AS (SELECT DISTINCT x.line AS a, y.line AS b FROM k x JOIN k y USING (m, side, seg) WHERE x.line <> y.line AND levenshtein(x.line, y.line) <= 1),
+b AS (SELECT a AS line, min(d.first) AS other, count(*) AS links FROM e JOIN d ON d.line = e.b GROUP BY a),
+f AS (SELECT l.doc_id, l.pos, coalesce(b.links, 0) AS links, {'d': l.doc_id, 'p': l.pos} > d.first OR coalesce({'d': l.doc_id, 'p': l.pos} > b.other, false) AS gone
+  FROM l JOIN d USING (line) LEFT JOIN b USING (line)),
+g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, sum(links) AS n_links, string_agg(pos::VARCHAR, ',' ORDER BY pos) FILTER (gone) AS removed FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, '') AS removed
+FROM documents LEFT JOIN g USING (doc_id)
+"""
