@@ -145,8 +145,8 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     return encoded.mapInArrow(_decode(ranks), schema)
 
 
-def digests(decoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
+def digests(decoded: DataFrame, *more: str) -> DataFrame:
+    """doc_id, more of its columns, n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
     return decoded.select(
-        "doc_id", F.size("token_ids").cast("bigint").alias("n_tokens"),
+        "doc_id", *more, F.size("token_ids").cast("bigint").alias("n_tokens"),
         F.sha2(F.array_join(F.col("token_ids").cast("array<string>"), ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -15,8 +15,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bounds of what is learned from: texts a language (expected number), and counted word types in all.
 TEXTS_PER_LANG, WORD_TYPES = 2_000, 60_000
@@ -136,7 +137,7 @@ def learn(rows: DataFrame, pieces: list[str], *, texts_per_lang: int = TEXTS_PER
     return Model(pieces, sorted(n)).fit(counts)
 
 
-def _predict(model: Model | None):
+def _predict(model: Model | None, drop_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[str, int] = {}
         known = np.zeros((0, len(model.langs) if model else 0))
@@ -161,20 +162,31 @@ def _predict(model: Model | None):
                     best = int(total.argmax())
                     lang.append(model.langs[best])
                     score.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*b.schema.names[:-1], "lang_pred", "score"])
+            kept = [n for n in b.schema.names if not (drop_text and n == "text")]
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return run
 
 
-def identify(docs: DataFrame, pieces: list[str], **bounds) -> DataFrame:
-    """Per row of docs: doc_id, held_out, lang_pred, score.
+def held_out(doc_id: str = "doc_id") -> Column:
+    """crc32(doc_id as text) mod 4 = 2; null for null."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+def label(docs: DataFrame, pieces: list[str], *, drop_text: bool = False, **bounds) -> DataFrame:
+    """``docs`` (without text, if so asked) and lang_pred, score.
 
-    Rows with crc32(doc_id as text) mod 4 = 2 are held out: nothing is learned from them,
-    nor from rows without doc_id, text or lang. ``und`` with score 0: null text, no letter,
-    or nothing to learn from.
+    Nothing is learned from held-out rows, nor from rows without doc_id, text or lang.
+    ``und`` with score 0: null text, no letter, or nothing to learn from.
     """
-    held = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2
-    model = learn(docs.where(~held).select("text", "lang"), pieces, **bounds)
-    slim = docs.select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(_predict(model), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    model = learn(docs.where(~held_out()).select("text", "lang"), pieces, **bounds)
+    given = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
+    fields = [f for f in given.schema if not (drop_text and f.name == "text")]
+    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return given.mapInArrow(_predict(model, drop_text), schema)
+
+
+def identify(docs: DataFrame, pieces: list[str], **bounds) -> DataFrame:
+    """Per row of docs: doc_id, held_out, lang_pred, score; see label()."""
+    slim = docs.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text", "lang")
+    return label(slim, pieces, drop_text=True, **bounds).drop("lang")
