@@ -385,3 +385,44 @@ def eval_summary(spark: SparkSession, d: str) -> DataFrame:
     from tessella.operators.evaluate import summary
 
     return summary(eval_metrics(spark, d))
+
+
+def _report_rows(spark: SparkSession, d: str) -> DataFrame:
+    return _turns(spark, d).select(
+        F.col("conv_id").alias("lecture_id"), F.concat_ws(":", "conv_id", "turn").alias("question"), F.col("expected").alias("expected_answer"), F.col("keywords").alias("expected_keywords"),
+        F.col("answer").alias("rag_answer"), "sources")
+
+
+@query("eval_report")
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.operators.evaluate import evaluate, report_lines
+
+    rows = _report_rows(spark, d)
+    return report_lines(evaluate(rows.drop("rag_answer", "sources"), rows.select("lecture_id", "question", "rag_answer", "sources")))
+
+
+@query("rule_sentence_spans")
+def rule_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences by the rules with abbreviations, as an Arrow UDF."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(segment.rule_sentences(F.col("text"))).alias("i", "s"))
+    return each.select("doc_id", "i", "s.start_char", "s.end_char")
+
+
+@query("ingest_batch", f"WITH sen AS ({_SENT}) SELECT doc_id AS id, 'completed' AS index_status, count(*)::INT AS n_chunks FROM ({_CHUNKED}) GROUP BY doc_id".replace("WITH sen AS (" + _SENT + ") ", ""))
+def ingest_batch(spark: SparkSession, d: str) -> DataFrame:
+    """All documents through chunking, context and offline vectors."""
+    from tessella.sources.providers import EchoGenerator, HashEmbedder
+    from tessella.streaming.ingest import indexed
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    done = indexed(docs, HashEmbedder(16), EchoGenerator(lambda p: "context"), dim=16)
+    return done.select("id", "index_status", F.size("chunks").alias("n_chunks"))
+
+
+@query("query_batch_embed", f"SELECT item_id AS query_id, len({f.index_tokens('text')}) > 0 AS has_tokens, 32 AS dim FROM benchmark")
+def query_batch_embed(spark: SparkSession, d: str) -> DataFrame:
+    from tessella.sources.providers import HashEmbedder
+
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    done = rag.embed_queries(queries, HashEmbedder(32))
+    return done.select("query_id", F.exists("vector", lambda x: x > 0).alias("has_tokens"), F.size("vector").alias("dim"))
