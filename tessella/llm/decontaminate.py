@@ -43,11 +43,15 @@ def _winnowed(grams: Column, span: int) -> Column:
     return F.when(F.size(grams) >= span, picked).otherwise(F.array().cast("array<struct<m:int,p:int,h:bigint>>"))
 
 
+def _numbered(grams: Column, m: int) -> Column:
+    return F.transform(grams, lambda h, i: F.struct(F.lit(m).alias("m"), i.alias("p"), h.alias("h")))
+
+
 def _fingerprints(hashes: Column, window: int, k: int, short: list[int]) -> Column:
     """Winnowed k-grams (m = 0), and all m-grams for each length m of items below the window."""
     kept = let(_grams(hashes, k), lambda g: _winnowed(g, window - k + 1))
     for m in short:
-        kept = F.concat(kept, let(_grams(hashes, m), lambda g, m=m: F.transform(g, lambda h, i: F.struct(F.lit(m).alias("m"), i.alias("p"), h.alias("h")))))
+        kept = F.concat(kept, _numbered(_grams(hashes, m), m))
     return kept
 
 
