@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import sys
+import ctypes
+import gc
 import tempfile
 import uuid
 
-from pyspark import cloudpickle
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,9 +18,6 @@ BLANKS = r"[\x20\x09-\x0D]+"
 NOT_BLANK = r"[^\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-# Executors get the code of functions with them and need not have this package installed.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.split(".")[0]])
-
 _local: dict[str, str] = {}
 
 
@@ -61,6 +59,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def lean(run):
+    """An Arrow function that gives its memory back at its end: idle Python workers live on for a while."""
+
+    def go(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return go
+
+
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written in buckets of ``key``, so that a join or group on it needs no shuffle of this side."""
+    path, named = new_path(df.sparkSession, name), f"tessella_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(named)
+    return df.sparkSession.table(named)
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -19,11 +19,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import lean
+
 #: Bounds of what is learned from: texts a language (expected number), and counted word types in all.
 TEXTS_PER_LANG, WORD_TYPES = 2_000, 60_000
 SMOOTHING, UNKNOWN, EM_STEPS = 0.01, 1e-8, 3
 #: Longer words go through the scaled recursion, one at a time.
-BATCHED_LENGTH, CACHE = 24, 400_000
+BATCHED_LENGTH, CACHE = 24, 300_000
+
+
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def _finish(h: np.ndarray, k: int) -> np.ndarray:
+    h = (h ^ np.uint64(k)) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(29))
+
+
+def _hash(piece: str) -> np.uint64:
+    h = np.zeros(1, np.uint64)
+    for c in piece:
+        h = h * _STEP + np.uint64(ord(c))
+    return _finish(h, len(piece))[0]
 
 
 def load_pieces(path: str) -> list[str]:
@@ -45,14 +63,30 @@ class Model:
         self.langs, self.longest = langs, max(map(len, pieces), default=1)
         self.row = {p: i + 2 for i, p in enumerate(pieces)}
         self.prob = np.zeros((len(pieces) + 2, len(langs)))
+        hashes = np.array([_hash(p) for p in pieces], np.uint64) if pieces else np.zeros(1, np.uint64)
+        order = np.argsort(hashes)
+        self.hashes, self.hash_rows = hashes[order], order.astype(np.int32) + 2
+        self.bits = np.zeros(1 << 20, bool)
+        self.bits[(hashes >> np.uint64(44)).astype(np.int64)] = True
         self.prob[1] = UNKNOWN
 
     def _rows(self, words: list[str], n: int) -> np.ndarray:
-        """(word, end, length - 1): rows of the pieces that end there; all words have n characters."""
-        row, longest = self.row, min(self.longest, n)
-        out = np.zeros((len(words), n, longest), np.int32)
-        flat = [[row.get(w[e - k : e], k == 1) if k <= e else 0 for e in range(1, n + 1) for k in range(1, longest + 1)] for w in words]
-        out[:] = np.array(flat, np.int32).reshape(out.shape)
+        """(word, end, length - 1): rows of the pieces that end there; all words have n characters.
+
+        Substrings are looked up by hash, first in a bit table and then, if they pass, among the pieces.
+        """
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(words), n).astype(np.uint64)
+        longest = min(self.longest, n)
+        out, h = np.zeros((len(words), n, longest), np.int32), np.zeros_like(codes)
+        out[:, :, 0] = 1
+        for k in range(1, longest + 1):
+            h = h[:, : n - k + 1] * _STEP + codes[:, k - 1 :]
+            x = _finish(h, k)
+            w, at = np.nonzero(self.bits[(x >> np.uint64(44)).astype(np.int64)])
+            x = x[w, at]
+            found = np.minimum(np.searchsorted(self.hashes, x), len(self.hashes) - 1)
+            hit = self.hashes[found] == x
+            out[w[hit], at[hit] + k - 1, k - 1] = self.hash_rows[found[hit]]
         return out
 
     def _forward(self, rows: np.ndarray, prob: np.ndarray) -> np.ndarray:
@@ -144,9 +178,9 @@ def _predict(model: Model | None, drop_text: bool):
         letter = regex.compile(r"\p{L}")
         for b in batches:
             lang, score = [], []
-            texts = b.column("text").to_pylist()
-            for lo in range(0, len(texts), 256):
-                part = [words_of(t) if model and t and letter.search(t) else None for t in texts[lo : lo + 256]]
+            for lo in range(0, len(b), 256):
+                texts = b.column("text").slice(lo, 256).to_pylist()
+                part = [words_of(t) if model and t and letter.search(t) else None for t in texts]
                 if len(at) > CACHE:
                     at, known = {}, known[:0]
                 new = list({w for ws in part if ws for w in ws if w not in at})
@@ -183,7 +217,7 @@ def label(docs: DataFrame, pieces: list[str], *, drop_text: bool = False, **boun
     given = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
     fields = [f for f in given.schema if not (drop_text and f.name == "text")]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return given.mapInArrow(_predict(model, drop_text), schema)
+    return given.mapInArrow(lean(_predict(model, drop_text)), schema)
 
 
 def identify(docs: DataFrame, pieces: list[str], **bounds) -> DataFrame:
