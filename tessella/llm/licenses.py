@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import let, words
 from .license_texts import KNOWN, SPELLINGS
 
 COPYRIGHT_LINE = r"^[ \t/*#;]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
@@ -20,17 +21,18 @@ MOST_KNOWN = 10_000
 
 
 def canonical(text: Column) -> Column:
-    """Null for null; '' where no letter, digit or other character beyond ASCII is left."""
-    bare = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT_LINE, "")
-    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, JOINED, ""), OTHER, " "))
+    """'' for null, and where no letter, digit or other character beyond ASCII is left."""
+    marked = lambda x: x.contains("copyright") | x.contains("(c)") | x.contains("©") | x.contains("all rights reserved")
     same = F.create_map(*[F.lit(x) for pair in SPELLINGS.items() for x in pair])
-    spelt = F.array_join(F.transform(F.split(bare, " "), lambda w: F.coalesce(same[w], w)), " ")
-    return F.when(bare.rlike("(?:^| )(?:" + "|".join(SPELLINGS) + ")(?: |$)"), spelt).otherwise(bare)
+    variants = F.array(*map(F.lit, SPELLINGS))
+    bare = let(F.lower(text), lambda x: F.when(marked(x), F.regexp_replace(x, "(?md)" + COPYRIGHT_LINE, "")).otherwise(x))
+    spelt = lambda w: F.when(F.arrays_overlap(w, variants), F.transform(w, lambda x: F.coalesce(same[x], x))).otherwise(w)
+    return F.array_join(let(words(F.regexp_replace(bare, JOINED, ""), OTHER), spelt), " ")
 
 
 def digest(text: Column) -> Column:
     """Hex SHA-256 of the canonical form, null where that is empty."""
-    return F.sha2(F.nullif(canonical(text), F.lit("")), 256)
+    return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
 def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]]) -> DataFrame:
