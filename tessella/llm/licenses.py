@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import let, words
 from .license_texts import KNOWN, SPELLINGS
 
-COPYRIGHT_LINE = r"^[ \t/*#;]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+COPYRIGHT_LINE = r"^[ \t/*#;]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|copyright[^\n]*(?:19|20)[0-9]{2}|\(c\)|©|all rights reserved)[^\n]*"
 JOINED = "['’‘`´\"“”‐‑–—-]"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 MOST_KNOWN = 10_000
