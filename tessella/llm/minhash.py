@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .components import components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 85, 160, 5
@@ -122,7 +122,7 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
     A row with a null doc_id is linked with nothing and kept, with a null component_id.
     Rows that repeat a doc_id are judged by their own texts.
     """
-    signed = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sign(bins, rows, shingle), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    signed = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_sign(bins, rows, shingle)), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
     # A vertex is the class of one set, named by its smallest doc_id.
     vertices = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("v"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "vertices")
@@ -131,7 +131,7 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
     members = written(rows_of.join(shared, "bucket"), "buckets")
     wanted = members.select("v").distinct().join(vertices.select("v", "digest"), "v")
     texts = docs.select(F.col("doc_id").cast("long").alias("v"), "text").join(wanted, "v")
-    sets = texts.mapInArrow(_full(shingle), "v long, digest binary, found binary, shingles array<long>").where("found = digest").select("v", "shingles")
+    sets = texts.mapInArrow(lean(_full(shingle)), "v long, digest binary, found binary, shingles array<long>").where("found = digest").select("v", "shingles")
     sets = written(sets.groupBy("v").agg(F.any_value("shingles").alias("shingles")), "sets")
 
     def confirm(pairs: DataFrame) -> DataFrame:
