@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import DataFrame
@@ -53,24 +54,31 @@ class Bm25Index:
         df = self.frequencies(terms).groupBy("term").agg(F.count("*").alias("df"))
         return df.crossJoin(F.broadcast(self.stats())).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
-    @staticmethod
-    def _part():
-        tf, dl = F.col("tf"), F.col("dl")
-        return F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-
     def score(self, query: str, top: int | None = None) -> DataFrame:
-        """(id, score) of the texts with a term of the query; the best ``top`` in order if given."""
+        """(id, score) of the texts with a term of the query; the best ``top`` in order if given.
+
+        Two scans and no shuffle: the first brings one row of counts to the driver (texts,
+        average length, a document frequency a term), the second scores each text by itself.
+        """
         terms = query_terms(query)
-        tf = self.frequencies(terms)
-        scored = tf.join(F.broadcast(self.term_stats(terms)), "term").crossJoin(F.broadcast(self.stats()))  # a row a query term, and one row
-        out = scored.groupBy("id").agg(F.sum(self._part()).alias("score"))
+        slim = self.tokens.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
+        counts = slim.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0)), *[F.count_if(F.array_contains("hits", t)) for t in terms]).first()
+        n, avgdl = counts[0], counts[1]
+        score = F.lit(0.0)
+        for t, df in zip(terms, counts[2:], strict=True):
+            if df:
+                tf = F.size("hits") - F.size(F.array_remove("hits", t))
+                score = score + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
+        out = slim.where(F.size("hits") > 0).select("id", score.alias("score"))
         return out if top is None else out.orderBy(F.desc("score"), "id").limit(top)
 
     def score_all(self, queries: DataFrame) -> DataFrame:
-        """(query_id, id, score) for queries (query_id, query)."""
+        """(query_id, id, score) for queries (query_id, query). Tokens that no query has go before anything is grouped."""
         asked = queries.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("term"))
-        wanted = asked.select("term").distinct()
-        tf = self.frequencies().join(wanted, "term", "left_semi")
+        each = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        tf = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
         df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        weighed = tf.join(df, "term").crossJoin(F.broadcast(self.stats())).withColumn("idf", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
-        return asked.join(weighed, "term").groupBy("query_id", "id").agg(F.sum(self._part()).alias("score"))
+        weighed = tf.join(df, "term").crossJoin(F.broadcast(self.stats()))  # one row
+        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        return asked.join(weighed.select("term", "id", part.alias("part")), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
