@@ -1,30 +1,36 @@
 """Byte-level BPE over a global shuffle of distinct words.
 
 1. Texts are cut into pre-tokens in blocks of bounded size. A block lists each distinct
-   pre-token once and keeps, for each text, the positions as numbers into that list.
-2. The blocks' pre-tokens meet in one shuffle, and each distinct one is encoded once.
-3. The ids are joined back to the blocks, which put them in order by position.
+   pre-token once and keeps, for each text, the positions as numbers into that list. The
+   blocks are written in buckets, so their positions are never shuffled.
+2. The distinct pre-tokens of all blocks meet in one shuffle by their hash (those of a
+   block and a hash share a packed row), and each distinct one is encoded once.
+3. The ids go back to the blocks by a join, which puts them in order by position.
 Decoding joins the ids with the table of token bytes, which is as long as the vocabulary.
 """
 
 from __future__ import annotations
 
 import base64
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import bucketed, lean
 
 #: Pre-tokens, and distinct ones, from which a block is closed.
-BLOCK_TOKENS, BLOCK_WORDS = 2_000_000, 400_000
+BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 600_000
+#: Parts of the distinct words for each task that encodes them.
+PARTS_PER_TASK = 4
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,7 +43,8 @@ def split_pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
 
 
-def _pack(numbers: list[int], zip_: zstandard.ZstdCompressor) -> bytes:
+def _pack(numbers: list[int] | np.ndarray, zip_: zstandard.ZstdCompressor) -> bytes:
+    """Whole numbers below 2 ** 31, byte by byte in planes."""
     return zip_.compress(np.array(numbers, "<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
@@ -45,8 +52,8 @@ def _unpack(data: bytes, zip_: zstandard.ZstdDecompressor) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zip_.decompress(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
 
 
-def _cut(pattern: str, kind: pa.DataType, block_tokens: int, block_words: int):
-    schema = pa.schema([("block", pa.int64()), ("doc_id", kind), ("number", pa.int32()), ("word", pa.string()), ("positions", pa.binary())])
+def _cut(pattern: str, kind: pa.DataType, block_tokens: int, block_words: int, parts: int):
+    schema = pa.schema([("block", pa.int64()), ("doc_id", kind), ("part", pa.int32()), ("numbers", pa.binary()), ("lengths", pa.binary()), ("letters", pa.binary()), ("positions", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find, zip_, task = split_pattern(pattern).findall, zstandard.ZstdCompressor(level=1), TaskContext.get().partitionId() << 32
@@ -54,13 +61,20 @@ def _cut(pattern: str, kind: pa.DataType, block_tokens: int, block_words: int):
         ids, packed, n, block = [], [], 0, task
 
         def flush():
-            every = list(words)
-            for lo in range(0, len(every), 100_000):
-                part = every[lo : lo + 100_000]
-                k = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.nulls(k, kind), pa.array(range(lo, lo + k), pa.int32()), pa.array(part, pa.string()), pa.nulls(k, pa.binary())], schema=schema)
+            every = [w.encode() for w in words]
+            part = np.fromiter((xxhash.xxh3_64_intdigest(w) % parts for w in every), np.int32, len(every))
+            order = np.argsort(part, kind="stable")
+            own, starts = np.unique(part[order], return_index=True)
+            rows = []
+            for lo, hi in itertools.pairwise(np.append(starts, len(order)).tolist()):
+                at = order[lo:hi]  # ascending
+                some = [every[k] for k in at]
+                rows.append((_pack(np.diff(at, prepend=0), zip_), _pack([len(w) for w in some], zip_), zip_.compress(b"".join(some))))
+            k = len(own)
+            columns = [pa.array([r[c] for r in rows], pa.binary()) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.nulls(k, kind), pa.array(own, pa.int32()), *columns, pa.nulls(k, pa.binary())], schema=schema)
             k = len(ids)
-            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(ids, kind), pa.nulls(k, pa.int32()), pa.nulls(k, pa.string()), pa.array(packed, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([block] * k, pa.int64()), pa.array(ids, kind), pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.binary())] * 3, pa.array(packed, pa.binary())], schema=schema)
 
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -78,13 +92,27 @@ def _cut(pattern: str, kind: pa.DataType, block_tokens: int, block_words: int):
 
 
 def _encode(ranks: dict[bytes, int]):
+    """A partition holds all occurrences of its words, and encodes each word once."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
         piece = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+        known: dict[bytes, list[int]] = {}
         for b in batches:
-            ids = [np.array(piece(w.as_py()), "<i4").tobytes() for w in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.binary())], names=["word", "ids"])
+            sizes, ids = [], []
+            for lengths, letters in zip(b.column("lengths"), b.column("letters"), strict=True):
+                ends, text = np.cumsum(_unpack(lengths.as_py(), unzip)).tolist(), unzip.decompress(letters.as_py())
+                got = []
+                for lo, hi in zip([0, *ends], ends, strict=False):
+                    w = text[lo:hi]
+                    if w not in known:
+                        known[w] = piece(w)
+                    got.append(known[w])
+                sizes.append(_pack([len(x) for x in got], zip_))
+                ids.append(_pack(np.fromiter(itertools.chain.from_iterable(got), np.int32), zip_))
+            yield pa.RecordBatch.from_arrays([b.column("block"), b.column("numbers"), pa.array(sizes, pa.binary()), pa.array(ids, pa.binary())], names=["block", "numbers", "sizes", "ids"])
 
     return run
 
@@ -98,14 +126,17 @@ def _gathered(values: pa.BinaryArray, at: np.ndarray) -> memoryview:
 
 def _place(kind: pa.DataType):
     def run(words: pa.Table, docs: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("number").to_numpy())
-        ids = words.column("ids").combine_chunks().cast(pa.large_binary()).take(pa.array(order))
-        zip_, parts = zstandard.ZstdDecompressor(), []
+        unzip, none = zstandard.ZstdDecompressor(), [np.empty(0, np.int32)]
+        numbers, sizes, ids = (np.concatenate(none + [f(_unpack(x.as_py(), unzip)) for x in words.column(c)]) for c, f in (("numbers", np.cumsum), ("sizes", lambda x: x), ("ids", lambda x: x)))
+        size, start = np.zeros(len(numbers), np.int32), np.zeros(len(numbers), np.int64)
+        size[numbers], start[numbers] = sizes, np.cumsum(sizes) - sizes
+        parts = []
         for p in docs.column("positions"):
-            at = _unpack(p.as_py(), zip_)
-            parts.append(np.frombuffer(bytes(_gathered(ids, at)), "<i4"))
-        offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            at = _unpack(p.as_py(), unzip)
+            n = size[at]
+            parts.append(ids[np.repeat(start[at] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+        offsets = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        flat = np.concatenate(none + parts)
         return pa.table({"doc_id": docs.column("doc_id").cast(kind), "token_ids": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int32()))})
 
     return run
@@ -117,13 +148,14 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, block_toke
 
     field = docs.schema["doc_id"]
     spark_kind, kind = field.dataType.simpleString(), to_arrow_type(field.dataType)
-    schema = f"block long, doc_id {spark_kind}, number int, word string, positions binary"
-    cut = written(docs.select("doc_id", "text").mapInArrow(_cut(pattern, kind, block_tokens, block_words), schema), "bpe-blocks")
-    own = cut.where("word is not null").select("block", "number", "word")
-    coded = own.select("word").distinct().mapInArrow(_encode(ranks), "word string, ids binary")
-    back = own.join(coded, "word").select("block", "number", "ids")
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = f"block long, doc_id {spark_kind}, part int, numbers binary, lengths binary, letters binary, positions binary"
+    cut = docs.select("doc_id", "text").mapInArrow(lean(_cut(pattern, kind, block_tokens, block_words, tasks * PARTS_PER_TASK)), schema)
+    cut = bucketed(cut, "bpe-blocks", "block", tasks)
+    words = cut.where("part is not null").select("block", "part", "numbers", "lengths", "letters").repartition(tasks, "part")
+    coded = words.drop("part").mapInArrow(lean(_encode(ranks)), "block long, numbers binary, sizes binary, ids binary")
     texts = cut.where("positions is not null").select(F.col("block").alias("of"), "doc_id", "positions")
-    return back.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_place(kind), f"doc_id {spark_kind}, token_ids array<int>")
+    return coded.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_place(kind), f"doc_id {spark_kind}, token_ids array<int>")
 
 
 def _decode(ranks: dict[bytes, int]):
@@ -142,7 +174,7 @@ def _decode(ranks: dict[bytes, int]):
 def decode(encoded: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     """``encoded`` with decoded, the bytes of token_ids (null for null)."""
     schema = T.StructType([*encoded.schema, T.StructField("decoded", T.BinaryType())])
-    return encoded.mapInArrow(_decode(ranks), schema)
+    return encoded.mapInArrow(lean(_decode(ranks)), schema)
 
 
 def digests(decoded: DataFrame, *more: str) -> DataFrame:
