@@ -52,5 +52,11 @@ def report(results: DataFrame) -> str:
     return "\n".join([*head, *(f"{i}. {r['text']}" for i, r in enumerate(rows, 1))])
 
 
+def write_report(results: DataFrame, path: str) -> None:
+    """The report as a text file in ``path``, a folder of any file system that Spark knows."""
+    spark = results.sparkSession
+    spark.createDataFrame([(report(results),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
 def gate(results: DataFrame, least: float = GATE) -> bool:
     return summary(results).first()["pass_rate"] >= least

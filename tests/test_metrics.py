@@ -21,7 +21,7 @@ def test_all(spark, row):
     assert r["retrieval_hit"] is row[8] and r["overall_score"] == row[9] and r["passed"] == (row[9] >= 30)
 
 
-def test_evaluation(spark):
+def test_evaluation(spark, tmp_path):
     q = spark.createDataFrame([("l", "q1", "a heap", ["heap"]), ("l", "q2", "a tree", ["tree"])], "lecture_id string, question string, expected_answer string, expected_keywords array<string>")
     a = spark.createDataFrame([("l", "q1", "a heap", ["heap text"]), ("l", "q2", "unknown", [])], "lecture_id string, question string, rag_answer string, sources array<string>")
     results = e.evaluate(q, a)
@@ -30,5 +30,7 @@ def test_evaluation(spark):
     assert e.gate(results) and not e.gate(results, 60)
     text = e.report(results)
     assert "1. [l] q1" in text and "PASS" in text and "FAIL" in text and "pass rate 50.0%" in text
+    e.write_report(results, str(tmp_path / "report"))
+    assert "".join(f.read_text() for f in (tmp_path / "report").glob("part-*")).strip() == text
     empty = e.summary(results.limit(0)).first()
     assert empty["total_questions"] == 0 and empty["avg_overall_score"] == 0.0 and empty["pass_rate"] == 0.0
