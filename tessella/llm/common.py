@@ -42,6 +42,11 @@ def _delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def _drop(spark: SparkSession, named: str) -> None:
+    with contextlib.suppress(Exception):
+        spark.sql(f"DROP TABLE IF EXISTS {named}")
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}-{name}"
@@ -77,6 +82,7 @@ def lean(run):
 def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` written in buckets of ``key``, so that a join or group on it needs no shuffle of this side."""
     path, named = new_path(df.sparkSession, name), f"tessella_{uuid.uuid4().hex}"
+    atexit.register(_drop, df.sparkSession, named)
     df.write.format("parquet").bucketBy(buckets, key).option("compression", "zstd").option("path", path).saveAsTable(named)
     return df.sparkSession.table(named)
 
