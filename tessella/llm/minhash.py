@@ -6,7 +6,7 @@
 3. In a bucket each class is a candidate of the bucket's centre alone, so a bucket of m
    makes m - 1 pairs. First the centre is the class that shares most buckets with others
    (in a group of copies, their source). Buckets that still hold several components get
-   other centres, until a round finds no link.
+   other centres, until two rounds in a row find no link.
 4. Links are confirmed on the full sets.
 """
 
@@ -25,8 +25,8 @@ from .common import lean, written
 from .components import components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 85, 160, 5
-#: Rounds after the first, at most and at least.
-MOST_ROUNDS, LEAST_ROUNDS = 6, 2
+#: Rounds in a row without a link after which no more follow.
+QUIET_ROUNDS = 2
 
 _U = np.uint64
 
@@ -149,14 +149,16 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
     degree = members.groupBy("v").agg(F.sum("c").alias("rank"))
     links = confirm(stars(members.join(degree, "v").withColumn("comp", F.col("v")), F.col("rank")))
     comp = components(links)
-    for turn in range(MOST_ROUNDS):
+    turn = quiet = 0
+    while quiet < QUIET_ROUNDS:
         state = members.join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").withColumn("comp", F.coalesce("label", "v"))
         open_ = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
         more = confirm(stars(state.join(open_, "bucket"), F.xxhash64("v", "bucket", F.lit(turn)).alias("rank")))
+        turn += 1
         if more.isEmpty():
-            if turn + 1 >= LEAST_ROUNDS:
-                break
+            quiet += 1
             continue
+        quiet = 0
         links = links.unionByName(more)
         comp = components(links)
     named = vertices.select("digest", "v").join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").select("digest", F.coalesce("label", "v").alias("component"))
