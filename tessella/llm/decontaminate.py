@@ -84,7 +84,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k: int
     il, ir = _context(F.col("ih"), F.col("f.p"), k, reach)
     item = item.select("item_id", F.col("f.m").alias("m"), F.when(F.col("f.m") > 0, whole).otherwise(F.col("f.h")).alias("h"), il.alias("il"), ir.alias("ir"))
     few = item.limit(broadcast_rows + 1).count() <= broadcast_rows
-    doc = docs.select("doc_id", _hashed(F.col("text")).alias("dh")).where(F.size("dh") > 0)
+    doc = docs.select("doc_id", _hashed(F.col("text")).alias("dh"))
     doc = doc.select("doc_id", "dh", F.explode(_fingerprints(F.col("dh"), window, k, short)).alias("f"))
     dl, dr = _context(F.col("dh"), F.col("p"), k, reach)
     doc = doc.select("doc_id", "dh", F.col("f.m").alias("m"), F.col("f.p").alias("p"), F.col("f.h").alias("h"))
