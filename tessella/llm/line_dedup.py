@@ -103,7 +103,8 @@ def repeated_lines(docs: DataFrame, **how) -> DataFrame:
     other = distinct.select(F.col("i").alias("i2"), F.col("j").alias("j2"), F.col("first").alias("other"))
     linked = both.join(other, ["i2", "j2"]).groupBy("i", "j").agg(F.min("other").alias("other"), F.count("*").alias("links"))
     known = distinct.join(linked, ["i", "j"], "left").where("copies > 1 or links is not null").select("i", "j", F.least("first", "other").alias("best"), F.coalesce("links", F.lit(0)).alias("links"))
-    rows = lines.select("rid", "doc_id", "pos", "i", "j").distinct().join(known, ["i", "j"], "left")
+    known = written(known, "known-lines")  # so that both sides of the next join are plain shuffles, which adaptive execution splits at hot lines
+    rows = lines.select("rid", "doc_id", "pos", "i", "j").join(known, ["i", "j"], "left").dropDuplicates(["rid", "pos"])
     gone = F.struct("doc_id", "pos") > F.col("best")
     return rows.groupBy("rid").agg(
         F.count("*").alias("n_lines"), F.sum(F.coalesce("links", F.lit(0))).cast("bigint").alias("n_links"),
