@@ -155,15 +155,16 @@ class Model:
 def learn(rows: DataFrame, pieces: list[str], *, texts_per_lang: int = TEXTS_PER_LANG, word_types: int = WORD_TYPES) -> Model | None:
     """A model from labelled rows (text, lang); None without any.
 
-    The sample takes rows by a hash of their text, so that about ``texts_per_lang`` of each
-    language remain; of its words, the ``word_types`` most frequent (language, word) pairs count.
+    The sample takes texts by a hash, so that about ``texts_per_lang`` of each language remain,
+    and copies of a text once, however many there are; of its words, the ``word_types`` most
+    frequent (language, word) pairs count.
     """
     rows = rows.where("lang is not null and text is not null")
     n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not n:
         return None
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, texts_per_lang / v) * 1_000_000))])
-    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")])
+    sample = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
     pairs = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
     counts: dict[str, dict[str, int]] = {k: {} for k in n}
     for r in pairs.orderBy(F.desc("count"), "lang", "w").limit(word_types).collect():
