@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import BLANKS, NOT_BLANK, let, words, written
 
 RISK, DELTA = 0.02, 0.05
-#: Rule, numerator, denominator, cutoffs from lenient to strict; a ratio above the cutoff is rejected.
+#: Rule, numerator, denominator, cutoffs from lenient to strict; a ratio above the cutoff is rejected, one of nothing never.
 RULES = [
     ("symbols", "n_symbols", "word_chars", [0.5, 0.3, 0.2, 0.1, 0.05, 0.02]),
     ("dup_lines", "n_dup_lines", "n_lines", [0.95, 0.9, 0.8, 0.7, 0.6, 0.5]),
@@ -81,7 +81,7 @@ def certify(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, delta
     """
     own = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
     seen = measured.join(own, "doc_id")
-    cuts = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("level"), F.lit(float(c)).alias("cutoff"), F.coalesce(F.col(a) / F.col(b) > c, F.lit(False)).alias("out"))
+    cuts = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("level"), F.lit(float(c)).alias("cutoff"), F.coalesce(F.try_divide(a, b) > c, F.lit(False)).alias("out"))
                      for r, a, b, cs in RULES for j, c in enumerate(cs)])
     counts = seen.select("stratum", "good", F.explode(cuts).alias("c")).groupBy("stratum", "c.rule", "c.level", "c.cutoff").agg(
         F.count_if("good").alias("n"), F.count_if(F.col("good") & F.col("c.out")).alias("k"), F.count_if(~F.col("good") & F.col("c.out")).alias("bad"))
@@ -104,5 +104,5 @@ def judge(docs: DataFrame, labels: DataFrame, *, stratum: str = "lang", risk: fl
     out = measured.join(F.broadcast(cuts) if few else cuts, "stratum", "left")
     rejected = F.lit(False)
     for r, a, b, _ in RULES:
-        rejected = rejected | F.coalesce(F.col(a) / F.col(b) > F.col(f"cut_{r}"), F.lit(False))
+        rejected = rejected | F.coalesce(F.try_divide(a, b) > F.col(f"cut_{r}"), F.lit(False))
     return out.select(*measured.columns, (~F.col("base_failed") & ~rejected).alias("kept"))

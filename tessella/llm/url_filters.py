@@ -43,10 +43,10 @@ def path_of(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """(key, list, since, until) from (entry, list, action, dated); open intervals end in null.
 
-    Of several actions on one day, a removal wins. Rows with a null are void.
+    Of several actions on one day, a removal wins. Rows with a null, or with no date in dated, are void.
     """
-    daily = entries.where("entry is not null and list is not null and dated is not null and action in ('add', 'remove')").groupBy(
-        F.lower(F.rtrim(F.trim("entry"), F.lit("/"))).alias("key"), "list", F.col("dated").cast("date").alias("since")).agg((F.max("action") == "add").alias("adds"))
+    daily = entries.where("entry is not null and list is not null and try_cast(dated AS date) is not null and action in ('add', 'remove')").groupBy(
+        F.lower(F.rtrim(F.trim("entry"), F.lit("/"))).alias("key"), "list", F.col("dated").try_cast("date").alias("since")).agg((F.max("action") == "add").alias("adds"))
     nxt = F.lead("since").over(W.partitionBy("key", "list").orderBy("since"))  # a row a day at most
     return daily.withColumn("until", nxt).where("adds").select("key", "list", "since", "until")
 

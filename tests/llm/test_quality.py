@@ -57,6 +57,12 @@ def test_certified_cutoffs(spark):
     assert all(quality.judge(df, worse).select((F.col("kept") == ~F.col("base_failed")).alias("x")).toPandas()["x"])
 
 
+def test_odd_rows(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (3, 1, 1), (None, 1, 0), (4, 1, 0), (4, 0, 0)], "doc_id long, quality int, toxic int")
+    got = quality.judge(documents(spark, odd_rows()), labels).collect()
+    assert len(got) == len(odd_rows()) and sorted(str(r["doc_id"]) for r in got if r["kept"]) == ["4", "None"]
+
+
 def test_empty(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.judge(documents(spark, []), labels).collect() == []

@@ -7,7 +7,7 @@ from .helpers import with_clashes
 ENTRIES = [
     ("bad.com", "spam", "add", "2024-01-10"), ("bad.com", "spam", "remove", "2024-02-10"), ("bad.com", "spam", "add", "2024-03-10"), ("BAD.com/", "ads", "add", "2024-01-01"),
     ("ok.org/a/b", "path", "add", "2024-01-01"), ("bad.com", "spam", "add", "2024-03-20"), ("tie.net", "t", "add", "2024-01-05"), ("tie.net", "t", "remove", "2024-01-05"),
-    (None, "x", "add", "2024-01-01"), ("n.com", "x", "add", None), ("odd.com", "x", "other", "2024-01-01"),
+    (None, "x", "add", "2024-01-01"), ("n.com", "x", "add", None), ("bad.com", "x", "add", "no date"), ("odd.com", "x", "other", "2024-01-01"),
 ]
 CAPTURES = [
     (1, "http://www.Bad.com/x", "2024-01-09"), (2, "http://www.bad.com", "2024-01-10"), (3, "http://bad.com/", "2024-02-10"), (4, "https://u:p@bad.com:80/q", "2024-04-01"), (5, "http://notbad.com/", "2024-01-20"),
@@ -24,9 +24,9 @@ def brute(url, day):
     host = authority.rsplit("@", 1)[-1].split(":")[0].lower()
     path = rest[len(authority) :].split("?")[0].split("#")[0].strip("/").lower()
     full, out = f"{host}/{path}/", set()
-    for key, name in {(e.lower().rstrip("/"), n) for e, n, a, d in ENTRIES if e and d}:
+    for key, name in {(e.lower().rstrip("/"), n) for e, n, a, d in ENTRIES if e and d and d[0] == "2"}:
         hit = full.startswith(key + "/") if "/" in key else host == key or host.endswith("." + key)
-        log = sorted((d, a == "remove") for e, n, a, d in ENTRIES if e and d and e.lower().rstrip("/") == key and n == name and a in ("add", "remove") and d <= day)
+        log = sorted((d, a == "remove") for e, n, a, d in ENTRIES if e and d and d[0] == "2" and e.lower().rstrip("/") == key and n == name and a in ("add", "remove") and d <= day)
         if hit and log and not log[-1][1]:
             out.add(name)
     return sorted(out)
