@@ -7,7 +7,6 @@ so that a repeated batch overwrites itself, and readers take the latest batch of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import is_blank, is_safe, rejection_message
@@ -89,8 +88,3 @@ def split_safe(queries: DataFrame, text: str, classify=None) -> tuple[DataFrame,
     judged = ruled.withColumn("_verdict", classify(F.col(text)))
     return judged.where("_verdict = 'safe'").drop("_verdict"), judged.where("_verdict <> 'safe'").drop("_verdict").unionByName(unruled)
 
-
-def newest_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The newest row of each key."""
-    w = W.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")

@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from tessella.operators import catalog, rag, search
 from tessella.operators.bm25 import Bm25Index, query_terms
