@@ -7,7 +7,9 @@
    makes m - 1 pairs. First the centre is the class that shares most buckets with others
    (in a group of copies, their source). Buckets that still hold several components get
    other centres, until two rounds in a row find no link.
-4. Links are confirmed on the full sets.
+4. What these buckets still hold is finished exactly: all pairs of different components
+   that can reach the threshold meet by their rarest shingles (prefix filter).
+5. Links are confirmed on the full sets.
 """
 
 from __future__ import annotations
@@ -25,8 +27,10 @@ from .common import lean, written
 from .components import components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 85, 160, 5
-#: Rounds in a row without a link after which no more follow.
+#: Rounds in a row without a link after which the exact pass follows.
 QUIET_ROUNDS = 2
+#: The exact pass deals the holders of a shingle in blocks of about this size.
+BLOCK = 256
 
 _U = np.uint64
 
@@ -146,14 +150,47 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
         pairs = of.join(centre.select("bucket", F.col("m.v").alias("b"), F.col("m.n").alias("bn"), F.col("m.comp").alias("bcomp")), "bucket").where("v <> b and comp <> bcomp")
         return pairs.select(F.col("v").alias("a"), F.col("n").alias("an"), "b", "bn").distinct()
 
+    def still_open(comp: DataFrame) -> DataFrame:
+        """The members, with their components, of the buckets that hold several of these."""
+        state = members.join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").withColumn("comp", F.coalesce("label", "v"))
+        open_ = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
+        return state.join(open_, "bucket")
+
+    def rest(of: DataFrame) -> DataFrame:
+        """The pairs of different components of (v, comp) that can reach the threshold: (a, an, b, bn).
+
+        Shingles are ordered from the rarest on; those that one component alone has come first,
+        and none of these is shared by a pair. From the place of a pair's first shared shingle
+        on, both sets must be as long as the overlap that the threshold asks for. The shorter
+        (or equal) one of a pair need be found by fewer shingles than the longer one. The
+        holders of a shingle that are all of its commonest component never meet.
+        """
+        own = of.join(sets, "v").select("v", "comp", F.size("shingles").alias("n"), F.explode("shingles").alias("s"))
+        held = own.groupBy("s").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("s", "c")
+        e = own.join(held, "s").groupBy("v", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("c", "s"))).alias("e")).withColumn("alone", F.col("n") - F.size("e"))
+        most = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - F.col("alone")
+        first = e.where(most > 0).select("v", "comp", "n", "alone", F.posexplode(F.slice("e", F.lit(1), most)).alias("k", "x"))
+        first = written(first.select("v", "comp", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")), "prefixes")
+        top = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
+        known = first.join(top.select("s", F.col("top.comp").alias("top")), "s")
+        other = F.col("comp") != F.col("top")
+        long = known.withColumn("side", F.explode(F.when(other, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+        short = known.where(F.col("left") * (100 + percent) >= F.col("n") * 2 * percent).withColumn("side", F.when(other, 0).otherwise(1))
+        blocks = long.groupBy("s", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        a = long.join(blocks, ["s", "side"]).select("s", "side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("left").alias("aleft"))
+        b = short.join(blocks, ["s", "side"]).select("s", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"), F.col("left").alias("bleft"))
+        enough = F.least("aleft", "bleft") * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
+        longer = (F.col("an") > F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") > F.col("b")))
+        near = F.col("bn") * 100 >= F.col("an") * percent
+        on = [a["s"] == b["s"], a["side"] == b["side"], a["block"] == b["block"], F.col("acomp") != F.col("bcomp"), longer, near, enough]
+        return a.join(b, on).select("a", "an", "b", "bn").distinct()
+
     degree = members.groupBy("v").agg(F.sum("c").alias("rank"))
     links = confirm(stars(members.join(degree, "v").withColumn("comp", F.col("v")), F.col("rank")))
     comp = components(links)
     turn = quiet = 0
     while quiet < QUIET_ROUNDS:
-        state = members.join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").withColumn("comp", F.coalesce("label", "v"))
-        open_ = state.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        more = confirm(stars(state.join(open_, "bucket"), F.xxhash64("v", "bucket", F.lit(turn)).alias("rank")))
+        more = confirm(stars(still_open(comp), F.xxhash64("v", "bucket", F.lit(turn)).alias("rank")))
         turn += 1
         if more.isEmpty():
             quiet += 1
@@ -161,6 +198,11 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
         quiet = 0
         links = links.unionByName(more)
         comp = components(links)
+    left = written(still_open(comp).select("v", "comp").distinct(), "open")
+    if not left.isEmpty():
+        more = confirm(rest(left))
+        if not more.isEmpty():
+            comp = components(links.unionByName(more))
     named = vertices.select("digest", "v").join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").select("digest", F.coalesce("label", "v").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

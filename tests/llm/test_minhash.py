@@ -63,6 +63,21 @@ def test_large_group_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == plain(rows)
 
 
+def test_exact_pass_finds_what_stars_miss(spark, monkeypatch):
+    """Strangers with one template, just under the threshold, share most buckets; no lucky centre helps the copies among them."""
+    monkeypatch.setattr(minhash, "QUIET_ROUNDS", 0)
+    monkeypatch.setattr(minhash, "BLOCK", 8, raising=False)
+    rng = random.Random(1)
+    template = [f"t{i}" for i in range(204)]
+    rows = []
+    for pair in range(60):
+        both = [f"b{pair}x{k}" for k in range(rng.randint(4, 6))]
+        rows += [" ".join(template + both + [f"o{pair}x{side}x{k}" for k in range(16)]) for side in range(2)]
+    rows = list(enumerate(rows))
+    got = sorted(tuple(r) for r in minhash.link(documents(spark, rows)).collect())
+    assert got == plain(rows) and sum(not r[3] for r in got) == 60
+
+
 def test_odd_rows(spark):
     got = minhash.link(documents(spark, odd_rows())).collect()
     assert len(got) == len(odd_rows())
