@@ -6,7 +6,8 @@
 3. In a bucket each class is a candidate of the bucket's centre alone, so a bucket of m
    makes m - 1 pairs. First the centre is the class that shares most buckets with others
    (in a group of copies, their source). Buckets that still hold several components get
-   other centres, until two rounds in a row find no link.
+   other centres as long as a round at least halves what these hold, so the number of
+   rounds is at most logarithmic.
 4. What these buckets still hold is finished exactly: all pairs of different components
    that can reach the threshold meet by their rarest shingles (prefix filter).
 5. Links are confirmed on the full sets.
@@ -27,8 +28,6 @@ from .common import lean, written
 from .components import components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 85, 160, 5
-#: Rounds in a row without a link after which the exact pass follows.
-QUIET_ROUNDS = 2
 #: The exact pass deals the holders of a shingle in blocks of about this size.
 BLOCK = 256
 
@@ -185,24 +184,23 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
         on = [a["s"] == b["s"], a["side"] == b["side"], a["block"] == b["block"], F.col("acomp") != F.col("bcomp"), longer, near, enough]
         return a.join(b, on).select("a", "an", "b", "bn").distinct()
 
+    def joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+        """The components with more links: the labels so far stand for all links so far."""
+        return components(comp.select(F.col("u").alias("a"), F.col("v").alias("b")).unionByName(more))
+
     degree = members.groupBy("v").agg(F.sum("c").alias("rank"))
-    links = confirm(stars(members.join(degree, "v").withColumn("comp", F.col("v")), F.col("rank")))
-    comp = components(links)
-    turn = quiet = 0
-    while quiet < QUIET_ROUNDS:
-        more = confirm(stars(still_open(comp), F.xxhash64("v", "bucket", F.lit(turn)).alias("rank")))
-        turn += 1
-        if more.isEmpty():
-            quiet += 1
-            continue
-        quiet = 0
-        links = links.unionByName(more)
-        comp = components(links)
-    left = written(still_open(comp).select("v", "comp").distinct(), "open")
-    if not left.isEmpty():
-        more = confirm(rest(left))
-        if not more.isEmpty():
-            comp = components(links.unionByName(more))
+    comp = components(confirm(stars(members.join(degree, "v").withColumn("comp", F.col("v")), F.col("rank"))))
+    left = written(still_open(comp), "open")
+    n, turn = left.count(), 0
+    while n:
+        more = confirm(stars(left, F.xxhash64("v", "bucket", F.lit(turn)).alias("rank")))
+        comp, turn = joined(comp, more), turn + 1
+        left = written(still_open(comp), "open")
+        before, n = n, left.count()
+        if n * 2 > before:
+            break
+    if n:
+        comp = joined(comp, confirm(rest(left.select("v", "comp").distinct())))
     named = vertices.select("digest", "v").join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").select("digest", F.coalesce("label", "v").alias("component"))
     out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))

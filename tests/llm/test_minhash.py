@@ -63,19 +63,34 @@ def test_large_group_of_near_copies(spark):
     assert sorted(tuple(r) for r in got) == plain(rows)
 
 
-def test_exact_pass_finds_what_stars_miss(spark, monkeypatch):
-    """Strangers with one template, just under the threshold, share most buckets; no lucky centre helps the copies among them."""
-    monkeypatch.setattr(minhash, "QUIET_ROUNDS", 0)
-    monkeypatch.setattr(minhash, "BLOCK", 8, raising=False)
-    rng = random.Random(1)
+def templated(rng, pairs):
+    """Strangers with one template, just under the threshold; each has one near copy just above it."""
     template = [f"t{i}" for i in range(204)]
     rows = []
-    for pair in range(60):
+    for pair in range(pairs):
         both = [f"b{pair}x{k}" for k in range(rng.randint(4, 6))]
         rows += [" ".join(template + both + [f"o{pair}x{side}x{k}" for k in range(16)]) for side in range(2)]
-    rows = list(enumerate(rows))
+    rng.shuffle(rows)
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("pairs, block", [(60, 8), (200, 256), (600, 256)])
+def test_exact_pass_finds_what_stars_miss(spark, monkeypatch, pairs, block):
+    """They share most buckets, and no lucky centre helps the copies among them. The rounds are few at any size."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rounds = []
+    monkeypatch.setattr(minhash, "components", lambda e: rounds.append(1) or components(e))
+    rows = templated(random.Random(pairs), pairs)
     got = sorted(tuple(r) for r in minhash.link(documents(spark, rows)).collect())
-    assert got == plain(rows) and sum(not r[3] for r in got) == 60
+    key = {}
+    for i, t in rows:
+        key.setdefault(t.split()[204], []).append(i)
+    assert all(len(x) == 2 for x in key.values()) and len(key) == pairs
+    want = {i: min(x) for x in key.values() for i in x}
+    assert [(i, c, k) for i, _, c, k in got] == [(i, c, c == i) for i, c in sorted(want.items())]
+    if pairs <= 200:
+        assert got == plain(rows)
+    assert len(rounds) <= 10
 
 
 def test_odd_rows(spark):
