@@ -1,10 +1,19 @@
-"""Main text of web pages: structure first, then differencing against the nearest URL.
-
-A page's elements that are menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles or comments go, by tag, role, class or id. If the page marks its article,
-the lines within are the text. Otherwise the page is paired with the page of its host
-whose path is nearest, the lines of both are aligned by their longest common subsequence,
-and the lines that both share are deleted, as are lines that consist of links.
+"""Main text of web pages by differencing against the nearest URL.
+
+1. Each page becomes lines of text, menus and adverts too. Pages of a host with equal lines
+   are one.
+2. The pages of a host are put in the order of their paths. Neighbours that share nearly
+   all of their text are versions of one page and form a run; the nearest other page, that
+   with the longest common path beginning, stands just before or just after the run. If
+   that is a version too, the search goes on behind its run, until a page decides or the
+   host has no more.
+3. Both pages' lines are aligned by their longest common subsequence. What they share goes.
+4. Marks protect: the plain lines of a marked article stay although others have them.
+   Otherwise copies of an article would delete each other.
+5. What differencing can't see, since no other page has it, goes by tag, role, class or id:
+   menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments.
+   Of a page with a marked article, only that stays; of another one, lines that are
+   nothing but links go as menus.
 """
 
 from __future__ import annotations
@@ -12,16 +21,18 @@ from __future__ import annotations
 import html
 import os.path
 import re
-from bisect import bisect_left
-from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import lean, written
 from .url_filters import host_of, path_of
 
 _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|</?[a-zA-Z][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*+>|</?[a-zA-Z][^>]*>""", re.S)
@@ -45,8 +56,19 @@ _ARTICLE = frozenset("articlebody article-body article-content article-text post
 #: What an opening tag closes first, if it is open within the nearest of the second.
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
-#: Lines of unmarked pages are menus from this share of characters in links.
-LINK_SHARE, COPY_SHARE = 0.8, 0.8
+#: Pages that share more than this part of their text's characters are versions of one page.
+COPY_SHARE = 0.8
+#: Alignments of more line pairs than these are halved first.
+MOST_BITS = 100_000_000
+
+
+class Line(NamedTuple):
+    text: str
+    linked: int  # characters within links
+    mark: int  # as in _marks
+    title: bool  # within a level-one heading
+    gone: bool  # within an unwanted element
+    plain: bool  # no named container between the mark and the line
 
 
 def _attributes(tag: str) -> dict[str, str]:
@@ -80,19 +102,30 @@ def _marks(name: str, attrs: dict[str, str]) -> int:
     return 1 if name == "main" or attrs.get("role") == "main" or (name in ("div", "section", "td") and any(x in _ARTICLE for x in labels)) else 0
 
 
-def _parse(source: str, by_name: bool) -> list[tuple[str, int, int, bool]]:
-    """Lines: text, characters within links, mark (as in _marks), whether in a level-one heading."""
-    lines: list[tuple[str, int, int, bool]] = []
-    stack: list[tuple[str, bool, int]] = []  # name, unwanted (itself or above), mark (of itself or above)
+def _named(name: str, attrs: dict[str, str]) -> bool:
+    """Whether an element is a container that a page's author named, other than as the article."""
+    if name not in ("div", "section", "span", "ul", "ol", "dl", "table", "center", "details"):
+        return False
+    labels = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+    return bool(labels) and not any(x in _ARTICLE or _OWN & {*re.split(r"[^a-z0-9]+", x)} for x in labels)
+
+
+def _parse(source: str, by_name: bool) -> list[Line]:
+    lines: list[Line] = []
+    stack: list[tuple[str, bool, int, bool]] = []  # name, unwanted (itself or above), mark (of itself or above), named below the mark
     text: list[str] = []
+    lost: list[str] = []  # of unwanted elements within the line
     linked, at = 0, 0
 
     def flush() -> None:
         nonlocal linked
-        line = " ".join("".join(text).split())
-        if line:
-            lines.append((line, linked, stack[-1][2] if stack else 0, any(x[0] == "h1" for x in stack)))
-        text.clear()
+        mark, named = (stack[-1][2], stack[-1][3]) if stack else (0, False)
+        title = any(x[0] == "h1" for x in stack)
+        for parts, gone in ((text, False), (lost, True)):
+            line = " ".join("".join(parts).split()) if parts else ""
+            if line:
+                lines.append(Line(line, linked, mark, title, gone, mark > 0 and not named and not gone))
+            parts.clear()
         linked = 0
 
     def close(k: int) -> None:
@@ -102,11 +135,15 @@ def _parse(source: str, by_name: bool) -> list[tuple[str, int, int, bool]]:
 
     def put(chunk: str) -> None:
         nonlocal linked
-        if chunk and not (stack and stack[-1][1]):
-            chunk = html.unescape(chunk)
-            text.append(chunk)
-            if any(x[0] == "a" for x in stack):
-                linked += len("".join(chunk.split()))
+        if not chunk:
+            return
+        chunk = html.unescape(chunk)
+        if stack and stack[-1][1]:
+            lost.append(chunk)
+            return
+        text.append(chunk)
+        if any(x[0] == "a" for x in stack):
+            linked += len("".join(chunk.split()))
 
     while (m := _TOKEN.search(source, at)) is not None:
         put(source[at : m.start()])
@@ -124,8 +161,8 @@ def _parse(source: str, by_name: bool) -> list[tuple[str, int, int, bool]]:
             elif name in _BLOCK:
                 flush()
             continue
-        if name in _SPACE and not (stack and stack[-1][1]):
-            text.append(" ")
+        if name in _SPACE:
+            (lost if stack and stack[-1][1] else text).append(" ")
         if name in _VOID:
             if name == "hr":
                 flush()
@@ -146,7 +183,7 @@ def _parse(source: str, by_name: bool) -> list[tuple[str, int, int, bool]]:
         attrs = _attributes(tag) if "=" in tag else {}
         if _HIDDEN.search(tag):
             attrs["hidden"] = ""
-        gone, mark = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
+        gone, mark, named_ = stack[-1][1:] if stack else (False, 0, False)
         if not gone and _unwanted(name, attrs, mark > 0, by_name):
             gone = True
         if name in _RAW:
@@ -155,134 +192,231 @@ def _parse(source: str, by_name: bool) -> list[tuple[str, int, int, bool]]:
             continue
         if tag.endswith("/>") and name in ("svg", "path"):
             continue
-        stack.append((name, gone, max(mark, _marks(name, attrs))))
+        own = _marks(name, attrs)
+        named_ = named_ and own <= mark or (mark > 0 or own == 0) and _named(name, attrs)
+        stack.append((name, gone, max(mark, own), named_))
     put(source[at:])
     flush()
     return lines
 
 
-def page_lines(source: str | None) -> tuple[list[tuple[str, int]], bool]:
-    """The page's lines with their characters within links, and whether its article is marked.
+def _body(source: str | None) -> tuple[list[Line], list[bool], bool]:
+    """All lines of the page, which of them structure takes for its text, and whether its article is marked.
 
-    Of a marked article only its own lines, and a level-one heading before it if it has none.
+    Of a marked article these are its own lines, and a level-one heading before it if it has none.
     """
+    lines: list[Line] = []
     for by_name in (True, False):
         lines = _parse(source or "", by_name)
-        best = max((x[2] for x in lines), default=0)
+        best = max((x.mark for x in lines if not x.gone), default=0)
         if best:
-            first = next(i for i, x in enumerate(lines) if x[2] == best)
-            titled = any(x[3] for x in lines if x[2] == best)
-            kept = [x for i, x in enumerate(lines) if x[2] == best or (x[3] and i < first and not titled)]
-            return [x[:2] for x in kept], True
-        if lines:
-            return [x[:2] for x in lines], False
-    return [], False
-
-
-def common_lines(a: list[int], b: list[int]) -> list[int]:
-    """The positions in a of a longest common subsequence with b (Hunt and Szymanski)."""
-    places = defaultdict(list)
+            first = next(i for i, x in enumerate(lines) if x.mark == best and not x.gone)
+            titled = any(x.title for x in lines if x.mark == best and not x.gone)
+            return lines, [not x.gone and (x.mark == best or (x.title and i < first and not titled)) for i, x in enumerate(lines)], True
+        if any(not x.gone for x in lines):
+            break
+    return lines, [not x.gone for x in lines], False
+
+
+def page_lines(source: str | None) -> tuple[list[tuple[str, int]], bool]:
+    """The lines that structure takes for the text, with their characters within links, and whether the article is marked."""
+    lines, body, marked = _body(source)
+    return [x[:2] for x, b in zip(lines, body, strict=True) if b], marked
+
+
+def _masks(b: list[int]) -> dict[int, int]:
+    """The places of each value as bits."""
+    out: dict[int, int] = {}
     for j, x in enumerate(b):
-        places[x].append(j)
-    ends: list[int] = []
-    links: list[tuple] = []
-    for i, x in enumerate(a):
-        for j in reversed(places.get(x, ())):
-            k = bisect_left(ends, j)
-            node = (i, links[k - 1] if k else None)
-            if k == len(ends):
-                ends.append(j)
-                links.append(node)
-            else:
-                ends[k], links[k] = j, node
-    out, node = [], links[-1] if links else None
-    while node:
-        out.append(node[0])
-        node = node[1]
-    return out[::-1]
+        out[x] = out.get(x, 0) | 1 << j
+    return out
+
+
+def _rows(a: list[int], b: list[int]) -> Iterator[int]:
+    """After each element of a, a bit for each prefix of b: 0 where its last element lengthens the common subsequence (Hyyrö)."""
+    every, places = (1 << len(b)) - 1, _masks(b)
+    v = every
+    for x in a:
+        u = v & places.get(x, 0)
+        v = (v + u | v - u) & every
+        yield v
+
+
+def _lengths(a: list[int], b: list[int]) -> np.ndarray:
+    """The length of the common subsequence of a with each prefix of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, b):  # noqa: B007  the last one
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.append(0, np.cumsum(1 - bits.astype(np.int64)))
+
+
+def common_lines(a: list[int], b: list[int], most_bits: int = MOST_BITS) -> list[int]:
+    """The positions in a of a longest common subsequence with b, bit-parallel.
+
+    The memory is bounded: large problems are halved at a and cut where the halves' sum is best (Hirschberg).
+    """
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < end - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    inner_a, inner_b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if not inner_a or not inner_b:
+        found: list[int] = []
+    elif len(inner_a) > 1 and len(inner_a) * len(inner_b) > most_bits:
+        half = len(inner_a) // 2
+        cut = int((_lengths(inner_a[:half], inner_b) + _lengths(inner_a[half:][::-1], inner_b[::-1])[::-1]).argmax())
+        found = common_lines(inner_a[:half], inner_b[:cut], most_bits) + [half + i for i in common_lines(inner_a[half:], inner_b[cut:], most_bits)]
+    else:
+        rows, found, i, j = list(_rows(inner_a, inner_b)), [], len(inner_a), len(inner_b)
+        while i and j:
+            if rows[i - 1] >> (j - 1) & 1:
+                j -= 1
+                continue
+            i -= 1
+            if not i or rows[i - 1] >> (j - 1) & 1:
+                found.append(i)
+                j -= 1
+        found.reverse()
+    return [*range(lo), *(lo + i for i in found), *range(len(a) - hi, len(a))]
 
 
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The hashes of a page's lines, and for each twice its characters (0 if structure drops it), plus 1 if it is protected."""
     for b in batches:
         rows = []
         for source in b.column("html"):
-            lines, marked = page_lines(source.as_py())
-            rows.append((not marked and bool(lines), [xxhash.xxh3_64_intdigest(x.encode("utf-8", "surrogatepass")) - (1 << 63) for x, _ in lines], [len(x) for x, _ in lines]))
-        loose, hashes, sizes = zip(*rows, strict=True) if rows else ((), (), ())
+            lines, body, _ = _body(source.as_py())
+            hashes = [xxhash.xxh3_64_intdigest(x.text.encode("utf-8", "surrogatepass")) - (1 << 63) for x in lines]
+            weights = [2 * len(x.text) * k + (x.plain and k) for x, k in zip(lines, body, strict=True)]
+            rows.append((xxhash.xxh3_128_digest(np.array([hashes, weights], np.int64).tobytes()), hashes, weights))
+        key, hashes, weights = zip(*rows, strict=True) if rows else ((), (), ())
         yield pa.RecordBatch.from_arrays(
-            [*(b.column(n) for n in ("rid", "host", "path")), pa.array(loose, pa.bool_()), pa.array(hashes, pa.list_(pa.int64())), pa.array(sizes, pa.list_(pa.int32()))],
-            names=["rid", "host", "path", "loose", "hashes", "sizes"])
+            [*(b.column(n) for n in ("rid", "host", "path")), pa.array(key, pa.binary()), pa.array(hashes, pa.list_(pa.int64())), pa.array(weights, pa.list_(pa.int32()))],
+            names=["rid", "host", "path", "key", "hashes", "weights"])
+
+
+def _copies(weights: list[int], at: list[int]) -> bool:
+    """Whether the shared lines are nearly all of the text."""
+    return sum(weights[i] // 2 for i in at) > COPY_SHARE * sum(w // 2 for w in weights)
+
+
+def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The numbers of the pages that are versions of the one before."""
+    for b in batches:
+        out = []
+        for r in b.to_pylist():
+            at = common_lines(r["hashes"], r["before"])
+            if _copies(r["weights"], at):
+                out.append(r["number"])
+        yield pa.RecordBatch.from_arrays([pa.array(out, pa.int64())], names=["number"])
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The lines of each page that the nearest of its neighbours has too."""
+    """Each page against the one or two others that it met, the nearest first, up to one that is no version of it.
+
+    deleted: the places of lines that both have and that nothing else removes or protects; null if
+    no page has decided. n_shared counts all that both have but protected lines. before and after are where to ask next.
+    """
     for b in batches:
         out = []
         for r in b.to_pylist():
-            others = [o for o in r["others"] if o["hashes"] != r["hashes"]]
-            near = max(others, key=lambda o: (len(os.path.commonprefix([r["path"], o["path"]])), -abs(o["off"]), o["off"]), default=None)
-            at = common_lines(r["hashes"], near["hashes"]) if near else []
-            if sum(r["sizes"][i] for i in at) > COPY_SHARE * sum(r["sizes"]):
-                at = []  # two versions of one article
-            out.append(at)
-        yield pa.RecordBatch.from_arrays([b.column("rid"), pa.array(out, pa.list_(pa.int32()))], names=["rid", "deleted"])
+            near = sorted(r["others"], key=lambda o: (-len(os.path.commonprefix([r["path"], o["path"]])), o["side"]))
+            deleted, n_shared = None, 0
+            for o in near:
+                at = common_lines(r["hashes"], o["hashes"])
+                if not _copies(r["weights"], at):
+                    deleted = [i for i in at if r["weights"][i] > 1 and not r["weights"][i] & 1]
+                    n_shared = sum(not r["weights"][i] & 1 for i in at)
+                    break
+            far = {o["side"]: o["next"] for o in near}
+            out.append((r["number"], deleted, n_shared, far.get(0), far.get(1)))
+        columns = zip(*out, strict=True) if out else [()] * 5
+        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["number", "deleted", "n_shared", "before", "after"])
 
 
 def _text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         texts = []
         for source, gone in zip(b.column("html"), b.column("deleted"), strict=True):
-            lines, marked = page_lines(source.as_py())
-            if not marked:
-                gone = set(gone.as_py() or ())
-                lines = [x for i, x in enumerate(lines) if i not in gone and x[1] < LINK_SHARE * len(x[0].replace(" ", ""))]
-            texts.append("\n".join(x for x, _ in lines))
+            lines, body, marked = _body(source.as_py())
+            gone = set(gone.as_py() or ())
+            kept = [x for i, x in enumerate(lines) if body[i] and i not in gone and (marked or x.linked < len(x.text.replace(" ", "")))]
+            texts.append("\n".join(x.text for x in kept))
         yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
 
-#: A page meets as many pages on either side in the order of its host's paths.
-REACH = 2
 BROADCAST_ROWS = 100_000
 
 
+def _numbered(pages: DataFrame) -> DataFrame:
+    """The distinct pages of each host in the order of their paths, numbered, whatever their host's size; part is a stretch of them."""
+    order = ["host", "path", "key"]
+    sorted_ = written(pages.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id()), "sorted")
+    part, within = F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1)
+    return _with_offset(sorted_.withColumn("part", part), F.count("*")).withColumn("number", F.col("offset") + within).drop("offset", "place")
+
+
+def _with_offset(rows: DataFrame, total) -> DataFrame:
+    """rows (part, ...) with offset, the sum of ``total`` over all parts before. A row a part comes to the driver."""
+    before, sum_ = [], 0
+    for r in sorted(rows.groupBy("part").agg(total.alias("n")).collect()):
+        before.append((r["part"], sum_))
+        sum_ += r["n"]
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(before, "part long, offset long")), "part")
+
+
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(rid, deleted): for unmarked pages, the positions of the lines that they share with the nearest page.
+    """(rid, deleted, n_shared) for the pages of which another page of the host has lines.
 
-    The pages are numbered in the order of host and path, whatever their host's size, and
-    neighbours meet by an equi-join on the numbers.
+    deleted: the places, among all lines of the page, of those that go by differencing alone.
+    n_shared: how many lines the other page has too, those that structure drops as well
+    included, protected ones not.
     """
     slim = pages.select("rid", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"), F.coalesce(path_of(F.col("url")), F.lit("")).alias("path"), "html")
-    outline = slim.mapInArrow(_outline, "rid long, host string, path string, loose boolean, hashes array<long>, sizes array<int>")
-    order = ["host", "path", "rid"]
-    sorted_ = outline.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("place", F.monotonically_increasing_id())
-    sorted_ = written(sorted_, "outline")
-    part, within = F.shiftright("place", 33).alias("part"), F.col("place").bitwiseAND((1 << 33) - 1)
-    before, total = [], 0
-    for r in sorted(sorted_.groupBy(part).count().collect()):  # a row a partition
-        before.append((r["part"], total))
-        total += r["count"]
-    if not before:
-        return sorted_.select("rid", F.lit(None).cast("array<int>").alias("deleted"))
-    offsets = F.broadcast(pages.sparkSession.createDataFrame(before, "part long, offset long"))
-    numbered = sorted_.withColumn("part", part).join(offsets, "part").withColumn("number", F.col("offset") + within)
-    steps = F.array(*[F.lit(k).cast("long") for k in range(-REACH, REACH + 1) if k])
-    asks = numbered.where("loose").select("rid", "host", "path", "hashes", "sizes", F.explode(steps).alias("off"), "number").withColumn("number", F.col("number") + F.col("off"))
-    other = numbered.select("number", F.col("host").alias("other_host"), F.col("path").alias("other_path"), F.col("hashes").alias("other_hashes"))
-    met = asks.join(other, "number").where("host = other_host").groupBy("rid").agg(
-        F.any_value("path").alias("path"), F.any_value("hashes").alias("hashes"), F.any_value("sizes").alias("sizes"),
-        F.collect_list(F.struct("off", F.col("other_path").alias("path"), F.col("other_hashes").alias("hashes"))).alias("others"))
-    return met.mapInArrow(_shared, "rid long, deleted array<int>").where(F.size("deleted") > 0)
+    outline = written(slim.mapInArrow(lean(_outline), "rid long, host string, path string, key binary, hashes array<long>, weights array<int>"), "outline")
+    distinct = outline.groupBy("host", "key").agg(F.min("path").alias("path"), F.any_value("hashes").alias("hashes"), F.any_value("weights").alias("weights"))
+    numbered = written(_numbered(distinct), "numbered")
+    before = numbered.select((F.col("number") + 1).alias("number"), F.col("host").alias("_host"), F.col("hashes").alias("before"))
+    met = numbered.select("number", "host", "hashes", "weights").join(before, "number").where("host = _host").select("number", "hashes", "weights", "before")
+    same = met.mapInArrow(lean(_versions), "number long").select("number", F.lit(0).alias("first"))
+    # Runs of versions: the number of runs up to each page, summed within its stretch and then over the stretches before.
+    flags = written(numbered.select("number", "part").join(same, "number", "left").withColumn("first", F.coalesce("first", F.lit(1))), "runs")
+    inner = F.sum("first").over(W.partitionBy("part").orderBy("number"))
+    runs = _with_offset(flags, F.sum("first")).select("number", (F.col("offset") + inner).alias("run"))
+    ends = runs.groupBy("run").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
+    spans = runs.join(ends, "run").select("number", (F.col("lo") - 1).alias("before"), (F.col("hi") + 1).alias("after"))
+    spans = written(numbered.join(spans, "number"), "spans")
+    other = spans.select(F.col("number").alias("ask"), F.col("host").alias("_host"), F.struct("path", "hashes").alias("o"), F.col("before").alias("_before"), F.col("after").alias("_after"))
+    left, decided = spans, []
+    while True:
+        asks = left.select("number", "host", "path", "hashes", "weights", F.posexplode(F.array("before", "after")).alias("side", "ask"))
+        met = asks.join(other, "ask").where("host = _host").groupBy("number").agg(
+            *(F.any_value(c).alias(c) for c in ("path", "hashes", "weights")),
+            F.collect_list(F.struct("side", F.when(F.col("side") == 0, F.col("_before")).otherwise(F.col("_after")).alias("next"), F.col("o.path").alias("path"), F.col("o.hashes").alias("hashes"))).alias("others"))
+        done = written(met.mapInArrow(lean(_shared), "number long, deleted array<int>, n_shared int, before long, after long"), "differences")
+        decided.append(done.where("deleted is not null").select("number", "deleted", "n_shared"))
+        open_ = done.where("deleted is null").select("number", "before", "after")
+        if open_.isEmpty():
+            break
+        left = spans.drop("before", "after").join(open_, "number")
+    found = reduce(DataFrame.unionByName, decided).where("n_shared > 0")
+    found = numbered.select("number", "host", "key").join(found, "number")
+    return outline.select("rid", "host", "key").join(found, ["host", "key"]).select("rid", "deleted", "n_shared").dropDuplicates(["rid"])
 
 
 def extract(pages: DataFrame, *, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars. Null and empty html have the text ''.
 
-    Pages without a readable host count as one host. A page whose neighbours are all its
-    copies, or that shares nearly all of its text with the nearest, keeps its lines.
+    Pages without a readable host count as one host. A page that shares nearly all of its
+    text with every other page of its host keeps it. Repeated rows get equal texts.
     """
     keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("rid"))
-    shared = written(shared_lines(keyed), "shared-lines")
+    shared = written(shared_lines(keyed).where(F.size("deleted") > 0).select("rid", "deleted"), "shared-lines")
     few = shared.limit(broadcast_rows + 1).count() <= broadcast_rows
     kind = pages.schema["page_id"].dataType.simpleString()
     met = keyed.join(F.broadcast(shared) if few else shared, "rid", "left").select("page_id", "url", "html", "deleted")
-    return met.mapInArrow(_text, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))
+    return met.mapInArrow(lean(_text), f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("bigint"))

@@ -38,7 +38,7 @@ def test_lcs():
     rng = random.Random(1)
     for _ in range(300):
         a, b = ([rng.randint(0, 5) for _ in range(rng.randint(0, 12))] for _ in "ab")
-        at = h.common_lines(a, b)
+        at = h.common_lines(a, b, rng.choice([4, 10**9]))
         assert at == sorted(set(at)) and len(at) == plain_lcs(a, b)
         rest = iter(b)
         assert all(any(a[i] == x for x in rest) for i in at)
@@ -64,3 +64,73 @@ def test_differencing(spark):
         assert {k: by[k] for k in want} == want and by[6] == by[7] and by[9].endswith("a1") and by[9].startswith("Long")
         assert all(r["n_chars"] == len(r["text"]) for r in got)
     assert h.extract(pages.limit(0)).collect() == []
+
+
+def versions(n, story):
+    return [story + " It goes on for a good while, in words that all versions have in common." + f"</p><p>seen {k}" for k in range(n)]
+
+
+def test_runs_of_versions_find_the_next_other_page(spark):
+    """Copies and versions of a page, however many, are differenced against the nearest page that is none."""
+    bodies = [f"<p>{x}</p>" for x in ["Copied story of some length"] * 7 + versions(9, "Versioned story of quite some length.") + ["A last story that has words of its own, more than the frame"]]
+    rows = [(i, f"http://a.com/s/{i:03}?p={i}", page(b)) for i, b in enumerate(bodies)]
+    got = h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and all("Welcome" not in r["text"] and "offers" not in r["text"] and "rights" not in r["text"] for r in got)
+    assert all("tory" in r["text"] for r in got)
+    assert {r["text"] for r in got if r["page_id"] < 7} == {"Copied story of some length"}
+    assert sum("seen" in r["text"] for r in got) == 9
+
+
+def test_only_versions_between(spark):
+    """The search goes on behind a run whose end is a version of the asking page although the pages between are not."""
+    story = "<p>" + "A story long enough to outweigh the frame, told once more. " * 3 + "</p>"
+    rows = [(1, "http://a.com/1", page(story + "<p>a</p>")), (2, "http://a.com/2", page(story + "<p>b</p>")), (3, "http://a.com/3", page("<p>Something else is told on this one</p>"))]
+    got = {r["page_id"]: r["text"] for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1].split("\n")[-1] == "a" and got[2].split("\n")[-1] == "b" and got[3] == "Something else is told on this one" and "Welcome" not in got[1] + got[2]
+
+
+def test_marks_protect_and_differencing_decides(spark):
+    """Within marked articles, lines in containers of unlisted names vanish only since the nearest page has them; plain ones stay."""
+    article = "<article><h1>{0}</h1><p>A passage that both articles have</p><div class='zq-17'>Read our other stuff<p>Call now</p></div><p>Own words of {0}</p><div class='zq-18'>Only {0}</div></article>"
+    rows = [(i, f"http://a.com/{i}", f"<body><div>Frame</div>{article.format(x)}</body>") for i, x in enumerate(["one", "two"])] + [(7, "http://b.com/", f"<body><div>Frame</div>{article.format('alone')}</body>")]
+    got = {r["page_id"]: r["text"].split("\n") for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ["one", "A passage that both articles have", "Own words of one", "Only one"] and got[1] == ["two", "A passage that both articles have", "Own words of two", "Only two"]
+    assert got[7] == ["alone", "A passage that both articles have", "Read our other stuff", "Call now", "Own words of alone", "Only alone"]
+
+
+def brute_force(rows):
+    """The texts of (page_id, url, html), page after page."""
+    import os.path
+    import re
+
+    hosts = {}
+    for _, url, source in rows:
+        host, path = (re.sub(r"^[a-z]+://", "", url or "").split("/", 1) + [""])[:2]
+        path = re.split(r"[?#]", path)[0].strip("/")
+        lines, body, _ = h._body(source)
+        kept = tuple((x.text, b, x.plain and b) for x, b in zip(lines, body))
+        mine = hosts.setdefault(host, {})
+        mine[kept] = min(mine.get(kept, path), path)
+    out, changed = [], 0
+    for i, url, source in rows:
+        lines, body, marked = h._body(source)
+        kept = tuple((x.text, b, x.plain and b) for x, b in zip(lines, body))
+        mine = hosts[re.sub(r"^[a-z]+://", "", url or "").split("/", 1)[0]]
+        own = mine[kept]
+        total = sum(len(x) for x, b, _ in kept if b)
+        near = sorted((o for o in mine if o != kept), key=lambda o: -len(os.path.commonprefix([own, mine[o]])))
+        at = []
+        for o in near:
+            at = h.common_lines([x for x, *_ in kept], [x for x, *_ in o])
+            if sum(len(kept[k][0]) for k in at if kept[k][1]) <= 0.8 * total:
+                break
+            at = []
+        changed += any(not kept[k][2] for k in at)
+        out.append((i, "\n".join(x for k, (x, b, p) in enumerate(kept) if b and (p or k not in at) and (marked or lines[k].linked < len(x.replace(" ", ""))))))
+    return sorted(out), changed
+
+
+def test_as_brute_force(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want, _ = brute_force([tuple(r) for r in pages.select("page_id", "url", "html").collect()])
+    assert sorted((r["page_id"], r["text"]) for r in h.extract(pages).collect()) == want
