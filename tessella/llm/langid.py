@@ -9,7 +9,7 @@ each of its words; the score is the posterior of the best language under equal p
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,13 +21,17 @@ from pyspark.sql import types as T
 
 from .common import lean
 
-#: Bounds of what is learned from: texts a language (expected number), and counted word types in all.
-TEXTS_PER_LANG, WORD_TYPES = 2_000, 60_000
+#: Bound of what is learned from: distinct texts a language (expected number), with all of their words.
+TEXTS_PER_LANG = 1_000
 SMOOTHING, UNKNOWN, EM_STEPS = 0.01, 1e-8, 3
-#: Longer words go through the scaled recursion, one at a time.
-BATCHED_LENGTH, CACHE = 24, 300_000
+#: Longer words go through the scaled recursion, and teach in parts of this length.
+UNIT = 24
+#: Scored words that a task remembers, and characters that are scored or learned from at once.
+CACHE, BATCH_CHARS = 300_000, 200_000
 
 
+#: What Python's split() takes for white space.
+BLANKS = r"[\s\p{Z}\x0B\x1C-\x1F\x85]+"
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -97,79 +101,99 @@ class Model:
                 a[:, e] += a[:, e - k] * prob[rows[:, e - 1, k - 1]]
         return a
 
-    def _long(self, w: str) -> np.ndarray:
-        """The log probability of a long word, rescaled at each step."""
-        past, log = [np.ones(len(self.langs))], np.zeros(len(self.langs))
-        for e in range(1, len(w) + 1):
-            now = sum(past[-k] * self.prob[self.row.get(w[e - k : e], int(k == 1))] for k in range(1, min(e, self.longest, len(past)) + 1))
+    def _scaled(self, words: list[str]) -> np.ndarray:
+        """The log probabilities of words of any lengths, rescaled at each step."""
+        n = max(map(len, words))
+        rows, ends = self._rows([w.ljust(n, "\0") for w in words], n), np.array([len(w) for w in words])
+        log, out = np.zeros((len(words), len(self.langs))), np.zeros((len(words), len(self.langs)))
+        past = [np.ones_like(log)]
+        for e in range(1, n + 1):
+            now = sum(past[-k] * self.prob[rows[:, e - 1, k - 1]] for k in range(1, min(e, rows.shape[2], len(past)) + 1))
             log += np.log(now)
-            past = [x / now for x in past[-self.longest + 1 :]] + [np.ones(len(self.langs))]
-        return log
+            out[ends == e] = log[ends == e]
+            past = [x / now for x in past[max(0, len(past) - rows.shape[2] + 1) :]] + [np.ones_like(log)]
+        return out
 
     def score(self, words: list[str]) -> np.ndarray:
         """Log probabilities, a row a word, a column a language."""
-        out, by = np.zeros((len(words), len(self.langs))), defaultdict(list)
+        out, by, long = np.zeros((len(words), len(self.langs))), defaultdict(list), []
         for i, w in enumerate(words):
-            by[len(w) + 1].append(i)
+            if len(w) >= UNIT:
+                long.append(i)
+            else:
+                by[len(w) + 1].append(i)
         for n, at in by.items():
-            if n > BATCHED_LENGTH:
-                for i in at:
-                    out[i] = self._long("▁" + words[i])
-                continue
-            for lo in range(0, len(at), 4096):
-                part = at[lo : lo + 4096]
+            for part in _parts(at, BATCH_CHARS // n):
                 out[part] = np.log(self._forward(self._rows(["▁" + words[i] for i in part], n), self.prob)[:, -1])
+        long.sort(key=lambda i: len(words[i]))
+        while long:
+            size = max(1, BATCH_CHARS // (len(words[long[-1]]) + 1))
+            out[long[-size:]] = self._scaled(["▁" + words[i] for i in long[-size:]])
+            del long[-size:]
         return out
 
+    def _expected(self, r: np.ndarray, c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """How often each piece is expected in segmentations of words with counts c."""
+        n, most, seen = r.shape[1], r.shape[2], np.zeros(len(p))
+        a, b = self._forward(r, p[:, None])[:, :, 0], np.zeros((len(r), n + 1))
+        b[:, n] = 1
+        for e, k in itertools.product(range(n, 0, -1), range(1, most + 1)):
+            if k <= e:
+                b[:, e - k] += b[:, e] * p[r[:, e - 1, k - 1]]
+        for e, k in itertools.product(range(1, n + 1), range(1, most + 1)):
+            if k <= e:
+                x = r[:, e - 1, k - 1]
+                seen += np.bincount(x, c * a[:, e - k] * p[x] * b[:, e] / a[:, n], len(p))
+        return seen
+
     def fit(self, counts: dict[str, dict[str, int]], steps: int = EM_STEPS) -> Model:
-        """counts: language to word to count. Words beyond the batched length teach nothing."""
+        """counts: language to word to count. Words without spaces between them, which can be very long, teach in parts."""
         for j, lang in enumerate(self.langs):
+            units: Counter[str] = Counter()
+            for w, c in counts.get(lang, {}).items():
+                w = "▁" + w
+                for lo in range(0, len(w), UNIT):
+                    units[w[lo : lo + UNIT]] += c
             by = defaultdict(list)
-            for w in counts.get(lang, {}):
-                if len(w) < BATCHED_LENGTH:
-                    by[len(w) + 1].append(w)
-            data = [(self._rows(["▁" + w for w in ws], n), np.array([counts[lang][w] for w in ws], float)) for n, ws in by.items()]
-            seen = sum((np.bincount(r.ravel(), np.repeat(c, r[0].size), len(self.prob)) for r, c in data), np.zeros(len(self.prob)))
+            for u in units:
+                by[len(u)].append(u)
+            data = [(n, part, np.array([units[u] for u in part], float)) for n, us in by.items() for part in _parts(us, BATCH_CHARS // n)]
+            seen = np.zeros(len(self.prob))
+            for n, us, c in data:
+                r = self._rows(us, n)
+                seen += np.bincount(r.ravel(), np.repeat(c, r[0].size), len(seen))
             for step in range(steps + 1):
                 seen[:2] = 0
                 p = (seen + SMOOTHING) / (seen.sum() + SMOOTHING * len(seen))
                 p[0], p[1] = 0, UNKNOWN
-                if step == steps:
-                    break
-                seen = np.zeros(len(p))
-                for r, c in data:
-                    n, k_most = r.shape[1], r.shape[2]
-                    a, b = self._forward(r, p[:, None])[:, :, 0], np.zeros((len(r), n + 1))
-                    b[:, n] = 1
-                    for e, k in itertools.product(range(n, 0, -1), range(1, k_most + 1)):
-                        if k <= e:
-                            b[:, e - k] += b[:, e] * p[r[:, e - 1, k - 1]]
-                    for e, k in itertools.product(range(1, n + 1), range(1, k_most + 1)):
-                        if k <= e:
-                            x = r[:, e - 1, k - 1]
-                            seen += np.bincount(x, c * a[:, e - k] * p[x] * b[:, e] / a[:, n], len(p))
+                if step < steps:
+                    seen = sum((self._expected(self._rows(us, n), c, p) for n, us, c in data), np.zeros(len(p)))
             self.prob[:, j] = p
         return self
 
 
-def learn(rows: DataFrame, pieces: list[str], *, texts_per_lang: int = TEXTS_PER_LANG, word_types: int = WORD_TYPES) -> Model | None:
-    """A model from labelled rows (text, lang); None without any.
+def _parts(items: list, size: int) -> list[list]:
+    size = max(1, size)
+    return [items[lo : lo + size] for lo in range(0, len(items), size)]
+
+
+def learn(rows: DataFrame, pieces: list[str], *, texts_per_lang: int = TEXTS_PER_LANG) -> Model | None:
+    """A model from labelled rows (text, lang); None if they have no word.
 
-    The sample takes texts by a hash, so that about ``texts_per_lang`` of each language remain,
-    and copies of a text once, however many there are; of its words, the ``word_types`` most
-    frequent (language, word) pairs count.
+    The sample takes texts by a hash, so that about ``texts_per_lang`` distinct ones of each
+    language remain; all their words count. A language whose texts have no word is left out.
     """
     rows = rows.where("lang is not null and text is not null")
-    n = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count_distinct(F.xxhash64("text")).alias("n")).collect()}
     if not n:
         return None
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, texts_per_lang / v) * 1_000_000))])
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
-    pairs = sample.select("lang", F.explode(F.split(F.lower("text"), r"\s+")).alias("w")).where("w <> ''").groupBy("lang", "w").count()
-    counts: dict[str, dict[str, int]] = {k: {} for k in n}
-    for r in pairs.orderBy(F.desc("count"), "lang", "w").limit(word_types).collect():
+    pairs = sample.select("lang", F.explode(F.split(F.lower("text"), BLANKS)).alias("w")).where("w <> ''").groupBy("lang", "w").count()
+    counts: dict[str, dict[str, int]] = defaultdict(dict)
+    for r in pairs.toLocalIterator():  # of the bounded sample
         counts[r["lang"]][r["w"]] = r["count"]
-    return Model(pieces, sorted(n)).fit(counts)
+    return Model(pieces, sorted(counts)).fit(counts) if counts else None
 
 
 def _predict(model: Model | None, drop_text: bool):
@@ -212,7 +236,8 @@ def label(docs: DataFrame, pieces: list[str], *, drop_text: bool = False, **boun
     """``docs`` (without text, if so asked) and lang_pred, score.
 
     Nothing is learned from held-out rows, nor from rows without doc_id, text or lang.
-    ``und`` with score 0: null text, no letter, or nothing to learn from.
+    ``und`` with score 0: null text, no letter, or nothing to learn from. Equal texts get equal
+    answers, however often they occur.
     """
     model = learn(docs.where(~held_out()).select("text", "lang"), pieces, **bounds)
     given = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))

@@ -27,6 +27,15 @@ def all_segmentations(model, w, lang):
     return total
 
 
+def plain_score(model, w):
+    """The same sum for long words, in logarithms and by strings."""
+    w, past = "▁" + w, [np.zeros(len(model.langs))]
+    for e in range(1, len(w) + 1):
+        ways = [past[k] + np.log(model.prob[model.row[w[k:e]] if w[k:e] in model.row else 1]) for k in range(max(0, e - model.longest), e) if w[k:e] in model.row or e - k == 1]
+        past.append(np.logaddexp.reduce(ways))
+    return past[-1]
+
+
 def test_forward_sums_all_segmentations():
     rng = np.random.default_rng(1)
     m = langid.Model(["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab", "é"], ["x", "y"])
@@ -34,9 +43,10 @@ def test_forward_sums_all_segmentations():
     for w in ["", "a", "ab", "abab", "ccb", "éab", "😀a", "ababbaaba"]:
         want = [math.log(all_segmentations(m, "▁" + w, j)) for j in range(2)]
         assert m.score([w])[0] == pytest.approx(want, rel=1e-9)
-        assert m._long("▁" + w) == pytest.approx(want, rel=1e-9)
-    long = "abba" * 100
-    assert m.score([long])[0] == pytest.approx(m._long("▁" + long))
+        assert m._scaled(["▁" + w, "▁a"])[0] == pytest.approx(want, rel=1e-9)
+    words = ["abba" * 100, "a", "ab" * 30, "ccb" * 9, "b" * 23, "b" * 24]
+    for w, got in zip(words, m.score(words), strict=True):
+        assert got == pytest.approx(plain_score(m, w))
 
 
 def test_em_raises_the_likelihood(pieces):
@@ -60,7 +70,7 @@ def test_held_out_accuracy_and_odd_rows(spark, pieces):
     rng = random.Random(2)
     rows = [(i, sample(rng, lang), lang) for i, lang in ((i, rng.choice(["en", "de", "fr"])) for i in range(400))]
     docs = documents(spark, rows + [(1000 + k, t, None) for k, (_, t) in enumerate(odd_rows())] + [(None, "the and ing", "zz")])
-    out = langid.identify(with_clashes(docs, "lang_pred", "score", "held_out"), pieces, texts_per_lang=100, word_types=1000).collect()
+    out = langid.identify(with_clashes(docs, "lang_pred", "score", "held_out"), pieces, texts_per_lang=100).collect()
     assert len(out) == docs.count()
     truth = {i: x for i, _, x in rows}
     held = [r for r in out if r["doc_id"] in truth and r["held_out"]]
@@ -73,6 +83,43 @@ def test_held_out_accuracy_and_odd_rows(spark, pieces):
     assert all(0 <= r["score"] <= 1 for r in out) and "zz" not in {r["lang_pred"] for r in out}
 
 
+def test_scripts_without_spaces(spark, pieces):
+    """Sentences that are one long word each: both languages teach, and are told apart on held-out rows."""
+    rng = random.Random(4)
+    letters = {"han": [chr(0x4E00 + 7 * k) for k in range(300)], "kana": [chr(0x3041 + k) for k in range(80)]}
+    rows = [(i, "".join(rng.choices(letters[lang], k=40)), lang) for i, lang in enumerate(["han", "kana"] * 300)]
+    rows += [(10_000 + i, "the ing and tion that " * 30, "en") for i in range(40)]
+    out = langid.identify(documents(spark, rows), pieces).collect()
+    truth = {i: x for i, _, x in rows}
+    held = [r for r in out if r["held_out"] and r["doc_id"] < 10_000]
+    assert len(held) > 100 and np.mean([r["lang_pred"] == truth[r["doc_id"]] for r in held]) > 0.97
+
+
+def test_small_languages_are_not_crowded_out(spark, pieces):
+    rng = random.Random(8)
+    rows = [(i, sample(rng, "en"), "en") for i in range(600)] + [(1000 + i, sample(rng, "fr"), "fr") for i in range(40)]
+    out = langid.identify(documents(spark, rows), pieces).collect()
+    held = [r for r in out if r["held_out"] and r["doc_id"] >= 1000]
+    assert held and all(r["lang_pred"] == "fr" for r in held)
+
+
+def test_as_brute_force(spark, pieces):
+    """Every prediction over a whole table against the sum by strings."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = langid.learn(docs.where(~langid.held_out()).select("text", "lang"), pieces)
+    texts, known = {r["doc_id"]: r["text"] for r in docs.collect()}, {}
+    for r in langid.identify(docs, pieces).collect():
+        words = (texts[r["doc_id"]] or "").lower().split()
+        for w in words:
+            if w not in known:
+                known[w] = plain_score(model, w)
+        total = sum((known[w] for w in words), np.zeros(len(model.langs)))
+        if not any(c.isalpha() for c in texts[r["doc_id"]] or ""):
+            assert r["lang_pred"] == "und"
+        else:
+            assert r["lang_pred"] == model.langs[int(total.argmax())] and r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum())
+
+
 def test_nothing_to_learn_from(spark, pieces):
     assert [tuple(r)[2:] for r in langid.identify(documents(spark, [(1, "abc", None)]), pieces).collect()] == [("und", 0.0)]
     assert langid.identify(documents(spark, []), pieces).collect() == []
