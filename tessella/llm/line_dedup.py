@@ -1,15 +1,20 @@
-"""Repeated lines, exact or within one edit, by a segment-partition join.
-
-With a threshold of one edit, two lines are near only if, cut at the middle of the shorter
-one, their first or their second segments are equal (threshold plus one segments, of
-which an edit spares one). So a line probes four keys: as the shorter and as the longer
-line of a pair, by its first and by its last segment, each with the length of the pair.
-
-Lines that share a key but differ elsewhere can be many (versions of one passage). Such a
-group isn't paired: its lines also differ by at most one edit in the rest, so the rest is
-cut again, and again, until groups are small or one character is left. No pair is lost,
-and a group of m costs m rows a step. Pairs are verified by the banded edit distance of
-Spark, which gives up beyond the threshold.
+"""Repeated lines, exact or within a few edits, by a segment-partition join.
+
+With a threshold of k edits, the shorter line of a near pair is cut into k + 1 segments.
+Edits can touch k of them at most, so one stands in the longer line too, at a place that
+is shifted by no more than the edits before or after it allow. A line therefore indexes its segments, and
+probes for those of lines that are 0 to k characters shorter by its substrings at these
+places; the key holds the shorter line's length, the segment's number and its characters.
+
+Lines that share a key but differ elsewhere can be many (versions of one passage). With
+one edit such a group isn't paired: its lines also differ by at most one edit in the rest,
+so the rest is cut again, and again, until groups are small or one character is left. No
+pair is lost, and a group of m costs m rows a step. What is left, and large groups with
+more edits, is paired in blocks: an index line with each other line, never probe with probe.
+Pairs are verified by a banded bit-parallel edit distance, after Spark's own banded one,
+which turns most of them away.
+
+Lines below ``min_chars`` are compared as they are, without edits.
 """
 
 from __future__ import annotations
@@ -19,82 +24,158 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import let, written
 
-#: Shorter lines are left alone. Larger groups are cut further.
-MIN_CHARS, GROUP = 30, 16
+#: Edits are allowed in lines from this length on. Larger groups are cut further.
+MIN_CHARS, EDITS, GROUP = 30, 1, 16
+#: Large groups are paired in blocks of about this size.
+BLOCK = 64
 BLANK = " \t\r\x0b\x0c"
 
 
-def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
-    """rid, doc_id, pos, line, i, j: i and j are two hashes, together the line's identity."""
+def _lines(docs: DataFrame) -> DataFrame:
+    """rid, doc_id, pos, line, i, j of lines that aren't blank: i and j are two hashes, together the line's identity."""
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64("doc_id", text).alias("rid"), F.posexplode(F.split(text, "\n")).alias("pos", "raw"))
-    rows = rows.select("rid", "doc_id", "pos", F.btrim("raw", F.lit(BLANK)).alias("line")).withColumn("len", F.length("line")).where(F.col("len") >= min_chars)
+    rows = rows.select("rid", "doc_id", "pos", F.btrim("raw", F.lit(BLANK)).alias("line")).withColumn("len", F.length("line")).where("len > 0")
     return rows.withColumns({"i": F.xxhash64("line"), "j": F.xxhash64(F.lit(7), F.col("line"))})
 
 
-def _cut(line: Column, size: Column, group: Column | None, n: Column, a: Column, b: Column) -> list[Column]:
-    """The two groups that a line of ``size`` joins in a pair whose shorter line has n characters.
+def roles(edits: int) -> list[tuple[int, int, int]]:
+    """(shorter by, segment, shift): the substrings of a line that it is indexed (0, segment, 0) and probes by."""
+    out = [(0, i, 0) for i in range(edits + 1)]
+    for less in range(edits + 1):
+        for i in range(edits + 1):
+            for shift in range(max(-i, less - (edits - i)), min(i, less + (edits - i)) + 1):
+                if less or shift:
+                    out.append((less, i, shift))
+    return out
+
+
+def _keys(line: Column, size: Column, edits: int) -> Column:
+    """A hash for each role."""
+    out = []
+    for less, i, shift in roles(edits):
+        n = size - less
+        start, end = F.floor(n * i / (edits + 1)).cast("int"), F.floor(n * (i + 1) / (edits + 1)).cast("int")
+        out.append(F.xxhash64(F.lit(i), n, F.substring(line, start + shift + 1, end - start)))
+    return F.array(*out)
+
+
+def _cut(line: Column, size: Column, group: Column, n: Column, a: Column, b: Column) -> list[Column]:
+    """With one edit: the two groups that a line of ``size`` joins in a pair whose shorter line has n characters.
 
     The group so far agrees outside characters a to b of the shorter line.
     """
     h = F.floor((b - a) / 2).cast("int")
-    seed = [] if group is None else [group]
     first = F.substring(line, a + 1, h)
     last = F.substring(line, size - (n - b) - (b - a - h) + 1, b - a - h)
     return [
-        F.struct(F.xxhash64(*seed, F.lit(1), n, a, b, first).alias("g"), n.alias("n"), (a + h).alias("a"), b.alias("b")),
-        F.struct(F.xxhash64(*seed, F.lit(2), n, a, b, last).alias("g"), n.alias("n"), a.alias("a"), (a + h).alias("b")),
+        F.struct(F.xxhash64(group, F.lit(1), n, a, b, first).alias("g"), (a + h).alias("a"), b.alias("b")),
+        F.struct(F.xxhash64(group, F.lit(2), n, a, b, last).alias("g"), a.alias("a"), (a + h).alias("b")),
     ]
 
 
-def _pairs(groups: DataFrame) -> DataFrame:
-    """Links of the members of each group: (i, j, i2, j2), the first the lesser."""
-    many = groups.groupBy("g").agg(F.collect_list(F.struct("i", "j", "line")).alias("m")).where(F.size("m") > 1)
-    every = F.flatten(F.transform("m", lambda x, k: F.transform(F.slice("m", k + 2, F.size("m")), lambda y: F.struct(F.least(x, y).alias("x"), F.greatest(x, y).alias("y")))))
-    pair = many.select(F.explode(every).alias("p")).where("p.x.i <> p.y.i or p.x.j <> p.y.j")
-    near = pair.where(F.levenshtein(F.col("p.x.line"), F.col("p.y.line"), 1) >= 0)
-    return near.select("p.x.i", "p.x.j", F.col("p.y.i").alias("i2"), F.col("p.y.j").alias("j2"))
+def within(x: Column, y: Column, edits: int) -> Column:
+    """Whether two lines are within so many edits, by banded bit-parallel steps.
+
+    Bit d of state e says that all characters of y so far, and as many of x plus d - edits,
+    agree up to e edits. A step meets a character of y with the 2 * edits + 1 of x around it.
+    """
+    band, every = 2 * edits + 1, (1 << (2 * edits + 1)) - 1
+    chars = lambda c: F.split(c, "")
+    names = [f"r{e}" for e in range(edits + 1)]
+    start = F.struct(*[F.lit(((1 << (e + 1)) - 1) << edits).alias(r) for e, r in enumerate(names)])
+
+    def run(a: Column, b: Column) -> Column:
+        def step(r: Column, p: Column) -> Column:
+            c = F.get(b, p)
+            same = reduce(lambda m, t: m.bitwiseOR(F.when(F.get(a, p + (t - edits)) == c, F.lit(1 << t)).otherwise(F.lit(0))), range(band), F.lit(0))
+
+            def fields(m: Column) -> Column:
+                now = [r["r0"].bitwiseAND(m)]
+                for e in range(1, edits + 1):
+                    less = r[f"r{e - 1}"]
+                    inserted, deleted = F.shiftright(less, 1), F.shiftleft(now[-1], 1)
+                    now.append(r[f"r{e}"].bitwiseAND(m).bitwiseOR(less).bitwiseOR(inserted).bitwiseOR(deleted).bitwiseAND(F.lit(every)))
+                return F.struct(*[v.alias(k) for k, v in zip(names, now, strict=True)])
+
+            return let(same, fields)
+
+        end = F.call_function("shiftleft", F.lit(1), F.size(a) - F.size(b) + edits)
+        return F.aggregate(F.sequence(F.lit(0), F.size(b) - 1), start, step, lambda r: r[names[-1]].bitwiseAND(end) != 0)
+
+    near = F.abs(F.length(x) - F.length(y)) <= edits
+    return near & let(F.struct(chars(x).alias("a"), chars(y).alias("b")), lambda z: run(z["a"], z["b"]))
+
+
+def _verified(pair: DataFrame, edits: int) -> DataFrame:
+    """Links (i, j, i2, j2), the first the lesser, of the near ones of the pairs (x, y)."""
+    pair = pair.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.i <> y.i or x.j <> y.j")
+    near = pair.where(F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0).where(within(F.col("x.line"), F.col("y.line"), edits))
+    return near.select("x.i", "x.j", F.col("y.i").alias("i2"), F.col("y.j").alias("j2"))
+
+
+def _pairs(groups: DataFrame, edits: int) -> DataFrame:
+    """Links between an index line of each group and its other lines, for small groups."""
+    many = groups.groupBy("g").agg(F.collect_list(F.struct("i", "j", "line")).alias("m"), F.collect_list("short").alias("s")).where(F.size("m") > 1)
+    every = F.flatten(F.transform("m", lambda x, k: F.transform(F.filter("m", lambda y, t: (t > k) & (F.get("s", k) | F.get("s", t))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
+    return _verified(many.select(F.explode(every).alias("p")).select("p.x", "p.y"), edits)
+
+
+def _block_pairs(groups: DataFrame, edits: int) -> DataFrame:
+    """The same for large groups (with c, their size): each block of index lines meets all lines."""
+    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+    one = F.struct("i", "j", "line")
+    x = groups.where("short").select("g", F.pmod("i", blocks).cast("int").alias("block"), one.alias("x"))
+    y = groups.select("g", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), one.alias("y"), "short")
+    met = x.join(y, ["g", "block"]).where((~F.col("short")) | (F.col("x.i") < F.col("y.i")) | ((F.col("x.i") == F.col("y.i")) & (F.col("x.j") < F.col("y.j"))))
+    return _verified(met.select("x", "y"), edits)
 
 
-def near_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
+def near_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHARS, group: int = GROUP) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The lines (rid, doc_id, pos, i, j), the distinct ones (i, j, first, copies) and the links between these."""
-    found = _lines(docs, min_chars)
-    n, zero = F.col("len"), F.lit(0)
-    keys = F.array(*_cut(F.col("line"), n, None, n, zero, n), *_cut(F.col("line"), n, None, n - 1, zero, n - 1))
-    lines = written(found.select("rid", "doc_id", "pos", "i", "j", "len", F.transform(keys, lambda k: k["g"]).alias("keys")), "lines")
+    if edits < 1 or min_chars < 2 * (edits + 1):
+        raise ValueError("at least one edit, and two characters a segment")
+    keys = F.when(F.col("len") >= min_chars, _keys(F.col("line"), F.col("len"), edits)).otherwise(F.array().cast("array<bigint>"))
+    lines = written(_lines(docs).select("rid", "doc_id", "pos", "i", "j", "len", keys.alias("keys")), "lines")
     distinct = written(lines.groupBy("i", "j").agg(F.min(F.struct("doc_id", "pos")).alias("first"), F.count("*").alias("copies")), "distinct-lines")
-    shared = lines.select("i", F.explode("keys").alias("g")).groupBy("g").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).where("lo <> hi").select("g")
-    roles = F.posexplode("keys").alias("role", "g")
-    members = written(lines.select("i", "j", "len", roles).join(shared, "g").distinct(), "line-groups")
+    each = lines.select("i", "j", "len", F.posexplode("keys").alias("role", "g"))
+    short = F.col("role") <= edits
+    shared = each.groupBy("g").agg(F.min("i").alias("lo"), F.max("i").alias("hi"), F.max(short).alias("short")).where("lo <> hi and short").select("g")
+    members = written(each.join(shared, "g").distinct(), "line-groups")
     wanted = members.select("i", "j").distinct().join(distinct, ["i", "j"]).groupBy(F.col("first.doc_id").alias("of")).agg(F.collect_set("first.pos").alias("at"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"])).select("at", F.split("text", "\n").alias("all"))
     texts = texts.select(F.explode(F.transform("at", lambda p: F.btrim(F.get("all", p), F.lit(BLANK)))).alias("line")).where("line is not null")
     texts = texts.withColumns({"i": F.xxhash64("line"), "j": F.xxhash64(F.lit(7), F.col("line"))}).dropDuplicates(["i", "j"])
-    n = F.col("len") - F.when(F.col("role") >= 2, 1).otherwise(0)
-    h = F.floor(n / 2).cast("int")
-    first = F.col("role") % 2 == 0
-    state = members.join(texts, ["i", "j"]).select("g", "i", "j", "line", "len", n.alias("n"), F.when(first, h).otherwise(0).alias("a"), F.when(first, n).otherwise(h).alias("b"))
-    links = []
+    state = members.join(texts, ["i", "j"]).select("g", "i", "j", "line", "len", "role", short.alias("short"))
+    if edits == 1:  # the rest of the shorter line, in which an edit is still possible: after the first segment, or before the last
+        n = F.col("len") - F.when(short, 0).otherwise(1)
+        h, first = F.floor(n / 2).cast("int"), F.col("role") % 2 == 0
+        state = state.withColumns({"n": n, "a": F.when(first, h).otherwise(0), "b": F.when(first, n).otherwise(h)})
+    state, links = state.drop("role"), []
     while True:
         state = written(state, "line-state")
-        sizes = state.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+        sizes = state.groupBy("g").agg(F.count("*").alias("c"), F.max("short").alias("any")).where("c > 1 and any").select("g", "c")
         counted = state.join(sizes, "g")
-        large = (F.col("c") > group) & (F.col("b") - F.col("a") > 1)
-        links.append(written(_pairs(counted.where(~large)), "line-links"))
-        state = counted.where(large).select("i", "j", "line", "len", F.explode(F.array(*_cut(F.col("line"), F.col("len"), F.col("g"), F.col("n"), F.col("a"), F.col("b")))).alias("k")).select(
-            F.col("k.g").alias("g"), "i", "j", "line", "len", F.col("k.n").alias("n"), F.col("k.a").alias("a"), F.col("k.b").alias("b"))
-        if counted.where(large).isEmpty():
+        large = F.col("c") > group
+        further = large & (F.col("b") - F.col("a") > 1) if edits == 1 else F.lit(False)
+        links.append(written(_pairs(counted.where(~large), edits), "line-links"))
+        last = counted.where(large & ~further)
+        if not last.isEmpty():
+            links.append(written(_block_pairs(last, edits), "line-block-links"))
+        if edits > 1 or counted.where(further).isEmpty():
             break
+        state = counted.where(further).select("i", "j", "line", "len", "short", "n", F.explode(F.array(*_cut(F.col("line"), F.col("len"), F.col("g"), F.col("n"), F.col("a"), F.col("b")))).alias("k")).select(
+            F.col("k.g").alias("g"), "i", "j", "line", "len", "short", "n", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
     return lines, distinct, reduce(DataFrame.unionByName, links).distinct()
 
 
 def repeated_lines(docs: DataFrame, **how) -> DataFrame:
-    """Per row of docs with a line long enough: rid, n_lines, n_links, removed.
+    """Per row of docs with a line that isn't blank: rid, n_lines, n_links, removed.
 
     removed: the positions (from 0) of the lines that occur before, in the order of doc_id and
-    position, as they are or within one edit. n_links: the other texts within one edit of
+    position, as they are or within the edits. n_links: the other texts within the edits of
     its lines, counted a line. Lines are compared without blanks at their ends. Rows with
     equal doc_id and text are one.
     """
@@ -112,7 +193,7 @@ def repeated_lines(docs: DataFrame, **how) -> DataFrame:
 
 
 def line_report(docs: DataFrame, **how) -> DataFrame:
-    """Per row of docs: doc_id, n_lines (long enough), n_links, removed. Null texts have no lines."""
+    """Per row of docs: doc_id, n_lines (not blank), n_links, removed. Null texts have no lines."""
     found = repeated_lines(docs, **how)
     own = docs.select("doc_id", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("rid"))
     none = F.array().cast("array<int>")

@@ -132,9 +132,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'r
 
 SQL["op7_line_dedup"] = r"""
 WITH l0 AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS raw, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS pos FROM documents),
-l AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l0 WHERE length(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) >= 30),
+l AS (SELECT doc_id, pos, trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS line FROM l0 WHERE length(trim(raw, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) > 0),
 d AS (SELECT line, min({'d': doc_id, 'p': pos}) AS first, length(line) AS n FROM l GROUP BY line),
-r AS (SELECT line, n AS m FROM d UNION ALL SELECT line, n - 1 FROM d),
+r AS (SELECT line, n AS m FROM d WHERE n >= 30 UNION ALL SELECT line, n - 1 FROM d WHERE n >= 30),
 k AS (SELECT line, m, 1 AS side, line[1:m // 2] AS seg FROM r UNION ALL SELECT line, m, 2, right(line, m - m // 2) FROM r),
 e AS (SELECT DISTINCT x.line AS a, y.line AS b FROM k x JOIN k y USING (m, side, seg) WHERE x.line <> y.line AND levenshtein(x.line, y.line) <= 1),
 b AS (SELECT a AS line, min(d.first) AS other, count(*) AS links FROM e JOIN d ON d.line = e.b GROUP BY a),
