@@ -1,41 +1,92 @@
-"""Sentences and chunks: native folds over one document, without a shuffle."""
+"""Sentences and chunks of a document, a batch of documents at a time and without a shuffle.
+
+Both need running positions within a text. Folds of the engine copy what they have gathered
+at every step, which is quadratic in a document's length, so these are Arrow functions:
+one pass over a text, or over its sentences' lengths.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text import is_blank, none_of, strip
+from tessella.functions.text import BLANK
 from tessella.functions.vector import cosine
 
 SENTENCE = "struct<content:string,start_char:int,end_char:int>"
 CHUNK = "struct<start_char:int,end_char:int,content:string>"
 SIZE, OVERLAP, SEMANTIC = 500, 1, 0.8
-_MARK = "\x01"
 #: A sentence ends after stops and white space, or at a line's end.
 BOUNDARY = r"[.!?]+\s+|\n\s*"
+WHITE = " \t\n\x0b\f\r"
+_BOUNDARY, _ALL_BLANK = re.compile(BOUNDARY, re.ASCII), regex.compile(BLANK.replace(r"\s", WHITE))
 
 
-def _let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+def _lists(lengths: Sequence[int], **columns: pa.Array) -> pa.ListArray:
+    """Lists of structs, with so many entries each."""
+    offsets = [0]
+    for n in lengths:
+        offsets.append(offsets[-1] + n)
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(list(columns.values()), names=list(columns)))
 
 
-def sentences(text: Column) -> Column:
-    """array<SENTENCE> of a text; [] for a blank one. Offsets count characters from 0, the end excluded."""
-    pieces = F.split(F.regexp_replace(F.translate(text, _MARK, " "), f"({BOUNDARY})", "$1" + _MARK), _MARK)
-    zero = F.struct(F.lit(0).alias("at"), none_of(SENTENCE).alias("out"))
+def plain_sentences(text: str | None) -> list[tuple[str, int, int]]:
+    """(content, start, end) of the sentences; [] for a blank text. Offsets count characters from 0, the end excluded."""
+    out: list[tuple[str, int, int]] = []
+    if not text or _ALL_BLANK.match(text):
+        return out
+    start = 0
+    for end in [*(m.end() for m in _BOUNDARY.finditer(text)), len(text)]:
+        piece = text[start:end]
+        body = piece.strip(WHITE)
+        if body:
+            at = start + len(piece) - len(piece.lstrip(WHITE))
+            out.append((body, at, at + len(body)))
+        start = end
+    return out
 
-    def step(acc: Column, piece: Column) -> Column:
-        start = acc["at"] + F.length(piece) - F.length(F.regexp_replace(piece, r"^\s+", ""))
-        body = strip(piece)
-        one = F.struct(body.alias("content"), start.alias("start_char"), (start + F.length(body)).alias("end_char"))
-        return F.struct((acc["at"] + F.length(piece)).alias("at"), F.when(body == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(one))).alias("out"))
 
-    return F.when(is_blank(text), none_of(SENTENCE)).otherwise(F.aggregate(pieces, zero, step, lambda acc: acc["out"]))
+def _splitter(split):
+    @F.arrow_udf(f"array<{SENTENCE}>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            found = [split(t) for t in batch.to_pylist()]
+            flat = [x for xs in found for x in xs]
+            yield _lists([len(x) for x in found], content=pa.array([x[0] for x in flat], pa.string()), start_char=pa.array([x[1] for x in flat], pa.int32()), end_char=pa.array([x[2] for x in flat], pa.int32()))
+
+    return run
+
+
+def sentences(text: Column) -> Column:
+    """array<SENTENCE> of a text, as plain_sentences()."""
+    return _splitter(plain_sentences)(text)
+
+
+def _gathered(lengths: Sequence[int], breaks: Sequence[bool | None], size: int, overlap: int) -> list[tuple[int, int]]:
+    """The first and last sentence of each chunk. The length of the open chunk is carried along."""
+    out: list[tuple[int, int]] = []
+    first, length = 0, -1  # of the open chunk: its first sentence, and its characters with one between sentences
+
+    def close(k: int) -> None:
+        nonlocal first, length
+        out.append((first, k - 1))
+        first = max(k - overlap, first)
+        length = sum(lengths[first:k]) + k - first - 1
+
+    for k, n in enumerate(lengths):
+        if k > first and breaks[k]:
+            close(k)
+        if k > first and length + 1 + n > size:
+            close(k)
+        length += 1 + n
+    if len(lengths) > first:
+        out.append((first, len(lengths) - 1))
+    return out
 
 
 def chunks(spans: Column, size: int = SIZE, overlap: int = OVERLAP, breaks: Column | None = None) -> Column:
@@ -44,27 +95,24 @@ def chunks(spans: Column, size: int = SIZE, overlap: int = OVERLAP, breaks: Colu
     A chunk ends before a sentence that would exceed the size, or that ``breaks`` marks;
     the next one begins with its last ``overlap`` sentences. A longer sentence stays whole.
     """
-    if breaks is None:
-        breaks = F.transform(spans, lambda _: F.lit(False))
-    items = F.zip_with(spans, breaks, lambda s, b: F.struct(s.alias("s"), F.coalesce(b, F.lit(False)).alias("b")))
-
-    def length(g: Column) -> Column:
-        return F.aggregate(g, F.lit(0), lambda n, s: n + F.length(s["content"])) + F.greatest(F.size(g) - 1, F.lit(0))
 
-    def flush(acc: Column) -> Column:
-        g = acc["g"]
-        one = F.struct(g[0]["start_char"].alias("start_char"), F.element_at(g, -1)["end_char"].alias("end_char"), F.array_join(F.transform(g, lambda s: s["content"]), " ").alias("content"))
-        rest = F.slice(g, F.greatest(F.size(g) - overlap + 1, F.lit(1)), F.lit(overlap)) if overlap else none_of(SENTENCE)
-        return F.when(F.size(g) > 0, F.struct(F.concat(acc["out"], F.array(one)).alias("out"), rest.alias("g"))).otherwise(acc)
-
-    def step(acc: Column, x: Column) -> Column:
-        broken = F.when(x["b"], flush(acc)).otherwise(acc)
-        full = lambda a: (F.size(a["g"]) > 0) & (length(a["g"]) + 1 + F.length(x["s"]["content"]) > size)
-        ready = _let(broken, lambda a: F.when(full(a), flush(a)).otherwise(a))
-        return _let(ready, lambda a: F.struct(a["out"].alias("out"), F.concat(a["g"], F.array(x["s"])).alias("g")))
-
-    start = F.struct(none_of(CHUNK).alias("out"), none_of(SENTENCE).alias("g"))
-    return F.coalesce(F.aggregate(items, start, step, lambda acc: flush(acc)["out"]), none_of(CHUNK))
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for spans_, breaks_ in batches:
+            counts, starts, ends, contents = [], [], [], []
+            for own, marked in zip(spans_, breaks_, strict=True):
+                own = own.values if own.is_valid else None
+                text = own.field("content").to_pylist() if own is not None else []
+                at = _gathered([len(t) for t in text], (marked.as_py() or []) + [False] * len(text), size, overlap)
+                counts.append(len(at))
+                if at:
+                    first, last = own.field("start_char").to_pylist(), own.field("end_char").to_pylist()
+                    starts += [first[i] for i, _ in at]
+                    ends += [last[j] for _, j in at]
+                    contents += [" ".join(text[i : j + 1]) for i, j in at]
+            yield _lists(counts, start_char=pa.array(starts, pa.int32()), end_char=pa.array(ends, pa.int32()), content=pa.array(contents, pa.string()))
+
+    return run(spans, F.array().cast("array<boolean>") if breaks is None else breaks)
 
 
 def semantic_breaks(vectors: Column, threshold: float = SEMANTIC) -> Column:
@@ -105,14 +153,8 @@ def split_sentences(text: str | None) -> list[tuple[str, int, int]]:
 
 
 def rule_sentences(text: Column) -> Column:
-    """split_sentences() as an Arrow UDF, in place of sentences()."""
-
-    @F.pandas_udf(f"array<{SENTENCE}>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield s.map(lambda t: [{"content": c, "start_char": a, "end_char": b} for c, a, b in split_sentences(t)])
-
-    return run(text)
+    """split_sentences() in place of sentences()."""
+    return _splitter(split_sentences)(text)
 
 
 def chunk_rows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, splitter=sentences) -> DataFrame:

@@ -60,3 +60,18 @@ def test_rule_splitter(spark):
     assert [x[0] for x in s.split_sentences(text)] == want
     got = spark.createDataFrame([(text,), (None,)], "t string").select(s.rule_sentences(F.col("t")).alias("s")).collect()
     assert [x["content"] for x in got[0]["s"]] == want and got[1]["s"] == []
+
+
+def test_time_grows_with_the_length(spark):
+    """A document a hundred times as long as another takes a hundred times as long at most, and not its square."""
+    import time
+
+    one = " ".join("w" * (k % 40 + 1) + "." for k in range(2_000))
+    took = []
+    for text in (one, one, " ".join([one] * 100)):
+        began = time.perf_counter()
+        spans = s.plain_sentences(text)
+        at = s._gathered([len(x[0]) for x in spans], [False] * len(spans), 500, 1)
+        took.append(time.perf_counter() - began)
+        assert len(at) > len(spans) / 30
+    assert took[2] < 400 * min(took[:2])
