@@ -48,9 +48,9 @@ def starting_like(docs: DataFrame, sample: str, length: int = 101) -> DataFrame:
 
 
 def listing(docs: DataFrame, chunks: DataFrame) -> DataFrame:
-    """(id, content, index_status, chunks): chunks in the order of their ids, [] for none."""
+    """(id, content, index_status, chunks): chunks in the order of their ids, [] for none. Their context is also named content_hash."""
     own = docs.select(F.col("id").alias("document_id"), F.col("content").alias("_whole"))
-    one = F.struct("id", span(F.col("_whole"), F.col("start_char"), F.col("end_char")).alias("content"), "context", "start_char", "end_char")
+    one = F.struct("id", span(F.col("_whole"), F.col("start_char"), F.col("end_char")).alias("content"), "context", F.col("context").alias("content_hash"), "start_char", "end_char")
     grouped = chunks.join(own, "document_id").groupBy("document_id").agg(F.sort_array(F.collect_list(one)).alias("chunks"))
     met = docs.select("id", "content", "index_status").join(grouped, F.col("id") == F.col("document_id"), "left")
     kind = grouped.schema["chunks"].dataType.simpleString()

@@ -5,7 +5,9 @@ Models are providers (see tessella.sources.providers); everything else is DataFr
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -88,11 +90,14 @@ def merge(hits: DataFrame, top: int = TOP, by: tuple[str, ...] = ()) -> DataFram
 def rerank(hits: DataFrame, responses: DataFrame, threshold: int = RERANK_THRESHOLD) -> DataFrame:
     """Hits (query_id, rank from 0, ...) with rerank_score out of responses (query_id, response), at least the threshold.
 
-    A missing or unreadable answer gives every hit 10.
+    A missing or unreadable answer gives every hit 10. position counts from 0 in the order of
+    rerank_score, then of rank, which is the order of the rows.
     """
     n = hits.groupBy("query_id").agg(F.count("*").cast("int").alias("n")).join(responses, "query_id", "left")
     scores = n.select("query_id", F.posexplode(rerank_scores(F.col("response"), F.col("n"))).alias("rank", "rerank_score"))
-    return hits.join(scores, ["query_id", "rank"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(10))).where(F.col("rerank_score") >= clamp_threshold(threshold))
+    kept = hits.join(scores, ["query_id", "rank"], "left").withColumn("rerank_score", F.coalesce("rerank_score", F.lit(10))).where(F.col("rerank_score") >= clamp_threshold(threshold))
+    best = W.partitionBy("query_id").orderBy(F.desc("rerank_score"), "rank")
+    return kept.withColumn("position", F.row_number().over(best) - 1).orderBy("query_id", "position")
 
 
 def contexts(hits: DataFrame, first: int = 1) -> DataFrame:
@@ -123,21 +128,30 @@ def prompts(queries: DataFrame, context: DataFrame) -> DataFrame:
 def retrieve(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, options: Options, generator: Generator | None = None) -> DataFrame:
     """The hits of one request with rank from 0."""
     def search(text: str, passage: str | None, limit: int) -> DataFrame:
-        vector = embedder.embed([normal(passage if passage else text)])[0]
+        asked = passage if passage else text
         if options.search_type == "hybrid":
-            return hybrid_search(chunks, docs, text, vector, limit, HYBRID_THRESHOLD, ALPHA)
+            return hybrid_search(chunks, docs, text, vector_or_none(embedder, asked), limit, HYBRID_THRESHOLD, ALPHA)
+        vector = embedder.embed([normal(asked)])[0]
         return chunk_search(chunks, docs, vector, options.search_type, limit, CHUNK_THRESHOLD)
 
     ranked = lambda df: df.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.desc("score"), "chunk_id")) - 1)  # noqa: E731  of ``top`` rows
     if not (options.hyde or options.decompose):
         return ranked(search(query, None, options.top))
-    parts = [ranked(search(s, p, options.top)).withColumn("sub_idx", F.lit(i)) for i, (s, p) in enumerate(rewrite(query, generator, options.hyde, options.decompose))]
-    every = parts[0]
-    for p in parts[1:]:
-        every = every.unionByName(p)
+    subs = rewrite(query, generator, options.hyde, options.decompose)
+    with ThreadPoolExecutor(min(len(subs), 8)) as pool:  # their jobs run at the same time
+        parts = list(pool.map(lambda x: ranked(search(*x, options.top)), subs))
+    every = reduce(DataFrame.unionByName, (p.withColumn("sub_idx", F.lit(i)) for i, p in enumerate(parts)))
     return ranked(merge(every, options.top).drop("rank", "sub_idx"))
 
 
+def vector_or_none(embedder: Embedder, text: str) -> list[float] | None:
+    """The text's vector, or None if the embedder fails: then hybrid search finds nothing."""
+    try:
+        return embedder.embed([normal(text)])[0] or None
+    except Exception:
+        return None
+
+
 def normal(text: str) -> str:
     return " ".join(text.lower().split())
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,16 +38,17 @@ class Service:
     def index(self) -> DataFrame:
         return catalog.listing(self.store.documents(), self.store.chunks())
 
-    def create(self, content: str, batch: int) -> DataFrame:
-        """Adds one document as a batch of its own and indexes it. Only the rules are asked."""
+    def create(self, content: str, batch: object = None) -> DataFrame:
+        """Adds one document as a batch of its own and indexes it, by meaning and with contexts. Only the rules are asked."""
         message = self._rejection(content)
         if message is not None:
             raise Rejected(message)
-        accepted, rejected = self.store.insert(self.spark.createDataFrame([(content,)], "content string"), batch)
+        batch = uuid.uuid4().hex if batch is None else batch
+        accepted, rejected = self.store.insert(self.spark.createDataFrame([(content,)], "content string"), batch, "service")
         bad = rejected.first()
         if bad:
             raise Rejected(bad["message"])
-        process(self.store, accepted, batch, self.embedder)
+        process(self.store, accepted, f"service-{batch}", self.embedder, self.generator, semantic=True)
         return accepted
 
     def search(self, query: str, search_type: str | None = None) -> DataFrame:
@@ -56,7 +59,7 @@ class Service:
         self._check(query)
         docs, chunks, kind = self.store.documents(), self.store.chunks(), (search_type or "cosine").lower()
         if kind == "hybrid":
-            return search.hybrid_search(chunks, docs, query, self._vector(query))
+            return search.hybrid_search(chunks, docs, query, rag.vector_or_none(self.embedder, query))
         return search.chunk_search(chunks, docs, self._vector(query), kind)
 
     def rag(self, query: str, **given: object) -> dict[str, object]:

@@ -1,8 +1,13 @@
-"""Session settings."""
+"""Session settings, and intermediate tables in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import atexit
+import contextlib
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tessella", master: str | None = None, **conf: str) -> SparkSession:
@@ -13,3 +18,32 @@ def session(name: str = "tessella", master: str | None = None, **conf: str) -> S
     for k, v in conf.items():
         b = b.config(k.replace("_", "."), v)
     return b.getOrCreate()
+
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """What ``spark.checkpoint.dir`` names; where that is unset a temporary folder in local mode, the warehouse on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if named:
+        return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessella-"))
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessella"
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read again: what a model said stays said, and a lost executor costs a re-read. Deleted when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}-{name}"
+    atexit.register(_delete, spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

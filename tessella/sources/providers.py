@@ -164,53 +164,68 @@ class ConstantClassifier:
         return [verdict(self.answer) for _ in texts]
 
 
-def embed_udf(embedder: Embedder) -> Callable[[Column], Column]:
-    """Vectors by the embedder, a batch at a time; null for null, blank and failed texts."""
+def in_batches(ask: Callable[[list], list], items: list) -> list[tuple[object, str | None]]:
+    """(answer, error) for each item. The service gets all at once; a batch that fails is halved until what fails is alone."""
+    if not items:
+        return []
+    try:
+        answers = list(ask(items))
+        if len(answers) != len(items):
+            raise ProviderError(f"{len(answers)} answers to {len(items)} inputs")
+        return [(x, None) for x in answers]
+    except Exception as e:
+        if len(items) == 1:
+            return [(None, f"{type(e).__name__}: {e}")]
+    half = len(items) // 2
+    return in_batches(ask, items[:half]) + in_batches(ask, items[half:])
 
-    @F.pandas_udf("array<double>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+
+#: Inputs that go to a service at once.
+AT_ONCE = 256
+
+
+def asked(ask: Callable[[list], list], items: list) -> list[tuple[object, str | None]]:
+    return [x for lo in range(0, len(items), AT_ONCE) for x in in_batches(ask, items[lo : lo + AT_ONCE])]
+
+
+def try_embed_udf(embedder: Embedder) -> Callable[[Column], Column]:
+    """struct<vector, error>: the vector can be empty, if the service says so; it is null for null and blank texts and after an error."""
+
+    @F.pandas_udf("struct<vector:array<double>,error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in batches:
-            out: list[list[float] | None] = []
-            for t in s:
-                try:
-                    out.append(embedder.embed([t])[0] if t and t.strip() else None)
-                except Exception:
-                    out.append(None)
-            yield pd.Series(out, dtype=object)
+            texts = [t for t in s if t and t.strip()]
+            got = iter(asked(embedder.embed, texts))
+            rows = [next(got) if t and t.strip() else (None, None) for t in s]
+            yield pd.DataFrame({"vector": pd.Series([None if v is None else [float(x) for x in v] for v, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
 
     return run
 
 
+def embed_udf(embedder: Embedder) -> Callable[[Column], Column]:
+    """Vectors by the embedder, a batch at a time; null for null, blank and failed texts."""
+    run = try_embed_udf(embedder)
+    return lambda text: run(text)["vector"]
+
+
 def generate_udf(generator: Generator) -> Callable[[Column], Column]:
-    """Answers by the generator; '' where it fails."""
+    """Answers by the generator, a batch at a time; '' where it fails."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = []
-            for p in s:
-                try:
-                    out.append((generator.generate([p])[0] or "").strip())
-                except Exception:
-                    out.append("")
-            yield pd.Series(out, dtype=object)
+            yield pd.Series([str(x or "").strip() for x, _ in asked(generator.generate, list(s))], dtype=object)
 
     return run
 
 
 def classify_udf(classifier: Classifier) -> Callable[[Column], Column]:
-    """``safe`` or ``unsafe``; a failure is unsafe."""
+    """``safe`` or ``unsafe``, a batch at a time; a failure is unsafe."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
-            out = []
-            for t in s:
-                try:
-                    out.append(classifier.classify([t or ""])[0])
-                except Exception:
-                    out.append("unsafe")
-            yield pd.Series(out, dtype=object)
+            yield pd.Series(["unsafe" if e else x for x, e in asked(classifier.classify, [t or "" for t in s])], dtype=object)
 
     return run
 

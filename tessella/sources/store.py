@@ -1,15 +1,20 @@
 """Documents, chunks and status as Parquet folders.
 
-Rows are never changed in place: each batch of work writes folders of its own (batch=n),
-so that a repeated batch overwrites itself, and readers take the latest batch of a document.
+Rows are never changed in place: each batch of work writes folders of its own, named by
+its source and number, so that a repeated batch overwrites itself and batches of other
+sources don't. Readers take what was written last about a document.
 """
 
 from __future__ import annotations
 
+import time
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.text import is_blank, is_safe, rejection_message
+from tessella.session import stored
 
 DOCUMENT = "id bigint, content string, created_at timestamp"
 VECTOR = "id bigint, embedding array<double>"
@@ -28,50 +33,91 @@ class Store:
 
     def _read(self, name: str, schema: str) -> DataFrame:
         path, files = self._path(name)
-        schema = f"{schema}, batch bigint"
+        schema = f"{schema}, seq bigint"
         if not files.exists(path):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(f"{schema}, batch string").parquet(f"{self.root}/{name}").drop("batch")
 
-    def _write(self, df: DataFrame, name: str, batch: int) -> None:
+    def _write(self, df: DataFrame, name: str, batch: str) -> None:
+        """Rows with seq, the time of writing in microseconds, unless they have one."""
+        if "seq" not in df.columns:
+            df = df.withColumn("seq", F.lit(time.time_ns() // 1000))
         df.write.mode("overwrite").parquet(f"{self.root}/{name}/batch={batch}")
 
     @staticmethod
     def _latest(df: DataFrame, key: str) -> DataFrame:
-        last = df.groupBy(F.col(key).alias("_key")).agg(F.max("batch").alias("_batch"))
-        return df.join(last, (F.col(key) == F.col("_key")) & (F.col("batch") == F.col("_batch")), "left_semi").drop("batch")
+        last = df.groupBy(F.col(key).alias("_key")).agg(F.max("seq").alias("_seq"))
+        return df.join(last, (F.col(key) == F.col("_key")) & (F.col("seq") == F.col("_seq")), "left_semi").drop("seq")
+
+    def screened(self, contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(accepted, rejected) of rows with a content: blank and unsafe ones are rejected, with a message."""
+        valid = contents.withColumns({"message": rejection_message(F.col("content")), "blank": is_blank(F.col("content"))})
+        bad = F.col("message").isNotNull() | F.col("blank")
+        return valid.where(~bad).drop("message", "blank"), valid.where(bad).withColumn("message", F.coalesce("message", F.lit("Content can't be blank"))).drop("blank")
+
+    def insert(self, contents: DataFrame, batch: object = None, source: str = "insert") -> tuple[DataFrame, DataFrame]:
+        """Adds rows (content) whose content isn't blank and passes the guard; returns (accepted (id, content), rejected (content, message)).
+
+        A batch without a number gets one of its own. Repeating a batch of a source replaces it.
+        """
+        batch = f"{source}-{uuid.uuid4().hex if batch is None else batch}"
+        accepted, rejected = self.screened(contents.select("content"))
+        id_ = F.xxhash64(F.lit(batch), F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 63) - 1))
+        self.add(accepted.select(id_.alias("id"), "content"), batch)
+        return self.spark.read.parquet(f"{self.root}/documents/batch={batch}").select("id", "content"), rejected.select("content", "message")
 
-    def insert(self, contents: DataFrame, batch: int) -> tuple[DataFrame, DataFrame]:
-        """Adds rows (content) whose content isn't blank and passes the guard; returns (accepted (id, content), rejected (content, message))."""
-        valid = contents.select("content", rejection_message(F.col("content")).alias("message"), is_blank(F.col("content")).alias("blank"))
-        rejected = valid.where(F.col("message").isNotNull() | F.col("blank")).select("content", F.coalesce("message", F.lit("Content can't be blank")).alias("message"))
-        rows = valid.where(F.col("message").isNull() & ~F.col("blank")).select((F.lit(batch).cast("bigint") * (1 << 40) + F.monotonically_increasing_id()).alias("id"), "content", F.current_timestamp().alias("created_at"))
-        self._write(rows, "documents", batch)
-        self.set_status(self.spark.read.parquet(f"{self.root}/documents/batch={batch}").select("id", F.lit("pending").alias("index_status")), 2 * batch)
-        return self.spark.read.parquet(f"{self.root}/documents/batch={batch}").select("id", "content"), rejected
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """Screened rows (id, content), pending."""
+        self._write(rows.select("id", "content", F.current_timestamp().alias("created_at")), "documents", batch)
+        own = self.spark.read.parquet(f"{self.root}/documents/batch={batch}")
+        self.set_status(own.select("id", F.lit("pending").alias("index_status")), f"{batch}-pending")
 
-    def set_status(self, rows: DataFrame, batch: int) -> None:
-        self._write(rows.select("id", "index_status"), "status", batch)
+    def set_status(self, rows: DataFrame, batch: object) -> None:
+        self._write(rows.select("id", "index_status"), "status", str(batch))
 
-    def set_vectors(self, rows: DataFrame, batch: int) -> None:
-        self._write(rows.select("id", "embedding"), "vectors", batch)
+    def set_vectors(self, rows: DataFrame, batch: object) -> None:
+        self._write(rows.select("id", "embedding"), "vectors", str(batch))
 
-    def set_chunks(self, rows: DataFrame, batch: int) -> None:
-        self._write(rows.select("id", "document_id", "start_char", "end_char", "embedding", "context"), "chunks", batch)
+    def set_chunks(self, rows: DataFrame, batch: object) -> None:
+        self._write(rows.select("id", "document_id", "start_char", "end_char", "embedding", "context"), "chunks", str(batch))
 
     def documents(self) -> DataFrame:
         """(id, content, embedding, index_status, created_at)."""
-        own = self._latest(self._read("documents", DOCUMENT), "id")
-        vectors, status = self._latest(self._read("vectors", VECTOR), "id"), self._latest(self._read("status", STATUS), "id")
+        own, vectors, status = (self._latest(self._read(n, s), "id").dropDuplicates(["id"]) for n, s in (("documents", DOCUMENT), ("vectors", VECTOR), ("status", STATUS)))
         return own.join(vectors, "id", "left").join(status, "id", "left").select("id", "content", "embedding", F.coalesce("index_status", F.lit("pending")).alias("index_status"), "created_at")
 
     def chunks(self) -> DataFrame:
-        return self._latest(self._read("chunks", CHUNK), "document_id")
+        return self._latest(self._read("chunks", CHUNK), "document_id").dropDuplicates(["id"])
 
     def find(self, id: int) -> DataFrame:
         """The document of this id, or no row."""
         return self.documents().where(F.col("id") == id)
 
+    def in_progress(self) -> int:
+        """How many documents are pending or processing."""
+        return self.documents().where(F.col("index_status").isin("pending", "processing")).count()
+
+    def wait(self, seconds: float = 60, every: float = 1) -> int:
+        """Asks again and again until no document is in progress or the time is over; how many are."""
+        end = time.monotonic() + seconds
+        while (n := self.in_progress()) and time.monotonic() < end:
+            time.sleep(every)
+        return n
+
+    def compact(self) -> None:
+        """One folder a table in place of its batches, with the latest rows. Readers meanwhile see a row twice or once, which is the same."""
+        for name, schema, key in (("documents", DOCUMENT, "id"), ("vectors", VECTOR, "id"), ("status", STATUS, "id"), ("chunks", CHUNK, "document_id")):
+            path, files = self._path(name)
+            if not files.exists(path):
+                continue
+            old = [f.getPath() for f in files.listStatus(path)]
+            df = self._read(name, schema)
+            last = df.groupBy(F.col(key).alias("_key")).agg(F.max("seq").alias("_seq"))
+            kept = df.join(last, (F.col(key) == F.col("_key")) & (F.col("seq") == F.col("_seq")), "left_semi")
+            self._write(kept, name, f"compact-{uuid.uuid4().hex}")
+            for p in old:
+                files.delete(p, True)
+
     def clear(self) -> None:
         """Documents go with all that hangs on them."""
         for name in ("chunks", "vectors", "status", "documents"):
@@ -85,6 +131,6 @@ def split_safe(queries: DataFrame, text: str, classify=None) -> tuple[DataFrame,
     unruled = queries.where(~is_safe(F.col(text)))
     if classify is None:
         return ruled, unruled
-    judged = ruled.withColumn("_verdict", classify(F.col(text)))
-    return judged.where("_verdict = 'safe'").drop("_verdict"), judged.where("_verdict <> 'safe'").drop("_verdict").unionByName(unruled)
+    judged = stored(ruled.withColumn("_verdict", classify(F.col(text))), "verdicts")  # one verdict a row
+    return judged.where("_verdict = 'safe'").drop("_verdict"), judged.where("_verdict <> 'safe' or _verdict is null").drop("_verdict").unionByName(unruled)
 

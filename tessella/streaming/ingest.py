@@ -12,24 +12,24 @@ from pyspark.sql.streaming import StreamingQuery
 from tessella.functions.text import fingerprint, is_blank, normalize, with_context
 from tessella.operators.rag import CACHED_CHUNK_PROMPT, CHUNK_PROMPT, DOCUMENT_WRAPPER
 from tessella.operators.segment import chunks, chunks_with_vectors, sentences
-from tessella.sources.providers import ZERO_DIM, Embedder, Generator, embed_udf, or_zero
+from tessella.session import stored
+from tessella.sources.providers import ZERO_DIM, Embedder, Generator, asked, or_zero, try_embed_udf
 from tessella.sources.store import Store
 
 THRESHOLD = 0.8
 
 
 def embed_all_udf(embedder: Embedder) -> Callable[[Column], Column]:
-    """array<string> to array<array<double>>; null if any of them fails."""
+    """array<string> to array<array<double>>; null if any of them fails. All texts of a batch go to the service together."""
 
     @F.pandas_udf("array<array<double>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for s in batches:
+            got = iter(asked(embedder.embed, [t for texts in s if texts is not None for t in texts]))
             out: list = []
             for texts in s:
-                try:
-                    out.append([list(v) for v in embedder.embed(list(texts))])
-                except Exception:
-                    out.append(None)
+                own = None if texts is None else [next(got) for _ in texts]
+                out.append(None if own is None or any(e for _, e in own) else [list(v) for v, _ in own])
             yield pd.Series(out, dtype=object)
 
     return run
@@ -70,10 +70,12 @@ def context_udf(generator: Generator) -> Callable[[Column, Column], Column]:
 def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = None, *, size: int = 500, semantic: bool = False, dim: int = ZERO_DIM) -> DataFrame:
     """docs (id, content) with embedding, chunk structs (start_char, end_char, content, context, embedding) and index_status.
 
-    An empty vector becomes zeros; a document whose chunks can't be embedded has failed.
+    A vector that the service leaves empty becomes zeros. A document whose own vector or any
+    of whose chunks' vectors fails has failed: no chunks, and no vector if that failed.
+    Blank documents aren't indexed.
     """
-    embed, embed_all = embed_udf(embedder), embed_all_udf(embedder)
-    own = docs.where(~is_blank(F.col("content"))).select("id", "content", or_zero(embed(normalize(F.col("content"))), dim).alias("embedding"), sentences(F.col("content")).alias("spans"))
+    embed_all, one = embed_all_udf(embedder), try_embed_udf(embedder)(normalize(F.col("content")))
+    own = docs.where(~is_blank(F.col("content"))).select("id", "content", one.alias("one"), sentences(F.col("content")).alias("spans"))
     if semantic:
         own = own.withColumn("sv", embed_all(F.transform("spans", lambda s: normalize(s["content"]))))
         own = own.withColumn("parts", chunks_with_vectors(F.col("spans"), F.col("sv"), size, 0, THRESHOLD)).drop("sv")
@@ -85,7 +87,9 @@ def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = N
     full = F.transform("parts", lambda c, i: normalize(with_context(F.get("contexts", i), c["content"])))
     own = own.withColumn("vectors", embed_all(full))
     joined = F.transform("parts", lambda c, i: F.struct(c["start_char"].alias("start_char"), c["end_char"].alias("end_char"), c["content"].alias("content"), F.get("contexts", i).alias("context"), F.get("vectors", i).alias("embedding")))
-    return own.select("id", "content", "embedding", F.when(F.col("vectors").isNotNull(), joined).alias("chunks"), F.when(F.col("vectors").isNotNull(), "completed").otherwise("failed").alias("index_status"))
+    done = F.col("one.error").isNull() & F.col("vectors").isNotNull()
+    vector = F.when(F.col("one.error").isNull(), or_zero(F.col("one.vector"), dim))
+    return own.select("id", "content", vector.alias("embedding"), F.when(done, joined).alias("chunks"), F.when(done, "completed").otherwise("failed").alias("index_status"))
 
 
 def chunk_table(done: DataFrame) -> DataFrame:
@@ -94,31 +98,30 @@ def chunk_table(done: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("document_id", "n").alias("id"), "document_id", "c.start_char", "c.end_char", "c.embedding", "c.context")
 
 
-def process(store: Store, docs: DataFrame, batch: int, embedder: Embedder, generator: Generator | None = None, **how) -> None:
-    """Indexes docs (id, content) into the store. A repeated batch overwrites what it wrote."""
-    store.set_status(docs.select("id", F.lit("processing").alias("index_status")), 2 * batch)
-    done = indexed(docs, embedder, generator, **how).persist()
-    try:
-        store.set_vectors(done, batch)
-        store.set_chunks(chunk_table(done), batch)
-        store.set_status(done, 2 * batch + 1)
-    finally:
-        done.unpersist()
+def process(store: Store, docs: DataFrame, batch: object, embedder: Embedder, generator: Generator | None = None, **how) -> None:
+    """Indexes docs (id, content) into the store: processing, then completed or failed (blank ones too). A repeated batch overwrites what it wrote."""
+    store.set_status(docs.select("id", F.lit("processing").alias("index_status")), f"{batch}-processing")
+    done = stored(indexed(docs, embedder, generator, **how), "indexed")  # the models are asked once
+    store.set_vectors(done.where("embedding is not null"), batch)
+    store.set_chunks(chunk_table(done), batch)
+    blank = docs.where(is_blank(F.col("content"))).select("id", F.lit("failed").alias("index_status"))
+    store.set_status(done.select("id", "index_status").unionByName(blank), f"{batch}-done")
 
 
-def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, embedder: Embedder, generator: Generator | None = None, *, once: bool = False, interval: str = "1 second", files_per_trigger: int = 500, **how) -> StreamingQuery:
-    """Indexes JSON lines (id, content) that land in a folder, batch by batch; waiting batches are in the checkpoint."""
-    source = spark.readStream.schema("id bigint, content string").option("maxFilesPerTrigger", files_per_trigger).json(landing)
+def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, embedder: Embedder, generator: Generator | None = None, *, source: str = "stream", once: bool = False, interval: str = "1 second", files_per_trigger: int = 500, **how) -> StreamingQuery:
+    """Indexes JSON lines (id, content) that land in a folder, batch by batch; waiting batches are in the checkpoint.
+
+    Blank and unsafe rows aren't stored. Streams into one store need sources of their own.
+    """
+    rows = spark.readStream.schema("id bigint, content string").option("maxFilesPerTrigger", files_per_trigger).json(landing)
 
     def work(batch: DataFrame, n: int) -> None:
-        batch = batch.persist()
-        try:
-            store._write(batch.select("id", "content", F.current_timestamp().alias("created_at")), "documents", n)
-            process(store, batch, n, embedder, generator, **how)
-        finally:
-            batch.unpersist()
+        name = f"{source}-{n}"
+        accepted, _ = store.screened(stored(batch, "epoch"))
+        store.add(accepted, name)
+        process(store, accepted, name, embedder, generator, **how)
 
-    writer = source.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    writer = rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
 
 

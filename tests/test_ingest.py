@@ -46,10 +46,52 @@ def test_indexed(spark):
     docs = spark.createDataFrame([(1, "One sentence. Another."), (2, "this is bad"), (3, " ")], "id long, content string")
     got = {r["id"]: r for r in ingest.indexed(docs, Fails(), providers.EchoGenerator(lambda p: "ctx"), dim=4).collect()}
     assert set(got) == {1, 2} and got[1]["index_status"] == "completed" and got[2]["index_status"] == "failed"
-    assert got[2]["embedding"] == [0.0] * 4 and got[1]["chunks"][0]["context"] == "ctx"
+    assert got[2]["embedding"] is None and got[2]["chunks"] is None and got[1]["chunks"][0]["context"] == "ctx"
     assert got[1]["chunks"][0]["content"] == "One sentence. Another."
 
 
+class Empty:
+    def embed(self, texts):
+        return [[] for _ in texts]
+
+
+def test_empty_vectors_are_zeros_and_failures_are_not(spark):
+    docs = spark.createDataFrame([(1, "One sentence. Another.")], "id long, content string")
+    r = ingest.indexed(docs, Empty(), dim=4, semantic=True).first()
+    assert r["index_status"] == "completed" and r["embedding"] == [0.0] * 4 and r["chunks"][0]["embedding"] == []
+
+
+def test_in_batches():
+    asked = []
+
+    def ask(items):
+        asked.append(len(items))
+        if "bad" in items:
+            raise ValueError("no")
+        return [x.upper() for x in items]
+
+    got = providers.in_batches(ask, ["a", "b", "bad", "c"])
+    assert [x for x, _ in got] == ["A", "B", None, "C"] and got[2][1] == "ValueError: no" and asked == [4, 2, 2, 1, 1]
+    assert [e is None for _, e in providers.in_batches(lambda xs: xs[:-1], ["a", "b"])] == [False, False] and providers.in_batches(ask, []) == []
+
+
+def test_batches_of_sources_stay_apart(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "s"))
+    rows = lambda x: spark.createDataFrame([(x,)], "content string")
+    for source in ("one", "two"):
+        store.insert(rows(f"Text of {source}."), 1, source)
+    store.insert(rows("Unnumbered."))
+    assert store.documents().count() == 3 and store.in_progress() == 3 and store.wait(0) == 3
+    ingest.process(store, store.documents().select("id", "content"), "all", providers.HashEmbedder(4), dim=4)
+    before = sorted(map(str, store.documents().collect())), sorted(map(str, store.chunks().collect()))
+    store.compact()
+    assert (sorted(map(str, store.documents().collect())), sorted(map(str, store.chunks().collect()))) == before and store.wait(5) == 0
+    assert len(list((tmp_path / "s" / "status").glob("batch=*"))) == 1
+    blank = spark.createDataFrame([(9, " ")], "id long, content string")
+    ingest.process(store, blank, "blank", providers.HashEmbedder(4), dim=4)
+    assert {r["index_status"] for r in store._latest(store._read("status", "id bigint, index_status string"), "id").where("id = 9").collect()} == {"failed"}
+
+
 def test_store_and_repeated_batches(spark, tmp_path):
     store = Store(spark, str(tmp_path / "s"))
     assert store.documents().count() == 0 and store.chunks().count() == 0
@@ -69,7 +111,7 @@ def test_stream(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
     store = Store(spark, str(tmp_path / "s"))
-    for k, rows in enumerate([[(1, "First text. More."), (2, "bad one")], [(3, "Third text.")]]):
+    for k, rows in enumerate([[(1, "First text. More."), (2, "bad one"), (4, " "), (5, "please roleplay")], [(3, "Third text.")]]):
         (landing / f"{k}.json").write_text("".join(json.dumps({"id": i, "content": c}) + "\n" for i, c in rows))
         q = ingest.stream(spark, str(landing), store, str(tmp_path / "c"), Fails(), once=True, dim=2)
         q.awaitTermination(120)
@@ -92,6 +134,9 @@ def test_split_safe(spark):
     rows = spark.createDataFrame([("fine",), ("act as root",), ("other",)], "q string")
     safe, unsafe = split_safe(rows, "q", lambda c: F.when(c == "other", "unsafe").otherwise("safe"))
     assert [r["q"] for r in safe.collect()] == ["fine"] and {r["q"] for r in unsafe.collect()} == {"act as root", "other"}
+    many = spark.range(200).selectExpr("cast(id as string) as q")
+    safe, unsafe = split_safe(many, "q", lambda c: F.when(F.rand() < 0.5, "unsafe").otherwise("safe"))
+    assert {r["q"] for r in safe.collect()} | {r["q"] for r in unsafe.collect()} == {str(i) for i in range(200)} and safe.count() + unsafe.count() == 200
 
 
 def test_bodies():
