@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.text import STOP_WORDS, index_tokens
+from tessella.session import stored
 
 K1, B = 1.5, 0.75
 
@@ -27,8 +29,13 @@ class Bm25Index:
 
     @classmethod
     def load(cls, spark, path: str) -> Bm25Index:
+        return cls.of(spark.read.parquet(path))
+
+    @classmethod
+    def of(cls, tokens: DataFrame) -> Bm25Index:
+        """An index over texts that are tokens (id, tokens) already."""
         index = cls.__new__(cls)
-        index.tokens = spark.read.parquet(path)
+        index.tokens = tokens
         return index
 
     def save(self, path: str) -> None:
@@ -61,24 +68,60 @@ class Bm25Index:
         average length, a document frequency a term), the second scores each text by itself.
         """
         terms = query_terms(query)
-        slim = self.tokens.select("id", F.size("tokens").alias("dl"), F.filter("tokens", lambda t: t.isin(terms)).alias("hits"))
-        counts = slim.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0)), *[F.count_if(F.array_contains("hits", t)) for t in terms]).first()
-        n, avgdl = counts[0], counts[1]
-        score = F.lit(0.0)
-        for t, df in zip(terms, counts[2:], strict=True):
-            if df:
-                tf = F.size("hits") - F.size(F.array_remove("hits", t))
-                score = score + math.log((n - df + 0.5) / (df + 0.5) + 1) * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.lit(avgdl)))
-        out = slim.where(F.size("hits") > 0).select("id", score.alias("score"))
+        slim = self.tokens.select("id", *matches(F.col("tokens"), terms))
+        out = slim.where(F.size("hits") > 0).select("id", term_scores(terms, slim.agg(*term_counts(terms)).first()).alias("score"))
         return out if top is None else out.orderBy(F.desc("score"), "id").limit(top)
 
     def score_all(self, queries: DataFrame) -> DataFrame:
-        """(query_id, id, score) for queries (query_id, query). Tokens that no query has go before anything is grouped."""
+        """(query_id, id, score) for queries (query_id, query)."""
         asked = queries.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("term"))
+        few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+        tf, df = self.asked_frequencies(asked, few)
+        part = idf(F.col("n"), F.col("df")) * saturated(F.col("tf"), F.col("dl"), F.col("avgdl"))
+        weighed = asked.join(df, "term").crossJoin(F.broadcast(self.stats()))  # one row
+        return tf.join(F.broadcast(weighed) if few else weighed, "term").groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+
+    def asked_frequencies(self, asked: DataFrame, few: bool) -> tuple[DataFrame, DataFrame]:
+        """(id, dl, term, tf) and (term, df) for the terms of asked (term, ...).
+
+        With few terms the tokens of a text meet them, and are counted, where the text is read;
+        the counts are written once and read for df and for the scores.
+        """
+        terms = asked.select("term").distinct()
         each = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-        tf = each.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "id", "dl").agg(F.count("*").alias("tf"))
-        df = tf.groupBy("term").agg(F.count("*").alias("df"))
-        weighed = tf.join(df, "term").crossJoin(F.broadcast(self.stats()))  # one row
-        idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-        part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        return asked.join(weighed.select("term", "id", part.alias("part")), "term").groupBy("query_id", "id").agg(F.sum("part").alias("score"))
+        tf = stored(each.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "term-frequencies")
+        return tf, tf.groupBy("term").agg(F.count("*").alias("df"))
+
+
+#: More distinct (query, term) pairs than these meet the texts by a shuffle and not by a broadcast.
+BROADCAST_TERMS = 200_000
+
+
+def idf(n, df):
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def saturated(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def matches(tokens: Column, terms: list[str]) -> list[Column]:
+    """dl, the number of tokens, and hits, those that are among the terms."""
+    both = F.transform(F.array(tokens), lambda t: F.struct(F.size(t).alias("dl"), F.filter(t, lambda x: x.isin(terms)).alias("hits")))[0]
+    return [both["dl"].alias("dl"), both["hits"].alias("hits")]
+
+
+def term_counts(terms: list[str]) -> list[Column]:
+    """Aggregates over (dl, hits): texts, average length, document frequencies."""
+    return [F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0)), *[F.count_if(F.array_contains("hits", t)) for t in terms]]
+
+
+def term_scores(terms: list[str], counts: Sequence) -> Column:
+    """The score of a text (dl, hits), given the row of term_counts()."""
+    n, avgdl = counts[0], counts[1]
+    score = F.lit(0.0)
+    for t, df in zip(terms, counts[2 : 2 + len(terms)], strict=True):
+        if df:
+            tf = F.size("hits") - F.size(F.array_remove("hits", t))
+            score = score + math.log((n - df + 0.5) / (df + 0.5) + 1) * saturated(tf, F.col("dl"), F.lit(avgdl))
+    return score

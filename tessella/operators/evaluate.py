@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.metrics import PASS_MARK, all_metrics
 from tessella.functions.text import percent, truncate
+from tessella.session import stored
+from tessella.sources import dataset
+from tessella.sources.providers import Embedder, Generator
+from tessella.sources.store import Store
+from tessella.streaming.ingest import process
+
+from . import rag
 
 GATE = 50.0
+#: So many characters decide whether a lecture is in the store.
+SAMPLE = 101
 
 
 def evaluate(questions: DataFrame, answers: DataFrame, pass_mark: float = PASS_MARK) -> DataFrame:
@@ -18,6 +29,33 @@ def evaluate(questions: DataFrame, answers: DataFrame, pass_mark: float = PASS_M
     return met.select("lecture_id", "question", "expected_answer", "rag_answer", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), *cols)
 
 
+def answers_to(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedder: Embedder, generator: Generator, search_type: str = "cosine", rerank: bool = False) -> DataFrame:
+    """(lecture_id, question, rag_answer, sources): every question answered from the chunks."""
+    asked = questions.select(F.xxhash64("lecture_id", "question").alias("query_id"), "lecture_id", "question").dropDuplicates(["query_id"])
+    found = rag.answer_all(chunks, docs, asked.select("query_id", F.col("question").alias("query")), embedder, generator, rag.Options(search_type, rerank=rerank))
+    return asked.join(found, "query_id").select("lecture_id", "question", F.col("answer").alias("rag_answer"), F.transform("sources", lambda s: s["content"]).alias("sources"))
+
+
+def ingest_lectures(store: Store, lectures: DataFrame, embedder: Embedder, generator: Generator | None = None, seconds: float = 60, **how) -> int:
+    """Stores and indexes the lectures (id, content) whose beginning no document has, and waits; how many are still in progress."""
+    own = store.documents().select(F.col("content").alias("_known"))
+    known = F.col("_known").startswith(F.substring("content", 1, SAMPLE))
+    accepted, _ = store.insert(lectures.where("content is not null").join(own, known, "left_anti"), source="lectures")
+    if not accepted.isEmpty():
+        process(store, accepted, f"lectures-{uuid.uuid4().hex}", embedder, generator, **how)
+    return store.wait(seconds)
+
+
+def run(store: Store, lectures: DataFrame, embedder: Embedder, generator: Generator, search_type: str = "hybrid", rerank: bool = False, report_path: str | None = None, seconds: float = 60, **how) -> DataFrame:
+    """The whole evaluation of lectures (as sources.dataset.LECTURE): ingestion, waiting, an answer a question, metrics, a report file."""
+    ingest_lectures(store, lectures, embedder, generator, seconds, semantic=True, **how)
+    questions = dataset.questions(lectures)
+    results = stored(evaluate(questions, answers_to(questions, store.chunks(), store.documents(), embedder, generator, search_type, rerank)), "results")
+    if report_path:
+        write_report(results, report_path)
+    return results
+
+
 def summary(results: DataFrame) -> DataFrame:
     """One row: counts, averages to three digits (0 for no question), pass rate in percent."""
     mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 3)

@@ -5,18 +5,20 @@ Models are providers (see tessella.sources.providers); everything else is DataFr
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import normalize, rerank_scores, sub_queries
-from tessella.sources.providers import Embedder, Generator
+from tessella.session import stored
+from tessella.sources.providers import Embedder, Generator, embed_udf, generate_udf
 
-from .search import ALPHA, CHUNK_THRESHOLD, HYBRID_THRESHOLD, TOP, chunk_search, hybrid_search
+from .search import ALPHA, CHUNK_THRESHOLD, HYBRID_THRESHOLD, TOP, batch_chunk_search, chunk_search, hybrid_search
 
 RERANK_THRESHOLD = 5
 
@@ -44,8 +46,6 @@ class Options:
 
     @classmethod
     def of(cls, given: dict[str, object]) -> Options:
-        import re
-
         def flag(name: str) -> bool:
             v = given.get(name)
             return v is not None and v != "" and str(v).lower() not in ("false", "f", "0", "off")
@@ -66,8 +66,6 @@ def decomposed(queries: DataFrame, responses: DataFrame) -> DataFrame:
 
 def rewrite(query: str, generator: Generator | None, hyde: bool = False, decompose: bool = False) -> list[tuple[str, str | None]]:
     """(sub-query, passage or None). A few strings of one request, so plain Python."""
-    import re
-
     subs = [query]
     if decompose and generator:
         lines = [re.sub(r"^\d+[.)]\s*", "", x).strip() for x in (generator.generate([DECOMPOSE_PROMPT.format(query=query)])[0] or "").strip().split("\n")]
@@ -109,20 +107,10 @@ def contexts(hits: DataFrame, first: int = 1) -> DataFrame:
 
 def prompts(queries: DataFrame, context: DataFrame) -> DataFrame:
     """(query_id, prompt, source_kind): grounded where there is a context, else open with the kind ``Internet``."""
-    def fill(template: str):
-        out, rest = [], template
-        for name in ("context", "query"):
-            head, sep, tail = rest.partition("{" + name + "}")
-            out += [F.lit(head)] + ([F.col(name)] if sep else [])
-            rest = tail if sep else ""
-            if not sep:
-                break
-        return F.concat(*out, F.lit(rest))
-
     met = queries.join(context, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
-    open_ = F.concat(F.lit(OPEN_PROMPT.split("{query}")[0]), F.col("query"), F.lit(OPEN_PROMPT.split("{query}")[1]))
+    values = {"query": F.col("query"), "context": F.col("context")}
     has = F.col("context") != ""
-    return met.select("query_id", F.when(has, fill(GROUNDED_PROMPT)).otherwise(open_).alias("prompt"), F.when(has, "chunks").otherwise("Internet").alias("source_kind"))
+    return met.select("query_id", F.when(has, filled(GROUNDED_PROMPT, **values)).otherwise(filled(OPEN_PROMPT, **values)).alias("prompt"), F.when(has, "chunks").otherwise("Internet").alias("source_kind"))
 
 
 def retrieve(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, options: Options, generator: Generator | None = None) -> DataFrame:
@@ -178,6 +166,35 @@ def answer(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, g
 
 def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
     """queries (query_id, query) with vector."""
-    from tessella.sources.providers import embed_udf
-
     return queries.withColumn("vector", embed_udf(embedder)(normalize(F.col("query"))))
+
+
+def answer_all(chunks: DataFrame, docs: DataFrame, queries: DataFrame, embedder: Embedder, generator: Generator, options: Options | None = None) -> DataFrame:
+    """(query_id, query, answer, sources, source_kind) for many queries (query_id, query) at once, as answer() for each.
+
+    Models are asked in batches by executors, and what they say is written once. A query whose
+    vector fails finds nothing. Options that rewrite queries are for single requests.
+    """
+    o = options or Options()
+    if o.hyde or o.decompose:
+        raise ValueError("queries are rewritten one request at a time")
+    asked = stored(embed_queries(queries.select("query_id", "query"), embedder), "query-vectors")
+    hits = stored(batch_chunk_search(chunks, docs, asked, o.search_type, o.top), "hits")
+    if o.rerank:
+        context = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["content"])), "\n\n").alias("context"))
+        ask = filled(RERANK_PROMPT, n=F.col("n").cast("string"), query=F.col("query"), context=F.col("context"))
+        responses = stored(context.join(queries, "query_id").select("query_id", generate_udf(generator)(ask).alias("response")), "rerank-answers")
+        hits = stored(rerank(hits, responses, o.rerank_threshold).drop("rank").withColumnRenamed("position", "rank"), "reranked")
+    asked_ = prompts(queries, contexts(hits))
+    answers = stored(asked_.select("query_id", "source_kind", generate_udf(generator)(F.col("prompt")).alias("answer")), "answers")
+    one = F.struct("rank", *[c for c in ("content", "score", "document_id", "chunk_id", "start_char", "end_char")])
+    sources = hits.groupBy("query_id").agg(F.sort_array(F.collect_list(one)).alias("sources"))
+    met = queries.select("query_id", "query").join(answers, "query_id", "left").join(sources, "query_id", "left")
+    none = F.array().cast(sources.schema["sources"].dataType)
+    return met.select("query_id", "query", "answer", F.coalesce("sources", none).alias("sources"), "source_kind")
+
+
+def filled(template: str, **values) -> Column:
+    """The template with columns in place of its names."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[F.lit(x) if k % 2 == 0 else values[x] for k, x in enumerate(parts)])

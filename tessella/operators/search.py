@@ -11,10 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessella.functions.text import fingerprint, span, with_context
+from tessella.functions.text import fingerprint, index_tokens, span, with_context
 from tessella.functions.vector import cosine, literal, metric, norm
+from tessella.session import stored
 
-from .bm25 import Bm25Index
+from .bm25 import Bm25Index, idf, matches, query_terms, saturated, term_counts, term_scores
 
 DOCUMENT_THRESHOLD, CHUNK_THRESHOLD, HYBRID_THRESHOLD, TOP, ALPHA = 0.6, 0.4, 0.0, 5, 0.7
 #: More queries than these are refused by the batch search: they would be broadcast.
@@ -66,20 +67,82 @@ def fuse(scored: DataFrame, alpha: float = ALPHA) -> Column:
     return a * part("semantic", "semantic_max") + (1 - a) * part("lexical", "lexical_max")
 
 
-def hybrid_scores(texts: DataFrame, query: str, vector: list[float] | None, alpha: float = ALPHA) -> DataFrame:
-    """texts (chunk_id, text, embedding, ...) with semantic, lexical and score. No rows without a vector."""
-    if vector is None:
-        return texts.where(F.lit(False)).withColumns({"semantic": F.lit(0.0), "lexical": F.lit(0.0), "score": F.lit(0.0)})
-    lexical = Bm25Index(texts.select(F.col("chunk_id").alias("id"), "text")).score(query).select(F.col("id").alias("chunk_id"), F.col("score").alias("lexical"))
-    met = texts.withColumn("semantic", cosine(F.col("embedding"), literal(vector))).join(lexical, "chunk_id", "left").withColumn("lexical", F.coalesce("lexical", F.lit(0.0)))
-    most = met.agg(F.max("semantic").alias("semantic_max"), F.max("lexical").alias("lexical_max"))
-    return met.crossJoin(F.broadcast(most)).withColumn("score", fuse(met, alpha)).drop("semantic_max", "lexical_max")  # one row
+def _fetched(best_: DataFrame, chunks: DataFrame, docs: DataFrame, few: bool, *more: str) -> DataFrame:
+    """best_ (chunk_id, score, ...) as hits with their contents, which are read for these chunks alone."""
+    own = best_.withColumnRenamed("chunk_id", "id")
+    return chunk_texts(chunks.join(F.broadcast(own) if few else own, "id"), docs).withColumn("content", F.col("text")).select(*more, *_HIT)
 
 
 def hybrid_search(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float] | None, top: int | None = TOP, threshold: float = HYBRID_THRESHOLD, alpha: float = ALPHA) -> DataFrame:
-    """Hits as chunk_search(), by cosine and BM25 over the contextualised texts."""
-    scored = hybrid_scores(chunk_texts(chunks, docs), query, vector, alpha)
-    return best(scored, F.col("raw"), threshold, top, "chunk_id").withColumn("content", F.col("text")).select(*_HIT)
+    """Hits as chunk_search(), by cosine and BM25 over the contextualised texts. No rows without a vector.
+
+    Chunks meet their documents once; what is kept of that are numbers, the query's terms
+    and the fingerprint. The contents are fetched for the hits alone.
+    """
+    texts = chunk_texts(chunks, docs)
+    if vector is None:
+        return texts.where(F.lit(False)).withColumns({"score": F.lit(0.0), "content": F.col("text")}).select(*_HIT)
+    terms = query_terms(query)
+    slim = stored(texts.select("chunk_id", fingerprint(F.col("raw")).alias("_fp"), cosine(F.col("embedding"), literal(vector)).alias("semantic"), *matches(index_tokens(F.col("text")), terms)), "hybrid")
+    counts = slim.agg(*term_counts(terms), F.max("semantic")).first()
+    scored = slim.withColumns({"lexical": term_scores(terms, counts), "semantic_max": F.lit(counts[-1]).cast("double")})
+    most = scored.agg(F.max("lexical")).first()[0]
+    scored = scored.withColumn("lexical_max", F.lit(most).cast("double"))
+    scored = scored.withColumn("score", fuse(scored, alpha)).where(F.col("score") > threshold)
+    first = scored.groupBy("_fp").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("m")).select((-F.col("m.s")).alias("score"), "m.chunk_id")
+    order = [F.desc("score"), F.asc("chunk_id")]
+    if top is not None:
+        first = first.orderBy(*order).limit(top)
+    return _fetched(first, chunks, docs, top is not None and top <= MOST_QUERIES).orderBy(*order)
+
+
+def checked(queries: DataFrame) -> DataFrame:
+    """Few enough queries to be broadcast."""
+    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
+        raise ValueError(f"at most {MOST_QUERIES} queries at once; split them into blocks")
+    return queries
+
+
+def _best_each(scored: DataFrame, top: int) -> DataFrame:
+    """scored (query_id, chunk_id, _fp, score) to the ``top`` best contents a query, with rank from 0."""
+    first = scored.groupBy("query_id", "_fp").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("m")).select("query_id", (-F.col("m.s")).alias("score"), "m.chunk_id")
+    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return first.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top)
+
+
+def batch_chunk_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, search_type: object = "cosine", top: int = TOP, threshold: float | None = None, alpha: float = ALPHA) -> DataFrame:
+    """Hits with query_id and rank from 0 for queries (query_id, query, vector), as hybrid_search() or chunk_search() finds them.
+
+    The queries are broadcast, behind a check of their number; each chunk meets all of them where it
+    is read. Queries without a vector find nothing.
+    """
+    asked = checked(queries.where(F.size("vector") > 0)).select("query_id", "query", "vector")
+    texts = chunk_texts(chunks, docs)
+    if search_type != "hybrid":
+        least = CHUNK_THRESHOLD if threshold is None else threshold
+        slim = texts.select("chunk_id", fingerprint(F.col("raw")).alias("_fp"), "embedding")
+        scored = slim.crossJoin(F.broadcast(asked.drop("query"))).select("query_id", "chunk_id", "_fp", metric(search_type)(F.col("embedding"), F.col("vector")).alias("score"))
+        best_ = stored(_best_each(scored.where(F.col("score") > least), top), "best")
+        return _fetched(best_, chunks, docs, best_.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES, "query_id", "rank")
+    slim = stored(texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding", index_tokens(F.col("text")).alias("tokens")), "hybrid-texts")
+    index = Bm25Index.of(slim.select("id", "tokens"))
+    terms = asked.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("term"))
+    tf, df = index.asked_frequencies(terms, True)
+    # BM25 in the row: each chunk carries its counts of asked terms, each query its terms' weights.
+    weights = terms.join(df, "term").crossJoin(F.broadcast(index.stats())).groupBy("query_id").agg(
+        F.collect_list(F.struct("term", idf(F.col("n"), F.col("df")).alias("w"))).alias("terms"), F.first("avgdl").alias("avgdl"))
+    asked = asked.select("query_id", "vector", norm(F.col("vector")).alias("_nq")).join(weights, "query_id", "left")
+    counts = tf.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))
+    own = stored(slim.select("id", "_fp", "embedding", F.size("tokens").alias("dl")).join(counts, "id", "left").withColumn("_nv", norm(F.col("embedding"))), "hybrid-counts")
+    one = lambda t: F.coalesce(t["w"] * saturated(F.col("tf")[t["term"]], F.col("dl"), F.col("avgdl")), F.lit(0.0))
+    lexical = F.coalesce(F.aggregate("terms", F.lit(0.0), lambda a, t: a + one(t)), F.lit(0.0))
+    pairs = own.crossJoin(F.broadcast(asked)).select(
+        "query_id", F.col("id").alias("chunk_id"), "_fp", cosine(F.col("embedding"), F.col("vector"), F.col("_nv"), F.col("_nq")).alias("semantic"), F.when(F.col("tf").isNotNull(), lexical).otherwise(0.0).alias("lexical"))
+    most = pairs.groupBy("query_id").agg(F.max("semantic").alias("semantic_max"), F.max("lexical").alias("lexical_max"))
+    met = pairs.join(F.broadcast(stored(most, "maxima")), "query_id")  # a row a query
+    scored = met.withColumn("score", fuse(met, alpha)).where(F.col("score") > (HYBRID_THRESHOLD if threshold is None else threshold))
+    best_ = stored(_best_each(scored, top), "best")
+    return _fetched(best_, chunks, docs, best_.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES, "query_id", "rank")
 
 
 def batch_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, search_type: object = "cosine", threshold: float | None = None) -> DataFrame:
@@ -88,9 +151,7 @@ def batch_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, search_typ
     The queries are broadcast, so there may be at most MOST_QUERIES of them; each task
     keeps its own best per query before anything is shuffled (WindowGroupLimit).
     """
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once; split them into blocks")
-    asked = queries.select("query_id", "vector", norm(F.col("vector")).alias("_nq"))
+    asked = checked(queries).select("query_id", "vector", norm(F.col("vector")).alias("_nq"))
     own = corpus.where("embedding is not null").select("id", "embedding", norm(F.col("embedding")).alias("_nv"))
     f = metric(search_type)
     score = cosine(F.col("embedding"), F.col("vector"), F.col("_nv"), F.col("_nq")) if f is cosine else f(F.col("embedding"), F.col("vector"))

@@ -156,6 +156,11 @@ class EchoGenerator:
         return [self.answer(p) for p in prompts]
 
 
+def first_passage(prompt: str) -> str:
+    """The first line of a grounded prompt's first passage; '' for another prompt."""
+    return prompt.split("\n[1] ", 1)[1].split("\n", 1)[0].strip() if "\n[1] " in prompt else ""
+
+
 class ConstantClassifier:
     def __init__(self, answer: str = "safe"):
         self.answer = answer
