@@ -71,3 +71,41 @@ def fold(spans: str, key: str, size: int) -> str:
     lambda a, x: CASE WHEN NOT x.b AND length(a[len(a)].c) + 1 + length(x.content) <= {size}
       THEN list_concat(a[:len(a) - 1], [{{'s': a[len(a)].s, 'e': x.e, 'c': a[len(a)].c || ' ' || x.content}}]) ELSE list_concat(a, [{one}]) END,
     [{{'s': 0::BIGINT, 'e': 0::BIGINT, 'c': repeat('x', {size})}}])[2:] AS chunks FROM ({spans}) GROUP BY {key})"""
+
+
+def fold_overlapping(spans: str, key: str, size: int) -> str:
+    """As fold(), the next chunk beginning with the last sentence of the one before. spans: (key, i, content, s, e, b)."""
+    last = "a[len(a)]"
+    grown = f"{{'s': z.s, 'e': x.e, 'c': z.c || ' ' || x.content, 'ls': x.s, 'lc': x.content}}"
+    from_last = "{'s': z.ls, 'e': x.e, 'c': z.lc || ' ' || x.content, 'ls': x.s, 'lc': x.content}"
+    one = "{'s': x.s, 'e': x.e, 'c': x.content, 'ls': x.s, 'le': x.e, 'lc': x.content}"
+    grown, from_last = grown.replace("'lc'", "'le': x.e, 'lc'"), from_last.replace("'lc'", "'le': x.e, 'lc'")
+    alone = "{'s': z.ls, 'e': z.le, 'c': z.lc, 'ls': z.ls, 'le': z.le, 'lc': z.lc}"
+    fits = f"length(z.c) + 1 + length(x.content) <= {size}"
+    closed = f"(CASE WHEN x.b THEN list_concat(a, list_transform([{last}], lambda z: {alone})) ELSE a END)"
+    step = f"list_transform([{closed}], lambda a: list_transform([{last}], lambda z: CASE WHEN {fits} THEN list_concat(a[:len(a) - 1], [{grown}]) ELSE list_concat(a, [{from_last}]) END)[1])[1]"
+    return f"""SELECT {key}, unnest(chunks).s AS start_char, unnest(chunks).e AS end_char, unnest(chunks).c AS content FROM (
+  SELECT {key}, list_reduce(rest, lambda a, x: {step}, start) AS chunks FROM (
+    SELECT {key}, list_transform(l[1:1], lambda x: {one}) AS start, l[2:] AS rest FROM (
+      SELECT {key}, list({{'s': s::BIGINT, 'e': e::BIGINT, 'content': content, 'b': b}} ORDER BY i) AS l FROM ({spans}) GROUP BY {key})))"""
+
+
+def rule_sentences(x: str, key: str, source: str, abbreviations: frozenset[str]) -> str:
+    """A query of (key, i, s, e): as sentences(), but pieces that end in an abbreviation, an initial or an item's number go on."""
+    names = ", ".join(map(quote, sorted(abbreviations)))
+    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY g) - 1 AS i, s, s + length(content) AS e FROM (
+  SELECT {key}, g, {strip("piece")} AS content, p0 + length(piece) - length(regexp_replace(piece, '^{WS}+', '')) AS s FROM (
+    SELECT {key}, g, string_agg(piece, '' ORDER BY k) AS piece, min(p0) AS p0 FROM (
+      SELECT *, coalesce(sum(CASE WHEN goes_on THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM (
+        SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0,
+          starts_with(m, '.') AND NOT starts_with(m, '..') AND NOT contains(m, chr(10)) AND (w IN ({names}) OR regexp_full_match(w, '\\p{{L}}|[0-9]{{1,2}}')) AS goes_on FROM (
+          SELECT *, lower(regexp_extract(piece[:length(piece) - length(m)], '[\\p{{L}}\\p{{N}}\\p{{M}}_.]*$')) AS w FROM (
+            SELECT *, regexp_extract(piece, '([.!?]+{WS}+|\\n{WS}*)$') AS m FROM (
+              SELECT {key}, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (
+                SELECT {key}, string_split(regexp_replace({x}, '({BOUNDARY})', '\\1' || chr(1), 'g'), chr(1)) AS p FROM {source} WHERE {x} IS NOT NULL))))))
+    GROUP BY {key}, g)) WHERE content <> ''"""
+
+
+def hashed_vector(tokens: str, dim: int) -> str:
+    """The offline embedder's vector, before it is scaled."""
+    return f"list_transform(range({dim}), lambda b: len(list_filter({tokens}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} = b))::DOUBLE)"

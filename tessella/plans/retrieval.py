@@ -6,6 +6,7 @@ are literal texts, or the mean vectors of the embeddings' labels.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -105,7 +106,12 @@ def document_search_defaults(spark: SparkSession, d: str) -> DataFrame:
     return search.document_search(documents(spark, d), first_vector(spark, d), "hybrid").select("id", F.round("score", 6).alias("score"))
 
 
-QUERIES["vec_threshold_search"], SQL["vec_threshold_search"] = document_search, SQL["document_search"]
+@query("vec_threshold_search", f"""WITH {CENTROIDS}, {DOCS} SELECT id, round(score, 6) AS score FROM (
+  {_best(f"SELECT id, content, {f.cosine('embedding', C0)} AS score FROM docs WHERE embedding IS NOT NULL", "content", "id", 0.02, None, "*")})""")
+def vec_threshold_search(spark: SparkSession, d: str) -> DataFrame:
+    """All documents above a threshold, one a content."""
+    scored = documents(spark, d).where("embedding is not null").select("id", "content", vector.cosine(F.col("embedding"), vector.literal(centroid(spark, d))).alias("score"))
+    return search.best(scored, F.col("content"), 0.02, None, "id").select("id", F.round("score", 6).alias("score"))
 
 
 @query("chunk_search_euclidean", f"""WITH {CENTROIDS}, {DOCS}, {CHUNKS} SELECT chunk_id, round(score, 6) AS score, sha256(text) AS content_sha FROM (
@@ -220,9 +226,9 @@ def sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", (F.col("i") + 1).alias("i"), "s.start_char", "s.end_char", F.sha2("s.content", 256).alias("content_sha"))
 
 
-def _chunked(spark: SparkSession, d: str) -> DataFrame:
+def _chunked(spark: SparkSession, d: str, overlap: int = 0) -> DataFrame:
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return segment.chunk_rows(docs, 500, 0)
+    return segment.chunk_rows(docs, 500, overlap)
 
 
 _CHUNKED = f.fold(_SENT, "doc_id", 500)
@@ -233,22 +239,38 @@ def chunk_size_based(spark: SparkSession, d: str) -> DataFrame:
     return _chunked(spark, d).select("document_id", "start_char", "end_char", F.sha2("content", 256).alias("content_sha"))
 
 
+@query("chunk_size_overlap", f"""SELECT doc_id AS document_id, start_char::INT AS start_char, end_char::INT AS end_char, sha256(content) AS content_sha FROM (
+  {f.fold_overlapping(f"SELECT *, false AS b FROM ({_SENT})", "doc_id", 500)})""")
+def chunk_size_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _chunked(spark, d, 1).select("document_id", "start_char", "end_char", F.sha2("content", 256).alias("content_sha"))
+
+
 #: With these weights no two small counts have a cosine of just 0.8.
 _LETTERS = {"e": 1.13, "n": 1.31, "a": 0.89, "t": 1.73}
+_BROKEN = "WITH sen AS (" + _SENT + f"""), v AS (SELECT *, [{', '.join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE * {w}::DOUBLE" for c, w in _LETTERS.items())}] AS v FROM sen),
+b AS (SELECT doc_id, i, content, s, e, coalesce({f.cosine('v', 'lag(v) OVER (PARTITION BY doc_id ORDER BY i)')} < 0.8, false) AND i > 1 AS b FROM v)
+SELECT doc_id AS document_id, start_char::INT AS start_char, end_char::INT AS end_char, sha256(content) AS content_sha FROM ("""
 
 
-@query("chunk_semantic_breaks", "WITH sen AS (" + _SENT + f"""), v AS (SELECT *, [{', '.join(f"(length(content) - length(replace(content, '{c}', '')))::DOUBLE * {w}::DOUBLE" for c, w in _LETTERS.items())}] AS v FROM sen),
-b AS (SELECT doc_id, i, content, s, e, coalesce({f.cosine('v', 'lag(v) OVER (PARTITION BY doc_id ORDER BY i)')} < 0.8, false) AND i > 1 AS b FROM v)
-SELECT doc_id AS document_id, start_char::INT AS start_char, end_char::INT AS end_char, sha256(content) AS content_sha FROM ({f.fold("SELECT doc_id, i, content, s, e, b AS b FROM b", "doc_id", 500)})""")
-def chunk_semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
+def _semantic(spark: SparkSession, d: str, overlap: int) -> DataFrame:
     """A sentence's vector counts four letters, which SQL can do as well."""
     spans = table(spark, d, "documents").select("doc_id", segment.sentences(F.col("text")).alias("s"))
     count = lambda s: F.array(*[(F.length(s["content"]) - F.length(F.replace(s["content"], F.lit(c), F.lit("")))).cast("double") * w for c, w in _LETTERS.items()])
     met = spans.select("doc_id", "s", F.transform("s", count).alias("v"))
-    each = met.select(F.col("doc_id").alias("document_id"), F.explode(segment.chunks_with_vectors(F.col("s"), F.col("v"), 500, 0)).alias("c"))
+    each = met.select(F.col("doc_id").alias("document_id"), F.explode(segment.chunks_with_vectors(F.col("s"), F.col("v"), 500, overlap)).alias("c"))
     return each.select("document_id", "c.start_char", "c.end_char", F.sha2("c.content", 256).alias("content_sha"))
 
 
+@query("chunk_semantic_breaks", _BROKEN + f.fold("SELECT doc_id, i, content, s, e, b AS b FROM b", "doc_id", 500) + ")")
+def chunk_semantic_breaks(spark: SparkSession, d: str) -> DataFrame:
+    return _semantic(spark, d, 0)
+
+
+@query("chunk_semantic_overlap", _BROKEN + f.fold_overlapping("SELECT * FROM b", "doc_id", 500) + ")")
+def chunk_semantic_overlap(spark: SparkSession, d: str) -> DataFrame:
+    return _semantic(spark, d, 1)
+
+
 @query("chunk_content_join", f"""SELECT c.doc_id AS document_id, start_char::INT AS start_char, sha256(substring(text, start_char::BIGINT + 1, end_char::BIGINT - start_char::BIGINT)) AS slice_sha,
   sha256(CASE WHEN c.doc_id % 2 = 0 THEN source || ' ' ELSE '' END || substring(text, start_char::BIGINT + 1, end_char::BIGINT - start_char::BIGINT)) AS text_sha FROM ({_CHUNKED}) c JOIN documents d ON d.doc_id = c.doc_id""")
 def chunk_content_join(spark: SparkSession, d: str) -> DataFrame:
@@ -322,12 +344,12 @@ def rerank_parse(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("query_id", F.array_join(text.rerank_scores(F.col("response"), F.col("n")).cast("array<string>"), ",").alias("scores"))
 
 
-@query("rerank_apply", f"""SELECT query_id, (i - 1)::INT AS rank, score::INT AS rerank_score FROM (
+@query("rerank_apply", f"""SELECT query_id, (i - 1)::INT AS rank, score::INT AS rerank_score, (row_number() OVER (PARTITION BY query_id ORDER BY score::INT DESC, i) - 1)::INT AS position FROM (
   SELECT query_id, unnest(string_split(scores, ',')) AS score, generate_subscripts(string_split(scores, ','), 1) AS i FROM ({_PARSED}) AS t(query_id, scores)) WHERE score::INT >= 5""")
 def rerank_apply(spark: SparkSession, d: str) -> DataFrame:
     rows = spark.createDataFrame(RESPONSES, "query_id string, response string, n int")
     hits = rows.select("query_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("rank"))
-    return rag.rerank(hits, rows.select("query_id", "response")).select("query_id", "rank", "rerank_score")
+    return rag.rerank(hits, rows.select("query_id", "response")).select("query_id", "rank", "rerank_score", "position")
 
 
 @query("subquery_parse", """SELECT * FROM (VALUES (1, 0, 'first part'), (1, 1, 'second part'), (2, 0, 'one'), (2, 1, 'two'), (3, 0, 'whole 3'), (4, 0, 'x'), (4, 1, 'y'), (5, 0, 'a'), (5, 1, '2) b'), (6, 0, 'whole 6')) AS t(query_id, sub_idx, original)""")
@@ -393,7 +415,19 @@ def _report_rows(spark: SparkSession, d: str) -> DataFrame:
         F.col("answer").alias("rag_answer"), "sources")
 
 
-@query("eval_report")
+def _percent(x: str) -> str:
+    return f"round(round({x}, 6) * 100, 1)::VARCHAR || '%'"
+
+
+def _short(x: str) -> str:
+    return f"CASE WHEN length(coalesce({x}, '')) > 100 THEN substring({x}, 1, 100) || '...' ELSE coalesce({x}, '') END"
+
+
+@query("eval_report", f"""WITH {_TURNS} SELECT conv_id AS lecture_id, conv_id || ':' || turn AS question,
+  '[' || conv_id || '] ' || conv_id || ':' || turn || chr(10) || '  expected: ' || {_short("expected")} || chr(10) || '  answer: ' || {_short("answer")} || chr(10)
+  || '  keywords ' || {_percent("kr")} || ', F1 ' || {_percent("f1")} || ', overlap ' || {_percent("fo")} || chr(10)
+  || '  precision ' || {_percent("rp")} || ', hit ' || CASE WHEN rel > 0 THEN 'yes' ELSE 'no' END || ', sources ' || len(sources) || chr(10)
+  || '  overall ' || score || '/100 ' || CASE WHEN score >= 30 THEN 'PASS' ELSE 'FAIL' END AS text FROM o""")
 def eval_report(spark: SparkSession, d: str) -> DataFrame:
     from tessella.operators.evaluate import evaluate, report_lines
 
@@ -401,7 +435,7 @@ def eval_report(spark: SparkSession, d: str) -> DataFrame:
     return report_lines(evaluate(rows.drop("rag_answer", "sources"), rows.select("lecture_id", "question", "rag_answer", "sources")))
 
 
-@query("rule_sentence_spans")
+@query("rule_sentence_spans", f"SELECT doc_id, i::INT AS i, s::INT AS start_char, e::INT AS end_char FROM ({f.rule_sentences('text', 'doc_id', 'documents', segment.ABBREVIATIONS)})")
 def rule_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     """Sentences by the rules with abbreviations, as an Arrow UDF."""
     each = table(spark, d, "documents").select("doc_id", F.posexplode(segment.rule_sentences(F.col("text"))).alias("i", "s"))
@@ -426,3 +460,89 @@ def query_batch_embed(spark: SparkSession, d: str) -> DataFrame:
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     done = rag.embed_queries(queries, HashEmbedder(32))
     return done.select("query_id", F.exists("vector", lambda x: x > 0).alias("has_tokens"), F.size("vector").alias("dim"))
+
+
+#: A document whose vector fails, and blank ones.
+_ODD = [(-1, "One fine sentence. Then one that fails."), (-2, " \n "), (-3, "")]
+
+
+class _FailsAt:
+    """The offline embedder, which fails at texts with a word."""
+
+    def __init__(self, word: str):
+        from tessella.sources.providers import HashEmbedder
+
+        self.word, self.inner = word, HashEmbedder(8)
+
+    def embed(self, texts):
+        if any(self.word in t for t in texts):
+            raise ValueError("no vector")
+        return self.inner.embed(texts)
+
+
+@query("ingest_states", f"""SELECT doc_id AS id, 'completed' AS index_status, start_char::INT AS start_char, end_char::INT AS end_char, rtrim(substring(content, 1, 12)) AS context FROM ({_CHUNKED})
+UNION ALL SELECT unnest([-1, -2, -3])::BIGINT, 'failed', NULL, NULL, NULL
+UNION ALL SELECT doc_id, 'failed', NULL, NULL, NULL FROM documents WHERE text IS NULL OR regexp_full_match(text, '({f.WS}|\\p{{Z}})*')""")
+def ingest_states(spark: SparkSession, d: str) -> DataFrame:
+    """Through a store: completed documents with their chunks and contexts, one that fails, blank ones."""
+    from tessella.session import shared_dir
+    from tessella.sources.providers import EchoGenerator
+    from tessella.sources.store import Store
+    from tessella.streaming.ingest import process
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    store = Store(spark, f"{shared_dir(spark)}/tessella-store-{uuid.uuid4().hex}")
+    docs = docs.unionByName(spark.createDataFrame(_ODD, "id long, content string"))
+    store.add(docs, "all")
+    process(store, docs, "all", _FailsAt("fails"), EchoGenerator(lambda p: p.rsplit("Excerpt:\n", 1)[1][:12]), dim=8)
+    chunks = store.chunks().select("document_id", "start_char", "end_char", "context")
+    return store.documents().select(F.col("id"), "index_status").join(chunks, F.col("id") == F.col("document_id"), "left").drop("document_id")
+
+
+@query("safety_split", f"""WITH {_GUARDED} SELECT id, {f.rejection('text')} IS NULL AND NOT contains(lower(coalesce(text, '')), 'weather') AS safe FROM g""")
+def safety_split(spark: SparkSession, d: str) -> DataFrame:
+    """The rules, then a classifier that calls talk of the weather unsafe."""
+    from tessella.sources.providers import classify_udf
+    from tessella.sources.store import split_safe
+
+    class Weather:
+        def classify(self, texts):
+            return ["unsafe" if "weather" in t.lower() else "safe" for t in texts]
+
+    safe, unsafe = split_safe(_guarded(spark, d), "text", classify_udf(Weather()))
+    return safe.select("id", F.lit(True).alias("safe")).unionByName(unsafe.select("id", F.lit(False).alias("safe")))
+
+
+_DIM = 64
+_EVAL_RUN = f"""WITH d AS (SELECT doc_id, text, {f.index_tokens('text')} AS t FROM documents WHERE text IS NOT NULL AND text <> ''), ch AS (SELECT doc_id AS id, text, {f.hashed_vector('t', _DIM)} AS v FROM d),
+q AS (SELECT item_id, text AS question, {f.index_tokens('text')} AS qt, ({f.eval_tokens('text')})[1:3] AS keywords FROM benchmark), qv AS (SELECT *, {f.hashed_vector('qt', _DIM)} AS qv FROM q),
+corpus AS (SELECT doc_id AS id, text FROM d), {f.bm25('corpus')},
+lex AS (SELECT item_id, id, sum(part) AS l FROM (SELECT DISTINCT item_id, unnest(qt) AS term FROM q) JOIN part USING (term) GROUP BY ALL),
+s AS (SELECT item_id, ch.id, text, {f.cosine('v', 'qv')} AS sem, coalesce(l, 0) AS lex FROM ch CROSS JOIN qv LEFT JOIN lex USING (item_id, id)),
+m AS (SELECT item_id, max(sem) AS ms, max(lex) AS ml FROM s GROUP BY item_id),
+z AS (SELECT s.*, 0.7::DOUBLE * CASE WHEN ms > 0 THEN sem / ms ELSE 0 END + (1 - 0.7::DOUBLE) * CASE WHEN ml > 0 THEN lex / ml ELSE 0 END AS score FROM s JOIN m USING (item_id)),
+u AS (SELECT *, row_number() OVER (PARTITION BY item_id, sha256({f.norm('text')}) ORDER BY score DESC, id) AS c FROM z WHERE score > 0),
+h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, id) AS r FROM u WHERE c = 1) WHERE r <= 5),
+t AS (SELECT q.item_id, question AS expected, keywords, {f.strip("string_split(string_agg(h.text, chr(1) ORDER BY r), chr(1))[1]")} AS whole, list(h.text ORDER BY r) FILTER (h.text IS NOT NULL) AS sources FROM q LEFT JOIN h USING (item_id) GROUP BY ALL),
+a AS (SELECT *, {f.strip("string_split(whole, chr(10))[1]")} AS answer FROM t),
+k AS (SELECT *, {f.eval_tokens('answer')} AS ta, {f.eval_tokens('expected')} AS te FROM a),
+n AS (SELECT *, CASE WHEN len(keywords) = 0 THEN 1.0 ELSE len(list_filter(keywords, lambda w: contains(lower(coalesce(answer, '')), w)))::DOUBLE / len(keywords) END AS kr,
+  len(list_intersect(list_distinct(ta), list_distinct(te)))::DOUBLE AS common FROM k)
+SELECT item_id::VARCHAR AS lecture_id, sha256(answer) AS answer_sha, len(sources)::INT AS n_sources, round(kr, 6) AS keyword_recall,
+  round(CASE WHEN common > 0 THEN 2 * (common / len(ta)) * (common / len(te)) / (common / len(ta) + common / len(te)) ELSE 0 END, 6) AS token_f1 FROM n"""
+
+
+@query("eval_run", _EVAL_RUN)
+def eval_run(spark: SparkSession, d: str) -> DataFrame:
+    """Each benchmark item asked of all documents by hybrid search, answered by the best passage's first line, and measured."""
+    from tessella.operators.evaluate import answers_to, evaluate
+    from tessella.sources.providers import EchoGenerator, HashEmbedder, embed_udf, first_passage, or_zero
+
+    embedder = HashEmbedder(_DIM)
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).where("content is not null and content <> ''")
+    chunks = docs.select("id", F.col("id").alias("document_id"), F.lit(0).alias("start_char"), F.length("content").alias("end_char"),
+                         or_zero(embed_udf(embedder)(text.normalize(F.col("content"))), _DIM).alias("embedding"), F.lit(None).cast("string").alias("context"))
+    questions = table(spark, d, "benchmark").select(
+        F.col("item_id").cast("string").alias("lecture_id"), F.col("text").alias("question"), F.col("text").alias("expected_answer"), F.slice(text.eval_tokens(F.col("text")), 1, 3).alias("expected_keywords"))
+    results = evaluate(questions, answers_to(questions, chunks, docs, embedder, EchoGenerator(first_passage), "hybrid"))
+    return results.select("lecture_id", F.sha2("rag_answer", 256).alias("answer_sha"), "n_sources", "keyword_recall", "token_f1")
