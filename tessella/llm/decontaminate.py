@@ -2,7 +2,8 @@
 
 Both sides keep the k-gram hashes that are the least of some sliding window of
 ``window - k + 1`` k-grams. Any shared span of ``window`` words holds a k-gram that
-both sides keep, so an equi-join of the kept hashes finds each of them. Every hit is
+both sides keep, so an equi-join of the kept hashes finds each of them. Benchmark
+fingerprints with equal surroundings are one, and get their items back at the end. Every hit is
 then extended word by word, as far as one window reaches, and counts only if a whole
 window agrees.
 """
@@ -12,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, let, words
+from .common import ascii_lower, let, words, written
 
 #: Everything below 0x80 that is neither a digit nor a letter, after lower-casing.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -67,8 +68,8 @@ def _context(h: Column, p: Column, k: int, reach: int) -> tuple[Column, Column]:
     return left, F.slice(h, p + k + 1, F.lit(reach))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Spans of documents that items also hold: (doc_id, s, e, item_id), words s to e - 1, with repeats.
+def find_windows(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Spans of documents that items also hold: (doc_id, s, e, w), words s to e - 1, with repeats; and (w, item_id), the items of each context w.
 
     An item of fewer words than ``window`` is one window by itself. Null texts have no words.
     """
@@ -77,12 +78,15 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k: int
     short = sorted(r[0] for r in item.where(F.size("ih") < window).select(F.size("ih")).distinct().collect())  # below window values
     own = F.when(F.size("ih") >= window, _fingerprints(F.col("ih"), window, k, [])).otherwise(
         F.array(F.struct(F.size("ih").alias("m"), F.lit(0).alias("p"), F.lit(0).cast("bigint").alias("h"))))
-    item = item.select("item_id", "ih", F.explode(own).alias("f"))
+    each = item.select("item_id", "ih", F.explode(own).alias("f"))
     whole = F.lit(None).cast("bigint")
     for m in short:
         whole = F.when(F.col("f.m") == m, F.xxhash64(*[F.get("ih", F.lit(t)) for t in range(m)])).otherwise(whole)
     il, ir = _context(F.col("ih"), F.col("f.p"), k, reach)
-    item = item.select("item_id", F.col("f.m").alias("m"), F.when(F.col("f.m") > 0, whole).otherwise(F.col("f.h")).alias("h"), il.alias("il"), ir.alias("ir"))
+    # Items that agree around a fingerprint, as far as a window reaches, are one candidate: a document meets each context once.
+    each = each.select("item_id", F.col("f.m").alias("m"), F.when(F.col("f.m") > 0, whole).otherwise(F.col("f.h")).alias("h"), F.when(F.col("f.m") == 0, il).alias("il"), F.when(F.col("f.m") == 0, ir).alias("ir"))
+    each = written(each.withColumn("w", F.xxhash64("m", "h", "il", "ir")), "item-windows")
+    item = each.groupBy("w").agg(*(F.any_value(c).alias(c) for c in ("m", "h", "il", "ir")))
     few = item.limit(broadcast_rows + 1).count() <= broadcast_rows
     doc = docs.select("doc_id", _hashed(F.col("text")).alias("dh"))
     doc = doc.select("doc_id", "dh", F.explode(_fingerprints(F.col("dh"), window, k, short)).alias("f"))
@@ -92,10 +96,17 @@ def find_hits(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k: int
         hit = doc.join(F.broadcast(item), ["m", "h"]).withColumns({"dl": dl, "dr": dr})
     else:
         hit = doc.withColumns({"dl": dl, "dr": dr}).drop("dh").join(item, ["m", "h"])
-    hit = hit.select("doc_id", "item_id", "m", "p", _run(F.col("dl"), F.col("il"), reach).alias("l"), _run(F.col("dr"), F.col("ir"), reach).alias("r"))
-    return hit.where((F.col("m") > 0) | (F.col("l") + F.col("r") + k >= window)).select(
+    hit = hit.select("doc_id", "w", "m", "p", _run(F.col("dl"), F.col("il"), reach).alias("l"), _run(F.col("dr"), F.col("ir"), reach).alias("r"))
+    hit = hit.where((F.col("m") > 0) | (F.col("l") + F.col("r") + k >= window)).select(
         "doc_id", F.when(F.col("m") > 0, F.col("p")).otherwise(F.col("p") - F.col("l")).alias("s"),
-        F.when(F.col("m") > 0, F.col("p") + F.col("m")).otherwise(F.col("p") + k + F.col("r")).alias("e"), "item_id")
+        F.when(F.col("m") > 0, F.col("p") + F.col("m")).otherwise(F.col("p") + k + F.col("r")).alias("e"), "w")
+    return hit, each.select("w", "item_id").distinct()
+
+
+def find_hits(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
+    """Spans of documents that items also hold: (doc_id, s, e, item_id), words s to e - 1, with repeats. See find_windows()."""
+    hit, owners = find_windows(docs, items, **how)
+    return hit.join(owners, "w").select("doc_id", "s", "e", "item_id")
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
@@ -104,8 +115,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     Rows that share a doc_id share the hits of all their texts; a null doc_id is an id like
     any other. Items without an id count as hits but have no entry in item_ids.
     """
-    spans = find_hits(docs, items, **how).groupBy("doc_id").agg(
-        F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    hit, owners = find_windows(docs, items, **how)
+    met = hit.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("w").alias("ws"))
+    met = written(met, "contaminated")
+    ids = met.select("doc_id", F.explode("ws").alias("w")).join(owners, "w").groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    spans = met.join(ids.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")), "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
     found = spans.select(
         F.col("doc_id").alias("hit_id"), F.lit(True).alias("hit"), F.array_sort("ids").alias("ids"),
         F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).cast("bigint").alias("n"))
