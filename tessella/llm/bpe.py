@@ -6,13 +6,15 @@
 2. The distinct pre-tokens of all blocks meet in one shuffle by their hash (those of a
    block and a hash share a packed row), and each distinct one is encoded once.
 3. The ids go back to the blocks by a join, which puts them in order by position.
-Decoding joins the ids with the table of token bytes, which is as long as the vocabulary.
+Decoding joins the ids with the table of token bytes by position: the table is as long as
+the vocabulary (a bound known beforehand), goes to each worker, and the id is the place in it.
 """
 
 from __future__ import annotations
 
 import base64
 import itertools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +31,10 @@ from .common import bucketed, lean
 
 #: Pre-tokens, and distinct ones, from which a block is closed.
 BLOCK_TOKENS, BLOCK_WORDS = 4_000_000, 600_000
-#: Parts of the distinct words for each task that encodes them.
-PARTS_PER_TASK = 4
+#: Encoded words that a task remembers. Beyond that it forgets them all and encodes some again.
+REMEMBERED = 500_000
+#: Bytes of text for each part of the distinct words.
+PART_BYTES = 32 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +96,7 @@ def _cut(pattern: str, kind: pa.DataType, block_tokens: int, block_words: int, p
 
 
 def _encode(ranks: dict[bytes, int]):
-    """A partition holds all occurrences of its words, and encodes each word once."""
+    """A partition holds whole parts, one after another, and a part all occurrences of its words: each is encoded once a part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -100,9 +104,13 @@ def _encode(ranks: dict[bytes, int]):
         piece = tiktoken.Encoding("ranks", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
         zip_, unzip = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
         known: dict[bytes, list[int]] = {}
+        last = None
         for b in batches:
             sizes, ids = [], []
-            for lengths, letters in zip(b.column("lengths"), b.column("letters"), strict=True):
+            for part, lengths, letters in zip(b.column("part").to_pylist(), b.column("lengths"), b.column("letters"), strict=True):
+                if part != last or len(known) > REMEMBERED:
+                    known.clear()
+                last = part
                 ends, text = np.cumsum(_unpack(lengths.as_py(), unzip)).tolist(), unzip.decompress(letters.as_py())
                 got = []
                 for lo, hi in zip([0, *ends], ends, strict=False):
@@ -143,17 +151,23 @@ def _place(kind: pa.DataType):
 
 
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *, block_tokens: int = BLOCK_TOKENS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of docs: doc_id, token_ids. Null and empty texts have no tokens."""
+    """Per row of docs: doc_id, token_ids. Null and empty texts have no tokens.
+
+    Repeated rows and null ids are rows like any other. A text of any length is cut as a whole,
+    in a block of its own if it is longer than one.
+    """
     from pyspark.sql.pandas.types import to_arrow_type
 
     field = docs.schema["doc_id"]
     spark_kind, kind = field.dataType.simpleString(), to_arrow_type(field.dataType)
     tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(4 * tasks, math.ceil(size / PART_BYTES))
     schema = f"block long, doc_id {spark_kind}, part int, numbers binary, lengths binary, letters binary, positions binary"
-    cut = docs.select("doc_id", "text").mapInArrow(lean(_cut(pattern, kind, block_tokens, block_words, tasks * PARTS_PER_TASK)), schema)
-    cut = bucketed(cut, "bpe-blocks", "block", tasks)
-    words = cut.where("part is not null").select("block", "part", "numbers", "lengths", "letters").repartition(tasks, "part")
-    coded = words.drop("part").mapInArrow(lean(_encode(ranks)), "block long, numbers binary, sizes binary, ids binary")
+    cut = docs.select("doc_id", "text").mapInArrow(lean(_cut(pattern, kind, block_tokens, block_words, parts)), schema)
+    cut = bucketed(cut, "bpe-blocks", "block", max(tasks, parts // 4))
+    words = cut.where("part is not null").select("block", "part", "numbers", "lengths", "letters").repartition(max(tasks, parts // 4), "part").sortWithinPartitions("part")
+    coded = words.mapInArrow(lean(_encode(ranks)), "block long, numbers binary, sizes binary, ids binary")
     texts = cut.where("positions is not null").select(F.col("block").alias("of"), "doc_id", "positions")
     return coded.groupBy("block").cogroup(texts.groupBy("of")).applyInArrow(_place(kind), f"doc_id {spark_kind}, token_ids array<int>")
 
