@@ -1,14 +1,17 @@
 """WARC archives compressed with a Zstandard dictionary (.warc.zst).
 
-Each partition is one archive. Its first frame is skippable and holds a dictionary built
-from the archive's own first records; every record is a frame of its own. Spark's text
-writer puts the frames into files, so any file system that Spark reaches will do and a
-lost task leaves nothing behind: the "line separator" is an empty skippable frame.
+An archive's first frame is skippable and holds a dictionary built from the archive's own
+first records; every record is a frame of its own. Spark's text writer puts the frames
+into files, so any file system that Spark reaches will do and a lost task leaves nothing
+behind: the "line separator" is an empty skippable frame. The writer begins a file every
+so many frames, and so does the dictionary; an archive that has its bytes before that
+is filled up with empty frames. So archives are bounded, and reading one is too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import struct
 from collections.abc import Iterator
@@ -24,6 +27,8 @@ FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 #: The dictionary's size, and the bytes of records that it is built from at most.
 DICTIONARY_BYTES, SAMPLE_BYTES = 32_768, 3_000_000
 LEVEL, REVISIT_FROM = 3, 100
+#: Frames of an archive, and compressed bytes from which it takes no more records.
+ARCHIVE_FRAMES, ARCHIVE_BYTES = 8_192, 256 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -56,34 +61,49 @@ def build_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> zsta
     return zstandard.ZstdCompressionDict(b"".join(samples)[:size] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def _frames(date: str):
+def archives(records_: Iterator[bytes], date: str, frames: int = ARCHIVE_FRAMES, most_bytes: int = ARCHIVE_BYTES) -> Iterator[bytes]:
+    """The frames of archives of so many frames each, the last one excepted."""
+    while True:
+        waiting, held = [], 0
+        for r in records_:
+            waiting.append(r)
+            held += len(r)
+            if held >= SAMPLE_BYTES or len(waiting) >= frames - 2:
+                break
+        if not waiting:
+            return
+        words = build_dictionary(waiting)
+        zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=True)
+        data = words.as_bytes()
+        info = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:info:archive>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
+        yield DICTIONARY_MAGIC + struct.pack("<I", len(data)) + data
+        n, size = 1, len(data)
+        for r in itertools.chain([info], waiting, records_):
+            frame = zip_.compress(r)
+            yield frame
+            n, size = n + 1, size + len(frame)
+            if n > len(waiting) + 1 and size >= most_bytes:
+                yield from itertools.repeat(EMPTY_FRAME.encode(), frames - n)
+                n = frames
+            if n == frames:
+                break
+        else:
+            return
+
+
+def _frames(date: str, frames: int, most_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        zip_, waiting, held = None, [], 0
-
-        def out(frames: list[bytes]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(frames, pa.binary())], names=["frame"])
-
-        def start() -> pa.RecordBatch:
-            nonlocal zip_
-            words = build_dictionary(waiting)
-            zip_ = zstandard.ZstdCompressor(level=LEVEL, dict_data=words, write_checksum=True)
-            data = words.as_bytes()
-            info = _header([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:info:archive>"), ("WARC-Date", date), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n")
-            return out([DICTIONARY_MAGIC + struct.pack("<I", len(data)) + data, *map(zip_.compress, [info, *waiting])])
-
-        for b in batches:
-            for lo in range(0, len(b), 200):
-                rows = b.slice(lo, 200).to_pylist()
-                made = [record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], date) for r in rows]
-                if zip_:
-                    yield out(list(map(zip_.compress, made)))
-                    continue
-                waiting, held = waiting + made, held + sum(map(len, made))
-                if held >= SAMPLE_BYTES:
-                    yield start()
-                    waiting = []
+        rows = (r for b in batches for lo in range(0, len(b), 200) for r in b.slice(lo, 200).to_pylist())
+        made = (record(r["page_id"], r["url"], r["payload"] or b"", r["size"], r["digest"], r["refers_to"], date) for r in rows)
+        waiting, held = [], 0
+        for frame in archives(made, date, frames, most_bytes):
+            waiting.append(frame)
+            held += len(frame)
+            if len(waiting) >= 1000 or held >= 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.binary())], names=["frame"])
+                waiting, held = [], 0
         if waiting:
-            yield start()
+            yield pa.RecordBatch.from_arrays([pa.array(waiting, pa.binary())], names=["frame"])
 
     return run
 
@@ -103,11 +123,15 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
     return met.select("page_id", "url", F.when(F.col("refers_to").isNull(), F.col("payload")).alias("payload"), "size", "digest", "refers_to")
 
 
-def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z") -> None:
-    """One .warc.zst file a partition in ``path``, a folder of any file system that Spark knows."""
+def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", archive_frames: int = ARCHIVE_FRAMES, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    """.warc.zst files of bounded size in ``path``, a folder of any file system that Spark knows.
+
+    Every row becomes a record, repeated rows too, each response or revisit as in
+    plan_records(); null urls have no target, a null page_id an empty one.
+    """
     spark = pages.sparkSession
-    frames = plan_records(pages).mapInArrow(_frames(date), "frame binary")
-    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).text(path)
+    frames = plan_records(pages).mapInArrow(_frames(date, archive_frames, archive_bytes), "frame binary")
+    frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", archive_frames).text(path)
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     for f in files.listStatus(folder):
@@ -131,9 +155,9 @@ def frame_end(data: memoryview, at: int) -> int:
             return at + checksum
 
 
-def records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+def records(data: bytes | pa.Buffer) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers with lower-case names, block) of each record of one archive."""
-    view, at, zip_ = memoryview(data), 0, zstandard.ZstdDecompressor()
+    view, at, zip_ = memoryview(data).cast("B"), 0, zstandard.ZstdDecompressor()
     while at < len(view):
         end = frame_end(view, at)
         if view[at : at + 4] == DICTIONARY_MAGIC:
@@ -158,7 +182,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for data in b.column("content"):
             rows = []
-            for fields, block in records(data.as_buffer().to_pybytes()):
+            for fields, block in records(data.as_buffer()):
                 if fields["warc-type"] not in ("response", "revisit"):
                     continue
                 head, _, payload = block.partition(b"\r\n\r\n")

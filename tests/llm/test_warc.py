@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 
 import zstandard
 
@@ -52,6 +53,23 @@ def test_format(spark, tmp_path):
     assert seen == 400
 
 
+def test_archives_are_bounded(spark, tmp_path):
+    """By frames and by bytes: each file has a dictionary of its own, and nothing is lost at the seams."""
+    rng = random.Random(1)
+    rows = [(i, f"http://b/{i}", f"{i} " + rng.randbytes(400 if i % 50 else 60_000).hex()) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(pages, f"file://{tmp_path}/w", archive_frames=40, archive_bytes=50_000)
+    files = list((tmp_path / "w").glob("*.warc.zst"))
+    assert len(files) >= 300 / 38 and all(f.read_bytes()[:4] == warc.DICTIONARY_MAGIC for f in files)
+    got = warc.read_archives(spark, f"file://{tmp_path}/w").drop("url").collect()
+    assert sorted(((str(r[0]), *r[1:]) for r in got), key=str) == plain(rows)
+    for frames, most in ((3, 10**9), (5, 1), (400, 10**9)):
+        made = list(warc.archives(iter([b"WARC/1.1\r\nContent-Length: 1\r\n\r\nx"] * 10), "d", frames, most))
+        for lo in range(0, len(made), frames):
+            assert made[lo][:4] == warc.DICTIONARY_MAGIC
+        assert len(list(warc.records(b"".join(made)))) == 10 + -(-len(made) // frames)
+
+
 def test_empty(spark, tmp_path):
     assert archive(spark, tmp_path, []).collect() == []
 
