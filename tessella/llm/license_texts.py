@@ -1,8 +1,11 @@
 """Known licences: whole texts and the one-line notices that stand for them.
 
 The texts are the public ones, without copyright lines (which the canonical form drops).
+Long ones are files in ``license_data``, named by their licence.
 """
 
+from pathlib import Path
+
 _MIT_BODY = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
@@ -81,6 +84,7 @@ KNOWN = [
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", _UNLICENSE),
     ("Zlib", _ZLIB),
+    *((p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_data").glob("*.txt"))),
 ]
 
 #: Spellings that count as one: the second replaces the first.

@@ -11,13 +11,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import let, words, written
 from .license_texts import KNOWN, SPELLINGS
 
 COPYRIGHT_LINE = r"^[ \t/*#;]*(?:copyright[ \t]*(?:\(c\)|©|[0-9<\[{])|copyright[^\n]*(?:19|20)[0-9]{2}|\(c\)|©|all rights reserved)[^\n]*"
 JOINED = "['’‘`´\"“”‐‑–—-]"
 OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-MOST_KNOWN = 10_000
+#: More known texts than these are joined by a shuffle; more one-line texts meet the lines by a join and not in the row.
+MOST_KNOWN, MOST_LINES = 10_000, 500
 
 
 def canonical(text: Column) -> Column:
@@ -35,30 +36,35 @@ def digest(text: Column) -> Column:
     return let(canonical(text), lambda c: F.when(c != "", F.sha2(c, 256)))
 
 
-def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]]) -> DataFrame:
-    """(digest, license), one row a digest; of licences with equal texts the least name."""
-    if len(known) > MOST_KNOWN:
-        raise ValueError(f"at most {MOST_KNOWN} known texts are broadcast")
-    rows = spark.createDataFrame(list(known), "license string, known_text string")
-    return rows.select(digest(F.col("known_text")).alias("digest"), "license").where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"))
+def known_digests(spark: SparkSession, known: Sequence[tuple[str, str]] | DataFrame) -> DataFrame:
+    """(digest, license, single), one row a digest; of licences with equal texts the least name. single: a text of one line."""
+    rows = known.select("license", "known_text") if isinstance(known, DataFrame) else spark.createDataFrame(list(known), "license string, known_text string")
+    single = ~F.btrim("known_text", F.lit(" \t\r\n\x0b\x0c")).contains("\n")
+    return rows.select(digest(F.col("known_text")).alias("digest"), "license", single.alias("single")).where("digest is not null").groupBy("digest").agg(F.min("license").alias("license"), F.max("single").alias("single"))
 
 
-def scan(docs: DataFrame, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
+def scan(docs: DataFrame, known: Sequence[tuple[str, str]] | DataFrame = KNOWN, *, most_known: int = MOST_KNOWN, most_lines: int = MOST_LINES) -> DataFrame:
     """Per row: doc_id, digest, license (of the entire text, else null), line_licenses (of entire lines, sorted).
 
-    Null, empty and purely punctuated texts have no digest and no licence.
+    ``known``: pairs, or rows (license, known_text) of any number. Null, empty and purely
+    punctuated texts have no digest and no licence. Repeated rows get equal answers.
     """
-    table = known_digests(docs.sparkSession, known)
-    names = {r["digest"]: r["license"] for r in table.collect()}  # as long as ``known``
-    hint = [w for w in ("licen", "license") if all(w in t.lower() for _, t in known if "\n" not in t.strip())][:1]
-    single = [n for n, t in known if "\n" not in t.strip()]
-    lines = F.split("text", "\n")
-    if hint:  # no known line is without it
-        lines = F.filter(lines, lambda x: F.lower(x).contains(hint[0]))
-    if single:
-        lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-        found = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: lookup[digest(x)]), lambda x: x.isNotNull())))
+    table = written(known_digests(docs.sparkSession, known), "known-licenses")
+    few = table.limit(most_known + 1).count() <= most_known
+    whole = table.select("digest", "license")
+    single = table.where("single").select("digest", "license")
+    names = {r["digest"]: r["license"] for r in single.limit(most_lines + 1).collect()}
+    none, lines = F.array().cast("array<string>"), F.split("text", "\n")
+    if len(names) <= most_lines:
+        found = none
+        if names:
+            lookup = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+            found = F.coalesce(F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: lookup[digest(x)]), lambda x: x.isNotNull()))), none)
+        out = docs.select("doc_id", digest(F.col("text")).alias("digest"), found.alias("line_licenses"))
     else:
-        found = F.array().cast("array<string>")
-    out = docs.select("doc_id", digest(F.col("text")).alias("digest"), F.coalesce(found, F.array().cast("array<string>")).alias("line_licenses"))
-    return out.join(F.broadcast(table), "digest", "left").select("doc_id", "digest", "license", "line_licenses")
+        rid = F.xxhash64("doc_id", "text").alias("rid")
+        each = docs.select(rid, F.explode(lines).alias("line")).select("rid", digest(F.col("line")).alias("digest")).where("digest is not null")
+        met = each.join(F.broadcast(single) if few else single, "digest").groupBy("rid").agg(F.array_sort(F.collect_set("license")).alias("line_licenses"))
+        own = docs.select("doc_id", digest(F.col("text")).alias("digest"), rid)
+        out = own.join(met, "rid", "left").select("doc_id", "digest", F.coalesce("line_licenses", none).alias("line_licenses"))
+    return out.join(F.broadcast(whole) if few else whole, "digest", "left").select("doc_id", "digest", "license", "line_licenses")

@@ -46,13 +46,13 @@ def _repeat_words(w: Column, k: int = 5) -> Column:
 
 
 def measure(docs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """Per row: doc_id, stratum ('' for null), n_words, word_chars, n_symbols, n_lines, n_dup_lines,
+    """Per row: doc_id, text_hash, stratum ('' for null), n_words, word_chars, n_symbols, n_lines, n_dup_lines,
     n_repeat_words, base_failed. Null texts have no words and fail."""
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(NOT_BLANK))
-    base = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text.alias("text"), words(text).alias("w"), lines.alias("l"))
+    base = docs.select("doc_id", F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), text.alias("text"), words(text).alias("w"), lines.alias("l"))
     base = base.select(
-        "doc_id", "stratum", F.size("w").cast("bigint").alias("n_words"),
+        "doc_id", "text_hash", "stratum", F.size("w").cast("bigint").alias("n_words"),
         F.length(F.regexp_replace("text", BLANKS, "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         F.size("l").cast("bigint").alias("n_lines"), (F.size("l") - F.size(F.array_distinct("l"))).cast("bigint").alias("n_dup_lines"),
@@ -77,10 +77,11 @@ def certify(measured: DataFrame, labels: DataFrame, *, risk: float = RISK, delta
     """The strictest certified and useful cutoff of each rule: a row (stratum, cut_<rule>...) per stratum with labels.
 
     A document counts as good if every label of its id has quality 1, else as bad; null
-    qualities count for nothing.
+    qualities count for nothing. Equal texts of a stratum are one draw, not several, and good
+    if all of them are.
     """
     own = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg((F.min("quality") >= 1).alias("good"))
-    seen = measured.join(own, "doc_id")
+    seen = measured.join(own, "doc_id").groupBy("stratum", "text_hash").agg(F.min("good").alias("good"), *(F.any_value(c).alias(c) for c in sorted({c for _, a, b, _ in RULES for c in (a, b)})))
     cuts = F.array(*[F.struct(F.lit(r).alias("rule"), F.lit(j).alias("level"), F.lit(float(c)).alias("cutoff"), F.coalesce(F.try_divide(a, b) > c, F.lit(False)).alias("out"))
                      for r, a, b, cs in RULES for j, c in enumerate(cs)])
     counts = seen.select("stratum", "good", F.explode(cuts).alias("c")).groupBy("stratum", "c.rule", "c.level", "c.cutoff").agg(

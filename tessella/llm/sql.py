@@ -52,7 +52,8 @@ r AS (SELECT doc_id, stratum, rule, unnest(CASE rule WHEN 'symbols' THEN [0.5, 0
     CASE rule WHEN 'symbols' THEN n_symbols::DOUBLE / nullif(word_chars, 0) WHEN 'dup_lines' THEN n_dup_lines::DOUBLE / nullif(n_lines, 0)
     WHEN 'word_length' THEN word_chars::DOUBLE / nullif(n_words, 0) ELSE n_repeat_words::DOUBLE / nullif(n_words, 0) END AS v
   FROM m, (SELECT unnest(['symbols', 'dup_lines', 'word_length', 'repeats']) AS rule)),
-lab AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+lab0 AS (SELECT doc_id, min(quality) >= 1 AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+lab AS (SELECT min(doc_id) AS doc_id, bool_and(good) AS good FROM lab0 JOIN d USING (doc_id) GROUP BY stratum, text),
 t AS (
   SELECT stratum, rule, c, -c AS o,
     count(*) FILTER (good) AS n, count(*) FILTER (good AND v > c) AS k, count(*) FILTER (NOT good AND v > c) AS bad
@@ -85,11 +86,11 @@ def _canonical(x: str) -> str:
 
 SQL["op10_license_scan"] = f"""
 WITH k0 AS (SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) AS t(license, txt)),
-known AS (SELECT sha256({_canonical("txt")}) AS digest, min(license) AS license FROM k0 GROUP BY 1),
+known AS (SELECT sha256({_canonical("txt")}) AS digest, min(license) AS license, bool_or(NOT contains(trim(txt, ' ' || chr(10)), chr(10))) AS single FROM k0 GROUP BY 1),
 d AS (SELECT doc_id, {_canonical("text")} AS c FROM documents),
 l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
 ll AS (SELECT doc_id, string_agg(DISTINCT license, ',' ORDER BY license) AS ids
-  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM l WHERE contains(lower(line), 'licen')) JOIN known USING (digest) GROUP BY doc_id),
+  FROM (SELECT doc_id, sha256({_canonical("line")}) AS digest FROM l) JOIN (SELECT * FROM known WHERE single) USING (digest) GROUP BY doc_id),
 dd AS (SELECT doc_id, CASE WHEN c <> '' THEN sha256(c) END AS digest FROM d)
 SELECT dd.doc_id, dd.digest, known.license, coalesce(ll.ids, '') AS line_licenses
 FROM dd LEFT JOIN known USING (digest) LEFT JOIN ll ON ll.doc_id = dd.doc_id
@@ -99,9 +100,10 @@ SQL["op5_url_filters"] = f"""
 WITH e AS (SELECT lower(entry) AS key, list, since::DATE AS since, max(action) = 'add' AS adds
   FROM (VALUES {", ".join("(" + ", ".join(map(_quoted, e)) + ")" for e in ENTRIES)}) AS t(entry, list, action, since) GROUP BY 1, 2, 3),
 v AS (SELECT * FROM (SELECT *, lead(since) OVER (PARTITION BY key, list ORDER BY since) AS until FROM e) WHERE adds),
+p0 AS (SELECT *, CASE WHEN regexp_matches(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//') THEN url WHEN regexp_matches(url, '^[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+(?:[/?#]|:[0-9]|$)') THEN '//' || url ELSE '' END AS u FROM pages),
 p AS (SELECT page_id, url, DATE '2024-01-01' + (page_id % 366)::INT AS fetched,
-  lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)', 1)) AS host,
-  regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM pages),
+  rtrim(lower(regexp_extract(u, '//(?:[^/?#@]*@)?([^/?#:@]*)', 1)), '.') AS host,
+  regexp_replace(regexp_extract(u, '//[^/?#]*([^?#]*)', 1), '^/+|/+$', '', 'g') AS path FROM p0),
 k AS (
   SELECT page_id, fetched, array_to_string(h[i:], '.') AS key FROM (SELECT page_id, fetched, string_split(host, '.') AS h, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p)
   UNION

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 200_000
+BROADCAST_ROWS, MOST_TOPS = 200_000, 5_000
 #: entry (a host, which holds for its subdomains, or host/path prefix), list, action, date.
 ENTRIES = [
     ("casino-win.example.com", "gambling", "add", "2024-01-15"),
@@ -30,14 +30,21 @@ ENTRIES = [
 ]
 
 
+def _located(url: Column) -> Column:
+    """The URL from its host on, after ``//``; '' if it names none. A scheme isn't needed: ``//host/x`` and ``host.tld/x`` will do."""
+    given = url.rlike(r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    bare = url.rlike(r"^[A-Za-z0-9-]+(?:[.][A-Za-z0-9-]+)+(?:[/?#]|:[0-9]|$)")
+    return F.when(given, F.regexp_extract(url, r"(?s)^(?:[A-Za-z][A-Za-z0-9+.-]*:)?(//.*)", 1)).when(bare, F.concat(F.lit("//"), url)).otherwise("")
+
+
 def host_of(url: Column) -> Column:
     """Lower-case host without user, port and final dots; '' if there is none."""
-    return F.rtrim(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*)", 1)), F.lit("."))
+    return F.rtrim(F.lower(F.regexp_extract(_located(url), r"^//(?:[^/?#@]*@)?([^/?#:@]*)", 1)), F.lit("."))
 
 
 def path_of(url: Column) -> Column:
     """The path without query, fragment and slashes at its ends."""
-    return F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
+    return F.regexp_replace(F.regexp_extract(_located(url), r"^//[^/?#]*([^?#]*)", 1), "^/+|/+$", "")
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -68,6 +75,10 @@ def filter_urls(captures: DataFrame, entries: DataFrame, *, broadcast_rows: int
     own = captures.select("page_id", "url", "fetched_at", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host"))
     few = active.limit(broadcast_rows + 1).count() <= broadcast_rows
     probes = own.select("page_id", "url", "fetched_at", F.explode(keys_of(F.col("host"), F.coalesce(path_of(F.col("url")), F.lit("")))).alias("key"))
+    if not few:  # the commonest keys, top-level domains, meet the entries only if one of these is listed itself
+        tops = [r["key"] for r in active.where("not contains(key, '.')").select("key").distinct().limit(MOST_TOPS + 1).collect()]
+        if len(tops) <= MOST_TOPS:
+            probes = probes.where(F.col("key").contains(".") | F.col("key").isin(tops))
     day = F.to_date("fetched_at")
     met = probes.join(F.broadcast(active) if few else active, "key").where((F.col("since") <= day) & (F.col("until").isNull() | (day < F.col("until"))))
     met = met.groupBy("page_id", "url", "fetched_at").agg(F.array_sort(F.collect_set("list")).alias("lists")).select(

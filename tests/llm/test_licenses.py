@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import licenses
@@ -21,8 +22,16 @@ def test_scan(spark):
     assert licenses.scan(docs.limit(0)).collect() == []
 
 
-def test_every_known_text_is_found(spark):
-    got = licenses.scan(documents(spark, [(i, t) for i, (_, t) in enumerate(KNOWN)])).collect()
+@pytest.mark.parametrize("limits", [{}, {"most_known": 3}, {"most_known": 3, "most_lines": 2}, {"most_lines": 2}])
+def test_every_known_text_is_found(spark, limits):
+    """Whole licences, with other spacing and copyright lines of their own too, whichever way the known ones are joined."""
+    docs = documents(spark, [(i, t) for i, (_, t) in enumerate(KNOWN)])
+    lined = documents(spark, [(i, "Copyright 2021 Some One\n" + t.replace("\n", "\r\n  ")) for i, (_, t) in enumerate(KNOWN)])
+    assert {r["license"] for r in licenses.scan(lined, **limits).collect()} == {n for n, _ in KNOWN}
+    assert {"GPL-3", "GPL-2", "LGPL-2.1", "Apache-2.0", "MPL-2.0", "CC0-1.0"} <= {n for n, _ in KNOWN}
+    known = spark.createDataFrame(KNOWN, "license string, known_text string")
+    got = licenses.scan(docs, known if limits else KNOWN, **limits).collect()
+    assert sorted(licenses.scan(docs).collect(), key=str) == sorted(got, key=str)
     assert {r["doc_id"]: r["license"] for r in got} == {i: n for i, (n, _) in enumerate(KNOWN)}
 
 

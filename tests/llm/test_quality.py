@@ -44,11 +44,13 @@ def test_certified_cutoffs(spark):
     good = "plain words of a decent text that goes on for a while " * 3
     good = " ".join(f"{w}{i}" for i, w in enumerate(good.split()))
     bad = good.replace(" ", " ### ")
-    rows = [(i, good, "en") for i in range(3000)] + [(3000 + i, bad, "en") for i in range(20)] + [(4000, bad, "xx"), (4001, good, None), (4002, bad, None)]
+    rows = [(i, f"{good} own{i}", "en") for i in range(3000)] + [(3000 + i, f"{bad} own{i}", "en") for i in range(20)] + [(4000, bad, "xx"), (4001, good, None), (4002, bad, None)]
     labels = spark.createDataFrame([(i, 1, 0) for i in range(3000)] + [(3000 + i, 0, 0) for i in range(20)] + [(3000, 1, 0), (9, None, 1)], "doc_id long, quality int, toxic int")
     df = documents(spark, rows)
     measured = quality.measure(df)
     cuts = {r["stratum"]: r.asDict() for r in quality.certify(measured, labels).collect()}
+    copies = documents(spark, [(i, good if i < 3000 else bad, "en") for i, *_ in rows[:3020]])
+    assert {r["cut_symbols"] for r in quality.certify(quality.measure(copies), labels).collect()} == {None}  # one text is one draw
     assert cuts["en"]["cut_symbols"] == 0.02 and cuts["en"]["cut_dup_lines"] is None
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(df, labels).collect()}
     assert kept[0] and not kept[3005] and kept[4000] and kept[4001] and kept[4002]

@@ -12,14 +12,20 @@ ENTRIES = [
 CAPTURES = [
     (1, "http://www.Bad.com/x", "2024-01-09"), (2, "http://www.bad.com", "2024-01-10"), (3, "http://bad.com/", "2024-02-10"), (4, "https://u:p@bad.com:80/q", "2024-04-01"), (5, "http://notbad.com/", "2024-01-20"),
     (6, "http://ok.org/a/b/c?x#y", "2024-05-01"), (7, "http://ok.org/a", "2024-05-01"), (8, "http://ok.org/A/b", "2024-05-01"), (9, "http://tie.net/", "2024-02-01"), (10, None, "2024-01-01"), (11, "", "2024-01-01"),
-    (12, "http://bad.com/", None), (None, "http://bad.com/", "2024-01-20"), (2, "http://www.bad.com", "2024-01-10"), (13, "mailto:a@bad.com", "2024-01-20"),
+    (12, "http://bad.com/", None), (None, "http://bad.com/", "2024-01-20"), (2, "http://www.bad.com", "2024-01-10"), (13, "mailto:a@bad.com", "2024-01-20"), (14, "//bad.com/x", "2024-01-20"), (15, "www.bad.com:80/x", "2024-01-20"), (16, "ok.org/a/b", "2024-01-20"), (17, "/bad.com/x", "2024-01-20"), (18, "x.bad.com", "2024-01-20"),
+    (19, "http://bad.com/" + "a/" * 300 + "?" + "q" * 50_000, "2024-01-20"),
 ]
 
 
 def brute(url, day):
-    if not url or not day or "://" not in url:
+    if not url or not day:
+        return []
+    if "//" in url.split("?")[0]:
+        rest = url.split("//", 1)[1]
+    elif "." in url.split("/")[0] and "@" not in url:
+        rest = url
+    else:
         return []
-    rest = url.split("://", 1)[1]
     authority = rest.split("/")[0].split("?")[0].split("#")[0]
     host = authority.rsplit("@", 1)[-1].split(":")[0].lower()
     path = rest[len(authority) :].split("?")[0].split("#")[0].strip("/").lower()
