@@ -22,7 +22,7 @@ def lectures(tmp_path):
 
 def test_run(spark, tmp_path):
     rows = dataset.load(spark, *lectures(tmp_path))
-    store, embedder, generator = Store(spark, str(tmp_path / "store")), providers.HashEmbedder(64), providers.EchoGenerator(lambda p: "context" if "Excerpt" in p else providers.first_passage(p))
+    store, embedder, generator = Store(spark, str(tmp_path / "store")), providers.HashEmbedder(2048), providers.EchoGenerator(lambda p: "context" if "Excerpt" in p else providers.first_passage(p))
     for search_type, rerank in (("hybrid", False), ("cosine", False), ("hybrid", True)):
         got = {(r["lecture_id"], r["question"][:4]): r for r in evaluate.run(store, rows, embedder, generator, search_type, rerank, str(tmp_path / "report")).collect()}
         assert len(got) == 3 and store.documents().count() == 2 and store.in_progress() == 0
