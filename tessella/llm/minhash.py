@@ -19,6 +19,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -118,22 +119,25 @@ def _full(size: int):
 
 
 def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bins: int = BINS, rows: int = ROWS) -> DataFrame:
-    """Per row of docs: doc_id (long), n_shingles, component_id, kept.
+    """Per row of docs: doc_id (long), n_shingles, component_id, kept, digest (of the shingle set, null if empty).
 
     Two texts are linked if 100 * shared shingles >= percent * all their shingles. The
     component is named by its smallest doc_id. Texts without words are linked with nothing.
     A row with a null doc_id is linked with nothing and kept, with a null component_id.
-    Rows that repeat a doc_id are judged by their own texts.
+    Rows that repeat a doc_id are judged by their own texts; of several texts with a
+    component's smallest doc_id one is kept.
     """
     signed = written(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(_sign(bins, rows, shingle)), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
-    # A vertex is the class of one set, named by its smallest doc_id.
-    vertices = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("v"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "vertices")
+    # A vertex is the class of one set, named by its smallest doc_id; by a hash of the set if ids repeat with other texts.
+    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("first"), F.min("n_shingles").alias("n"), F.any_value("bands").alias("bands")), "vertices")
+    unique = classes.groupBy("first").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    vertices = classes.withColumn("v", F.col("first") if unique else F.xxhash64("digest"))
     rows_of = vertices.select("v", "n", F.explode("bands").alias("bucket"))
     shared = rows_of.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = written(rows_of.join(shared, "bucket"), "buckets")
-    wanted = members.select("v").distinct().join(vertices.select("v", "digest"), "v")
-    texts = docs.select(F.col("doc_id").cast("long").alias("v"), "text").join(wanted, "v")
+    wanted = members.select("v").distinct().join(vertices.select("v", "first", "digest"), "v")
+    texts = docs.select(F.col("doc_id").cast("long").alias("first"), "text").join(wanted, "first").select("v", "digest", "text")
     sets = texts.mapInArrow(lean(_full(shingle)), "v long, digest binary, found binary, shingles array<long>").where("found = digest").select("v", "shingles")
     sets = written(sets.groupBy("v").agg(F.any_value("shingles").alias("shingles")), "sets")
 
@@ -201,7 +205,39 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
             break
     if n:
         comp = joined(comp, confirm(rest(left.select("v", "comp").distinct())))
-    named = vertices.select("digest", "v").join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").select("digest", F.coalesce("label", "v").alias("component"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    named = vertices.select("digest", "first", "v").join(comp.select(F.col("u").alias("v"), F.col("v").alias("label")), "v", "left").withColumn("component", F.coalesce("label", "v"))
+    if unique:
+        out = signed.select("doc_id", "n_shingles", "digest").join(named.select("digest", "component"), "digest", "left")
+        component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+        return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"), "digest")
+    # Hashed vertices get their component's smallest id; of the sets with that id, the one of least digest is kept.
+    least = named.groupBy("component").agg(F.min(F.struct("first", "digest")).alias("m")).select("component", F.col("m.first").alias("component_id"), F.col("m.digest").alias("best"))
+    out = signed.join(named.select("digest", "component").join(least, "component"), "digest", "left")
+    given = F.col("doc_id").isNotNull()
+    kept = ~given | F.col("best").isNull() | ((F.col("doc_id") == F.col("component_id")) & (F.col("digest") == F.col("best")))
+    return out.select("doc_id", "n_shingles", F.when(given, F.coalesce("component_id", "doc_id")).alias("component_id"), kept.alias("kept"), "digest")
+
+
+def keep_one(docs: DataFrame, **how) -> DataFrame:
+    """``docs`` with one row of each component, the one with its smallest doc_id, and its other columns as they are.
+
+    Rows that are equal in doc_id and shingles are one. Rows without words or without
+    doc_id all stay.
+    """
+    linked = written(link(docs, **how).where("n_shingles > 0 and doc_id is not null").select("doc_id", "kept", "digest"), "near-duplicates")
+    gone = linked.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    again = linked.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_id"))
+    ids = linked.groupBy("doc_id").agg(F.count_if(~F.col("kept")).alias("out"), F.count("*").alias("c")).where("out > 0 and out < c or c > 1")
+    if ids.isEmpty():  # every id has one row
+        return docs.join(gone.select("_id"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+    size = how.get("shingle", SHINGLE)
+
+    @F.pandas_udf("binary")
+    def digest(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: _digest(shingles(t, size)))
+
+    own = docs.withColumn("_d", digest("text"))
+    own = own.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_anti")
+    repeated = own.join(again.distinct(), (F.col("doc_id").cast("long") == F.col("_id")) & F.col("_d").isNotNull(), "left_semi")
+    single = own.join(again.distinct(), (F.col("doc_id").cast("long") == F.col("_id")) & F.col("_d").isNotNull(), "left_anti")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", "_d"])).drop("_d")

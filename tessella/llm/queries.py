@@ -26,7 +26,7 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link(table(spark, sf_dir, "documents"))
+    return link(table(spark, sf_dir, "documents")).drop("digest")
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_as_brute_force(spark, seed):
             n += 1
     rows += [(n, "a b c d e f"), (n + 1, "A B C D E F"), (n + 2, "a b c d e f g"), (n + 3, "one two"), (n + 4, "one  two"), (n + 5, None), (n + 6, " ")]
     rng.shuffle(rows)
-    got = minhash.link(with_clashes(documents(spark, rows), "digest", "v", "n", "bucket", "component")).collect()
+    got = minhash.link(with_clashes(documents(spark, rows), "digest", "v", "n", "bucket", "component")).drop("digest").collect()
     assert sorted(tuple(r) for r in got) == plain(rows)
 
 
@@ -59,7 +59,7 @@ def test_large_group_of_near_copies(spark):
     rng = random.Random(5)
     base = [f"w{i}" for i in range(150)]
     rows = [(0, " ".join(base))] + [(i, edited(rng, base, rng.choice([1, 2, 3, 4]))) for i in range(1, 250)]
-    got = minhash.link(documents(spark, rows)).collect()
+    got = minhash.link(documents(spark, rows)).drop("digest").collect()
     assert sorted(tuple(r) for r in got) == plain(rows)
 
 
@@ -81,7 +81,7 @@ def test_exact_pass_finds_what_stars_miss(spark, monkeypatch, pairs, block):
     rounds = []
     monkeypatch.setattr(minhash, "components", lambda e: rounds.append(1) or components(e))
     rows = templated(random.Random(pairs), pairs)
-    got = sorted(tuple(r) for r in minhash.link(documents(spark, rows)).collect())
+    got = sorted(tuple(r) for r in minhash.link(documents(spark, rows)).drop("digest").collect())
     key = {}
     for i, t in rows:
         key.setdefault(t.split()[204], []).append(i)
@@ -94,7 +94,7 @@ def test_exact_pass_finds_what_stars_miss(spark, monkeypatch, pairs, block):
 
 
 def test_odd_rows(spark):
-    got = minhash.link(documents(spark, odd_rows())).collect()
+    got = minhash.link(documents(spark, odd_rows())).drop("digest").collect()
     assert len(got) == len(odd_rows())
     by = {}
     for r in got:
@@ -104,6 +104,21 @@ def test_odd_rows(spark):
     assert minhash.link(documents(spark, [])).collect() == []
 
 
+def test_repeated_ids(spark):
+    """Two texts of one id are two vertices; of a component, and of equal rows, one row stays."""
+    base = [f"w{i}" for i in range(60)]
+    other = [f"x{i}" for i in range(60)]
+    a, b, c = " ".join(base), " ".join([*base, "more"]), " ".join(other)
+    rows = [(1, a), (1, c), (2, b), (3, c + " end"), (4, "own words of this one only"), (4, "own words of this one only"), (4, None), (4, None), (None, a), (5, "alone here with some words")]
+    got = sorted((tuple(r)[:4] for r in minhash.link(documents(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 57, 1, False), (4, 2, 4, True), (4, 2, 4, True), (4, 0, 4, True), (4, 0, 4, True), (None, 56, None, True), (5, 1, 5, True)], key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in minhash.keep_one(with_clashes(documents(spark, rows), "digest", "kept", "v")).collect()), key=str)
+    assert kept == sorted([(1, a), (1, c), (4, "own words of this one only"), (4, None), (4, None), (None, a), (5, "alone here with some words")], key=str)
+    plain_rows = rows[:1] + rows[2:5]
+    assert sorted(r["doc_id"] for r in minhash.keep_one(documents(spark, plain_rows)).collect()) == [1, 3, 4]
+    assert minhash.keep_one(documents(spark, [])).collect() == []
+
+
 def test_bands_collide_as_similarity_says():
     rng = np.random.default_rng(1)
     s = minhash.Signer()
