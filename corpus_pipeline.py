@@ -1,7 +1,8 @@
 """From raw documents to token ids, in five stages.
 
 Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All
-but the last return the columns of ``documents``.
+but the last return the columns that they were given. Null and empty texts go in the first
+stage; ids may be null or repeat, and other columns may have any names.
 """
 
 from __future__ import annotations
@@ -24,19 +25,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has go; documents of which nothing is left go too."""
-    left = line_dedup.dedup_lines(docs)
-    return left.where(F.col("text").rlike(common.NOT_BLANK)).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = line_dedup.dedup_lines(docs).where(F.col("text").rlike(common.NOT_BLANK))
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that with the smallest doc_id."""
-    gone = minhash.link(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group stays, that with the smallest doc_id. The threshold is op2's own: 85 percent of five-word shingles.
+
+    Rows equal in doc_id and shingles are one; rows without doc_id or without words stay.
+    """
+    return minhash.keep_one(docs).select(*docs.columns)
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
-    hit = decontaminate.find_hits(docs, common.table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("hit")).distinct()
+    """Documents that hold a window of a benchmark item go, with all rows of their doc_id."""
+    hits, _ = decontaminate.find_windows(docs, common.table(spark, sf_dir, "benchmark"))
+    hit = hits.select(F.col("doc_id").alias("hit")).distinct()
     return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti").select(*docs.columns)
 
 
