@@ -102,5 +102,15 @@ def words(text: Column, separators: str = BLANKS) -> Column:
     return F.coalesce(F.array_remove(F.split(text, separators), ""), F.array().cast("array<string>"))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, with so many more underscores before them that ``df`` has no such column."""
+    own, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in own:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

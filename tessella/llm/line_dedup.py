@@ -24,7 +24,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, unused, written
 
 #: Edits are allowed in lines from this length on. Larger groups are cut further.
 MIN_CHARS, EDITS, GROUP = 30, 1, 16
@@ -203,8 +203,9 @@ def line_report(docs: DataFrame, **how) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, **how) -> DataFrame:
     """``docs`` with its other columns as they are and the repeated lines gone from text."""
-    found = repeated_lines(docs, **how).where(F.size("removed") > 0).select(F.col("rid").alias("_rid"), F.col("removed").alias("_removed"))
+    rid, gone, all_ = unused(docs, "_rid", "_removed", "_lines")
+    found = repeated_lines(docs, **how).where(F.size("removed") > 0).select(F.col("rid").alias(rid), F.col("removed").alias(gone))
     lines = F.split("text", "\n")
-    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_removed")), lambda p: F.get(F.col("_lines"), p))
-    own = docs.withColumn("_rid", F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(found, "_rid", "left").withColumn("_lines", F.when(F.col("_removed").isNotNull(), lines))
-    return own.withColumn("text", F.when(F.col("_removed").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)
+    kept = F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(gone)), lambda p: F.get(F.col(all_), p))
+    own = docs.withColumn(rid, F.xxhash64("doc_id", F.coalesce("text", F.lit("")))).join(found, rid, "left").withColumn(all_, F.when(F.col(gone).isNotNull(), lines))
+    return own.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).select(*docs.columns)

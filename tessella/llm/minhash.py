@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, written
+from .common import lean, unused, written
 from .components import components
 
 SHINGLE, PERCENT, BINS, ROWS = 5, 85, 160, 5
@@ -225,19 +225,21 @@ def keep_one(docs: DataFrame, **how) -> DataFrame:
     doc_id all stay.
     """
     linked = written(link(docs, **how).where("n_shingles > 0 and doc_id is not null").select("doc_id", "kept", "digest"), "near-duplicates")
-    gone = linked.where("not kept").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
-    again = linked.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias("_id"))
-    ids = linked.groupBy("doc_id").agg(F.count_if(~F.col("kept")).alias("out"), F.count("*").alias("c")).where("out > 0 and out < c or c > 1")
+    id_, set_, own_set = unused(docs, "_id", "_digest", "_d")
+    gone = linked.where("not kept").select(F.col("doc_id").alias(id_), F.col("digest").alias(set_)).distinct()
+    again = linked.where("kept").groupBy("doc_id", "digest").agg(F.count("*").alias("c")).where("c > 1").select(F.col("doc_id").alias(id_)).distinct()
+    ids = linked.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1")
+    same_id = F.col("doc_id").cast("long") == F.col(id_)
     if ids.isEmpty():  # every id has one row
-        return docs.join(gone.select("_id"), F.col("doc_id").cast("long") == F.col("_id"), "left_anti")
+        return docs.join(gone.select(id_), same_id, "left_anti")
     size = how.get("shingle", SHINGLE)
 
     @F.pandas_udf("binary")
     def digest(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: _digest(shingles(t, size)))
 
-    own = docs.withColumn("_d", digest("text"))
-    own = own.join(gone, (F.col("doc_id").cast("long") == F.col("_id")) & (F.col("_d") == F.col("_digest")), "left_anti")
-    repeated = own.join(again.distinct(), (F.col("doc_id").cast("long") == F.col("_id")) & F.col("_d").isNotNull(), "left_semi")
-    single = own.join(again.distinct(), (F.col("doc_id").cast("long") == F.col("_id")) & F.col("_d").isNotNull(), "left_anti")
-    return single.unionByName(repeated.dropDuplicates(["doc_id", "_d"])).drop("_d")
+    own = docs.withColumn(own_set, digest("text"))
+    own = own.join(gone, same_id & (F.col(own_set) == F.col(set_)), "left_anti")
+    several = same_id & F.col(own_set).isNotNull()
+    repeated, single = own.join(again, several, "left_semi"), own.join(again, several, "left_anti")
+    return single.unionByName(repeated.dropDuplicates(["doc_id", own_set])).drop(own_set)
