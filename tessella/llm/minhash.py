@@ -174,14 +174,15 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
         most = F.floor(F.col("n") * (100 - percent) / 100).cast("int") + 1 - F.col("alone")
         first = e.where(most > 0).select("v", "comp", "n", "alone", F.posexplode(F.slice("e", F.lit(1), most)).alias("k", "x"))
         first = written(first.select("v", "comp", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")), "prefixes")
-        top = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1")
-        known = first.join(top.select("s", F.col("top.comp").alias("top")), "s")
+        counts = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+        known = first.join(counts.select("s", F.col("top.comp").alias("top"), "total", (F.col("total") - F.col("top.c")).alias("others")), "s")
         other = F.col("comp") != F.col("top")
+        # Side 0 has all holders, side 1 those outside the commonest component; blocks follow from these numbers.
+        blocks = F.ceil(F.when(F.col("side") == 0, F.col("total")).otherwise(F.col("others")) / BLOCK).cast("int")
         long = known.withColumn("side", F.explode(F.when(other, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
         short = known.where(F.col("left") * (100 + percent) >= F.col("n") * 2 * percent).withColumn("side", F.when(other, 0).otherwise(1))
-        blocks = long.groupBy("s", "side").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        a = long.join(blocks, ["s", "side"]).select("s", "side", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int").alias("block"), F.col("v").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("left").alias("aleft"))
-        b = short.join(blocks, ["s", "side"]).select("s", "side", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("v").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"), F.col("left").alias("bleft"))
+        a = long.select("s", "side", F.pmod(F.xxhash64("v"), blocks).cast("int").alias("block"), F.col("v").alias("a"), F.col("n").alias("an"), F.col("comp").alias("acomp"), F.col("left").alias("aleft"))
+        b = short.select("s", "side", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), F.col("v").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bcomp"), F.col("left").alias("bleft"))
         enough = F.least("aleft", "bleft") * (100 + percent) >= (F.col("an") + F.col("bn")) * percent
         longer = (F.col("an") > F.col("bn")) | ((F.col("an") == F.col("bn")) & (F.col("a") > F.col("b")))
         near = F.col("bn") * 100 >= F.col("an") * percent
