@@ -175,6 +175,7 @@ def link(docs: DataFrame, *, percent: int = PERCENT, shingle: int = SHINGLE, bin
         first = e.where(most > 0).select("v", "comp", "n", "alone", F.posexplode(F.slice("e", F.lit(1), most)).alias("k", "x"))
         first = written(first.select("v", "comp", "n", F.col("x.s").alias("s"), (F.col("n") - F.col("alone") - F.col("k")).alias("left")), "prefixes")
         counts = first.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s").agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("total"), F.count("*").alias("comps")).where("comps > 1")
+        counts = written(counts, "shingle-counts")  # as a plain table, so that the join can be split where a shingle is hot
         known = first.join(counts.select("s", F.col("top.comp").alias("top"), "total", (F.col("total") - F.col("top.c")).alias("others")), "s")
         other = F.col("comp") != F.col("top")
         # Side 0 has all holders, side 1 those outside the commonest component; blocks follow from these numbers.
