@@ -59,9 +59,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
     """
+    return written_at(df, name)[0]
+
+
+def written_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """written(), and the path, for drop_path() once nothing reads it any more."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    _delete(spark, path)
 
 
 def lean(run):

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
+from .clustering import cluster
 from .bpe import decode, digests, encode, load_ranks
 from .common import new_path, table
 from .decontaminate import decontaminate
@@ -16,6 +17,7 @@ from .langid import identify, load_pieces
 from .line_dedup import line_report
 from .minhash import link
 from .quality import judge
+from .token_counts import count_tokens, load_tokenizer
 from .url_filters import filter_urls, sample_entries
 from .warc import read_archives, write_archives
 
@@ -72,5 +74,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents")).select("doc_id", "digest", "license", F.array_join("line_licenses", ",").alias("line_licenses"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op7_line_dedup, op8_decontaminate, op9_language_id, op10_license_scan)}
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), load_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op7_line_dedup, op8_decontaminate, op9_language_id, op10_license_scan, op11_centroid_clustering, op12_token_counts)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}

@@ -146,3 +146,26 @@ g AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_removed, s
 SELECT doc_id, coalesce(n_lines, 0)::BIGINT AS n_lines, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_links, 0)::BIGINT AS n_links, coalesce(removed, '') AS removed
 FROM documents LEFT JOIN g USING (doc_id)
 """
+
+
+def _rounds(k: int = 40, rounds: int = 5) -> str:
+    """Assignments and floored means, one pair of CTEs a round."""
+    near = """SELECT vec_id, q, arg_min({'c': c, 'd': d}, {'d': d, 'c': c}) AS m FROM (
+  SELECT vec_id, q, c, list_sum(list_transform(list_zip(q, z), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS d FROM v, c%d) GROUP BY ALL"""
+    parts = [f"""v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id), q) - 1 AS c, q AS z FROM v ORDER BY sha256('2:' || vec_id), q LIMIT {k})"""]
+    for r in range(rounds):
+        parts.append(f"a{r} AS MATERIALIZED ({near % r})")
+        parts.append(f"""c{r + 1} AS MATERIALIZED (SELECT c, coalesce(n.z, c{r}.z) AS z FROM c{r} LEFT JOIN (
+  SELECT c, list(floor_mean ORDER BY i) AS z FROM (SELECT c, i, ((s - ((s % n) + n) % n) // n)::BIGINT AS floor_mean FROM (
+    SELECT m.c AS c, i, sum(x) AS s, count(*) AS n FROM (SELECT m, unnest(q) AS x, generate_subscripts(q, 1) AS i FROM a{r}) GROUP BY ALL)) GROUP BY c) n USING (c))""")
+    parts.append(f"f AS (SELECT vec_id, m.c AS cluster, m.d AS distance FROM ({near % rounds}))")
+    return ",\n".join(parts)
+
+
+SQL["op11_centroid_clustering"] = f"""
+WITH {_rounds()}
+SELECT vec_id, cluster::INT AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia, sum(distance) OVER ()::BIGINT AS inertia,
+  sha256(array_to_string(z, ',')) AS centroid_sha256 FROM f JOIN c5 ON c5.c = cluster
+"""

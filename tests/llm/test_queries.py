@@ -18,7 +18,7 @@ def test_query_as_sql(spark, name):
     df = e.queries()[name](spark, SF)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     con = duckdb.connect()
-    for t in ("documents", "labels", "benchmark", "pages"):
+    for t in ("documents", "labels", "benchmark", "pages", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     cur = con.execute(e.oracle_sql()[name])
     columns = [c[0] for c in cur.description]
