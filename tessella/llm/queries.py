@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import sql
-from .clustering import cluster
 from .bpe import decode, digests, encode, load_ranks
+from .clustering import cluster
 from .common import new_path, table
 from .decontaminate import decontaminate
 from .licenses import scan
@@ -17,6 +17,7 @@ from .langid import identify, load_pieces
 from .line_dedup import line_report
 from .minhash import link
 from .quality import judge
+from .search_index import build, search
 from .token_counts import count_tokens, load_tokenizer
 from .url_filters import filter_urls, sample_entries
 from .warc import read_archives, write_archives
@@ -82,5 +83,9 @@ def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), load_tokenizer(public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op7_line_dedup, op8_decontaminate, op9_language_id, op10_license_scan, op11_centroid_clustering, op12_token_counts)}
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_minhash_dedup, op3_warc, op4_quality_rules, op5_url_filters, op6_html_text, op7_line_dedup, op8_decontaminate, op9_language_id, op10_license_scan, op11_centroid_clustering, op12_token_counts, op13_ranked_search)}
 SQL = {k: v for k, v in sql.SQL.items() if k in QUERIES}
