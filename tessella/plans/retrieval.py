@@ -177,6 +177,21 @@ def bm25_batch(spark: SparkSession, d: str) -> DataFrame:
     return _index(spark, d).score_all(queries).select("query_id", "id", F.round("score", 6).alias("score"))
 
 
+@query("bm25_postings", SQL["bm25_batch"])
+def bm25_postings(spark: SparkSession, d: str) -> DataFrame:
+    """bm25_batch() from posting lists on disk: two batches, and one that puts the text of document 0 in place of a stand-in."""
+    from tessella.operators.postings import PostingIndex
+    from tessella.session import shared_path
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    index = PostingIndex(spark, shared_path(spark, "postings"))
+    index.add(docs.where("id % 2 = 0").withColumn("text", F.when(F.col("id") == 0, "a stand-in with words of its own ered the onnt").otherwise(F.col("text"))), "even")
+    index.add(docs.where("id % 2 <> 0"), "odd")
+    index.add(docs.where("id = 0"), "mended")
+    queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    return index.score_all(queries).select("query_id", "id", F.round("score", 6).alias("score"))
+
+
 def _hybrid(alpha: float) -> None:
     sql = f"""WITH {CENTROIDS}, {DOCS}, {CHUNKS}, corpus AS (SELECT chunk_id AS id, text FROM ch), {f.bm25('corpus', TERMS)},
     lex AS (SELECT id, sum(part) AS l FROM part GROUP BY id),

@@ -40,10 +40,16 @@ def _delete(spark: SparkSession, path: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}-{name}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once and read again: what a model said stays said, and a lost executor costs a re-read. Deleted when the driver ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessella-{uuid.uuid4().hex}-{name}"
-    atexit.register(_delete, spark, path)
+    path = shared_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
