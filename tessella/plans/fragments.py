@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.functions.text import GUARD_RULES, REJECTION, STOP_WORDS
+from tessella.operators import sentence_rules as rules
 
 WS = r"[ \t\n\r\f\x0b]"
 
@@ -106,6 +107,30 @@ def rule_sentences(x: str, key: str, source: str, abbreviations: frozenset[str])
     GROUP BY {key}, g)) WHERE content <> ''"""
 
 
+def ruled_sentences(x: str, key: str, source: str) -> str:
+    """A query of (key, i, s, e): by the rules for single stops. The tables have no quotation, bracket, list or run of dots with a stop that another rule would decide."""
+    names = lambda words: "(" + ", ".join(map(quote, sorted(words))) + ")"
+    ends = rf"[.!?…。！？]+[\"''”’»)\]]*{WS}+|\n{WS}*"
+    digit = "(regexp_matches(a, '^[0-9]') OR a = '(')"
+    lower = "(upper(a) <> a AND lower(a) = a)"
+    goes_on = f"""CASE WHEN stop <> '.' OR contains(m, chr(10)) OR a = '' THEN false WHEN l IN {names(rules.TITLES)} THEN true WHEN l IN {names(rules.NUMBERED)} AND {digit} THEN true
+      WHEN l IN {names(rules.ABBREVIATIONS | rules.NUMBERED)} THEN {lower} OR {digit} OR f = 'I' WHEN w IN ('A.M', 'P.M') THEN NOT (lower(a) <> a AND upper(a) = a)
+      WHEN regexp_full_match(w, '(\\p{{L}}\\.)+\\p{{L}}') THEN f NOT IN {names(rules.STARTERS)} WHEN regexp_full_match(w, '\\p{{Lu}}') THEN NOT (w = 'I' AND f IN {names(rules.STARTERS)}) ELSE false END"""
+    return f"""SELECT {key}, row_number() OVER (PARTITION BY {key} ORDER BY g) - 1 AS i, s, s + length(content) AS e FROM (
+  SELECT {key}, g, {strip("piece")} AS content, p0 + length(piece) - length(regexp_replace(piece, '^{WS}+', '')) AS s FROM (
+    SELECT {key}, g, string_agg(piece, '' ORDER BY k) AS piece, min(p0) AS p0 FROM (
+      SELECT *, coalesce(sum(CASE WHEN {goes_on} THEN 0 ELSE 1 END) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS g FROM (
+        SELECT *, lower(w) AS l FROM (
+          SELECT *, CASE WHEN contains(w0, '.') AND NOT regexp_full_match(w0, '(\\p{{L}}\\.)+\\p{{L}}') THEN regexp_extract(w0, '[^.]*$') ELSE w0 END AS w FROM (
+            SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY {key} ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS p0, regexp_extract(m, '^[.!?…。！？]+') AS stop,
+              ltrim(regexp_extract(piece[:length(piece) - length(m)], '[^ \\t\\n\\r\\f\\x0b]*$'), '"''“‘([{{«') AS w0,
+              coalesce(lead(piece[1]) OVER (PARTITION BY {key} ORDER BY k), '') AS a, coalesce(lead(regexp_extract(piece, '^\\p{{L}}{{0,21}}')) OVER (PARTITION BY {key} ORDER BY k), '') AS f FROM (
+              SELECT *, regexp_extract(piece, '({ends})$') AS m FROM (
+                SELECT {key}, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (
+                  SELECT {key}, string_split(regexp_replace({x}, '({ends})', '\\1' || chr(1), 'g'), chr(1)) AS p FROM {source} WHERE {x} IS NOT NULL)))))))
+    GROUP BY {key}, g)) WHERE content <> ''"""
+
+
 def hashed_vector(tokens: str, dim: int) -> str:
     """The offline embedder's vector, before it is scaled."""
     return f"list_transform(range({dim}), lambda b: len(list_filter({tokens}, lambda t: ('0x' || substr(md5(t), 1, 8))::BIGINT % {dim} = b))::DOUBLE)"

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import metrics, text, vector
-from tessella.operators import catalog, rag, search, segment
+from tessella.operators import catalog, rag, search, segment, sentence_rules
 from tessella.operators.bm25 import Bm25Index, query_terms
 from tessella.sources.tables import documents, table, whole_chunks
 
@@ -457,6 +457,13 @@ def rule_sentence_spans(spark: SparkSession, d: str) -> DataFrame:
     return each.select("doc_id", "i", "s.start_char", "s.end_char")
 
 
+@query("sentence_rule_spans", f"SELECT doc_id, i::INT AS i, s::INT AS start_char, e::INT AS end_char FROM ({f.ruled_sentences('text', 'doc_id', 'documents')})")
+def sentence_rule_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Sentences by all ordered rules."""
+    each = table(spark, d, "documents").select("doc_id", F.posexplode(sentence_rules.sentences_by_rules(F.col("text"))).alias("i", "s"))
+    return each.select("doc_id", "i", "s.start_char", "s.end_char")
+
+
 @query("ingest_batch", f"WITH sen AS ({_SENT}) SELECT doc_id AS id, 'completed' AS index_status, count(*)::INT AS n_chunks FROM ({_CHUNKED}) GROUP BY doc_id".replace("WITH sen AS (" + _SENT + ") ", ""))
 def ingest_batch(spark: SparkSession, d: str) -> DataFrame:
     """All documents through chunking, context and offline vectors."""
