@@ -69,7 +69,9 @@ def _context(h: Column, p: Column, k: int, reach: int) -> tuple[Column, Column]:
 
 
 def find_windows(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k: int = K, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Spans of documents that items also hold: (doc_id, s, e, w), words s to e - 1, with repeats; and (w, item_id), the items of each context w.
+    """Spans of documents that items also hold: (doc_id, text_hash, s, e, w), words s to e - 1, with repeats; and (w, item_id), the items of each context w.
+
+    A document is known by its id and the xxhash64 of its text, so that rows that share an id, or have none, stay apart.
 
     An item of fewer words than ``window`` is one window by itself. Null texts have no words.
     """
@@ -88,17 +90,17 @@ def find_windows(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, k:
     each = written(each.withColumn("w", F.xxhash64("m", "h", "il", "ir")), "item-windows")
     item = each.groupBy("w").agg(*(F.any_value(c).alias(c) for c in ("m", "h", "il", "ir")))
     few = item.limit(broadcast_rows + 1).count() <= broadcast_rows
-    doc = docs.select("doc_id", _hashed(F.col("text")).alias("dh"))
-    doc = doc.select("doc_id", "dh", F.explode(_fingerprints(F.col("dh"), window, k, short)).alias("f"))
+    doc = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _hashed(F.col("text")).alias("dh"))
+    doc = doc.select("doc_id", "text_hash", "dh", F.explode(_fingerprints(F.col("dh"), window, k, short)).alias("f"))
     dl, dr = _context(F.col("dh"), F.col("p"), k, reach)
-    doc = doc.select("doc_id", "dh", F.col("f.m").alias("m"), F.col("f.p").alias("p"), F.col("f.h").alias("h"))
+    doc = doc.select("doc_id", "text_hash", "dh", F.col("f.m").alias("m"), F.col("f.p").alias("p"), F.col("f.h").alias("h"))
     if few:  # the word hashes ride along in the same codegen stage and are copied for hits only
         hit = doc.join(F.broadcast(item), ["m", "h"]).withColumns({"dl": dl, "dr": dr})
     else:
         hit = doc.withColumns({"dl": dl, "dr": dr}).drop("dh").join(item, ["m", "h"])
-    hit = hit.select("doc_id", "w", "m", "p", _run(F.col("dl"), F.col("il"), reach).alias("l"), _run(F.col("dr"), F.col("ir"), reach).alias("r"))
+    hit = hit.select("doc_id", "text_hash", "w", "m", "p", _run(F.col("dl"), F.col("il"), reach).alias("l"), _run(F.col("dr"), F.col("ir"), reach).alias("r"))
     hit = hit.where((F.col("m") > 0) | (F.col("l") + F.col("r") + k >= window)).select(
-        "doc_id", F.when(F.col("m") > 0, F.col("p")).otherwise(F.col("p") - F.col("l")).alias("s"),
+        "doc_id", "text_hash", F.when(F.col("m") > 0, F.col("p")).otherwise(F.col("p") - F.col("l")).alias("s"),
         F.when(F.col("m") > 0, F.col("p") + F.col("m")).otherwise(F.col("p") + k + F.col("r")).alias("e"), "w")
     return hit, each.select("w", "item_id").distinct()
 
@@ -112,18 +114,17 @@ def find_hits(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
 def decontaminate(docs: DataFrame, items: DataFrame, **how) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, item_ids (ids as strings, sorted), contaminated.
 
-    Rows that share a doc_id share the hits of all their texts; a null doc_id is an id like
-    any other. Items without an id count as hits but have no entry in item_ids.
+    Each row has the hits of its own text, whether its id is repeated or null. Items without an id count as hits but have no entry in item_ids.
     """
     hit, owners = find_windows(docs, items, **how)
-    met = hit.groupBy("doc_id").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("w").alias("ws"))
+    met = hit.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("s", "e")).alias("spans"), F.collect_set("w").alias("ws"))
     met = written(met, "contaminated")
-    ids = met.select("doc_id", F.explode("ws").alias("w")).join(owners, "w").groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
-    spans = met.join(ids.withColumnRenamed("doc_id", "_of"), F.col("doc_id").eqNullSafe(F.col("_of")), "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
+    ids = met.select("doc_id", "text_hash", F.explode("ws").alias("w")).join(owners, "w").groupBy(F.col("doc_id").alias("_of"), F.col("text_hash").alias("_hash")).agg(F.collect_set(F.col("item_id").cast("string")).alias("ids"))
+    spans = met.join(ids, F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("text_hash") == F.col("_hash")), "left").withColumn("ids", F.coalesce("ids", F.array().cast("array<string>")))
     found = spans.select(
-        F.col("doc_id").alias("hit_id"), F.lit(True).alias("hit"), F.array_sort("ids").alias("ids"),
+        F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.lit(True).alias("hit"), F.array_sort("ids").alias("ids"),
         F.size(F.array_distinct(F.flatten(F.transform("spans", lambda x: F.sequence(x["s"], x["e"] - 1))))).cast("bigint").alias("n"))
-    own = docs.select("doc_id", F.size(words(ascii_lower(F.col("text")), SEPARATORS)).cast("bigint").alias("n_words"))
-    return own.join(found, own["doc_id"].eqNullSafe(found["hit_id"]), "left").select(
+    own = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words(ascii_lower(F.col("text")), SEPARATORS)).cast("bigint").alias("n_words"))
+    return own.join(found, own["doc_id"].eqNullSafe(found["hit_id"]) & (own["text_hash"] == found["hit_hash"]), "left").select(
         "doc_id", "n_words", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_hit"),
         F.coalesce("ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("hit", F.lit(False)).alias("contaminated"))

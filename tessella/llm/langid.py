@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import lean
+from .common import lean, unused
 
 #: Bound of what is learned from: distinct texts a language (expected number), with all of their words.
 TEXTS_PER_LANG = 1_000
@@ -196,7 +196,7 @@ def learn(rows: DataFrame, pieces: list[str], *, texts_per_lang: int = TEXTS_PER
     return Model(pieces, sorted(counts)).fit(counts) if counts else None
 
 
-def _predict(model: Model | None, drop_text: bool):
+def _predict(model: Model | None, drop_text: bool, names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at: dict[str, int] = {}
         known = np.zeros((0, len(model.langs) if model else 0))
@@ -222,7 +222,7 @@ def _predict(model: Model | None, drop_text: bool):
                     lang.append(model.langs[best])
                     score.append(float(1 / np.exp(total - total[best]).sum()))
             kept = [n for n in b.schema.names if not (drop_text and n == "text")]
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in kept), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[*kept, *names])
 
     return run
 
@@ -233,17 +233,17 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def label(docs: DataFrame, pieces: list[str], *, drop_text: bool = False, **bounds) -> DataFrame:
-    """``docs`` (without text, if so asked) and lang_pred, score.
+    """``docs`` (without text, if so asked) and lang_pred, score, under the names of unused() if docs has such columns.
 
     Nothing is learned from held-out rows, nor from rows without doc_id, text or lang.
     ``und`` with score 0: null text, no letter, or nothing to learn from. Equal texts get equal
     answers, however often they occur.
     """
     model = learn(docs.where(~held_out()).select("text", "lang"), pieces, **bounds)
-    given = docs.select(*(c for c in docs.columns if c not in ("lang_pred", "score")))
-    fields = [f for f in given.schema if not (drop_text and f.name == "text")]
-    schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return given.mapInArrow(lean(_predict(model, drop_text)), schema)
+    names = unused(docs, "lang_pred", "score")
+    fields = [f for f in docs.schema if not (drop_text and f.name == "text")]
+    schema = T.StructType([*fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
+    return docs.mapInArrow(lean(_predict(model, drop_text, names)), schema)
 
 
 def identify(docs: DataFrame, pieces: list[str], **bounds) -> DataFrame:

@@ -51,6 +51,14 @@ def test_as_brute_force(spark, limit):
     assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got) == plain(rows, items)
 
 
+def test_rows_that_share_an_id_stay_apart(spark):
+    """One contaminated and one clean text for no id and for id 5, and the contaminated one twice."""
+    span = "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10"
+    rows = [(None, f"a {span} b"), (None, "clean words"), (5, "x y"), (5, f"{span} c"), (5, f"{span} c"), (7, "fine"), (None, None)]
+    got = dc.decontaminate(documents(spark, rows), spark.createDataFrame([(1, span)], "item_id long, text string")).collect()
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in got) == plain(rows, [(1, span)])
+
+
 def test_long_items_only(spark):
     rng = random.Random(9)
     voc = [f"w{i}" for i in range(6)]

@@ -4,6 +4,7 @@ import random
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import langid
 
@@ -120,6 +121,13 @@ def test_as_brute_force(spark, pieces):
             assert r["lang_pred"] == model.langs[int(total.argmax())] and r["score"] == pytest.approx(1 / np.exp(total - total.max()).sum())
 
 
+def test_own_columns_stay(spark, pieces):
+    df = documents(spark, [(1, "these are plain words", "en"), (3, "and some more words", "en")]).withColumns({"score": F.lit(-7.5), "lang_pred": F.lit("mine")})
+    out = langid.label(df, pieces)
+    assert out.columns == [*df.columns, "_lang_pred", "_score"]
+    assert {(r["score"], r["lang_pred"], r["_lang_pred"]) for r in out.collect()} == {(-7.5, "mine", "en")}
+
+
 def test_nothing_to_learn_from(spark, pieces):
     assert [tuple(r)[2:] for r in langid.identify(documents(spark, [(1, "abc", None)]), pieces).collect()] == [("und", 0.0)]
     assert langid.identify(documents(spark, []), pieces).collect() == []
