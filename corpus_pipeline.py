@@ -20,7 +20,8 @@ LEAST_SCORE = 0.5
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognisable language go."""
     pieces = langid.load_pieces(public_tokenizers.path("piece_bpe_32k.model"))
-    return langid.label(docs, pieces).where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+    lang, score = common.unused(docs, "lang_pred", "score")
+    return langid.label(docs, pieces).where((F.col(lang) != "und") & (F.col(score) >= LEAST_SCORE)).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +41,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go, with all rows of their doc_id."""
+    """Documents that hold a window of a benchmark item go. Other rows of their doc_id, or without one, stay."""
     hits, _ = decontaminate.find_windows(docs, common.table(spark, sf_dir, "benchmark"))
-    hit = hits.select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit"]), "left_anti").select(*docs.columns)
+    id_, text = common.unused(docs, "hit", "hit_text")
+    hit = hits.select(F.col("doc_id").alias(id_), F.col("text_hash").alias(text)).distinct()
+    own = docs["doc_id"].eqNullSafe(hit[id_]) & (F.xxhash64(docs["text"]) == hit[text])
+    return docs.join(hit, own, "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
