@@ -12,14 +12,15 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.functions.text import fingerprint, index_tokens, span, with_context
-from tessella.functions.vector import cosine, literal, metric, norm
+from tessella.functions.vector import cosine, literal, metric
 from tessella.session import stored
 
-from .bm25 import Bm25Index, idf, matches, query_terms, saturated, term_counts, term_scores
+from .blocked import best_distinct, best_each
+from .bm25 import BROADCAST_TERMS, Bm25Index, idf, matches, query_terms, term_counts, term_scores
 
 DOCUMENT_THRESHOLD, CHUNK_THRESHOLD, HYBRID_THRESHOLD, TOP, ALPHA = 0.6, 0.4, 0.0, 5, 0.7
-#: More queries than these are refused by the batch search: they would be broadcast.
-MOST_QUERIES = 10_000
+#: More hits than these meet their chunks by a shuffle and not by a broadcast.
+FEW_HITS = 10_000
 
 
 def deduplicate(rows: DataFrame, content: Column, *order: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -29,16 +30,20 @@ def deduplicate(rows: DataFrame, content: Column, *order: Column, by: Sequence[s
 
 
 def best(rows: DataFrame, content: Column, threshold: float, top: int | None, key: str) -> DataFrame:
-    """Above the threshold, one row a content, the ``top`` best in order."""
-    order = [F.desc("score"), F.asc(key)]
-    kept = deduplicate(rows.where(F.col("score") > threshold), content, *order).orderBy(*order)
-    return kept if top is None else kept.limit(top)
+    """Above the threshold, one row a content, the ``top`` best, as (key, score). Contents stay where they are read."""
+    scored = rows.where(F.col("score") > threshold).select(F.col(key).cast("bigint").alias("id"), fingerprint(content).alias("_fp"), "score")
+    return best_distinct(scored, top).withColumnRenamed("id", key)
 
 
-def document_search(docs: DataFrame, vector: list[float], search_type: object = "cosine", top: int = TOP, threshold: float = DOCUMENT_THRESHOLD) -> DataFrame:
-    """(content, score, id) from docs (id, content, embedding). Unknown types mean cosine."""
+def document_search(docs: DataFrame, vector: list[float], search_type: object = "cosine", top: int | None = TOP, threshold: float = DOCUMENT_THRESHOLD) -> DataFrame:
+    """(content, score, id) from docs (id, content, embedding). Unknown types mean cosine.
+
+    No more than ``top`` rows a task are shuffled, without contents; those are fetched for the hits.
+    """
     scored = docs.where("embedding is not null").select("id", "content", metric(search_type)(F.col("embedding"), literal(vector)).alias("score"))
-    return best(scored, F.col("content"), threshold, top, "id").select("content", "score", "id")
+    hits = best(scored, F.col("content"), threshold, top, "id")
+    met = docs.select("id", "content").join(F.broadcast(hits) if top is not None and top <= FEW_HITS else hits, "id")
+    return met.select("content", "score", "id").orderBy(F.desc("score"), "id")
 
 
 def chunk_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
@@ -54,10 +59,21 @@ def chunk_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
 _HIT = ["content", "score", "document_id", "chunk_id", "start_char", "end_char"]
 
 
+def _fetched(best_: DataFrame, chunks: DataFrame, docs: DataFrame, few: bool, *more: str) -> DataFrame:
+    """best_ (chunk_id, score, ...) as hits with their contents, which are read for these chunks alone."""
+    own = best_.withColumnRenamed("chunk_id", "id")
+    return chunk_texts(chunks.join(F.broadcast(own) if few else own, "id"), docs).withColumn("content", F.col("text")).select(*more, *_HIT)
+
+
 def chunk_search(chunks: DataFrame, docs: DataFrame, vector: list[float], search_type: object = "cosine", top: int | None = TOP, threshold: float = CHUNK_THRESHOLD) -> DataFrame:
-    """Hits (content, score, document_id, chunk_id, start_char, end_char). Equal raw slices count once."""
-    scored = chunk_texts(chunks, docs).withColumn("score", metric(search_type)(F.col("embedding"), literal(vector)))
-    return best(scored, F.col("raw"), threshold, top, "chunk_id").withColumn("content", F.col("text")).select(*_HIT)
+    """Hits (content, score, document_id, chunk_id, start_char, end_char). Equal raw slices count once.
+
+    Chunks are scored before they meet their documents, of which only the slices' fingerprints are kept.
+    """
+    score = metric(search_type)(F.col("embedding"), literal(vector))
+    above = chunks.where("embedding is not null").withColumn("score", score).where(F.col("score") > threshold)
+    hits = best(chunk_texts(above, docs), F.col("raw"), threshold, top, "chunk_id")
+    return _fetched(hits, chunks, docs, top is not None and top <= FEW_HITS).orderBy(F.desc("score"), "chunk_id")
 
 
 def fuse(scored: DataFrame, alpha: float = ALPHA) -> Column:
@@ -67,12 +83,6 @@ def fuse(scored: DataFrame, alpha: float = ALPHA) -> Column:
     return a * part("semantic", "semantic_max") + (1 - a) * part("lexical", "lexical_max")
 
 
-def _fetched(best_: DataFrame, chunks: DataFrame, docs: DataFrame, few: bool, *more: str) -> DataFrame:
-    """best_ (chunk_id, score, ...) as hits with their contents, which are read for these chunks alone."""
-    own = best_.withColumnRenamed("chunk_id", "id")
-    return chunk_texts(chunks.join(F.broadcast(own) if few else own, "id"), docs).withColumn("content", F.col("text")).select(*more, *_HIT)
-
-
 def hybrid_search(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float] | None, top: int | None = TOP, threshold: float = HYBRID_THRESHOLD, alpha: float = ALPHA) -> DataFrame:
     """Hits as chunk_search(), by cosine and BM25 over the contextualised texts. No rows without a vector.
 
@@ -89,74 +99,49 @@ def hybrid_search(chunks: DataFrame, docs: DataFrame, query: str, vector: list[f
     most = scored.agg(F.max("lexical")).first()[0]
     scored = scored.withColumn("lexical_max", F.lit(most).cast("double"))
     scored = scored.withColumn("score", fuse(scored, alpha)).where(F.col("score") > threshold)
-    first = scored.groupBy("_fp").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("m")).select((-F.col("m.s")).alias("score"), "m.chunk_id")
-    order = [F.desc("score"), F.asc("chunk_id")]
-    if top is not None:
-        first = first.orderBy(*order).limit(top)
-    return _fetched(first, chunks, docs, top is not None and top <= MOST_QUERIES).orderBy(*order)
-
-
-def checked(queries: DataFrame) -> DataFrame:
-    """Few enough queries to be broadcast."""
-    if queries.limit(MOST_QUERIES + 1).count() > MOST_QUERIES:
-        raise ValueError(f"at most {MOST_QUERIES} queries at once; split them into blocks")
-    return queries
+    first = best_distinct(scored.select(F.col("chunk_id").cast("bigint").alias("id"), "_fp", "score"), top).withColumnRenamed("id", "chunk_id")
+    return _fetched(first, chunks, docs, top is not None and top <= FEW_HITS).orderBy(F.desc("score"), "chunk_id")
 
 
-def _best_each(scored: DataFrame, top: int) -> DataFrame:
-    """scored (query_id, chunk_id, _fp, score) to the ``top`` best contents a query, with rank from 0."""
-    first = scored.groupBy("query_id", "_fp").agg(F.min(F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("m")).select("query_id", (-F.col("m.s")).alias("score"), "m.chunk_id")
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return first.withColumn("rank", F.row_number().over(w) - 1).where(F.col("rank") < top)
+def _few(best_: DataFrame) -> bool:
+    return best_.limit(FEW_HITS + 1).count() <= FEW_HITS
 
 
-def batch_chunk_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, search_type: object = "cosine", top: int = TOP, threshold: float | None = None, alpha: float = ALPHA) -> DataFrame:
+def batch_chunk_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, search_type: object = "cosine", top: int = TOP, threshold: float | None = None, alpha: float = ALPHA, index=None) -> DataFrame:
     """Hits with query_id and rank from 0 for queries (query_id, query, vector), as hybrid_search() or chunk_search() finds them.
 
-    The queries are broadcast, behind a check of their number; each chunk meets all of them where it
-    is read. Queries without a vector find nothing.
+    Any number of queries: blocks of them are scored where chunks are read, and a task passes on
+    no more than ``top`` contents a query. Queries without a vector find nothing. Hybrid
+    search takes its postings from ``index``, a PostingIndex over the chunks' texts, or counts the texts' terms.
     """
-    asked = checked(queries.where(F.size("vector") > 0)).select("query_id", "query", "vector")
+    asked = queries.where(F.size("vector") > 0).select("query_id", "query", "vector")
     texts = chunk_texts(chunks, docs)
     if search_type != "hybrid":
         least = CHUNK_THRESHOLD if threshold is None else threshold
-        slim = texts.select("chunk_id", fingerprint(F.col("raw")).alias("_fp"), "embedding")
-        scored = slim.crossJoin(F.broadcast(asked.drop("query"))).select("query_id", "chunk_id", "_fp", metric(search_type)(F.col("embedding"), F.col("vector")).alias("score"))
-        best_ = stored(_best_each(scored.where(F.col("score") > least), top), "best")
-        return _fetched(best_, chunks, docs, best_.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES, "query_id", "rank")
-    slim = stored(texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding", index_tokens(F.col("text")).alias("tokens")), "hybrid-texts")
-    index = Bm25Index.of(slim.select("id", "tokens"))
+        slim = texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding")
+        best_ = stored(best_each(slim, asked, top, str(search_type), least).withColumnRenamed("id", "chunk_id"), "best")
+        return _fetched(best_, chunks, docs, _few(best_), "query_id", "rank")
     terms = asked.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("term"))
-    tf, df = index.asked_frequencies(terms, True)
-    # BM25 in the row: each chunk carries its counts of asked terms, each query its terms' weights.
-    weights = terms.join(df, "term").crossJoin(F.broadcast(index.stats())).groupBy("query_id").agg(
-        F.collect_list(F.struct("term", idf(F.col("n"), F.col("df")).alias("w"))).alias("terms"), F.first("avgdl").alias("avgdl"))
-    asked = asked.select("query_id", "vector", norm(F.col("vector")).alias("_nq")).join(weights, "query_id", "left")
-    counts = tf.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("term", "tf"))).alias("tf"))
-    own = stored(slim.select("id", "_fp", "embedding", F.size("tokens").alias("dl")).join(counts, "id", "left").withColumn("_nv", norm(F.col("embedding"))), "hybrid-counts")
-    one = lambda t: F.coalesce(t["w"] * saturated(F.col("tf")[t["term"]], F.col("dl"), F.col("avgdl")), F.lit(0.0))
-    lexical = F.coalesce(F.aggregate("terms", F.lit(0.0), lambda a, t: a + one(t)), F.lit(0.0))
-    pairs = own.crossJoin(F.broadcast(asked)).select(
-        "query_id", F.col("id").alias("chunk_id"), "_fp", cosine(F.col("embedding"), F.col("vector"), F.col("_nv"), F.col("_nq")).alias("semantic"), F.when(F.col("tf").isNotNull(), lexical).otherwise(0.0).alias("lexical"))
-    most = pairs.groupBy("query_id").agg(F.max("semantic").alias("semantic_max"), F.max("lexical").alias("lexical_max"))
-    met = pairs.join(F.broadcast(stored(most, "maxima")), "query_id")  # a row a query
-    scored = met.withColumn("score", fuse(met, alpha)).where(F.col("score") > (HYBRID_THRESHOLD if threshold is None else threshold))
-    best_ = stored(_best_each(scored, top), "best")
-    return _fetched(best_, chunks, docs, best_.limit(MOST_QUERIES + 1).count() <= MOST_QUERIES, "query_id", "rank")
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    slim = texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding", *([] if index is not None else [index_tokens(F.col("text")).alias("tokens")]))
+    slim = stored(slim, "hybrid-texts")
+    own = index if index is not None else Bm25Index.of(slim.select("id", "tokens"))
+    tf, df = own.asked_frequencies(terms, few)
+    n, avgdl = own.stats().first()
+    weights = stored(terms.join(df, "term").select("query_id", "term", idf(F.lit(n), F.col("df")).alias("w")), "weights")
+    counts = tf.groupBy("id").agg(F.max("dl").alias("dl"), F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("_t"))  # of one text
+    rows = slim.drop("tokens").join(counts, "id", "left").select(
+        "id", "_fp", "embedding", F.coalesce("dl", F.lit(0)).alias("dl"), F.col("_t.term").alias("terms"), F.col("_t.tf").alias("tfs"))
+    rows = stored(rows, "hybrid-counts")
+    best_ = best_each(rows, asked, top, "cosine", HYBRID_THRESHOLD if threshold is None else threshold, weights=weights, avgdl=avgdl, alpha=alpha)
+    best_ = stored(best_.withColumnRenamed("id", "chunk_id"), "best")
+    return _fetched(best_, chunks, docs, _few(best_), "query_id", "rank")
 
 
 def batch_topk(queries: DataFrame, corpus: DataFrame, top: int = TOP, search_type: object = "cosine", threshold: float | None = None) -> DataFrame:
-    """(query_id, id, score, rank) for queries (query_id, vector) over corpus (id, embedding).
+    """(query_id, id, score, rank from 1) for queries (query_id, vector) over corpus (id, embedding), of any numbers.
 
-    The queries are broadcast, so there may be at most MOST_QUERIES of them; each task
-    keeps its own best per query before anything is shuffled (WindowGroupLimit).
+    Each task keeps its own best of each query before anything is shuffled.
     """
-    asked = checked(queries).select("query_id", "vector", norm(F.col("vector")).alias("_nq"))
-    own = corpus.where("embedding is not null").select("id", "embedding", norm(F.col("embedding")).alias("_nv"))
-    f = metric(search_type)
-    score = cosine(F.col("embedding"), F.col("vector"), F.col("_nv"), F.col("_nq")) if f is cosine else f(F.col("embedding"), F.col("vector"))
-    scored = own.crossJoin(F.broadcast(asked)).select("query_id", "id", score.alias("score"))
-    if threshold is not None:
-        scored = scored.where(F.col("score") > threshold)
-    w = W.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    found = best_each(corpus.select("id", "embedding"), queries.select("query_id", "vector"), top, str(search_type), -1e300 if threshold is None else threshold)
+    return found.withColumn("rank", F.col("rank") + 1)
