@@ -68,8 +68,7 @@ class PostingIndex:
         self.log.write(old.select("id"), "replaced", batch)
         each = own.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "dl")
         each = each.withColumn("bucket", bucket(F.col("term")))
-        dealt = each.repartition(BUCKETS * SALTS, "bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-        self.log.write(dealt.sortWithinPartitions("bucket", "term", "id"), "postings", batch, ("bucket",))
+        self.log.write(self._dealt(each), "postings", batch, ("bucket",))
         signed = own.select(F.explode("terms").alias("term"), F.lit(1).alias("d")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("d")))
         deltas = signed.groupBy("term").agg(F.sum("d").alias("df")).where("df <> 0").withColumn("bucket", bucket(F.col("term")))
         self.log.write(deltas.repartition("bucket"), "deltas", batch, ("bucket",))
@@ -77,6 +76,11 @@ class PostingIndex:
         self.log.write(sums, "totals", batch)
         self.log.commit(batch)
 
+    @staticmethod
+    def _dealt(rows: DataFrame) -> DataFrame:
+        """A bucket in a few tasks and sorted, so that a file holds few terms a row group."""
+        return rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "id")
+
     def remove(self, ids: DataFrame, name: str) -> None:
         """Texts of ids (id) no longer count."""
         self.add(self.spark.createDataFrame([], "id bigint, text string"), name, ids)
@@ -155,7 +159,7 @@ class PostingIndex:
         forward = self.log.read("forward", "id bigint, dl int, terms array<string>, tfs array<int>", view)
         self.log.write(keep(forward), "forward", batch)
         postings = keep(self.log.read("postings", "term string, id bigint, tf int, dl int, bucket int", view))
-        self.log.write(postings.repartition(BUCKETS * SALTS, "bucket", F.pmod(F.xxhash64("id"), F.lit(SALTS))).sortWithinPartitions("bucket", "term", "id"), "postings", batch, ("bucket",))
+        self.log.write(self._dealt(postings), "postings", batch, ("bucket",))
         self.log.write(self.frequencies(every, view).withColumn("bucket", bucket(F.col("term"))).repartition("bucket"), "deltas", batch, ("bucket",))
         n, length = self.log.read("totals", "n bigint, length bigint", view).agg(F.sum("n"), F.sum("length")).first()
         self.log.write(self.spark.createDataFrame([(n, length)], "n bigint, length bigint"), "totals", batch)

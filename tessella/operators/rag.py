@@ -169,17 +169,51 @@ def embed_queries(queries: DataFrame, embedder: Embedder) -> DataFrame:
     return queries.withColumn("vector", embed_udf(embedder)(normalize(F.col("query"))))
 
 
-def answer_all(chunks: DataFrame, docs: DataFrame, queries: DataFrame, embedder: Embedder, generator: Generator, options: Options | None = None) -> DataFrame:
+def rewrite_all(queries: DataFrame, generator: Generator, hyde: bool = False, decompose: bool = False) -> DataFrame:
+    """(query_id, sub_idx, original, passage) of queries (query_id, query), as rewrite() for each.
+
+    The model is asked for all queries in batches, and what it says is written once. A query whose
+    decomposition fails stays whole; a passage that fails is ''.
+    """
+    asked = queries.select("query_id", "query")
+    if decompose:
+        asked = stored(asked.withColumn("response", generate_udf(generator)(filled(DECOMPOSE_PROMPT, query=F.col("query")))), "decompositions")
+        subs = asked.select("query_id", F.posexplode(sub_queries(F.col("response"), F.col("query"))).alias("sub_idx", "original"))
+    else:
+        subs = asked.select("query_id", F.lit(0).alias("sub_idx"), F.col("query").alias("original"))
+    if not hyde:
+        return subs.withColumn("passage", F.lit(None).cast("string"))
+    return stored(subs.withColumn("passage", generate_udf(generator)(filled(PASSAGE_PROMPT, query=F.col("original")))), "passages")
+
+
+def retrieve_all(chunks: DataFrame, docs: DataFrame, queries: DataFrame, embedder: Embedder, options: Options, generator: Generator | None = None, index=None) -> DataFrame:
+    """The hits of queries (query_id, query) with rank from 0, as retrieve() for each.
+
+    The sub-queries of all queries are searched at once; their hits are merged within each query.
+    A sub-query is found by its passage's vector, if it has one, and by its own words.
+    """
+    if not (options.hyde or options.decompose):
+        asked = stored(embed_queries(queries.select("query_id", "query"), embedder), "query-vectors")
+        return batch_chunk_search(chunks, docs, asked, options.search_type, options.top, index=index)
+    subs = rewrite_all(queries, generator, options.hyde, options.decompose)
+    subs = subs.withColumn("sid", F.to_json(F.struct("query_id", "sub_idx")))
+    text = F.when(F.length("passage") > 0, F.col("passage")).otherwise(F.col("original"))
+    subs = stored(subs.withColumn("vector", embed_udf(embedder)(normalize(text))), "sub-queries")
+    asked = subs.select(F.col("sid").alias("query_id"), F.col("original").alias("query"), "vector")
+    hits = batch_chunk_search(chunks, docs, asked, options.search_type, options.top, index=index).withColumnRenamed("query_id", "sid")
+    merged = merge(hits.join(subs.select("sid", "query_id", "sub_idx"), "sid"), options.top, ("query_id",))
+    best = W.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
+    return merged.withColumn("rank", F.row_number().over(best) - 1).drop("sid", "sub_idx")
+
+
+def answer_all(chunks: DataFrame, docs: DataFrame, queries: DataFrame, embedder: Embedder, generator: Generator, options: Options | None = None, index=None) -> DataFrame:
     """(query_id, query, answer, sources, source_kind) for many queries (query_id, query) at once, as answer() for each.
 
     Models are asked in batches by executors, and what they say is written once. A query whose
-    vector fails finds nothing. Options that rewrite queries are for single requests.
+    vector fails finds nothing. ``index``: a PostingIndex over the chunks' texts, for hybrid search.
     """
     o = options or Options()
-    if o.hyde or o.decompose:
-        raise ValueError("queries are rewritten one request at a time")
-    asked = stored(embed_queries(queries.select("query_id", "query"), embedder), "query-vectors")
-    hits = stored(batch_chunk_search(chunks, docs, asked, o.search_type, o.top), "hits")
+    hits = stored(retrieve_all(chunks, docs, queries, embedder, o, generator, index), "hits")
     if o.rerank:
         context = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "content"))), lambda x: F.concat(F.lit("["), x["rank"].cast("string"), F.lit("] "), x["content"])), "\n\n").alias("context"))
         ask = filled(RERANK_PROMPT, n=F.col("n").cast("string"), query=F.col("query"), context=F.col("context"))

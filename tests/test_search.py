@@ -149,3 +149,32 @@ def test_catalog(spark):
     assert {r["id"] for r in catalog.valid_chunks(c).collect()} == {7, 6, 8}
     rows = {r["id"]: r["chunks"] for r in catalog.listing(d, c.where("id < 9")).collect()}
     assert [x["content"] for x in rows[1]] == ["text", "one"] and rows[3] == [] and len(rows) == 4
+
+
+def test_answer_all_as_answer(spark, docs):
+    """Rewritten, merged and reranked for many queries at once as for each; failing models leave queries whole."""
+    emb = HashEmbedder(16)
+    rows = [(i, d, s, e, emb.embed([t[s:e].lower()])[0], None) for i, (d, s, e, t) in enumerate([(1, 0, 5, "Alpha text"), (1, 6, 10, "Alpha text"), (2, 0, 11, "alpha  TEXT"), (3, 0, 4, "Beta")])]
+    chunks = spark.createDataFrame(rows, "id long, document_id long, start_char int, end_char int, embedding array<double>, context string")
+
+    def model(p):
+        if "Split" in p:
+            if "fails" in p:
+                raise RuntimeError("no")
+            return "1. alpha\n2) beta\n\n 3. text" if "both" in p else ""
+        if "passage that" in p:
+            return p.rsplit(": ", 1)[1] + " alpha"
+        return "[3, 9, 7]" if "Rate" in p else p
+
+    g = EchoGenerator(model)
+    queries = [(1, "both"), (2, "beta text"), (3, "the of"), (4, "alpha fails"), (5, "both")]
+    asked = spark.createDataFrame(queries, "query_id int, query string")
+    subs = [(r["query_id"], r["original"], r["passage"]) for r in rag.rewrite_all(asked, g, True, True).orderBy("query_id", "sub_idx").collect()]
+    assert subs[:4] == [(1, "alpha", "alpha alpha"), (1, "beta", "beta alpha"), (1, "3. text", "3. text alpha"), (2, "beta text", "beta text alpha")] and (4, "alpha fails", "alpha fails alpha") in subs
+    for o in (rag.Options("hybrid", decompose=True, hyde=True), rag.Options("cosine", decompose=True), rag.Options("hybrid", hyde=True, rerank=True), rag.Options("euclidean", top=2)):
+        got = {r["query_id"]: r for r in rag.answer_all(chunks, docs, asked, emb, g, o).collect()}
+        for i, q in queries:
+            if "fails" not in q or not o.decompose:
+                one = rag.answer(chunks, docs, q, emb, g, o)
+                assert [(s["chunk_id"], round(s["score"], 9)) for s in got[i]["sources"]] == [(s["chunk_id"], round(s["score"], 9)) for s in one["sources"]]
+                assert got[i]["source_kind"] == one["source_kind"] and got[i]["answer"] == one["answer"].strip()
