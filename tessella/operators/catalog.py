@@ -47,6 +47,25 @@ def starting_like(docs: DataFrame, sample: str, length: int = 101) -> DataFrame:
     return docs.where(F.col("content").startswith(sample[:length]))
 
 
+def with_prefix(docs: DataFrame, samples: DataFrame, length: int = 101) -> DataFrame:
+    """(sample_id, first_id, n): the documents (id, content[, head]) that begin with the first ``length`` characters of each of samples (sample_id, text): the smallest id and how many. No row for none.
+
+    By equality of the beginnings' digests: documents need one for the full length (head, where it is
+    stored) and one for each length of a shorter sample, of which there are no more than ``length``. They
+    are counted before they meet the samples. Null samples and contents match nothing.
+    """
+    begun = lambda text, n: F.sha2(F.substring(text, F.lit(1), n), 256)
+    n = F.least(F.length("text"), F.lit(length))
+    asked = samples.where("text is not null").select("sample_id", n.alias("_n"), begun(F.col("text"), n).alias("_head"))
+    short = sorted(r[0] for r in asked.where(F.col("_n") < length).select("_n").distinct().collect())  # lengths below the full one
+    whole = F.col("head") if "head" in docs.columns else begun(F.col("content"), F.lit(length))
+    classes = [F.when(F.length("content") >= length, F.struct(F.lit(length).alias("_n"), whole.alias("_head")))]
+    classes += [F.when(F.length("content") >= k, F.struct(F.lit(k).alias("_n"), begun(F.col("content"), F.lit(k)).alias("_head"))) for k in short]
+    each = docs.where("content is not null").select("id", F.explode(F.filter(F.array(*classes), lambda x: x.isNotNull())).alias("c"))
+    found = each.groupBy("c._n", "c._head").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    return asked.join(found, ["_n", "_head"]).select("sample_id", "first_id", "n")
+
+
 def listing(docs: DataFrame, chunks: DataFrame) -> DataFrame:
     """(id, content, index_status, chunks): chunks in the order of their ids, [] for none. Their context is also named content_hash."""
     own = docs.select(F.col("id").alias("document_id"), F.col("content").alias("_whole"))

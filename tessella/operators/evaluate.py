@@ -12,14 +12,12 @@ from tessella.functions.text import percent, truncate
 from tessella.session import stored
 from tessella.sources import dataset
 from tessella.sources.providers import Embedder, Generator
-from tessella.sources.store import Store
+from tessella.sources.store import HEAD, Store
 from tessella.streaming.ingest import process
 
-from . import rag
+from . import catalog, rag
 
 GATE = 50.0
-#: So many characters decide whether a lecture is in the store.
-SAMPLE = 101
 
 
 def evaluate(questions: DataFrame, answers: DataFrame, pass_mark: float = PASS_MARK) -> DataFrame:
@@ -38,9 +36,9 @@ def answers_to(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedde
 
 def ingest_lectures(store: Store, lectures: DataFrame, embedder: Embedder, generator: Generator | None = None, seconds: float = 60, **how) -> int:
     """Stores and indexes the lectures (id, content) whose beginning no document has, and waits; how many are still in progress."""
-    own = store.documents().select(F.col("content").alias("_known"))
-    known = F.col("_known").startswith(F.substring("content", 1, SAMPLE))
-    accepted, _ = store.insert(lectures.where("content is not null").join(own, known, "left_anti"), source="lectures")
+    known = catalog.with_prefix(store.heads(), lectures.select(F.col("id").alias("sample_id"), F.col("content").alias("text")), HEAD)
+    new = lectures.where("content is not null").join(known.select(F.col("sample_id").alias("_known")), F.col("id") == F.col("_known"), "left_anti")
+    accepted, _ = store.insert(new, source="lectures")
     if not accepted.isEmpty():
         process(store, accepted, f"lectures-{uuid.uuid4().hex}", embedder, generator, **how)
     return store.wait(seconds)

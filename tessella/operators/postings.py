@@ -21,6 +21,7 @@ from .bm25 import BROADCAST_TERMS, idf, query_terms, saturated
 BUCKETS = 64
 #: Parts of a bucket when it is written, so that a term of very many texts isn't one task's.
 SALTS = 4
+_FORWARD = "id bigint, owner bigint, dl int, terms array<string>, tfs array<int>"
 _TABLES = ["postings", "forward", "deltas", "totals", "replaced"]
 
 
@@ -47,7 +48,7 @@ class PostingIndex:
         self.spark, self.log = spark, Log(spark, root)
 
     def add(self, corpus: DataFrame, name: str, gone: DataFrame | None = None) -> None:
-        """Adds or replaces texts (id, text), and removes the ids of ``gone`` (id), as one batch. Null texts have no tokens but count as texts.
+        """Adds or replaces texts (id, text[, owner]), and removes those of ``gone`` (id, or owner), as one batch. Null texts have no tokens but count as texts.
 
         One writer at a time. A batch that was added under this name before changes nothing.
         """
@@ -56,14 +57,16 @@ class PostingIndex:
         batch, view = self.log.begin(name), self.log.view()
         batch = Batch(batch.number, batch.number)  # what failed before has no place
         c = counted(index_tokens(F.col("text")))
-        self.log.write(corpus.select(F.col("id").cast("bigint").alias("id"), c.alias("c")).select("id", F.aggregate("c.tfs", F.lit(0), lambda a, x: a + x).alias("dl"), "c.terms", "c.tfs"), "forward", batch)
+        owner = F.col("owner").cast("bigint") if "owner" in corpus.columns else F.lit(None).cast("bigint")
+        self.log.write(corpus.select(F.col("id").cast("bigint").alias("id"), owner.alias("owner"), c.alias("c")).select("id", "owner", F.aggregate("c.tfs", F.lit(0), lambda a, x: a + x).alias("dl"), "c.terms", "c.tfs"), "forward", batch)
         own = self.spark.read.parquet(f"{self.log.root}/forward/batch={batch.number}").drop("seq")
         n, ids = own.agg(F.count("*"), F.count_distinct("id")).first()
         if n != ids:
             raise ValueError("ids of a batch must be unique and not null")
         changed = own.select("id")
         if gone is not None:
-            changed = changed.unionByName(gone.select(F.col("id").cast("bigint").alias("id"))).distinct()
+            ids = gone.select(F.col("id").cast("bigint").alias("id")) if "id" in gone.columns else self._forward(view).join(gone.select(F.col("owner").cast("bigint").alias("owner")), "owner", "left_semi").select("id")
+            changed = changed.unionByName(ids).distinct()
         old = stored(self._forward(view).join(changed, "id", "left_semi"), "replaced")
         self.log.write(old.select("id"), "replaced", batch)
         each = own.select("id", "dl", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(F.col("p.terms").alias("term"), "id", F.col("p.tfs").alias("tf"), "dl")
@@ -91,7 +94,7 @@ class PostingIndex:
         return df.join(later, (F.col("id") == F.col("_id")) & (F.col("seq") < F.col("_seq")), "left_anti").drop("seq")
 
     def _forward(self, view: View) -> DataFrame:
-        return self._current(self.log.read("forward", "id bigint, dl int, terms array<string>, tfs array<int>", view), view)
+        return self._current(self.log.read("forward", _FORWARD, view), view)
 
     def size(self) -> int:
         return self.totals()[0]
@@ -156,7 +159,7 @@ class PostingIndex:
         every = list(range(BUCKETS))
         keep = lambda rows: rows.join(  # noqa: E731  with their places, which later replacements compare
             self.log.read("replaced", "id bigint", view).groupBy(F.col("id").alias("_id")).agg(F.max("seq").alias("_seq")), (F.col("id") == F.col("_id")) & (F.col("seq") < F.col("_seq")), "left_anti")
-        forward = self.log.read("forward", "id bigint, dl int, terms array<string>, tfs array<int>", view)
+        forward = self.log.read("forward", _FORWARD, view)
         self.log.write(keep(forward), "forward", batch)
         postings = keep(self.log.read("postings", "term string, id bigint, tf int, dl int, bucket int", view))
         self.log.write(self._dealt(postings), "postings", batch, ("bucket",))

@@ -6,7 +6,6 @@ are literal texts, or the mean vectors of the embeddings' labels.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -329,6 +328,13 @@ def prefix_match(spark: SparkSession, d: str) -> DataFrame:
     return catalog.starting_like(_with_status(spark, d), sample).select("id")
 
 
+@query("prefix_lookup", "SELECT a.doc_id AS sample_id, min(b.doc_id) AS first_id, count(*) AS n FROM documents a JOIN documents b ON starts_with(b.text, substring(a.text, 1, 101)) GROUP BY a.doc_id")
+def prefix_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """Of each document as a sample: the documents that begin as it does, by an equality join."""
+    docs = table(spark, d, "documents")
+    return catalog.with_prefix(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("content")), docs.select(F.col("doc_id").alias("sample_id"), "text"))
+
+
 @query("orphan_chunks", f"SELECT doc_id AS document_id, start_char::INT AS start_char FROM ({_CHUNKED}) WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def orphan_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks of all documents against those that have labels."""
@@ -507,13 +513,13 @@ UNION ALL SELECT unnest([-1, -2, -3])::BIGINT, 'failed', NULL, NULL, NULL
 UNION ALL SELECT doc_id, 'failed', NULL, NULL, NULL FROM documents WHERE text IS NULL OR regexp_full_match(text, '({f.WS}|\\p{{Z}})*')""")
 def ingest_states(spark: SparkSession, d: str) -> DataFrame:
     """Through a store: completed documents with their chunks and contexts, one that fails, blank ones."""
-    from tessella.session import shared_dir
+    from tessella.session import shared_path
     from tessella.sources.providers import EchoGenerator
     from tessella.sources.store import Store
     from tessella.streaming.ingest import process
 
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    store = Store(spark, f"{shared_dir(spark)}/tessella-store-{uuid.uuid4().hex}")
+    store = Store(spark, shared_path(spark, "store"))
     docs = docs.unionByName(spark.createDataFrame(_ODD, "id long, content string"))
     store.add(docs, "all")
     process(store, docs, "all", _FailsAt("fails"), EchoGenerator(lambda p: p.rsplit("Excerpt:\n", 1)[1][:12]), dim=8)

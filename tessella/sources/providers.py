@@ -8,6 +8,7 @@ import math
 import re
 import urllib.request
 from collections.abc import Callable, Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
@@ -73,27 +74,35 @@ def text_of(body: dict) -> str:
         raise ProviderError("the answer has no text") from e
 
 
+def each(call: Callable[[object], object], items: Sequence, at_once: int) -> list:
+    """The answers in order, with so many calls in flight. The first failure is raised once none is."""
+    if at_once <= 1 or len(items) < 2:
+        return [call(x) for x in items]
+    with ThreadPoolExecutor(min(at_once, len(items))) as pool:
+        return list(pool.map(call, items))
+
+
 class HttpEmbedder:
     """POST {model, prompt}, answered by {embedding: [...]}."""
 
-    def __init__(self, url: str, model: str, timeout: float = 60):
-        self.url, self.model, self.timeout = url, model, timeout
+    def __init__(self, url: str, model: str, timeout: float = 60, at_once: int = 8):
+        self.url, self.model, self.timeout, self.at_once = url, model, timeout, at_once
 
     def embed(self, texts: Sequence[str]) -> list[list[float]]:
-        return [embedding_of(_post(self.url, {"model": self.model, "prompt": t}, self.timeout)) for t in texts]
+        return each(lambda t: embedding_of(_post(self.url, {"model": self.model, "prompt": t}, self.timeout)), texts, self.at_once)
 
 
 class HttpGenerator:
     """POST <base>/models/<model>:generateContent, answered by {candidates: [...]}; and cached contents."""
 
-    def __init__(self, base: str, model: str, key: str, cached_model: str | None = None, timeout: float = 60):
-        self.base, self.model, self.key, self.cached_model, self.timeout = base.rstrip("/"), model, key, cached_model or model, timeout
+    def __init__(self, base: str, model: str, key: str, cached_model: str | None = None, timeout: float = 60, at_once: int = 8):
+        self.base, self.model, self.key, self.cached_model, self.timeout, self.at_once = base.rstrip("/"), model, key, cached_model or model, timeout, at_once
 
     def _call(self, model: str, body: dict) -> str:
         return text_of(_post(f"{self.base}/models/{model}:generateContent?key={self.key}", body, self.timeout))
 
     def generate(self, prompts: Sequence[str]) -> list[str]:
-        return [self._call(self.model, {"contents": [{"parts": [{"text": p}]}]}) for p in prompts]
+        return each(lambda p: self._call(self.model, {"contents": [{"parts": [{"text": p}]}]}), prompts, self.at_once)
 
     def create_cached(self, text: str, ttl: str = "300s") -> str:
         body = {"model": f"models/{self.cached_model}", "contents": [{"role": "user", "parts": [{"text": text}]}], "ttl": ttl}
@@ -121,11 +130,11 @@ def verdict(response: str | None) -> str:
 class HttpClassifier:
     """POST {model, prompt, stream: false}, answered by {response: ...}."""
 
-    def __init__(self, url: str, model: str, prompt: str = "{query}", timeout: float = 60):
-        self.url, self.model, self.prompt, self.timeout = url, model, prompt, timeout
+    def __init__(self, url: str, model: str, prompt: str = "{query}", timeout: float = 60, at_once: int = 8):
+        self.url, self.model, self.prompt, self.timeout, self.at_once = url, model, prompt, timeout, at_once
 
     def classify(self, texts: Sequence[str]) -> list[str]:
-        return [verdict(_post(self.url, {"model": self.model, "prompt": self.prompt.format(query=t), "stream": False}, self.timeout).get("response")) for t in texts]
+        return each(lambda t: verdict(_post(self.url, {"model": self.model, "prompt": self.prompt.format(query=t), "stream": False}, self.timeout).get("response")), texts, self.at_once)
 
 
 class HashEmbedder:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor, wait
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -10,13 +12,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tessella.functions.text import fingerprint, is_blank, normalize, with_context
+from tessella.operators.postings import PostingIndex
 from tessella.operators.rag import CACHED_CHUNK_PROMPT, CHUNK_PROMPT, DOCUMENT_WRAPPER
+from tessella.operators.search import chunk_texts
 from tessella.operators.segment import chunks, chunks_with_vectors, sentences
 from tessella.session import stored
 from tessella.sources.providers import ZERO_DIM, Embedder, Generator, asked, or_zero, try_embed_udf
 from tessella.sources.store import Store
 
 THRESHOLD = 0.8
+#: Calls to a generator that a task has in flight.
+AT_ONCE = 8
 
 
 def embed_all_udf(embedder: Embedder) -> Callable[[Column], Column]:
@@ -35,54 +41,74 @@ def embed_all_udf(embedder: Embedder) -> Callable[[Column], Column]:
     return run
 
 
-def contextualize(document: str, parts: list[str], generator: Generator) -> list[str]:
-    """A line of context a part. With a cached document if the generator can; if anything fails there, all parts anew without; a part that fails then has ''."""
+def contextualize(document: str, parts: list[str], generator: Generator, run=map) -> list[str]:
+    """A line of context a part. With a cached document if the generator can, which lives until its last part is done; if anything fails there, all parts anew without; a part that fails then has ''.
+
+    ``run`` maps a function over parts, in order.
+    """
     if hasattr(generator, "create_cached"):
         name = None
         try:
             name = generator.create_cached(DOCUMENT_WRAPPER.format(document=document))
-            return [generator.generate_cached(name, CACHED_CHUNK_PROMPT.format(chunk=p)).strip() for p in parts]
+            return [x.strip() for x in run(lambda p: generator.generate_cached(name, CACHED_CHUNK_PROMPT.format(chunk=p)), parts)]
         except Exception:
             pass
         finally:
             if name:
                 generator.delete_cached(name)
-    out = []
-    for p in parts:
+
+    def alone(p: str) -> str:
         try:
-            out.append(generator.generate([CHUNK_PROMPT.format(document=document, chunk=p)])[0].strip())
+            return generator.generate([CHUNK_PROMPT.format(document=document, chunk=p)])[0].strip()
         except Exception:
-            out.append("")
-    return out
+            return ""
+
+    return list(run(alone, parts))
+
 
+def contextualize_all(rows: list[tuple[str, list[str]]], generator: Generator, at_once: int = AT_ONCE) -> list[list[str]]:
+    """contextualize() for documents and their parts, with no more than ``at_once`` calls for parts in flight over all of them."""
+    if at_once == 1:
+        return [contextualize(d, parts, generator) for d, parts in rows]
+    with ThreadPoolExecutor(at_once) as calls, ThreadPoolExecutor(at_once) as documents:  # a document waits in the second for its calls in the first
 
-def context_udf(generator: Generator) -> Callable[[Column, Column], Column]:
+        def run(f, items):
+            futures = [calls.submit(f, x) for x in items]
+            wait(futures)  # none is in flight when a cached document goes
+            return [x.result() for x in futures]
+
+        return list(documents.map(lambda r: contextualize(*r, generator, run), rows))
+
+
+def context_udf(generator: Generator, at_once: int = AT_ONCE) -> Callable[[Column, Column], Column]:
     """Document and its parts to the parts' contexts: a document's parts are together in its row."""
 
     @F.pandas_udf("array<string>")
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for docs, parts in batches:
-            yield pd.Series([contextualize(d or "", list(p), generator) if p is not None else [] for d, p in zip(docs, parts, strict=True)], dtype=object)
+            rows = [(d or "", list(p) if p is not None else []) for d, p in zip(docs, parts, strict=True)]
+            yield pd.Series(contextualize_all(rows, generator, at_once), dtype=object)
 
     return run
 
 
-def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = None, *, size: int = 500, semantic: bool = False, dim: int = ZERO_DIM) -> DataFrame:
+def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = None, *, size: int = 500, semantic: bool = False, dim: int = ZERO_DIM, splitter: Callable[[Column], Column] = sentences, at_once: int = AT_ONCE) -> DataFrame:
     """docs (id, content) with embedding, chunk structs (start_char, end_char, content, context, embedding) and index_status.
 
     A vector that the service leaves empty becomes zeros. A document whose own vector or any
     of whose chunks' vectors fails has failed: no chunks, and no vector if that failed.
-    Blank documents aren't indexed.
+    Blank documents aren't indexed. ``splitter`` makes sentences (see sentence_rules.sentences_by_rules());
+    ``at_once`` bounds a task's calls to the generator.
     """
     embed_all, one = embed_all_udf(embedder), try_embed_udf(embedder)(normalize(F.col("content")))
-    own = docs.where(~is_blank(F.col("content"))).select("id", "content", one.alias("one"), sentences(F.col("content")).alias("spans"))
+    own = docs.where(~is_blank(F.col("content"))).select("id", "content", one.alias("one"), splitter(F.col("content")).alias("spans"))
     if semantic:
         own = own.withColumn("sv", embed_all(F.transform("spans", lambda s: normalize(s["content"]))))
         own = own.withColumn("parts", chunks_with_vectors(F.col("spans"), F.col("sv"), size, 0, THRESHOLD)).drop("sv")
     else:
         own = own.withColumn("parts", chunks(F.col("spans"), size, 0))
     texts = F.transform("parts", lambda c: c["content"])
-    context = context_udf(generator)(F.col("content"), texts) if generator else F.transform("parts", lambda _: F.lit(""))
+    context = context_udf(generator, at_once)(F.col("content"), texts) if generator else F.transform("parts", lambda _: F.lit(""))
     own = own.withColumn("contexts", context)
     full = F.transform("parts", lambda c, i: normalize(with_context(F.get("contexts", i), c["content"])))
     own = own.withColumn("vectors", embed_all(full))
@@ -98,20 +124,29 @@ def chunk_table(done: DataFrame) -> DataFrame:
     return each.select(F.xxhash64("document_id", "n").alias("id"), "document_id", "c.start_char", "c.end_char", "c.embedding", "c.context")
 
 
-def process(store: Store, docs: DataFrame, batch: object, embedder: Embedder, generator: Generator | None = None, **how) -> None:
-    """Indexes docs (id, content) into the store: processing, then completed or failed (blank ones too). A repeated batch overwrites what it wrote."""
-    store.set_status(docs.select("id", F.lit("processing").alias("index_status")), f"{batch}-processing")
+def process(store: Store, docs: DataFrame, batch: object, embedder: Embedder, generator: Generator | None = None, *, index: PostingIndex | None = None, **how) -> None:
+    """Indexes docs (id, content) into the store: processing, then completed or failed (blank ones too).
+
+    Vectors, chunks and final states become visible at once. ``batch`` is the batch that added the
+    documents, if one did; a repeated one replaces what it wrote. ``index`` gets the chunks' texts, in
+    place of those that the documents had before.
+    """
+    store.set_status(docs.select("id", F.lit("processing").alias("index_status")), f"{batch}-processing", batch)
     done = stored(indexed(docs, embedder, generator, **how), "indexed")  # the models are asked once
-    store.set_vectors(done.where("embedding is not null"), batch)
-    store.set_chunks(chunk_table(done), batch)
     blank = docs.where(is_blank(F.col("content"))).select("id", F.lit("failed").alias("index_status"))
-    store.set_status(done.select("id", "index_status").unionByName(blank), f"{batch}-done")
+    states, rows = done.select("id", "index_status").unionByName(blank), chunk_table(done)
+    store.put(f"{batch}-done", batch, vectors=done.where("embedding is not null"), chunks=rows, status=states)
+    if index is not None:
+        texts = chunk_texts(rows, docs).select(F.col("chunk_id").alias("id"), F.col("document_id").alias("owner"), "text")
+        index.add(texts, f"{batch}-{uuid.uuid4().hex}", docs.select(F.col("id").alias("owner")))
 
 
-def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, embedder: Embedder, generator: Generator | None = None, *, source: str = "stream", once: bool = False, interval: str = "1 second", files_per_trigger: int = 500, **how) -> StreamingQuery:
+def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, embedder: Embedder, generator: Generator | None = None, *, source: str = "stream", once: bool = False, interval: str = "1 second", files_per_trigger: int = 500, compact_every: int = 0, retention: float = 86_400, **how) -> StreamingQuery:
     """Indexes JSON lines (id, content) that land in a folder, batch by batch; waiting batches are in the checkpoint.
 
-    Blank and unsafe rows aren't stored. Streams into one store need sources of their own.
+    Blank and unsafe rows aren't stored. Streams into one store need sources of their own. After
+    every ``compact_every`` batches the store is compacted, and what has been out of use for ``retention``
+    seconds is deleted.
     """
     rows = spark.readStream.schema("id bigint, content string").option("maxFilesPerTrigger", files_per_trigger).json(landing)
 
@@ -120,6 +155,9 @@ def stream(spark: SparkSession, landing: str, store: Store, checkpoint: str, emb
         accepted, _ = store.screened(stored(batch, "epoch"))
         store.add(accepted, name)
         process(store, accepted, name, embedder, generator, **how)
+        if compact_every and (n + 1) % compact_every == 0:
+            store.compact()
+            store.vacuum(retention)
 
     writer = rows.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

@@ -86,10 +86,12 @@ def test_batches_of_sources_stay_apart(spark, tmp_path):
     before = sorted(map(str, store.documents().collect())), sorted(map(str, store.chunks().collect()))
     store.compact()
     assert (sorted(map(str, store.documents().collect())), sorted(map(str, store.chunks().collect()))) == before and store.wait(5) == 0
-    assert len(list((tmp_path / "s" / "status").glob("batch=*"))) == 1
+    assert store.vacuum(1000) == 0 and store.vacuum(0) > 0 and len(list((tmp_path / "s" / "status").glob("batch=*"))) == 1
+    assert (sorted(map(str, store.documents().collect())), sorted(map(str, store.chunks().collect()))) == before
     blank = spark.createDataFrame([(9, " ")], "id long, content string")
+    store.add(blank, "blank")
     ingest.process(store, blank, "blank", providers.HashEmbedder(4), dim=4)
-    assert {r["index_status"] for r in store._latest(store._read("status", "id bigint, index_status string"), "id").where("id = 9").collect()} == {"failed"}
+    assert {r["index_status"] for r in store.states().where("id = 9").collect()} == {"failed"}
 
 
 def test_store_and_repeated_batches(spark, tmp_path):
@@ -107,17 +109,193 @@ def test_store_and_repeated_batches(spark, tmp_path):
     assert store.documents().count() == 0
 
 
+ROWS = "id long, content string"
+
+
+def state(store):
+    docs = {r["id"]: (r["content"], r["index_status"], r["embedding"] is not None) for r in store.documents().collect()}
+    assert {(r["id"], r["index_status"]) for r in store.states().collect()} == {(i, s) for i, (_, s, _) in docs.items()}
+    return docs, sorted((r["document_id"], r["start_char"]) for r in store.chunks().collect())
+
+
+def test_a_batch_is_visible_at_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    """A failure between vectors and chunks leaves neither; the repetition leaves both, once."""
+    store, docs = Store(spark, str(tmp_path / "s")), spark.createDataFrame([(1, "One. Two.")], ROWS)
+    store.add(docs, "a")
+    write = store.log.write
+
+    def fails(df, table, *more):
+        if table == "chunks":
+            raise RuntimeError("lost")
+        write(df, table, *more)
+
+    monkeypatch.setattr(store.log, "write", fails)
+    with pytest.raises(RuntimeError):
+        ingest.process(store, docs, "a", providers.HashEmbedder(4), dim=4)
+    assert list((tmp_path / "s" / "vectors").glob("batch=*")) and state(store) == ({1: ("One. Two.", "processing", False)}, [])
+    monkeypatch.setattr(store.log, "write", write)
+    for _ in range(2):
+        ingest.process(store, docs, "a", providers.HashEmbedder(4), dim=4)
+        assert state(store) == ({1: ("One. Two.", "completed", True)}, [(1, 0)])
+    assert store.vacuum(0) > 0 and state(store) == ({1: ("One. Two.", "completed", True)}, [(1, 0)])
+
+
+def test_late_batches_after_clear_delete_and_replacement(spark, tmp_path):
+    store, embed = Store(spark, str(tmp_path / "s")), providers.HashEmbedder(4)
+    docs = spark.createDataFrame([(1, "One. Two."), (2, "Other text.")], ROWS)
+    late = store.log.begin("late")  # an epoch that has begun
+    store.add(docs, "old")
+    store.clear()
+    assert state(store) == ({}, [])
+    store.log.write(docs.selectExpr("id", "content", "current_timestamp() as created_at", "'' as head"), "documents", late)
+    store.log.commit(late)
+    ingest.process(store, docs, "old", embed, dim=4)  # of documents that are gone
+    assert state(store) == ({}, []) and store.in_progress() == 0
+    new = spark.createDataFrame([(1, "Anew.")], ROWS)
+    store.add(new, "new")
+    ingest.process(store, docs, "old", embed, dim=4)
+    assert state(store) == ({1: ("Anew.", "pending", False)}, [])
+    ingest.process(store, new, "new", embed, dim=4)
+    assert state(store) == ({1: ("Anew.", "completed", True)}, [(1, 0)])
+    longer = spark.createDataFrame([(1, "Word. " * 200)], ROWS)
+    store.add(longer, "longer")
+    assert state(store) == ({1: ("Word. " * 200, "pending", False)}, [])  # chunks of the old content are gone
+    ingest.process(store, longer, "longer", embed, dim=4)
+    many = state(store)[1]
+    assert len(many) > 1
+    ingest.process(store, longer, "again", embed, dim=4, size=5000)
+    assert state(store)[1] == [(1, 0)]
+    store.delete(new.select("id"))
+    assert state(store) == ({}, [])
+    ingest.process(store, longer, "longer", embed, dim=4)
+    store.compact()
+    store.vacuum(0)
+    assert state(store) == ({}, [])
+    store.add(new, "back")
+    assert state(store) == ({1: ("Anew.", "pending", False)}, [])
+
+
+def test_compaction_beside_a_reader_and_a_writer(spark, tmp_path):
+    """A reader that took its view before and a batch that began before end well; so does compaction in a stream."""
+    from threading import Thread
+
+    store, embed = Store(spark, str(tmp_path / "s")), providers.HashEmbedder(4)
+    part = lambda k: spark.createDataFrame([(i, f"Text {i}. More.") for i in range(k, k + 3)], ROWS)
+    for k in (0, 10):
+        store.add(part(k), k)
+        ingest.process(store, part(k), k, embed, dim=4)
+    held, failed = (store.documents(), store.chunks()), []
+
+    def write():
+        try:
+            for k in (20, 30, 0):
+                store.add(part(k), f"more{k}")
+                ingest.process(store, part(k), f"more{k}", embed, dim=4)
+        except Exception as e:
+            failed.append(e)
+
+    writer = Thread(target=write)
+    begun = store.log.begin("begun")
+    writer.start()
+    for _ in range(3):
+        store.compact()
+        assert held[0].count() == 6 and held[1].count() == 6
+    writer.join()
+    store.log.write(part(50).selectExpr("id", "content", "current_timestamp() as created_at", "'' as head"), "documents", begun)
+    store.log.commit(begun)
+    store.compact()
+    docs, chunks = state(store)
+    assert not failed and sorted(docs) == sorted(i for k in (0, 10, 20, 30, 50) for i in range(k, k + 3)) and len(chunks) == 12
+    assert held[0].count() == 6 and store.vacuum(0) > 0 and state(store) == (docs, chunks)
+    assert len(list((tmp_path / "s" / "documents").glob("batch=*"))) == 1
+
+
+def test_index_of_ingested_chunks(spark, tmp_path):
+    from tessella.operators.bm25 import Bm25Index
+    from tessella.operators.postings import PostingIndex
+    from tessella.operators.search import chunk_texts
+
+    store, index, embed = Store(spark, str(tmp_path / "s")), PostingIndex(spark, str(tmp_path / "i")), providers.HashEmbedder(4)
+    for name, rows in [("a", [(1, "Alpha beta. " * 90), (2, "Gamma alpha.")]), ("b", [(3, "Beta.")]), ("c", [(1, "Only delta now.")])]:
+        docs = spark.createDataFrame(rows, ROWS)
+        store.add(docs, name)
+        ingest.process(store, docs, name, embed, dim=4, index=index)
+        plain = Bm25Index(chunk_texts(store.chunks(), store.documents()).selectExpr("chunk_id as id", "text"))
+        for q in ("alpha beta", "delta gamma"):
+            assert {r["id"]: round(r["score"], 9) for r in index.score(q).collect()} == {r["id"]: round(r["score"], 9) for r in plain.score(q).collect()}
+        assert index.size() == plain.size()
+
+
+class Slow:
+    """Counts its calls in flight."""
+
+    def __init__(self, cached):
+        from threading import Lock
+
+        self.lock, self.now, self.most, self.open = Lock(), 0, 0, set()
+        if cached:
+            self.create_cached, self.generate_cached, self.delete_cached = self._create, self._cached, self._delete
+
+    def _call(self, answer):
+        import time
+
+        with self.lock:
+            self.now += 1
+            self.most = max(self.most, self.now)
+        time.sleep(0.03)
+        with self.lock:
+            self.now -= 1
+        return answer
+
+    def generate(self, prompts):
+        return [self._call(p.rsplit(":\n", 1)[1]) for p in prompts]
+
+    def _create(self, text):
+        self.open.add(text)
+        return text
+
+    def _cached(self, name, prompt):
+        assert name in self.open
+        out = self._call(prompt.rsplit(":\n", 1)[1])
+        assert name in self.open  # kept alive until the last answer
+        return out
+
+    def _delete(self, name):
+        self.open.discard(name)
+
+
+@pytest.mark.parametrize("cached", [False, True])
+def test_calls_are_concurrent_and_bounded(cached):
+    import time
+
+    rows = [(f"document {d}", [f"part {d}.{p}" for p in range(4)]) for d in range(24)]
+    took = []
+    for n in (1, 8):
+        model, began = Slow(cached), time.perf_counter()
+        assert ingest.contextualize_all(rows, model, n) == [parts for _, parts in rows] and not model.open
+        took.append(time.perf_counter() - began)
+        assert model.most == n
+    assert took[1] < took[0] / 4
+
+
+def test_each():
+    assert providers.each(lambda x: x * 2, [1, 2, 3], 8) == [2, 4, 6] and providers.each(str, [], 8) == []
+    with pytest.raises(ZeroDivisionError):
+        providers.each(lambda x: 1 / x, [1, 0, 2], 8)
+
+
 def test_stream(spark, tmp_path):
     landing = tmp_path / "in"
     landing.mkdir()
     store = Store(spark, str(tmp_path / "s"))
     for k, rows in enumerate([[(1, "First text. More."), (2, "bad one"), (4, " "), (5, "please roleplay")], [(3, "Third text.")]]):
         (landing / f"{k}.json").write_text("".join(json.dumps({"id": i, "content": c}) + "\n" for i, c in rows))
-        q = ingest.stream(spark, str(landing), store, str(tmp_path / "c"), Fails(), once=True, dim=2)
+        q = ingest.stream(spark, str(landing), store, str(tmp_path / "c"), Fails(), once=True, dim=2, compact_every=2, retention=0)
         q.awaitTermination(120)
         assert q.exception() is None
     assert {r["id"]: r["index_status"] for r in store.documents().collect()} == {1: "completed", 2: "failed", 3: "completed"}
     assert {r["document_id"] for r in store.chunks().collect()} == {1, 3}
+    assert len(list((tmp_path / "s" / "documents").glob("batch=*"))) == 1  # compacted after the second batch
 
 
 def test_new_queries(spark, tmp_path):

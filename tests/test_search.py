@@ -178,3 +178,20 @@ def test_answer_all_as_answer(spark, docs):
                 one = rag.answer(chunks, docs, q, emb, g, o)
                 assert [(s["chunk_id"], round(s["score"], 9)) for s in got[i]["sources"]] == [(s["chunk_id"], round(s["score"], 9)) for s in one["sources"]]
                 assert got[i]["source_kind"] == one["source_kind"] and got[i]["answer"] == one["answer"].strip()
+
+
+def test_with_prefix(spark):
+    """Samples longer and shorter than the length, empty, null, repeated; copies; a stored digest; no nested loop in the plan."""
+    from pyspark.sql import functions as F
+
+    from tessella.sources.store import head
+
+    long = "x" * 150
+    docs = [(1, long + "a"), (2, long + "b"), (3, "short"), (4, "shortest"), (5, ""), (6, None), (7, "x" * 101), (8, "x" * 100)]
+    samples = [(1, long), (2, "short"), (3, "shor"), (4, ""), (5, None), (6, "none"), (7, "x" * 100), (2, "shortest of all")]
+    df, asked = spark.createDataFrame(docs, "id long, content string"), spark.createDataFrame(samples, "sample_id long, text string")
+    want = sorted((i, min(m), len(m)) for i, t in samples if t is not None and (m := [k for k, c in docs if c is not None and c.startswith(t[:101])]))
+    for own in (df, df.withColumn("head", head(F.col("content")))):
+        out = catalog.with_prefix(own, asked)
+        assert sorted(tuple(r) for r in out.collect()) == want
+        assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
