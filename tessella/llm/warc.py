@@ -126,18 +126,29 @@ def plan_records(pages: DataFrame, revisit_from: int = REVISIT_FROM) -> DataFram
 def write_archives(pages: DataFrame, path: str, *, date: str = "2024-01-01T00:00:00Z", archive_frames: int = ARCHIVE_FRAMES, archive_bytes: int = ARCHIVE_BYTES) -> None:
     """.warc.zst files of bounded size in ``path``, a folder of any file system that Spark knows.
 
+    Spark's writer names its files part-*.txt; name_archives() renames them at the end, and can be called
+    again if the driver was lost in between. Until then read_archives() refuses the folder.
+
     Every row becomes a record, repeated rows too, each response or revisit as in
     plan_records(); null urls have no target, a null page_id an empty one.
     """
     spark = pages.sparkSession
     frames = plan_records(pages).mapInArrow(_frames(date, archive_frames, archive_bytes), "frame binary")
     frames.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", EMPTY_FRAME).option("maxRecordsPerFile", archive_frames).text(path)
+    name_archives(spark, path)
+
+
+def _unnamed(spark: SparkSession, path: str) -> tuple[list, object]:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for f in files.listStatus(folder):
-        name = f.getPath().getName()
-        if name.startswith("part-"):
-            files.rename(f.getPath(), folder.suffix("/" + name.removesuffix(".txt") + ".warc.zst"))
+    return [f.getPath() for f in files.listStatus(folder) if f.getPath().getName().startswith("part-") and f.getPath().getName().endswith(".txt")], files
+
+
+def name_archives(spark: SparkSession, path: str) -> None:
+    """Gives the written files of a folder their names, those that have none yet."""
+    found, files = _unnamed(spark, path)
+    for f in found:
+        files.rename(f, f.getParent().suffix("/" + f.getName().removesuffix(".txt") + ".warc.zst"))
 
 
 def frame_end(data: memoryview, at: int) -> int:
@@ -196,7 +207,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload_bytes, payload_digest, record_type, refers_to of each response and revisit.
 
-    A response whose payload doesn't have its recorded digest is an error.
+    A response whose payload doesn't have its recorded digest is an error, and so are files that
+    write_archives() has not named.
     """
+    if _unnamed(spark, path)[0]:
+        raise ValueError(f"{path} has archives without their names: call name_archives()")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("content")
     return files.mapInArrow(_read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")

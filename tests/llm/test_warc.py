@@ -2,6 +2,7 @@ import hashlib
 import io
 import random
 
+import pytest
 import zstandard
 
 from tessella.llm import warc
@@ -70,6 +71,19 @@ def test_archives_are_bounded(spark, tmp_path):
         assert len(list(warc.records(b"".join(made)))) == 10 + -(-len(made) // frames)
 
 
+def test_unnamed_archives_are_refused(spark, tmp_path):
+    """A driver that is lost before all files have their names leaves no result that could be taken for whole."""
+    path = f"file://{tmp_path}/w"
+    warc.write_archives(spark.createDataFrame([(i, "u", f"payload {i}") for i in range(50)], "page_id long, url string, html string").repartition(3), path)
+    one = next((tmp_path / "w").glob("*.warc.zst"))
+    one.rename(one.with_name(one.name.removesuffix(".warc.zst") + ".txt"))
+    with pytest.raises(ValueError, match="names"):
+        warc.read_archives(spark, path)
+    for _ in range(2):
+        warc.name_archives(spark, path)
+        assert warc.read_archives(spark, path).count() == 50
+
+
 def test_empty(spark, tmp_path):
     assert archive(spark, tmp_path, []).collect() == []
 
