@@ -315,27 +315,22 @@ def _versions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each page against the one or two others that it met, the nearest first, up to one that is no version of it.
+    """Each page against one other, t runs away. A smaller ``near`` is a longer common beginning of their paths.
 
     deleted: the places of lines that both have and that nothing else removes or protects; null if
-    no page has decided. n_shared counts all that both have but protected lines. before and after are where to ask next.
+    the page is a version of the other. n_shared counts all that both have but protected lines.
     """
     for b in batches:
         out = []
         for r in b.to_pylist():
-            near = sorted(r["others"], key=lambda o: (-len(os.path.commonprefix([r["path"], o["path"]])), o["side"]))
-            deleted, n_shared = None, 0
-            for o in near:
-                at = common_lines(r["hashes"], o["hashes"])
-                if not _copies(r["weights"], at):
-                    deleted = [i for i in at if r["weights"][i] > 1 and not r["weights"][i] & 1]
-                    n_shared = sum(not r["weights"][i] & 1 for i in at)
-                    break
-            far = {o["side"]: o["next"] for o in near}
-            out.append((r["number"], deleted, n_shared, far.get(0), far.get(1)))
-        columns = zip(*out, strict=True) if out else [()] * 5
-        kinds = [pa.int64(), pa.list_(pa.int32()), pa.int32(), pa.int64(), pa.int64()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["number", "deleted", "n_shared", "before", "after"])
+            at, deleted, n_shared = common_lines(r["hashes"], r["other"]), None, 0
+            if not _copies(r["weights"], at):
+                deleted = [i for i in at if r["weights"][i] > 1 and not r["weights"][i] & 1]
+                n_shared = sum(not r["weights"][i] & 1 for i in at)
+            out.append((r["number"], r["t"], -len(os.path.commonprefix([r["path"], r["other_path"]])), r["side"], deleted, n_shared))
+        columns = zip(*out, strict=True) if out else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.int32()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["number", "t", "near", "side", "deleted", "n_shared"])
 
 
 def _text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -388,21 +383,23 @@ def shared_lines(pages: DataFrame) -> DataFrame:
     inner = F.sum("first").over(W.partitionBy("part").orderBy("number"))
     runs = _with_offset(flags, F.sum("first")).select("number", (F.col("offset") + inner).alias("run"))
     ends = runs.groupBy("run").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
-    spans = runs.join(ends, "run").select("number", (F.col("lo") - 1).alias("before"), (F.col("hi") + 1).alias("after"))
-    spans = written(numbered.join(spans, "number"), "spans")
-    other = spans.select(F.col("number").alias("ask"), F.col("host").alias("_host"), F.struct("path", "hashes").alias("o"), F.col("before").alias("_before"), F.col("after").alias("_after"))
-    left, decided = spans, []
-    while True:
-        asks = left.select("number", "host", "path", "hashes", "weights", F.posexplode(F.array("before", "after")).alias("side", "ask"))
-        met = asks.join(other, "ask").where("host = _host").groupBy("number").agg(
-            *(F.any_value(c).alias(c) for c in ("path", "hashes", "weights")),
-            F.collect_list(F.struct("side", F.when(F.col("side") == 0, F.col("_before")).otherwise(F.col("_after")).alias("next"), F.col("o.path").alias("path"), F.col("o.hashes").alias("hashes"))).alias("others"))
-        done = written(met.mapInArrow(lean(_shared), "number long, deleted array<int>, n_shared int, before long, after long"), "differences")
-        decided.append(done.where("deleted is not null").select("number", "deleted", "n_shared"))
-        open_ = done.where("deleted is null").select("number", "before", "after")
+    spans = written(numbered.join(runs.join(ends, "run"), "number"), "spans")
+    # A run is met at its nearer end: from after it at its last page (side 0), from before it at its first (side 1).
+    sides = F.filter(F.array(F.when(F.col("number") == F.col("hi"), 0), F.when(F.col("number") == F.col("lo"), 1)), lambda x: x.isNotNull())
+    other = spans.select(F.col("run").alias("ask"), F.explode(sides).alias("_side"), F.col("host").alias("_host"), F.col("path").alias("other_path"), F.col("hashes").alias("other"))
+    left, decided, t = spans, [], 1
+    while True:  # each round asks twice as far as the one before, so their number is logarithmic in a host's runs
+        asks = left.select("number", "host", "path", "hashes", "weights", "run", F.explode(F.sequence(F.lit(t), F.lit(2 * t - 1)).cast("array<bigint>")).alias("t"))
+        asks = asks.select("number", "host", "path", "hashes", "weights", "t", F.posexplode(F.array(F.col("run") - F.col("t"), F.col("run") + F.col("t"))).alias("side", "ask"))
+        met = asks.join(other, (asks["ask"] == other["ask"]) & (F.col("side") == F.col("_side"))).where("host = _host").select("number", "path", "hashes", "weights", "t", "side", "other_path", "other")
+        each = met.mapInArrow(lean(_shared), "number long, t long, near int, side int, deleted array<int>, n_shared int")
+        first = F.min(F.when(F.col("deleted").isNotNull(), F.struct("t", "near", "side", "deleted", "n_shared")))
+        done = written(each.groupBy("number").agg(first.alias("d"), F.max("t").alias("far")), "differences")
+        decided.append(done.where("d is not null").select("number", "d.deleted", "d.n_shared"))
+        open_ = done.where((F.col("far") == 2 * t - 1) & F.col("d").isNull()).select("number")
         if open_.isEmpty():
             break
-        left = spans.drop("before", "after").join(open_, "number")
+        left, t = spans.join(open_, "number", "left_semi"), 2 * t
     found = reduce(DataFrame.unionByName, decided).where("n_shared > 0")
     found = numbered.select("number", "host", "key").join(found, "number")
     return outline.select("rid", "host", "key").join(found, ["host", "key"]).select("rid", "deleted", "n_shared").dropDuplicates(["rid"])

@@ -1,3 +1,5 @@
+import math
+
 import pytest
 
 from tessella.llm import html_text as h
@@ -89,6 +91,23 @@ def test_only_versions_between(spark):
     assert got[1].split("\n")[-1] == "a" and got[2].split("\n")[-1] == "b" and got[3] == "Something else is told on this one" and "Welcome" not in got[1] + got[2]
 
 
+@pytest.mark.parametrize("n", [9, 33, 330])
+def test_rounds_are_logarithmic(spark, monkeypatch, n):
+    """Pages whose text is a part of every other page of their host: of none decides one, however many there are."""
+    frame = "<div>Frame of the place</div><div>Of all its pages</div>"
+    rows = [(i, f"http://a.com/{i:05}", f"<body>{frame}<div>Page {i} has words of its own, and more than the frame has</div></body>") for i in range(n)]
+    rows += [(n, "http://a.com/00001b", f"<body>{frame}</body>"), (n + 1, "http://b.com/x", f"<body>{frame}</body>")]
+    rounds, write = [], h.written
+
+    def counted(df, name):
+        rounds.append(name == "differences")
+        return write(df, name)
+
+    monkeypatch.setattr(h, "written", counted)
+    got = sorted((r["page_id"], r["text"]) for r in h.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect())
+    assert got == brute_force(rows)[0] and sum(rounds) <= 2 + math.log2(n)
+
+
 def test_marks_protect_and_differencing_decides(spark):
     """Within marked articles, lines in containers of unlisted names vanish only since the nearest page has them; plain ones stay."""
     article = "<article><h1>{0}</h1><p>A passage that both articles have</p><div class='zq-17'>Read our other stuff<p>Call now</p></div><p>Own words of {0}</p><div class='zq-18'>Only {0}</div></article>"
