@@ -22,7 +22,7 @@ def query_terms(query: str | None) -> list[str]:
 
 
 class Bm25Index:
-    """An index over (id, text). Scoring reads only the postings of the query's terms."""
+    """BM25 over (id, text), counted when it is asked. Posting lists that are kept are in tessella.operators.postings."""
 
     def __init__(self, corpus: DataFrame):
         self.tokens = corpus.select("id", index_tokens(F.col("text")).alias("tokens"))
@@ -58,7 +58,8 @@ class Bm25Index:
 
     def term_stats(self, terms: list[str] | None = None) -> DataFrame:
         """(term, df, idf)."""
-        df = self.frequencies(terms).groupBy("term").agg(F.count("*").alias("df"))
+        kept = F.array_distinct(F.col("tokens") if terms is None else F.filter("tokens", lambda t: t.isin(terms)))
+        df = self.tokens.select(F.explode(kept).alias("term")).groupBy("term").agg(F.count("*").alias("df"))  # combines before the shuffle
         return df.crossJoin(F.broadcast(self.stats())).select("term", "df", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
 
     def score(self, query: str, top: int | None = None) -> DataFrame:

@@ -69,23 +69,36 @@ def report_lines(results: DataFrame) -> DataFrame:
     part = lambda c: percent(F.col(c))
     lines = [
         F.concat(F.lit("["), F.col("lecture_id").cast("string"), F.lit("] "), F.col("question")),
-        F.concat(F.lit("  expected: "), truncate(F.coalesce("expected_answer", F.lit("")), 100)),
-        F.concat(F.lit("  answer: "), truncate(F.coalesce("rag_answer", F.lit("")), 100)),
-        F.concat(F.lit("  keywords "), part("keyword_recall"), F.lit(", F1 "), part("token_f1"), F.lit(", overlap "), part("factual_overlap")),
-        F.concat(F.lit("  precision "), part("retrieval_precision"), F.lit(", hit "), F.when(F.col("retrieval_hit"), "yes").otherwise("no"), F.lit(", sources "), F.col("n_sources").cast("string")),
-        F.concat(F.lit("  overall "), F.col("overall_score").cast("string"), F.lit("/100 "), F.when(F.col("passed"), "PASS").otherwise("FAIL")),
+        F.concat(F.lit("   Expected: "), truncate(F.coalesce("expected_answer", F.lit("")), 100)),
+        F.concat(F.lit("   RAG answer: "), truncate(F.coalesce("rag_answer", F.lit("")), 100)),
+        F.concat(F.lit("   Keyword recall: "), part("keyword_recall"), F.lit(" | F1: "), part("token_f1"), F.lit(" | Overlap: "), part("factual_overlap")),
+        F.concat(F.lit("   Retrieval precision: "), part("retrieval_precision"), F.lit(" | Hit: "), F.when(F.col("retrieval_hit"), "YES").otherwise("NO")),
+        F.concat(F.lit("   Overall: "), F.col("overall_score").cast("string"), F.lit("/100 "), F.when(F.col("passed"), "PASS").otherwise("FAIL")),
+        F.concat(F.lit("   Sources: "), F.col("n_sources").cast("string"), F.lit(" chunks")),
     ]
     return results.select("lecture_id", "question", F.concat_ws("\n", *lines).alias("text"))
 
 
+# The report's layout.
+WIDTH, TITLE, TOTALS, AVERAGES, DETAILS = 80, "RAG EVALUATION REPORT", "Overall Results:", "Average Metrics:", "Detailed Results:"
+AVERAGE_ROWS = [("Keyword recall", "avg_keyword_recall"), ("Token F1", "avg_token_f1"), ("Factual overlap", "avg_factual_overlap"), ("Retrieval precision", "avg_retrieval_precision"), ("Retrieval hit rate", "retrieval_hit_rate")]
+
+
+def labelled(label: str, value: object) -> str:
+    return f"  {label + ':':<24}{value}"
+
+
 def report(results: DataFrame) -> str:
-    """The whole report. Question sets are small: their paragraphs meet on the driver."""
-    s = summary(results).first()
-    head = ["EVALUATION REPORT", "", f"Questions {s['total_questions']}, passed {s['passed']}, failed {s['failed']}, pass rate {s['pass_rate']}%"]
-    head += [f"{k}: {round(s[k] * 100, 1)}%" for k in ("avg_keyword_recall", "avg_token_f1", "avg_factual_overlap", "avg_retrieval_precision", "retrieval_hit_rate")]
-    head += [f"avg_overall_score: {s['avg_overall_score']}/100", ""]
-    rows = report_lines(results).orderBy("lecture_id", "question").toLocalIterator()
-    return "\n".join([*head, *(f"{i}. {r['text']}" for i, r in enumerate(rows, 1))])
+    """The whole report, questions in the order of lectures and their texts. Question sets are small: their paragraphs meet on the driver."""
+    s, double, single = summary(results).first(), "=" * WIDTH, "-" * WIDTH
+    rate = s["pass_rate"] if s["total_questions"] else 0
+    out = [double, TITLE, double, "", TOTALS]
+    out += [labelled("Total questions", s["total_questions"]), labelled("Passed", s["passed"]), labelled("Failed", s["failed"]), labelled("Pass rate", f"{rate}%"), "", AVERAGES]
+    out += [labelled(label, f"{round(s[c] * 100, 1)}%") for label, c in AVERAGE_ROWS]
+    out += [labelled("Overall score", f"{s['avg_overall_score']}/100"), "", single, DETAILS, single]
+    for i, r in enumerate(report_lines(results).orderBy("lecture_id", "question").toLocalIterator(), 1):
+        out += ["", f"{i}. {r['text']}"]
+    return "\n".join([*out, "", double])
 
 
 def write_report(results: DataFrame, path: str) -> None:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions import metrics, text, vector
-from tessella.operators import catalog, rag, search, segment, sentence_rules
+from tessella.operators import catalog, evaluate, rag, search, segment, sentence_rules
 from tessella.operators.bm25 import Bm25Index, query_terms
 from tessella.sources.tables import documents, table, whole_chunks
 
@@ -425,9 +425,7 @@ def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
   round(avg(round(kr, 6)), 3) AS avg_keyword_recall, round(avg(round(f1, 6)), 3) AS avg_token_f1, round(avg(round(fo, 6)), 3) AS avg_factual_overlap, round(avg(round(rp, 6)), 3) AS avg_retrieval_precision,
   round(avg((rel > 0)::INT), 3) AS retrieval_hit_rate, round(avg(score), 3) AS avg_overall_score, round(100.0 * count(*) FILTER (score >= 30) / count(*), 1) AS pass_rate FROM o""")
 def eval_summary(spark: SparkSession, d: str) -> DataFrame:
-    from tessella.operators.evaluate import summary
-
-    return summary(eval_metrics(spark, d))
+    return evaluate.summary(eval_metrics(spark, d))
 
 
 def _report_rows(spark: SparkSession, d: str) -> DataFrame:
@@ -444,16 +442,91 @@ def _short(x: str) -> str:
     return f"CASE WHEN length(coalesce({x}, '')) > 100 THEN substring({x}, 1, 100) || '...' ELSE coalesce({x}, '') END"
 
 
-@query("eval_report", f"""WITH {_TURNS} SELECT conv_id AS lecture_id, conv_id || ':' || turn AS question,
-  '[' || conv_id || '] ' || conv_id || ':' || turn || chr(10) || '  expected: ' || {_short("expected")} || chr(10) || '  answer: ' || {_short("answer")} || chr(10)
-  || '  keywords ' || {_percent("kr")} || ', F1 ' || {_percent("f1")} || ', overlap ' || {_percent("fo")} || chr(10)
-  || '  precision ' || {_percent("rp")} || ', hit ' || CASE WHEN rel > 0 THEN 'yes' ELSE 'no' END || ', sources ' || len(sources) || chr(10)
-  || '  overall ' || score || '/100 ' || CASE WHEN score >= 30 THEN 'PASS' ELSE 'FAIL' END AS text FROM o""")
+_PARAGRAPH = f"""'[' || conv_id || '] ' || conv_id || ':' || turn || chr(10) || '   Expected: ' || {_short("expected")} || chr(10) || '   RAG answer: ' || {_short("answer")} || chr(10)
+  || '   Keyword recall: ' || {_percent("kr")} || ' | F1: ' || {_percent("f1")} || ' | Overlap: ' || {_percent("fo")} || chr(10)
+  || '   Retrieval precision: ' || {_percent("rp")} || ' | Hit: ' || CASE WHEN rel > 0 THEN 'YES' ELSE 'NO' END || chr(10)
+  || '   Overall: ' || score || '/100 ' || CASE WHEN score >= 30 THEN 'PASS' ELSE 'FAIL' END || chr(10) || '   Sources: ' || len(sources) || ' chunks'"""
+
+
+@query("eval_report", f"WITH {_TURNS} SELECT conv_id AS lecture_id, conv_id || ':' || turn AS question, {_PARAGRAPH} AS text FROM o")
 def eval_report(spark: SparkSession, d: str) -> DataFrame:
-    from tessella.operators.evaluate import evaluate, report_lines
+    rows = _report_rows(spark, d)
+    return evaluate.report_lines(evaluate.evaluate(rows.drop("rag_answer", "sources"), rows.select("lecture_id", "question", "rag_answer", "sources")))
+
+
+def _mean(x: str) -> str:
+    return f"round(round(avg({x}), 3) * 100, 1) || '%'"
+
+
+_SUMMARY_TEXT = " || chr(10) || ".join([
+    f"repeat('=', 80) || chr(10) || {f.quote(evaluate.TITLE)} || chr(10) || repeat('=', 80) || chr(10)", f.quote(evaluate.TOTALS), f"{f.quote(evaluate.labelled('Total questions', ''))} || count(*)",
+    f"{f.quote(evaluate.labelled('Passed', ''))} || count(*) FILTER (score >= 30)", f"{f.quote(evaluate.labelled('Failed', ''))} || count(*) FILTER (score < 30)",
+    f"{f.quote(evaluate.labelled('Pass rate', ''))} || round(100.0 * count(*) FILTER (score >= 30) / count(*), 1)::DOUBLE || '%' || chr(10)", f.quote(evaluate.AVERAGES),
+    *[f"{f.quote(evaluate.labelled(label, ''))} || {_mean(x)}" for (label, _), x in zip(evaluate.AVERAGE_ROWS, ("round(kr, 6)", "round(f1, 6)", "round(fo, 6)", "round(rp, 6)", "(rel > 0)::INT"), strict=True)],
+    f"{f.quote(evaluate.labelled('Overall score', ''))} || round(avg(score), 3) || '/100' || chr(10)", f"repeat('-', 80) || chr(10) || {f.quote(evaluate.DETAILS)} || chr(10) || repeat('-', 80)"])
+
+
+@query("report_file", f"""WITH {_TURNS}, p AS (SELECT row_number() OVER (ORDER BY conv_id, conv_id || ':' || turn) AS i, {_PARAGRAPH} AS text FROM o),
+w AS (SELECT (SELECT {_SUMMARY_TEXT} FROM o) || (SELECT string_agg(chr(10) || chr(10) || i || '. ' || text, '' ORDER BY i) FROM p) || chr(10) || chr(10) || repeat('=', 80) AS text)
+SELECT line_no::INT AS line_no, string_split(text, chr(10))[line_no] AS line FROM (SELECT text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line_no FROM w)""")
+def report_file(spark: SparkSession, d: str) -> DataFrame:
+    """The report of all turns, written as a text file and read again."""
+    from tessella.session import shared_path
 
     rows = _report_rows(spark, d)
-    return report_lines(evaluate(rows.drop("rag_answer", "sources"), rows.select("lecture_id", "question", "rag_answer", "sources")))
+    path = shared_path(spark, "report")
+    evaluate.write_report(evaluate.evaluate(rows.drop("rag_answer", "sources"), rows.select("lecture_id", "question", "rag_answer", "sources")), path)
+    whole = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace("value", "\\n$", ""), "\n").alias("lines"))
+    return whole.select(F.posexplode("lines").alias("n", "line")).select((F.col("n") + 1).alias("line_no"), "line")
+
+
+@query("json_round_trip", "SELECT doc_id, sha256(text) AS text_sha, lang, source, n_chars FROM documents")
+def json_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as JSON lines in text files, read again by their schema."""
+    from tessella.session import shared_path
+    from tessella.sources.tables import json_lines
+
+    docs, path = table(spark, d, "documents"), shared_path(spark, "json")
+    json_lines(docs).write.text(path)
+    return spark.read.schema(docs.schema).json(path).select("doc_id", F.sha2("text", 256).alias("text_sha"), "lang", "source", "n_chars")
+
+
+@query("store_lifecycle", """SELECT doc_id AS id, 'pending' AS index_status, sha256(CASE WHEN doc_id % 5 = 1 THEN 'new ' || text ELSE text END) AS content_sha, length(CASE WHEN doc_id % 5 = 1 THEN 'new ' || text ELSE text END)::INT AS n_chars
+FROM documents WHERE text IS NOT NULL AND (doc_id % 3 <> 0 OR doc_id % 7 = 0)""")
+def store_lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """Added, every third deleted, every seventh added again, every fifth replaced where it is, then compacted."""
+    from tessella.session import shared_path
+    from tessella.sources.store import Store
+
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    store = Store(spark, shared_path(spark, "lifecycle"))
+    store.add(docs, "all")
+    store.delete(docs.where("id % 3 = 0").select("id"))
+    store.add(docs.where("id % 3 = 0 and id % 7 = 0"), "back")
+    store.add(docs.where("id % 5 = 1 and (id % 3 <> 0 or id % 7 = 0)").withColumn("content", F.concat(F.lit("new "), F.col("content"))), "new")
+    store.compact()
+    return store.documents().select("id", "index_status", F.sha2("content", 256).alias("content_sha"), F.length("content").alias("n_chars"))
+
+
+def _vector_sha(tokens: str) -> str:
+    v = f.hashed_vector(tokens, 16)
+    return f"list_transform([{v}], lambda v: sha256(array_to_string(list_transform(v, lambda x: CASE WHEN list_dot_product(v, v) > 0 THEN round(x / sqrt(list_dot_product(v, v)) * 1000000)::BIGINT ELSE 0 END), ',')))[1]"
+
+
+@query("ingest_vectors", f"""WITH c AS (SELECT doc_id, start_char, {f.strip("substring(content, 1, 12)")} AS context, content FROM ({_CHUNKED})),
+t AS (SELECT doc_id, start_char, {f.index_tokens("CASE WHEN context = '' THEN content ELSE context || ' ' || content END")} AS t FROM c),
+w AS (SELECT doc_id, {f.index_tokens('text')} AS t FROM documents)
+SELECT t.doc_id AS document_id, start_char::INT AS start_char, {_vector_sha('t.t')} AS chunk_vector, v AS document_vector FROM t JOIN (SELECT doc_id, {_vector_sha('t')} AS v FROM w) USING (doc_id)""")
+def ingest_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's vector, of its context and text, and its document's, as ingestion makes them."""
+    from tessella.sources.providers import EchoGenerator, HashEmbedder
+    from tessella.streaming.ingest import indexed
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    done = indexed(docs, HashEmbedder(16), EchoGenerator(lambda p: p.rsplit("Excerpt:\n", 1)[1][:12]), dim=16)
+    sha = lambda v: F.sha2(F.array_join(F.transform(v, lambda x: F.round(x * 1_000_000).cast("bigint").cast("string")), ","), 256)
+    each = done.select(F.col("id").alias("document_id"), sha(F.col("embedding")).alias("document_vector"), F.explode("chunks").alias("c"))
+    return each.select("document_id", "c.start_char", sha(F.col("c.embedding")).alias("chunk_vector"), "document_vector")
 
 
 @query("rule_sentence_spans", f"SELECT doc_id, i::INT AS i, s::INT AS start_char, e::INT AS end_char FROM ({f.rule_sentences('text', 'doc_id', 'documents', segment.ABBREVIATIONS)})")
@@ -563,7 +636,6 @@ SELECT item_id::VARCHAR AS lecture_id, sha256(answer) AS answer_sha, len(sources
 @query("eval_run", _EVAL_RUN)
 def eval_run(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark item asked of all documents by hybrid search, answered by the best passage's first line, and measured."""
-    from tessella.operators.evaluate import answers_to, evaluate
     from tessella.sources.providers import EchoGenerator, HashEmbedder, embed_udf, first_passage, or_zero
 
     embedder = HashEmbedder(_DIM)
@@ -572,7 +644,7 @@ def eval_run(spark: SparkSession, d: str) -> DataFrame:
                          or_zero(embed_udf(embedder)(text.normalize(F.col("content"))), _DIM).alias("embedding"), F.lit(None).cast("string").alias("context"))
     questions = table(spark, d, "benchmark").select(
         F.col("item_id").cast("string").alias("lecture_id"), F.col("text").alias("question"), F.col("text").alias("expected_answer"), F.slice(text.eval_tokens(F.col("text")), 1, 3).alias("expected_keywords"))
-    results = evaluate(questions, answers_to(questions, chunks, docs, embedder, EchoGenerator(first_passage), "hybrid"))
+    results = evaluate.evaluate(questions, evaluate.answers_to(questions, chunks, docs, embedder, EchoGenerator(first_passage), "hybrid"))
     return results.select("lecture_id", F.sha2("rag_answer", 256).alias("answer_sha"), "n_sources", "keyword_recall", "token_f1")
 
 
