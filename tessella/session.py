@@ -24,14 +24,17 @@ _local: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """What ``spark.checkpoint.dir`` names; where that is unset a temporary folder in local mode, the warehouse on a cluster."""
+    """The folder that the driver and every executor can reach: what ``spark.checkpoint.dir`` names.
+
+    In local mode, where that may be unset, a temporary folder; on a cluster it must be set.
+    """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
     if named:
         return named.rstrip("/")
     master = spark.sparkContext.master
     if master.startswith("local") and not master.startswith("local-cluster"):
         return _local.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="tessella-"))
-    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tessella"
+    raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
 
 
 def _delete(spark: SparkSession, path: str) -> None:
