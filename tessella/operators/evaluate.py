@@ -16,6 +16,7 @@ from tessella.sources.store import HEAD, Store
 from tessella.streaming.ingest import process
 
 from . import catalog, rag
+from .postings import PostingIndex
 
 GATE = 50.0
 
@@ -27,10 +28,10 @@ def evaluate(questions: DataFrame, answers: DataFrame, pass_mark: float = PASS_M
     return met.select("lecture_id", "question", "expected_answer", "rag_answer", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), *cols)
 
 
-def answers_to(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedder: Embedder, generator: Generator, search_type: str = "cosine", rerank: bool = False) -> DataFrame:
+def answers_to(questions: DataFrame, chunks: DataFrame, docs: DataFrame, embedder: Embedder, generator: Generator, search_type: str = "cosine", rerank: bool = False, index: PostingIndex | None = None) -> DataFrame:
     """(lecture_id, question, rag_answer, sources): every question answered from the chunks."""
     asked = questions.select(F.xxhash64("lecture_id", "question").alias("query_id"), "lecture_id", "question").dropDuplicates(["query_id"])
-    found = rag.answer_all(chunks, docs, asked.select("query_id", F.col("question").alias("query")), embedder, generator, rag.Options(search_type, rerank=rerank))
+    found = rag.answer_all(chunks, docs, asked.select("query_id", F.col("question").alias("query")), embedder, generator, rag.Options(search_type, rerank=rerank), index)
     return asked.join(found, "query_id").select("lecture_id", "question", F.col("answer").alias("rag_answer"), F.transform("sources", lambda s: s["content"]).alias("sources"))
 
 
@@ -44,11 +45,14 @@ def ingest_lectures(store: Store, lectures: DataFrame, embedder: Embedder, gener
     return store.wait(seconds)
 
 
-def run(store: Store, lectures: DataFrame, embedder: Embedder, generator: Generator, search_type: str = "hybrid", rerank: bool = False, report_path: str | None = None, seconds: float = 60, **how) -> DataFrame:
-    """The whole evaluation of lectures (as sources.dataset.LECTURE): ingestion, waiting, an answer a question, metrics, a report file."""
-    ingest_lectures(store, lectures, embedder, generator, seconds, semantic=True, **how)
+def run(store: Store, lectures: DataFrame, embedder: Embedder, generator: Generator, search_type: str = "hybrid", rerank: bool = False, report_path: str | None = None, seconds: float = 60, index: PostingIndex | None = None, **how) -> DataFrame:
+    """The whole evaluation of lectures (as sources.dataset.LECTURE): ingestion, waiting, an answer a question, metrics, a report file.
+
+    ``index``, over all chunks of the store, gets those of new lectures and serves hybrid search.
+    """
+    ingest_lectures(store, lectures, embedder, generator, seconds, semantic=True, index=index, **how)
     questions = dataset.questions(lectures)
-    results = stored(evaluate(questions, answers_to(questions, store.chunks(), store.documents(), embedder, generator, search_type, rerank)), "results")
+    results = stored(evaluate(questions, answers_to(questions, store.chunks(), store.documents(), embedder, generator, search_type, rerank, index)), "results")
     if report_path:
         write_report(results, report_path)
     return results

@@ -113,12 +113,12 @@ def prompts(queries: DataFrame, context: DataFrame) -> DataFrame:
     return met.select("query_id", F.when(has, filled(GROUNDED_PROMPT, **values)).otherwise(filled(OPEN_PROMPT, **values)).alias("prompt"), F.when(has, "chunks").otherwise("Internet").alias("source_kind"))
 
 
-def retrieve(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, options: Options, generator: Generator | None = None) -> DataFrame:
-    """The hits of one request with rank from 0."""
+def retrieve(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, options: Options, generator: Generator | None = None, index=None) -> DataFrame:
+    """The hits of one request with rank from 0. ``index``: a PostingIndex over the chunks' texts, for hybrid search."""
     def search(text: str, passage: str | None, limit: int) -> DataFrame:
         asked = passage if passage else text
         if options.search_type == "hybrid":
-            return hybrid_search(chunks, docs, text, vector_or_none(embedder, asked), limit, HYBRID_THRESHOLD, ALPHA)
+            return hybrid_search(chunks, docs, text, vector_or_none(embedder, asked), limit, HYBRID_THRESHOLD, ALPHA, index)
         vector = embedder.embed([normal(asked)])[0]
         return chunk_search(chunks, docs, vector, options.search_type, limit, CHUNK_THRESHOLD)
 
@@ -144,10 +144,10 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def answer(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, generator: Generator, options: Options | None = None) -> dict[str, object]:
+def answer(chunks: DataFrame, docs: DataFrame, query: str, embedder: Embedder, generator: Generator, options: Options | None = None, index=None) -> dict[str, object]:
     """{answer, sources, source_kind} of one request. Sources are the few hits of the result."""
     o = options or Options()
-    hits = retrieve(chunks, docs, query, embedder, o, generator).orderBy("rank").collect()  # at most ``top`` rows
+    hits = retrieve(chunks, docs, query, embedder, o, generator, index).orderBy("rank").collect()  # at most ``top`` rows
     if o.rerank and hits:
         prompt = RERANK_PROMPT.format(n=len(hits), query=query, context="\n\n".join(f"[{i}] {h['content']}" for i, h in enumerate(hits)))
         try:

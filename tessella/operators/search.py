@@ -83,15 +83,20 @@ def fuse(scored: DataFrame, alpha: float = ALPHA) -> Column:
     return a * part("semantic", "semantic_max") + (1 - a) * part("lexical", "lexical_max")
 
 
-def hybrid_search(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float] | None, top: int | None = TOP, threshold: float = HYBRID_THRESHOLD, alpha: float = ALPHA) -> DataFrame:
+def hybrid_search(chunks: DataFrame, docs: DataFrame, query: str, vector: list[float] | None, top: int | None = TOP, threshold: float = HYBRID_THRESHOLD, alpha: float = ALPHA, index=None) -> DataFrame:
     """Hits as chunk_search(), by cosine and BM25 over the contextualised texts. No rows without a vector.
 
+    With ``index``, a PostingIndex over these texts, no text is tokenised: the postings of the query's terms are read.
+
     Chunks meet their documents once; what is kept of that are numbers, the query's terms
     and the fingerprint. The contents are fetched for the hits alone.
     """
     texts = chunk_texts(chunks, docs)
     if vector is None:
         return texts.where(F.lit(False)).withColumns({"score": F.lit(0.0), "content": F.col("text")}).select(*_HIT)
+    if index is not None and top is not None:
+        one = chunks.sparkSession.createDataFrame([(0, query or "", [float(x) for x in vector])], "query_id int, query string, vector array<double>")
+        return batch_chunk_search(chunks, docs, one, "hybrid", top, threshold, alpha, index).select(*_HIT).orderBy(F.desc("score"), "chunk_id")
     terms = query_terms(query)
     slim = stored(texts.select("chunk_id", fingerprint(F.col("raw")).alias("_fp"), cosine(F.col("embedding"), literal(vector)).alias("semantic"), *matches(index_tokens(F.col("text")), terms)), "hybrid")
     counts = slim.agg(*term_counts(terms), F.max("semantic")).first()

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import rejection_message
 from tessella.operators import catalog, rag, search
+from tessella.operators.postings import PostingIndex
 from tessella.sources.providers import Classifier, Embedder, Generator
 from tessella.sources.store import Store
 from tessella.streaming.ingest import process
@@ -21,8 +22,9 @@ class Rejected(ValueError):
 
 
 class Service:
-    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, generator: Generator, classifier: Classifier | None = None):
-        self.spark, self.store, self.embedder, self.generator, self.classifier = spark, store, embedder, generator, classifier
+    def __init__(self, spark: SparkSession, store: Store, embedder: Embedder, generator: Generator, classifier: Classifier | None = None, index: PostingIndex | None = None):
+        """``index``, over the chunks of the store, serves hybrid search if it is given, and gets what is created."""
+        self.spark, self.store, self.embedder, self.generator, self.classifier, self.index_ = spark, store, embedder, generator, classifier, index
 
     def _rejection(self, text: str) -> str | None:
         return self.spark.range(1).select(rejection_message(F.lit(text)).alias("m")).first()["m"]
@@ -48,7 +50,7 @@ class Service:
         bad = rejected.first()
         if bad:
             raise Rejected(bad["message"])
-        process(self.store, accepted, f"service-{batch}", self.embedder, self.generator, semantic=True)
+        process(self.store, accepted, f"service-{batch}", self.embedder, self.generator, semantic=True, index=self.index_)
         return accepted
 
     def search(self, query: str, search_type: str | None = None) -> DataFrame:
@@ -59,15 +61,17 @@ class Service:
         self._check(query)
         docs, chunks, kind = self.store.documents(), self.store.chunks(), (search_type or "cosine").lower()
         if kind == "hybrid":
-            return search.hybrid_search(chunks, docs, query, rag.vector_or_none(self.embedder, query))
+            return search.hybrid_search(chunks, docs, query, rag.vector_or_none(self.embedder, query), index=self.index_)
         return search.chunk_search(chunks, docs, self._vector(query), kind)
 
     def rag(self, query: str, **given: object) -> dict[str, object]:
         self._check(query)
-        return rag.answer(self.store.chunks(), self.store.documents(), query, self.embedder, self.generator, rag.Options.of(given))
+        return rag.answer(self.store.chunks(), self.store.documents(), query, self.embedder, self.generator, rag.Options.of(given), self.index_)
 
     def index_status(self) -> dict[str, int]:
-        return catalog.status_counts(self.store.documents()).first().asDict()
+        return catalog.status_counts(self.store.states()).first().asDict()
 
     def clear(self) -> None:
         self.store.clear()
+        if self.index_ is not None:
+            self.index_.clear()

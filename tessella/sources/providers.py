@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -137,6 +138,14 @@ class HttpClassifier:
         return each(lambda t: verdict(_post(self.url, {"model": self.model, "prompt": self.prompt.format(query=t), "stream": False}, self.timeout).get("response")), texts, self.at_once)
 
 
+_STOP_WORDS = frozenset(STOP_WORDS)
+
+
+@functools.lru_cache(200_000)
+def _token_hash(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+
+
 class HashEmbedder:
     """Offline: index tokens counted into ``dim`` buckets by their md5, scaled to length 1; zeros for none."""
 
@@ -149,8 +158,8 @@ class HashEmbedder:
     def _one(self, text: str) -> list[float]:
         v = [0.0] * self.dim
         for t in re.sub(r"[^a-z0-9\s]", " ", (text or "").lower()).split():
-            if len(t) >= 2 and t not in STOP_WORDS:
-                v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % self.dim] += 1
+            if len(t) >= 2 and t not in _STOP_WORDS:
+                v[_token_hash(t) % self.dim] += 1
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v] if n else v
 

@@ -2,6 +2,7 @@ import json
 
 from tessella import cli
 from tessella.operators import evaluate
+from tessella.operators.postings import PostingIndex
 from tessella.sources import dataset, providers
 from tessella.sources.store import Store
 
@@ -23,12 +24,13 @@ def lectures(tmp_path):
 def test_run(spark, tmp_path):
     rows = dataset.load(spark, *lectures(tmp_path))
     store, embedder, generator = Store(spark, str(tmp_path / "store")), providers.HashEmbedder(2048), providers.EchoGenerator(lambda p: "context" if "Excerpt" in p else providers.first_passage(p))
+    index = PostingIndex(spark, str(tmp_path / "postings"))
     for search_type, rerank in (("hybrid", False), ("cosine", False), ("hybrid", True)):
-        got = {(r["lecture_id"], r["question"][:4]): r for r in evaluate.run(store, rows, embedder, generator, search_type, rerank, str(tmp_path / "report")).collect()}
+        got = {(r["lecture_id"], r["question"][:4]): r for r in evaluate.run(store, rows, embedder, generator, search_type, rerank, str(tmp_path / "report"), index=index).collect()}
         assert len(got) == 3 and store.documents().count() == 2 and store.in_progress() == 0
         assert got["trees", "What"]["passed"] and got["waves", "Spee"]["keyword_recall"] == 1.0 and got["waves", "zzz "]["n_sources"] == 0
     text = "".join(p.read_text() for p in (tmp_path / "report").glob("part-*"))
-    assert "EVALUATION REPORT" in text and "[waves]" in text
+    assert "RAG EVALUATION REPORT" in text and "  Total questions:        3" in text and "[waves]" in text and "   Sources: 0 chunks" in text and index.size() == store.chunks().count()
 
 
 def test_command(spark, tmp_path, capsys):

@@ -340,7 +340,10 @@ def test_dataset(spark, tmp_path):
 
 
 def test_service(spark, tmp_path):
-    s = Service(spark, Store(spark, str(tmp_path / "s")), providers.HashEmbedder(16), providers.EchoGenerator(lambda p: "answer"), providers.ConstantClassifier("safe"))
+    from tessella.operators.postings import PostingIndex
+
+    index = PostingIndex(spark, str(tmp_path / "i"))
+    s = Service(spark, Store(spark, str(tmp_path / "s")), providers.HashEmbedder(16), providers.EchoGenerator(lambda p: "answer"), providers.ConstantClassifier("safe"), index)
     with pytest.raises(Rejected, match="roleplay"):
         s.create("please roleplay", 1)
     with pytest.raises(Rejected):
@@ -348,7 +351,12 @@ def test_service(spark, tmp_path):
     s.create("Binary trees keep sorted keys.", 2)
     assert s.index_status()["completed"] == 1
     assert s.search("binary trees keep sorted keys").count() == 1
-    assert s.chunk_search("sorted keys", "hybrid").count() == 1
+    hit = s.chunk_search("sorted keys", "hybrid").collect()
+    assert index.size() == 1
+    s.index_ = None
+    assert hit == s.chunk_search("sorted keys", "hybrid").collect() and len(hit) == 1
+    s.index_ = index
+    assert s.rag("sorted keys", search_type="hybrid")["source_kind"] == "chunks"
     assert s.rag("binary sorted trees keys")["source_kind"] == "chunks"
     assert s.index().first()["chunks"][0]["content"] == "Binary trees keep sorted keys."
     with pytest.raises(Rejected):
@@ -357,4 +365,4 @@ def test_service(spark, tmp_path):
     with pytest.raises(Rejected):
         s.rag("fine")
     s.clear()
-    assert s.index_status()["total"] == 0
+    assert s.index_status()["total"] == 0 and index.size() == 0
