@@ -600,6 +600,49 @@ def ingest_states(spark: SparkSession, d: str) -> DataFrame:
     return store.documents().select(F.col("id"), "index_status").join(chunks, F.col("id") == F.col("document_id"), "left").drop("document_id")
 
 
+@query("stream_ingest", f"""WITH n AS (SELECT doc_id, count(*)::INT AS n_chunks FROM ({_CHUNKED}) GROUP BY doc_id)
+SELECT doc_id AS id, 'completed' AS index_status, n_chunks FROM documents JOIN n USING (doc_id) WHERE {f.rejection('text')} IS NULL""")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """All documents as files that land in a folder, indexed by a stream in several batches that compacts its store on the way."""
+    from tessella.session import shared_path
+    from tessella.sources.providers import EchoGenerator, HashEmbedder
+    from tessella.sources.store import Store
+    from tessella.sources.tables import json_lines
+    from tessella.streaming.ingest import stream
+
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    landing, store = shared_path(spark, "landing"), Store(spark, shared_path(spark, "stream-store"))
+    json_lines(docs).repartition(3).write.text(landing)
+    running = stream(spark, landing, store, shared_path(spark, "stream-checkpoint"), HashEmbedder(8), EchoGenerator(lambda p: "context"), once=True, files_per_trigger=1, compact_every=2, dim=8)
+    running.awaitTermination()
+    counts = store.chunks().groupBy(F.col("document_id").alias("id")).agg(F.count("*").cast("int").alias("n_chunks"))
+    return store.states().join(counts, "id").select("id", "index_status", "n_chunks")
+
+
+@query("question_set", f"""WITH l AS (SELECT item_id % 5 AS k, string_agg(text, chr(10) ORDER BY item_id) AS content FROM benchmark GROUP BY 1)
+SELECT k::VARCHAR AS lecture_id, sha256(content) AS content_sha, substring(text, 1, 40) AS question, sha256(text) AS answer_sha, array_to_string(({f.eval_tokens('text')})[1:3], ',') AS keywords, 'topic ' || item_id AS topic,
+  (SELECT count(*) FROM benchmark) AS total FROM benchmark JOIN l ON k = item_id % 5""")
+def question_set(spark: SparkSession, d: str) -> DataFrame:
+    """The benchmark as five lectures, each a text file, with its questions in a JSON file, read as question sets are."""
+    from tessella.session import shared_path
+    from tessella.sources import dataset
+    from tessella.sources.tables import write_text
+
+    items = table(spark, d, "benchmark").withColumn("k", F.col("item_id") % 5)
+    one = F.struct("item_id", F.substring("text", 1, 40).alias("question"), F.col("text").alias("expected_answer"), F.slice(text.eval_tokens(F.col("text")), 1, 3).alias("expected_keywords"), F.concat(F.lit("topic "), F.col("item_id")).alias("topic"))
+    grouped = items.groupBy("k").agg(F.sort_array(F.collect_list(one)).alias("questions")).withColumns({"id": F.col("k").cast("string"), "file": F.concat(F.lit("lecture-"), F.col("k"), F.lit(".txt"))})
+    folder, rows = shared_path(spark, "question-set"), grouped.collect()  # a question set is small
+    for r in rows:
+        write_text(spark, f"{folder}/{r['file']}", "\n".join(q["expected_answer"] for q in r["questions"]))
+    lectures = grouped.select("id", "file", F.lit("benchmark").alias("source"), F.transform("questions", lambda q: q.dropFields("item_id")).alias("questions"))
+    whole = "[" + ",".join(r[0] for r in lectures.select(F.to_json(F.struct(*lectures.columns))).collect()) + "]"
+    write_text(spark, f"{folder}/set.json", '{"lectures": ' + whole + "}")
+    read = dataset.load(spark, f"{folder}/set.json", folder)
+    total = dataset.total_questions(read).first()["total"]
+    each = dataset.questions(read).join(read.select(F.col("id").alias("lecture_id"), "content"), "lecture_id")
+    return each.select("lecture_id", F.sha2("content", 256).alias("content_sha"), "question", F.sha2("expected_answer", 256).alias("answer_sha"), F.array_join("expected_keywords", ",").alias("keywords"), "topic", F.lit(total).cast("bigint").alias("total"))
+
+
 @query("safety_split", f"""WITH {_GUARDED} SELECT id, {f.rejection('text')} IS NULL AND NOT contains(lower(coalesce(text, '')), 'weather') AS safe FROM g""")
 def safety_split(spark: SparkSession, d: str) -> DataFrame:
     """The rules, then a classifier that calls talk of the weather unsafe."""

@@ -31,3 +31,13 @@ def whole_chunks(docs: DataFrame) -> DataFrame:
 def json_lines(df: DataFrame) -> DataFrame:
     """(value): each row as a JSON object."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, written by the driver, on any file system that Spark knows."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
