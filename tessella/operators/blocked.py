@@ -25,6 +25,8 @@ from .bm25 import K1, B
 QUERIES_AT_ONCE = 4_096
 #: Rows and queries of one product.
 ROWS, COLUMNS = 2_048, 1_024
+#: Lexical scores that are held at once.
+CELLS = 2_000_000
 
 
 def norms(x: np.ndarray) -> np.ndarray:
@@ -54,17 +56,32 @@ class Lexical:
     """Okapi BM25 of rows against queries. weights: term to (numbers of queries, their weights)."""
 
     def __init__(self, weights: dict[str, tuple[np.ndarray, np.ndarray]], avgdl: float):
-        self.weights, self.avgdl = weights, avgdl
+        self.number, self.avgdl = {t: k for k, t in enumerate(weights)}, avgdl
+        none = [np.empty(0, np.int64)]
+        self.size = np.array([len(q) for q, _ in weights.values()], np.int64)
+        self.start = np.cumsum(self.size) - self.size
+        self.queries = np.concatenate(none + [q for q, _ in weights.values()]).astype(np.int64)
+        self.weights = np.concatenate(none + [w for _, w in weights.values()]).astype(float)
 
     def scores(self, b: pa.RecordBatch, lo: int, hi: int, queries: int) -> np.ndarray:
-        out = np.zeros((hi - lo, queries))
-        rows = zip(b.column("dl")[lo:hi].to_pylist(), b.column("terms")[lo:hi].to_pylist(), b.column("tfs")[lo:hi].to_pylist(), strict=True)
-        for i, (dl, terms, tfs) in enumerate(rows):
-            for t, tf in zip(terms or (), tfs or (), strict=True):
-                got = self.weights.get(t)
-                if got is not None:
-                    out[i, got[0]] += got[1] * (tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl)))
-        return out
+        """(row, query): a row's terms are added in their order, so equal rows have equal scores."""
+        rows, codes, tf = [], [], []
+        for i, (terms, tfs) in enumerate(zip(b.column("terms")[lo:hi].to_pylist(), b.column("tfs")[lo:hi].to_pylist(), strict=True)):
+            for t, n in zip(terms or (), tfs or (), strict=True):
+                k = self.number.get(t)
+                if k is not None:
+                    rows.append(i)
+                    codes.append(k)
+                    tf.append(n)
+        if not rows:
+            return np.zeros((hi - lo, queries))
+        rows, codes, tf = np.array(rows), np.array(codes), np.array(tf, float)
+        dl = np.array(b.column("dl")[lo:hi].to_pylist(), float)[rows]
+        part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
+        n = self.size[codes]
+        at = np.repeat(self.start[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        cells = np.repeat(rows * queries, n) + self.queries[at]
+        return np.bincount(cells, self.weights[at] * np.repeat(part, n), (hi - lo) * queries).reshape(hi - lo, queries)
 
 
 class Fusion:
@@ -84,8 +101,9 @@ def _tiles(b: pa.RecordBatch, vectors: list[np.ndarray], kind: str, lexical: Lex
     lengths = np.diff(b.column("embedding").offsets.to_numpy())
     widths = sorted({len(v) for v in vectors})
     by = {d: np.array([j for j, v in enumerate(vectors) if len(v) == d]) for d in widths}
-    for lo in range(0, len(b), ROWS):
-        hi = min(len(b), lo + ROWS)
+    step = ROWS if lexical is None else max(1, min(ROWS, CELLS // max(1, len(vectors))))
+    for lo in range(0, len(b), step):
+        hi = min(len(b), lo + step)
         own, words = b.column("embedding")[lo:hi], lexical.scores(b, lo, hi, len(vectors)) if lexical else None
         for d in widths:
             fit = np.flatnonzero(lengths[lo:hi] == d)

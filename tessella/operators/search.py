@@ -46,13 +46,13 @@ def document_search(docs: DataFrame, vector: list[float], search_type: object =
     return met.select("content", "score", "id").orderBy(F.desc("score"), "id")
 
 
-def chunk_texts(chunks: DataFrame, docs: DataFrame) -> DataFrame:
-    """Chunks (id, document_id, start_char, end_char, embedding, context) that have a vector, with raw and text.
+def chunk_texts(chunks: DataFrame, docs: DataFrame, vectors: bool = True) -> DataFrame:
+    """Chunks (id, document_id, start_char, end_char, embedding, context), with ``vectors`` those that have one, with raw and text.
 
     raw is the document's slice, text the same after the chunk's context.
     """
     own = docs.select(F.col("id").alias("document_id"), F.col("content").alias("_whole"))
-    met = chunks.where("embedding is not null").join(own, "document_id").withColumn("raw", span(F.col("_whole"), F.col("start_char"), F.col("end_char"))).drop("_whole")
+    met = (chunks.where("embedding is not null") if vectors else chunks).join(own, "document_id").withColumn("raw", span(F.col("_whole"), F.col("start_char"), F.col("end_char"))).drop("_whole")
     return met.withColumn("text", with_context(F.col("context"), F.col("raw"))).withColumnRenamed("id", "chunk_id")
 
 
@@ -62,7 +62,8 @@ _HIT = ["content", "score", "document_id", "chunk_id", "start_char", "end_char"]
 def _fetched(best_: DataFrame, chunks: DataFrame, docs: DataFrame, few: bool, *more: str) -> DataFrame:
     """best_ (chunk_id, score, ...) as hits with their contents, which are read for these chunks alone."""
     own = best_.withColumnRenamed("chunk_id", "id")
-    return chunk_texts(chunks.join(F.broadcast(own) if few else own, "id"), docs).withColumn("content", F.col("text")).select(*more, *_HIT)
+    met = chunks.drop("embedding").join(F.broadcast(own) if few else own, "id")
+    return chunk_texts(met, docs, vectors=False).withColumn("content", F.col("text")).select(*more, *_HIT)
 
 
 def chunk_search(chunks: DataFrame, docs: DataFrame, vector: list[float], search_type: object = "cosine", top: int | None = TOP, threshold: float = CHUNK_THRESHOLD) -> DataFrame:

@@ -8,11 +8,12 @@ import json
 import math
 import re
 import urllib.request
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -138,7 +139,7 @@ class HttpClassifier:
         return each(lambda t: verdict(_post(self.url, {"model": self.model, "prompt": self.prompt.format(query=t), "stream": False}, self.timeout).get("response")), texts, self.at_once)
 
 
-_STOP_WORDS = frozenset(STOP_WORDS)
+_STOP_WORDS, _TOKENS = frozenset(STOP_WORDS), re.compile(r"[a-z0-9]{2,}").findall
 
 
 @functools.lru_cache(200_000)
@@ -157,9 +158,9 @@ class HashEmbedder:
 
     def _one(self, text: str) -> list[float]:
         v = [0.0] * self.dim
-        for t in re.sub(r"[^a-z0-9\s]", " ", (text or "").lower()).split():
-            if len(t) >= 2 and t not in _STOP_WORDS:
-                v[_token_hash(t) % self.dim] += 1
+        for t, n in Counter(_TOKENS((text or "").lower())).items():
+            if t not in _STOP_WORDS:
+                v[_token_hash(t) % self.dim] += n
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v] if n else v
 
@@ -214,13 +215,14 @@ def asked(ask: Callable[[list], list], items: list) -> list[tuple[object, str |
 def try_embed_udf(embedder: Embedder) -> Callable[[Column], Column]:
     """struct<vector, error>: the vector can be empty, if the service says so; it is null for null and blank texts and after an error."""
 
-    @F.pandas_udf("struct<vector:array<double>,error:string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<vector:array<double>,error:string>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            texts = [t for t in s if t and t.strip()]
-            got = iter(asked(embedder.embed, texts))
-            rows = [next(got) if t and t.strip() else (None, None) for t in s]
-            yield pd.DataFrame({"vector": pd.Series([None if v is None else [float(x) for x in v] for v, _ in rows], dtype=object), "error": pd.Series([e for _, e in rows], dtype=object)})
+            rows = s.to_pylist()
+            got = iter(asked(embedder.embed, [t for t in rows if t and t.strip()]))
+            found = [next(got) if t and t.strip() else (None, None) for t in rows]
+            vectors = pa.array([None if v is None else [float(x) for x in v] for v, _ in found], pa.list_(pa.float64()))
+            yield pa.StructArray.from_arrays([vectors, pa.array([e for _, e in found], pa.string())], names=["vector", "error"])
 
     return run
 
@@ -234,10 +236,10 @@ def embed_udf(embedder: Embedder) -> Callable[[Column], Column]:
 def generate_udf(generator: Generator) -> Callable[[Column], Column]:
     """Answers by the generator, a batch at a time; '' where it fails."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield pd.Series([str(x or "").strip() for x, _ in asked(generator.generate, list(s))], dtype=object)
+            yield pa.array([str(x or "").strip() for x, _ in asked(generator.generate, s.to_pylist())], pa.string())
 
     return run
 
@@ -245,10 +247,10 @@ def generate_udf(generator: Generator) -> Callable[[Column], Column]:
 def classify_udf(classifier: Classifier) -> Callable[[Column], Column]:
     """``safe`` or ``unsafe``, a batch at a time; a failure is unsafe."""
 
-    @F.pandas_udf("string")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            yield pd.Series(["unsafe" if e else x for x, e in asked(classifier.classify, [t or "" for t in s])], dtype=object)
+            yield pa.array(["unsafe" if e else x for x, e in asked(classifier.classify, [t or "" for t in s.to_pylist()])], pa.string())
 
     return run
 

@@ -6,7 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor, wait
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -21,22 +21,21 @@ from tessella.sources.providers import ZERO_DIM, Embedder, Generator, asked, or_
 from tessella.sources.store import Store
 
 THRESHOLD = 0.8
-#: Calls to a generator that a task has in flight.
-AT_ONCE = 8
 
 
 def embed_all_udf(embedder: Embedder) -> Callable[[Column], Column]:
     """array<string> to array<array<double>>; null if any of them fails. All texts of a batch go to the service together."""
 
-    @F.pandas_udf("array<array<double>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<array<double>>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for s in batches:
-            got = iter(asked(embedder.embed, [t for texts in s if texts is not None for t in texts]))
+            rows = s.to_pylist()
+            got = iter(asked(embedder.embed, [t for texts in rows if texts is not None for t in texts]))
             out: list = []
-            for texts in s:
+            for texts in rows:
                 own = None if texts is None else [next(got) for _ in texts]
-                out.append(None if own is None or any(e for _, e in own) else [list(v) for v, _ in own])
-            yield pd.Series(out, dtype=object)
+                out.append(None if own is None or any(e for _, e in own) else [v for v, _ in own])
+            yield pa.array(out, pa.list_(pa.list_(pa.float64())))
 
     return run
 
@@ -66,8 +65,12 @@ def contextualize(document: str, parts: list[str], generator: Generator, run=map
     return list(run(alone, parts))
 
 
-def contextualize_all(rows: list[tuple[str, list[str]]], generator: Generator, at_once: int = AT_ONCE) -> list[list[str]]:
-    """contextualize() for documents and their parts, with no more than ``at_once`` calls for parts in flight over all of them."""
+def contextualize_all(rows: list[tuple[str, list[str]]], generator: Generator, at_once: int | None = None) -> list[list[str]]:
+    """contextualize() for documents and their parts, with no more than ``at_once`` calls for parts in flight over all of them.
+
+    By default as many as the generator says (its ``at_once``), one after another if it doesn't.
+    """
+    at_once = at_once or getattr(generator, "at_once", 1)
     if at_once == 1:
         return [contextualize(d, parts, generator) for d, parts in rows]
     with ThreadPoolExecutor(at_once) as calls, ThreadPoolExecutor(at_once) as documents:  # a document waits in the second for its calls in the first
@@ -80,19 +83,19 @@ def contextualize_all(rows: list[tuple[str, list[str]]], generator: Generator, a
         return list(documents.map(lambda r: contextualize(*r, generator, run), rows))
 
 
-def context_udf(generator: Generator, at_once: int = AT_ONCE) -> Callable[[Column, Column], Column]:
+def context_udf(generator: Generator, at_once: int | None = None) -> Callable[[Column, Column], Column]:
     """Document and its parts to the parts' contexts: a document's parts are together in its row."""
 
-    @F.pandas_udf("array<string>")
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for docs, parts in batches:
-            rows = [(d or "", list(p) if p is not None else []) for d, p in zip(docs, parts, strict=True)]
-            yield pd.Series(contextualize_all(rows, generator, at_once), dtype=object)
+            rows = [(d or "", p or []) for d, p in zip(docs.to_pylist(), parts.to_pylist(), strict=True)]
+            yield pa.array(contextualize_all(rows, generator, at_once), pa.list_(pa.string()))
 
     return run
 
 
-def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = None, *, size: int = 500, semantic: bool = False, dim: int = ZERO_DIM, splitter: Callable[[Column], Column] = sentences, at_once: int = AT_ONCE) -> DataFrame:
+def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = None, *, size: int = 500, semantic: bool = False, dim: int = ZERO_DIM, splitter: Callable[[Column], Column] = sentences, at_once: int | None = None) -> DataFrame:
     """docs (id, content) with embedding, chunk structs (start_char, end_char, content, context, embedding) and index_status.
 
     A vector that the service leaves empty becomes zeros. A document whose own vector or any
