@@ -29,7 +29,7 @@ def test_evaluation(spark, tmp_path):
     assert (s["total_questions"], s["passed"], s["failed"], s["pass_rate"], s["retrieval_hit_rate"]) == (2, 1, 1, 50.0, 0.5)
     assert e.gate(results) and not e.gate(results, 60)
     text = e.report(results)
-    assert "1. [l] q1" in text and "PASS" in text and "FAIL" in text and "pass rate 50.0%" in text
+    assert "1. [l] q1" in text and "PASS" in text and "FAIL" in text and "  Pass rate:              50.0%" in text
     e.write_report(results, str(tmp_path / "report"))
     assert "".join(f.read_text() for f in (tmp_path / "report").glob("part-*")).strip() == text
     empty = e.summary(results.limit(0)).first()
