@@ -11,8 +11,8 @@ one edit such a group isn't paired: its lines also differ by at most one edit in
 so the rest is cut again, and again, until groups are small or one character is left. No
 pair is lost, and a group of m costs m rows a step. What is left, and large groups with
 more edits, is paired in blocks: an index line with each other line, never probe with probe.
-Pairs are verified by a banded bit-parallel edit distance, after Spark's own banded one,
-which turns most of them away.
+Pairs are verified by a banded bit-parallel edit distance. Counts of characters by class,
+kept with each line, turn most of them away before: an edit changes two counts by one at most.
 
 Lines below ``min_chars`` are compared as they are, without edits.
 """
@@ -31,6 +31,8 @@ MIN_CHARS, EDITS, GROUP = 30, 1, 16
 #: Large groups are paired in blocks of about this size.
 BLOCK = 64
 BLANK = " \t\r\x0b\x0c"
+#: Classes of characters that a line's profile counts, and the widest count in it.
+CLASSES, WIDTH = ("ae", "io", "nr", "st", "dl", "cmu", "0123456789"), 8
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -109,16 +111,29 @@ def within(x: Column, y: Column, edits: int) -> Column:
     return near & let(F.struct(chars(x).alias("a"), chars(y).alias("b")), lambda z: run(z["a"], z["b"]))
 
 
+def profile(line: Column) -> Column:
+    """How often each class of characters occurs in a line, modulo 256: a byte each."""
+    return reduce(lambda a, c: F.shiftleft(a, WIDTH).bitwiseOR(c), [(F.length(line) - F.length(F.translate(line, k, ""))).bitwiseAND((1 << WIDTH) - 1).cast("bigint") for k in CLASSES])
+
+
+def _alike(p: Column, q: Column, edits: int) -> Column:
+    """False only for profiles of lines that are further apart: an edit adds 2 at most to the sum of differences (circular ones)."""
+    top = 1 << WIDTH
+    byte = lambda c, k: F.shiftright(c, WIDTH * k).bitwiseAND(top - 1).cast("int")
+    apart = lambda k: F.abs(byte(p, k) - byte(q, k))
+    return reduce(lambda a, b: a + b, [F.least(apart(k), top - apart(k)) for k in range(len(CLASSES))]) <= 2 * edits
+
+
 def _verified(pair: DataFrame, edits: int) -> DataFrame:
     """Links (i, j, i2, j2), the first the lesser, of the near ones of the pairs (x, y)."""
     pair = pair.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where("x.i <> y.i or x.j <> y.j")
-    near = pair.where(F.levenshtein(F.col("x.line"), F.col("y.line"), edits) >= 0).where(within(F.col("x.line"), F.col("y.line"), edits))
+    near = pair.where(_alike(F.col("x.p"), F.col("y.p"), edits)).where(within(F.col("x.line"), F.col("y.line"), edits))
     return near.select("x.i", "x.j", F.col("y.i").alias("i2"), F.col("y.j").alias("j2"))
 
 
 def _pairs(groups: DataFrame, edits: int) -> DataFrame:
     """Links between an index line of each group and its other lines, for small groups."""
-    many = groups.groupBy("g").agg(F.collect_list(F.struct("i", "j", "line")).alias("m"), F.collect_list("short").alias("s")).where(F.size("m") > 1)
+    many = groups.groupBy("g").agg(F.collect_list(F.struct("i", "j", "line", "p")).alias("m"), F.collect_list("short").alias("s")).where(F.size("m") > 1)
     every = F.flatten(F.transform("m", lambda x, k: F.transform(F.filter("m", lambda y, t: (t > k) & (F.get("s", k) | F.get("s", t))), lambda y: F.struct(x.alias("x"), y.alias("y")))))
     return _verified(many.select(F.explode(every).alias("p")).select("p.x", "p.y"), edits)
 
@@ -126,7 +141,7 @@ def _pairs(groups: DataFrame, edits: int) -> DataFrame:
 def _block_pairs(groups: DataFrame, edits: int) -> DataFrame:
     """The same for large groups (with c, their size): each block of index lines meets all lines."""
     blocks = F.ceil(F.col("c") / BLOCK).cast("int")
-    one = F.struct("i", "j", "line")
+    one = F.struct("i", "j", "line", "p")
     x = groups.where("short").select("g", F.pmod("i", blocks).cast("int").alias("block"), one.alias("x"))
     y = groups.select("g", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block"), one.alias("y"), "short")
     met = x.join(y, ["g", "block"]).where((~F.col("short")) | (F.col("x.i") < F.col("y.i")) | ((F.col("x.i") == F.col("y.i")) & (F.col("x.j") < F.col("y.j"))))
@@ -147,8 +162,8 @@ def near_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
     wanted = members.select("i", "j").distinct().join(distinct, ["i", "j"]).groupBy(F.col("first.doc_id").alias("of")).agg(F.collect_set("first.pos").alias("at"))
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["of"])).select("at", F.split("text", "\n").alias("all"))
     texts = texts.select(F.explode(F.transform("at", lambda p: F.btrim(F.get("all", p), F.lit(BLANK)))).alias("line")).where("line is not null")
-    texts = texts.withColumns({"i": F.xxhash64("line"), "j": F.xxhash64(F.lit(7), F.col("line"))}).dropDuplicates(["i", "j"])
-    state = members.join(texts, ["i", "j"]).select("g", "i", "j", "line", "len", "role", short.alias("short"))
+    texts = texts.withColumns({"i": F.xxhash64("line"), "j": F.xxhash64(F.lit(7), F.col("line"))}).dropDuplicates(["i", "j"]).withColumn("p", profile(F.col("line")))
+    state = members.join(texts, ["i", "j"]).select("g", "i", "j", "line", "p", "len", "role", short.alias("short"))
     if edits == 1:  # the rest of the shorter line, in which an edit is still possible: after the first segment, or before the last
         n = F.col("len") - F.when(short, 0).otherwise(1)
         h, first = F.floor(n / 2).cast("int"), F.col("role") % 2 == 0
@@ -166,8 +181,8 @@ def near_lines(docs: DataFrame, *, edits: int = EDITS, min_chars: int = MIN_CHAR
             links.append(written(_block_pairs(last, edits), "line-block-links"))
         if edits > 1 or counted.where(further).isEmpty():
             break
-        state = counted.where(further).select("i", "j", "line", "len", "short", "n", F.explode(F.array(*_cut(F.col("line"), F.col("len"), F.col("g"), F.col("n"), F.col("a"), F.col("b")))).alias("k")).select(
-            F.col("k.g").alias("g"), "i", "j", "line", "len", "short", "n", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
+        state = counted.where(further).select("i", "j", "line", "p", "len", "short", "n", F.explode(F.array(*_cut(F.col("line"), F.col("len"), F.col("g"), F.col("n"), F.col("a"), F.col("b")))).alias("k")).select(
+            F.col("k.g").alias("g"), "i", "j", "line", "p", "len", "short", "n", F.col("k.a").alias("a"), F.col("k.b").alias("b"))
     return lines, distinct, reduce(DataFrame.unionByName, links).distinct()
 
 

@@ -93,3 +93,20 @@ def test_within(spark, edits):
 
     for x, y, got in rows.select("x", "y", d.within(F.col("x"), F.col("y"), edits)).collect():
         assert got == near(x, y, edits), (x, y)
+
+
+@pytest.mark.parametrize("edits", [1, 2])
+def test_profiles_lose_no_pair(spark, edits):
+    """The counts turn away strangers and no pair within the edits, at counts beyond a byte too."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(edits)
+    pairs = []
+    for size in [31, 40, 255 * 3, 256 * 7, 3000] * 30:
+        x = y = "".join(rng.choices(rng.choice(["a", "ae io", "abcdefghijklmnopqrstuvwxyz 0123456789é😀"]), k=size))
+        for _ in range(edits):
+            y = edit(rng, y)
+        pairs += [(x, y, True), (x, "".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=size)), False)]
+    rows = spark.createDataFrame(pairs, "x string, y string, near boolean")
+    got = rows.select("near", d._alike(d.profile(F.col("x")), d.profile(F.col("y")), edits).alias("alike")).collect()
+    assert all(r["alike"] for r in got if r["near"]) and sum(r["alike"] for r in got) < len(pairs) * 0.6
