@@ -1,7 +1,8 @@
 """Language identification by unigram pieces, summed over all segmentations.
 
 The pieces are a fixed public vocabulary. Each language gets piece probabilities by
-expectation maximisation over the words of a bounded sample of labelled texts. A text is
+expectation maximisation over the whole words of a bounded sample of labelled texts, in a
+task of its own. A text is
 scored by the forward algorithm, which sums the probabilities of all segmentations of
 each of its words; the score is the posterior of the best language under equal priors.
 """
@@ -24,10 +25,12 @@ from .common import lean, unused
 #: Bound of what is learned from: distinct texts a language (expected number), with all of their words.
 TEXTS_PER_LANG = 1_000
 SMOOTHING, UNKNOWN, EM_STEPS = 0.01, 1e-8, 3
-#: Longer words go through the scaled recursion, and teach in parts of this length.
+#: Longer words go through recursions that can't underflow.
 UNIT = 24
 #: Scored words that a task remembers, and characters that are scored or learned from at once.
 CACHE, BATCH_CHARS = 300_000, 200_000
+#: Characters of long words that are learned from at once.
+LONG_CHARS = 500_000
 
 
 #: What Python's split() takes for white space.
@@ -146,29 +149,62 @@ class Model:
                 seen += np.bincount(x, c * a[:, e - k] * p[x] * b[:, e] / a[:, n], len(p))
         return seen
 
+    def _expected_short(self, words: list[str], c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        return self._expected(self._rows(words, len(words[0])), c, p)
+
+    def _expected_long(self, words: list[str], c: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """The same for words of any lengths, in logarithms."""
+        n, ends = max(map(len, words)), np.array([len(w) for w in words])
+        r, lp, seen = self._rows([w.ljust(n, "\0") for w in words], n), np.log(p, where=p > 0, out=np.full(len(p), -np.inf)), np.zeros(len(p))
+        most, at = r.shape[2], np.arange(len(words))
+        a, b = np.full((len(words), n + 1), -np.inf), np.full((len(words), n + 1), -np.inf)
+        a[:, 0], b[at, ends] = 0, 0
+        for e in range(1, n + 1):
+            m = min(e, most)
+            a[:, e] = np.logaddexp.reduce(a[:, e - m : e][:, ::-1] + lp[r[:, e - 1, :m]], axis=1)
+        for s in range(n - 1, -1, -1):
+            m = min(n - s, most)
+            k = np.arange(m)
+            b[:, s] = np.logaddexp(b[:, s], np.logaddexp.reduce(b[:, s + 1 : s + 1 + m] + lp[r[:, s + k, k]], axis=1))
+        total = a[at, ends][:, None]
+        for k in range(1, most + 1):
+            x = r[:, k - 1 :, k - 1]
+            seen += np.bincount(x.ravel(), (c[:, None] * np.exp(a[:, : n - k + 1] + lp[x] + b[:, k:] - total)).ravel(), len(p))
+        return seen
+
+    def _occurrences(self, words: list[str], c: np.ndarray) -> np.ndarray:
+        n = max(map(len, words))
+        r = self._rows([w.ljust(n, "\0") for w in words], n)
+        return np.bincount(r.ravel(), np.repeat(c, r[0].size), len(self.prob))
+
+    def learn_language(self, counts: dict[str, int], steps: int = EM_STEPS) -> np.ndarray:
+        """The pieces' probabilities from whole words with counts, long ones too, such as those of scripts without spaces."""
+        by, long = defaultdict(list), []
+        for w in counts:
+            if len(w) >= UNIT:
+                long.append(w)
+            else:
+                by[len(w)].append(w)
+        data = [(self._expected_short, part) for n, ws in by.items() for part in _parts(ws, BATCH_CHARS // (n + 1))]
+        long.sort(key=len)
+        while long:
+            size = max(1, LONG_CHARS // (len(long[-1]) + 1))
+            data.append((self._expected_long, long[-size:]))
+            del long[-size:]
+        data = [(how, ["▁" + w for w in part], np.array([counts[w] for w in part], float)) for how, part in data]
+        seen = sum((self._occurrences(ws, c) for _, ws, c in data), np.zeros(len(self.prob)))
+        for step in range(steps + 1):
+            seen[:2] = 0
+            p = (seen + SMOOTHING) / (seen.sum() + SMOOTHING * len(seen))
+            p[0], p[1] = 0, UNKNOWN
+            if step < steps:
+                seen = sum((how(ws, c, p) for how, ws, c in data), np.zeros(len(p)))
+        return p
+
     def fit(self, counts: dict[str, dict[str, int]], steps: int = EM_STEPS) -> Model:
-        """counts: language to word to count. Words without spaces between them, which can be very long, teach in parts."""
+        """counts: language to word to count."""
         for j, lang in enumerate(self.langs):
-            units: Counter[str] = Counter()
-            for w, c in counts.get(lang, {}).items():
-                w = "▁" + w
-                for lo in range(0, len(w), UNIT):
-                    units[w[lo : lo + UNIT]] += c
-            by = defaultdict(list)
-            for u in units:
-                by[len(u)].append(u)
-            data = [(n, part, np.array([units[u] for u in part], float)) for n, us in by.items() for part in _parts(us, BATCH_CHARS // n)]
-            seen = np.zeros(len(self.prob))
-            for n, us, c in data:
-                r = self._rows(us, n)
-                seen += np.bincount(r.ravel(), np.repeat(c, r[0].size), len(seen))
-            for step in range(steps + 1):
-                seen[:2] = 0
-                p = (seen + SMOOTHING) / (seen.sum() + SMOOTHING * len(seen))
-                p[0], p[1] = 0, UNKNOWN
-                if step < steps:
-                    seen = sum((self._expected(self._rows(us, n), c, p) for n, us, c in data), np.zeros(len(p)))
-            self.prob[:, j] = p
+            self.prob[:, j] = self.learn_language(counts.get(lang, {}), steps)
         return self
 
 
@@ -189,11 +225,18 @@ def learn(rows: DataFrame, pieces: list[str], *, texts_per_lang: int = TEXTS_PER
         return None
     share = F.create_map(*[F.lit(x) for k, v in n.items() for x in (k, int(min(1.0, texts_per_lang / v) * 1_000_000))])
     sample = rows.where(F.pmod(F.xxhash64("text", F.lit(9)), F.lit(1_000_000)) < share[F.col("lang")]).select("lang", "text").distinct()
-    pairs = sample.select("lang", F.explode(F.split(F.lower("text"), BLANKS)).alias("w")).where("w <> ''").groupBy("lang", "w").count()
-    counts: dict[str, dict[str, int]] = defaultdict(dict)
-    for r in pairs.toLocalIterator():  # of the bounded sample
-        counts[r["lang"]][r["w"]] = r["count"]
-    return Model(pieces, sorted(counts)).fit(counts) if counts else None
+    words = sample.select("lang", F.explode(F.split(F.lower("text"), BLANKS)).alias("w")).where("w <> ''").groupBy("lang", "w").count()
+
+    def fit(words: pa.Table) -> pa.Table:  # of the bounded sample: a language is a task
+        counts = dict(sorted(zip(words.column("w").to_pylist(), words.column("count").to_pylist(), strict=True)))
+        return pa.table({"lang": words.column("lang").slice(0, 1).cast(pa.string()), "p": pa.array([Model(pieces, []).learn_language(counts)], pa.list_(pa.float64()))})
+
+    learned = {r["lang"]: r["p"] for r in words.groupBy("lang").applyInArrow(fit, "lang string, p array<double>").collect()}  # a number a piece and language
+    if not learned:
+        return None
+    model = Model(pieces, sorted(learned))
+    model.prob[:] = np.array([learned[lang] for lang in model.langs]).T
+    return model
 
 
 def _predict(model: Model | None, drop_text: bool, names: list[str]):

@@ -60,6 +60,18 @@ def test_em_raises_the_likelihood(pieces):
         last = now
 
 
+def test_long_words_teach_whole():
+    """Expected pieces in logarithms, of words of mixed lengths, are those of the plain recursion; a piece across any place of a long word counts."""
+    rng = np.random.default_rng(2)
+    m = langid.Model(["▁", "a", "b", "ab", "ba", "aba", "▁a", "▁ab"], ["x"])
+    p = np.concatenate([[0, langid.UNKNOWN], rng.random(8) / 8])
+    words, c = ["▁abab", "▁ab", "▁cabbac", "▁abaabaab"], np.array([1.0, 3, 2, 5])
+    plain = sum(m._expected_short([w], np.array([n]), p) for w, n in zip(words, c, strict=True))
+    assert m._expected_long(words, c, p) == pytest.approx(plain, rel=1e-9)
+    seen = langid.Model(["▁", "a", "b", "aba"], ["x"]).fit({"x": {"b" * (langid.UNIT - 2) + "aba" + "b" * 500: 1}}).prob
+    assert seen[5, 0] > seen[3, 0] * 10  # "aba", not "a"
+
+
 def sample(rng, lang):
     stems = {"en": ["the", "ing", "and", "tion"], "de": ["sch", "ung", "der", "und"], "fr": ["eau", "ment", "les", "que"]}[lang]
     return " ".join("".join(rng.choices(stems, k=rng.randint(1, 3))) for _ in range(12))
