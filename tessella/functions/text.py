@@ -87,6 +87,12 @@ def truncate(text: Column, most: int) -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """Half away from zero after scaling, as databases round doubles: F.round() goes by the shortest decimal, and 14.549999999999999 * 10 is 145.5."""
+    scale = float(10**digits)
+    return F.round(x * scale) / scale
+
+
 def percent(share: Column) -> Column:
     return F.concat(F.round(share * 100, 1).cast("string"), F.lit("%"))
 

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.metrics import PASS_MARK, all_metrics
-from tessella.functions.text import percent, truncate
+from tessella.functions.metrics import PASS_MARK, with_metrics
+from tessella.functions.text import percent, rounded, truncate
 from tessella.session import stored
 from tessella.sources import dataset
 from tessella.sources.providers import Embedder, Generator
@@ -23,8 +23,7 @@ GATE = 50.0
 
 def evaluate(questions: DataFrame, answers: DataFrame, pass_mark: float = PASS_MARK) -> DataFrame:
     """questions (lecture_id, question, expected_answer, expected_keywords) met with answers (lecture_id, question, rag_answer, sources array<string>)."""
-    met = questions.join(answers, ["lecture_id", "question"], "left")
-    cols = all_metrics(F.col("rag_answer"), F.col("expected_answer"), F.col("expected_keywords"), F.col("sources"), pass_mark)
+    met, cols = with_metrics(questions.join(answers, ["lecture_id", "question"], "left"), "rag_answer", "expected_answer", "expected_keywords", "sources", pass_mark)
     return met.select("lecture_id", "question", "expected_answer", "rag_answer", F.coalesce(F.size("sources"), F.lit(0)).alias("n_sources"), *cols)
 
 
@@ -60,8 +59,8 @@ def run(store: Store, lectures: DataFrame, embedder: Embedder, generator: Genera
 
 def summary(results: DataFrame) -> DataFrame:
     """One row: counts, averages to three digits (0 for no question), pass rate in percent."""
-    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 3)
-    rate = F.when(F.count("*") == 0, 0.0).otherwise(F.round(F.count_if("passed") / F.count("*") * 100, 1))
+    mean = lambda c: rounded(F.coalesce(F.avg(c), F.lit(0.0)), 3)
+    rate = F.when(F.count("*") == 0, 0.0).otherwise(rounded(100.0 * F.count_if("passed") / F.count("*"), 1))
     return results.agg(
         F.count("*").alias("total_questions"), F.count_if("passed").alias("passed"), F.count_if(~F.col("passed")).alias("failed"),
         *[mean(c).alias(f"avg_{c}") for c in ("keyword_recall", "token_f1", "factual_overlap", "retrieval_precision")],

@@ -418,7 +418,8 @@ o AS (SELECT *, round(CASE WHEN len(sources) > 0 THEN (kr * 40 + f1 * 30 + fo *
 @query("eval_metrics", f"""WITH {_TURNS} SELECT conv_id, turn, round(kr, 6) AS keyword_recall, round(f1, 6) AS token_f1, round(fo, 6) AS factual_overlap, round(rp, 6) AS retrieval_precision,
   rel > 0 AS retrieval_hit, score AS overall_score, score >= 30 AS passed FROM o""")
 def eval_metrics(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).select("conv_id", "turn", *metrics.all_metrics(F.col("answer"), F.col("expected"), F.col("keywords"), F.col("sources")))
+    met, cols = metrics.with_metrics(_turns(spark, d), "answer", "expected", "keywords", "sources")
+    return met.select("conv_id", "turn", *cols)
 
 
 @query("eval_summary", f"""WITH {_TURNS} SELECT count(*) AS total_questions, count(*) FILTER (score >= 30) AS passed, count(*) FILTER (score < 30) AS failed,

@@ -34,3 +34,14 @@ def test_evaluation(spark, tmp_path):
     assert "".join(f.read_text() for f in (tmp_path / "report").glob("part-*")).strip() == text
     empty = e.summary(results.limit(0)).first()
     assert empty["total_questions"] == 0 and empty["avg_overall_score"] == 0.0 and empty["pass_rate"] == 0.0
+
+
+def test_scores_round_as_in_sql(spark):
+    """14.549999999999999 and 13.649999999999999 are halves once they are scaled."""
+    words = lambda n, a: [f"{a}{i}" for i in range(n)]
+    shared = words(1, "shared"), words(7, "shared")
+    rows = [(" ".join(shared[0] + words(2, "a")), " ".join(shared[0] + words(71, "b")), ["shared0", "missing1", "missing2"], []), (" ".join(shared[1] + words(3, "a")), " ".join(shared[1] + words(33, "b")), ["missing"], [])]
+    df = spark.createDataFrame(rows, "a string, e string, k array<string>, s array<string>")
+    assert [r["overall_score"] for r in df.select(*m.all_metrics(*(F.col(c) for c in "aeks"))).collect()] == [14.6, 13.7]
+    met, cols = m.with_metrics(df, *"aeks")
+    assert met.select(*cols).collect() == df.select(*m.all_metrics(*(F.col(c) for c in "aeks"))).collect()
