@@ -94,7 +94,7 @@ def rounded(x: Column, digits: int) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return F.concat(F.round(share * 100, 1).cast("string"), F.lit("%"))
+    return F.concat(rounded(share * 100, 1).cast("string"), F.lit("%"))
 
 
 def span(text: Column, start: Column, end: Column) -> Column:

@@ -8,13 +8,14 @@ one pass over a text, or over its sentences' lengths.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.batches import pieces
 from tessella.functions.text import BLANK
 from tessella.functions.vector import cosine
 
@@ -54,7 +55,7 @@ def plain_sentences(text: str | None) -> list[tuple[str, int, int]]:
 def _splitter(split):
     @F.arrow_udf(f"array<{SENTENCE}>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
+        for (batch,) in pieces(texts):
             found = [split(t) for t in batch.to_pylist()]
             flat = [x for xs in found for x in xs]
             yield _lists([len(x) for x in found], content=pa.array([x[0] for x in flat], pa.string()), start_char=pa.array([x[1] for x in flat], pa.int32()), end_char=pa.array([x[2] for x in flat], pa.int32()))
@@ -98,7 +99,7 @@ def chunks(spans: Column, size: int = SIZE, overlap: int = OVERLAP, breaks: Colu
 
     @F.arrow_udf(f"array<{CHUNK}>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for spans_, breaks_ in batches:
+        for spans_, breaks_ in pieces(batches):
             counts, starts, ends, contents = [], [], [], []
             for own, marked in zip(spans_, breaks_, strict=True):
                 own = own.values if own.is_valid else None
@@ -115,6 +116,25 @@ def chunks(spans: Column, size: int = SIZE, overlap: int = OVERLAP, breaks: Colu
     return run(spans, F.array().cast("array<boolean>") if breaks is None else breaks)
 
 
+def text_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, split: Callable[[str | None], list[tuple[str, int, int]]] = plain_sentences) -> Column:
+    """chunks() of a text's sentences in one function: sentences don't leave the task's Python."""
+
+    @F.arrow_udf(f"array<{CHUNK}>")
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for (batch,) in pieces(texts):
+            counts, starts, ends, contents = [], [], [], []
+            for text in batch.to_pylist():
+                own = split(text)
+                at = _gathered([len(x[0]) for x in own], [False] * len(own), size, overlap)
+                counts.append(len(at))
+                starts += [own[i][1] for i, _ in at]
+                ends += [own[j][2] for _, j in at]
+                contents += [" ".join(x[0] for x in own[i : j + 1]) for i, j in at]
+            yield _lists(counts, start_char=pa.array(starts, pa.int32()), end_char=pa.array(ends, pa.int32()), content=pa.array(contents, pa.string()))
+
+    return run(text)
+
+
 def semantic_breaks(vectors: Column, threshold: float = SEMANTIC) -> Column:
     """array<boolean>: whether a sentence is less similar to the one before than the threshold."""
     return F.transform(vectors, lambda v, i: F.when(i == 0, F.lit(False)).otherwise(cosine(F.get(vectors, i - 1), v) < threshold))
@@ -123,7 +143,7 @@ def semantic_breaks(vectors: Column, threshold: float = SEMANTIC) -> Column:
 def chunks_with_vectors(spans: Column, vectors: Column, size: int = SIZE, overlap: int = OVERLAP, threshold: float = SEMANTIC) -> Column:
     """Semantic breaks where every sentence has a vector, else by size alone."""
     sound = F.coalesce((F.size(vectors) == F.size(spans)) & F.forall(vectors, lambda v: F.coalesce(F.size(v) > 0, F.lit(False))), F.lit(False))
-    return F.when(sound, chunks(spans, size, overlap, semantic_breaks(vectors, threshold))).otherwise(chunks(spans, size, overlap))
+    return chunks(spans, size, overlap, F.when(sound, semantic_breaks(vectors, threshold)))
 
 
 #: Words with a full stop that end no sentence.
@@ -159,5 +179,6 @@ def rule_sentences(text: Column) -> Column:
 
 def chunk_rows(docs: DataFrame, size: int = SIZE, overlap: int = OVERLAP, splitter=sentences) -> DataFrame:
     """(document_id, chunk_no, start_char, end_char, content) from docs (id, content)."""
-    each = docs.select(F.col("id").alias("document_id"), F.posexplode(chunks(splitter(F.col("content")), size, overlap)).alias("chunk_no", "c"))
+    made = text_chunks(F.col("content"), size, overlap) if splitter is sentences else chunks(splitter(F.col("content")), size, overlap)
+    each = docs.select(F.col("id").alias("document_id"), F.posexplode(made).alias("chunk_no", "c"))
     return each.select("document_id", "chunk_no", "c.start_char", "c.end_char", "c.content")

@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessella.functions.batches import pieces
 from tessella.functions.text import fingerprint, is_blank, normalize, with_context
 from tessella.operators.postings import PostingIndex
 from tessella.operators.rag import CACHED_CHUNK_PROMPT, CHUNK_PROMPT, DOCUMENT_WRAPPER
 from tessella.operators.search import chunk_texts
-from tessella.operators.segment import chunks, chunks_with_vectors, sentences
+from tessella.operators.segment import chunks, chunks_with_vectors, sentences, text_chunks
 from tessella.session import stored
 from tessella.sources.providers import ZERO_DIM, Embedder, Generator, asked, or_zero, try_embed_udf
 from tessella.sources.store import Store
@@ -28,7 +29,7 @@ def embed_all_udf(embedder: Embedder) -> Callable[[Column], Column]:
 
     @F.arrow_udf("array<array<double>>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for s in batches:
+        for (s,) in pieces(batches):
             rows = s.to_pylist()
             got = iter(asked(embedder.embed, [t for texts in rows if texts is not None for t in texts]))
             out: list = []
@@ -88,7 +89,7 @@ def context_udf(generator: Generator, at_once: int | None = None) -> Callable[[C
 
     @F.arrow_udf("array<string>")
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for docs, parts in batches:
+        for docs, parts in pieces(batches):
             rows = [(d or "", p or []) for d, p in zip(docs.to_pylist(), parts.to_pylist(), strict=True)]
             yield pa.array(contextualize_all(rows, generator, at_once), pa.list_(pa.string()))
 
@@ -104,12 +105,15 @@ def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = N
     ``at_once`` bounds a task's calls to the generator.
     """
     embed_all, one = embed_all_udf(embedder), try_embed_udf(embedder)(normalize(F.col("content")))
-    own = docs.where(~is_blank(F.col("content"))).select("id", "content", one.alias("one"), splitter(F.col("content")).alias("spans"))
+    own = docs.where(~is_blank(F.col("content")))
     if semantic:
+        own = own.select("id", "content", one.alias("one"), splitter(F.col("content")).alias("spans"))
         own = own.withColumn("sv", embed_all(F.transform("spans", lambda s: normalize(s["content"]))))
         own = own.withColumn("parts", chunks_with_vectors(F.col("spans"), F.col("sv"), size, 0, THRESHOLD)).drop("sv")
+    elif splitter is sentences:
+        own = own.select("id", "content", one.alias("one"), text_chunks(F.col("content"), size, 0).alias("parts"))
     else:
-        own = own.withColumn("parts", chunks(F.col("spans"), size, 0))
+        own = own.select("id", "content", one.alias("one"), chunks(splitter(F.col("content")), size, 0).alias("parts"))
     texts = F.transform("parts", lambda c: c["content"])
     context = context_udf(generator, at_once)(F.col("content"), texts) if generator else F.transform("parts", lambda _: F.lit(""))
     own = own.withColumn("contexts", context)

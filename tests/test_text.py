@@ -75,3 +75,8 @@ def test_sub_queries(spark, given, want):
 ])
 def test_rerank_scores(spark, given, n, want):
     assert one(spark, given, lambda x: t.rerank_scores(x, F.lit(n))) == want
+
+
+def test_percent_rounds_as_in_sql(spark):
+    """0.0045 * 100 is 0.44999999999999996, and that times ten is 4.5."""
+    assert [r[0] for r in spark.createDataFrame([(0.0045,), (0.333333,), (1.0,)], "x double").select(t.percent(F.col("x"))).collect()] == ["0.5%", "33.3%", "100.0%"]
