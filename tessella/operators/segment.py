@@ -116,8 +116,8 @@ def chunks(spans: Column, size: int = SIZE, overlap: int = OVERLAP, breaks: Colu
     return run(spans, F.array().cast("array<boolean>") if breaks is None else breaks)
 
 
-def text_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, split: Callable[[str | None], list[tuple[str, int, int]]] = plain_sentences) -> Column:
-    """chunks() of a text's sentences in one function: sentences don't leave the task's Python."""
+def text_chunker(size: int = SIZE, overlap: int = OVERLAP, split: Callable[[str | None], list[tuple[str, int, int]]] = plain_sentences):
+    """chunks() of a text's sentences as one function: sentences don't leave the task's Python."""
 
     @F.arrow_udf(f"array<{CHUNK}>")
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
@@ -132,7 +132,11 @@ def text_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP, split: C
                 contents += [" ".join(x[0] for x in own[i : j + 1]) for i, j in at]
             yield _lists(counts, start_char=pa.array(starts, pa.int32()), end_char=pa.array(ends, pa.int32()), content=pa.array(contents, pa.string()))
 
-    return run(text)
+    return run
+
+
+def text_chunks(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    return text_chunker(size, overlap)(text)
 
 
 def semantic_breaks(vectors: Column, threshold: float = SEMANTIC) -> Column:

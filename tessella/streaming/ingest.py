@@ -16,7 +16,7 @@ from tessella.functions.text import fingerprint, is_blank, normalize, with_conte
 from tessella.operators.postings import PostingIndex
 from tessella.operators.rag import CACHED_CHUNK_PROMPT, CHUNK_PROMPT, DOCUMENT_WRAPPER
 from tessella.operators.search import chunk_texts
-from tessella.operators.segment import chunks, chunks_with_vectors, sentences, text_chunks
+from tessella.operators.segment import chunks, chunks_with_vectors, sentences, text_chunker
 from tessella.session import stored
 from tessella.sources.providers import ZERO_DIM, Embedder, Generator, asked, or_zero, try_embed_udf
 from tessella.sources.store import Store
@@ -104,18 +104,19 @@ def indexed(docs: DataFrame, embedder: Embedder, generator: Generator | None = N
     Blank documents aren't indexed. ``splitter`` makes sentences (see sentence_rules.sentences_by_rules());
     ``at_once`` bounds a task's calls to the generator.
     """
-    embed_all, one = embed_all_udf(embedder), try_embed_udf(embedder)(normalize(F.col("content")))
+    # a model may say something else when asked again, so filters (an explode adds one) mustn't be pushed below and ask twice
+    embed_all, one = embed_all_udf(embedder).asNondeterministic(), try_embed_udf(embedder).asNondeterministic()(normalize(F.col("content")))
     own = docs.where(~is_blank(F.col("content")))
     if semantic:
         own = own.select("id", "content", one.alias("one"), splitter(F.col("content")).alias("spans"))
         own = own.withColumn("sv", embed_all(F.transform("spans", lambda s: normalize(s["content"]))))
         own = own.withColumn("parts", chunks_with_vectors(F.col("spans"), F.col("sv"), size, 0, THRESHOLD)).drop("sv")
     elif splitter is sentences:
-        own = own.select("id", "content", one.alias("one"), text_chunks(F.col("content"), size, 0).alias("parts"))
+        own = own.select("id", "content", one.alias("one"), text_chunker(size, 0).asNondeterministic()(F.col("content")).alias("parts"))
     else:
         own = own.select("id", "content", one.alias("one"), chunks(splitter(F.col("content")), size, 0).alias("parts"))
     texts = F.transform("parts", lambda c: c["content"])
-    context = context_udf(generator, at_once)(F.col("content"), texts) if generator else F.transform("parts", lambda _: F.lit(""))
+    context = context_udf(generator, at_once).asNondeterministic()(F.col("content"), texts) if generator else F.transform("parts", lambda _: F.lit(""))
     own = own.withColumn("contexts", context)
     full = F.transform("parts", lambda c, i: normalize(with_context(F.get("contexts", i), c["content"])))
     own = own.withColumn("vectors", embed_all(full))

@@ -17,7 +17,7 @@ def test_pieces_keep_rows_and_bound_bytes():
 def test_sentences_and_chunks_of_a_batch_come_in_pieces():
     """A batch of 4 MB isn't held as Python objects at once."""
     texts = pa.array(["One here. Two there!\nThree " + "w" * 2_000] * 2_000)
-    for column in (segment.sentences, segment.text_chunks):
+    for column in (segment.sentences, segment.rule_sentences, segment.text_chunks):
         seen = []
         segment_run = column.__globals__["F"].arrow_udf
         try:
@@ -36,3 +36,15 @@ def test_text_chunks_equal_chunks_of_sentences(spark):
     for overlap in (0, 1):
         got = df.select(segment.text_chunks(F.col("t"), 120, overlap).alias("a"), segment.chunks(segment.sentences(F.col("t")), 120, overlap).alias("b")).collect()
         assert [r["a"] for r in got] == [r["b"] for r in got]
+
+
+def test_models_are_asked_once_when_chunks_are_exploded(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.sources.providers import EchoGenerator, HashEmbedder
+    from tessella.streaming.ingest import indexed
+
+    docs = spark.createDataFrame([(1, "One. Two."), (2, "Three.")], "id long, content string")
+    each = indexed(docs, HashEmbedder(4), EchoGenerator(lambda p: "c"), dim=4).select("id", "embedding", F.explode("chunks").alias("c"))
+    plan = each._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 4 and each.count() == 2
