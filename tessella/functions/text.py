@@ -58,8 +58,7 @@ def fingerprint(text: Column) -> Column:
 
 def eval_tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9 of two or more characters; [] for null."""
-    parts = F.split(F.regexp_replace(F.lower(text), r"[^a-z0-9\s]", " "), r"\s+")
-    return F.coalesce(F.filter(parts, lambda x: F.length(x) >= 2), none_of("string"))
+    return F.coalesce(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]{2,}"), F.lit(0)), none_of("string"))
 
 
 def index_tokens(text: Column) -> Column:

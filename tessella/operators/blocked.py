@@ -13,6 +13,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,6 +26,8 @@ from .bm25 import K1, B
 QUERIES_AT_ONCE = 4_096
 #: Rows and queries of one product.
 ROWS, COLUMNS = 2_048, 1_024
+#: Rows of lexical scores at once: each of their terms meets all queries that have it.
+LEXICAL_ROWS = 512
 #: Lexical scores that are held at once.
 CELLS = 2_000_000
 
@@ -56,7 +59,7 @@ class Lexical:
     """Okapi BM25 of rows against queries. weights: term to (numbers of queries, their weights)."""
 
     def __init__(self, weights: dict[str, tuple[np.ndarray, np.ndarray]], avgdl: float):
-        self.number, self.avgdl = {t: k for k, t in enumerate(weights)}, avgdl
+        self.terms, self.avgdl = pa.array(list(weights), pa.string()), avgdl
         none = [np.empty(0, np.int64)]
         self.size = np.array([len(q) for q, _ in weights.values()], np.int64)
         self.start = np.cumsum(self.size) - self.size
@@ -65,18 +68,15 @@ class Lexical:
 
     def scores(self, b: pa.RecordBatch, lo: int, hi: int, queries: int) -> np.ndarray:
         """(row, query): a row's terms are added in their order, so equal rows have equal scores."""
-        rows, codes, tf = [], [], []
-        for i, (terms, tfs) in enumerate(zip(b.column("terms")[lo:hi].to_pylist(), b.column("tfs")[lo:hi].to_pylist(), strict=True)):
-            for t, n in zip(terms or (), tfs or (), strict=True):
-                k = self.number.get(t)
-                if k is not None:
-                    rows.append(i)
-                    codes.append(k)
-                    tf.append(n)
-        if not rows:
+        terms, tfs = b.column("terms")[lo:hi], b.column("tfs")[lo:hi]
+        flat = terms.flatten()
+        codes = pc.index_in(flat, value_set=self.terms.cast(flat.type))
+        known = np.flatnonzero(codes.is_valid().to_numpy(zero_copy_only=False))
+        if not len(known):
             return np.zeros((hi - lo, queries))
-        rows, codes, tf = np.array(rows), np.array(codes), np.array(tf, float)
-        dl = np.array(b.column("dl")[lo:hi].to_pylist(), float)[rows]
+        rows = np.repeat(np.arange(hi - lo), pc.fill_null(pc.list_value_length(terms), 0).to_numpy(zero_copy_only=False))[known]
+        codes, tf = codes.take(pa.array(known)).to_numpy(zero_copy_only=False).astype(np.int64), tfs.flatten().take(pa.array(known)).to_numpy(zero_copy_only=False).astype(float)
+        dl = b.column("dl")[lo:hi].to_numpy(zero_copy_only=False).astype(float)[rows]
         part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / self.avgdl))
         n = self.size[codes]
         at = np.repeat(self.start[codes] - np.cumsum(n) + n, n) + np.arange(n.sum())
@@ -101,7 +101,7 @@ def _tiles(b: pa.RecordBatch, vectors: list[np.ndarray], kind: str, lexical: Lex
     lengths = np.diff(b.column("embedding").offsets.to_numpy())
     widths = sorted({len(v) for v in vectors})
     by = {d: np.array([j for j, v in enumerate(vectors) if len(v) == d]) for d in widths}
-    step = ROWS if lexical is None else max(1, min(ROWS, CELLS // max(1, len(vectors))))
+    step = ROWS if lexical is None else max(1, min(LEXICAL_ROWS, CELLS // max(1, len(vectors))))
     for lo in range(0, len(b), step):
         hi = min(len(b), lo + step)
         own, words = b.column("embedding")[lo:hi], lexical.scores(b, lo, hi, len(vectors)) if lexical else None

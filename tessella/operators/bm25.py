@@ -65,11 +65,12 @@ class Bm25Index:
     def score(self, query: str, top: int | None = None) -> DataFrame:
         """(id, score) of the texts with a term of the query; the best ``top`` in order if given.
 
-        Two scans and no shuffle: the first brings one row of counts to the driver (texts,
-        average length, a document frequency a term), the second scores each text by itself.
+        One scan of the texts and no shuffle: it writes a text's length and those of its tokens that
+        are terms. One row of counts comes to the driver (texts, average length, a document
+        frequency a term); then each text is scored by itself.
         """
         terms = query_terms(query)
-        slim = self.tokens.select("id", *matches(F.col("tokens"), terms))
+        slim = stored(self.tokens.select("id", *matches(F.col("tokens"), terms)), "matches")
         out = slim.where(F.size("hits") > 0).select("id", term_scores(terms, slim.agg(*term_counts(terms)).first()).alias("score"))
         return out if top is None else out.orderBy(F.desc("score"), "id").limit(top)
 
@@ -89,7 +90,7 @@ class Bm25Index:
         the counts are written once and read for df and for the scores.
         """
         terms = asked.select("term").distinct()
-        each = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+        each = self.tokens.select("id", F.size("tokens").alias("dl"), F.explode_outer("tokens").alias("term"))  # explode() adds a filter that cuts the texts into tokens again; the join drops nulls
         tf = stored(each.join(F.broadcast(terms) if few else terms, "term", "left_semi").groupBy("id", "dl", "term").agg(F.count("*").alias("tf")), "term-frequencies")
         return tf, tf.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -38,7 +38,7 @@ def counted(tokens: Column) -> Column:
             F.transform(at, lambda i: F.get(s, i)).alias("terms"),
             F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i).alias("tfs")))[0]
 
-    return F.transform(F.array(F.array_sort(tokens)), run)[0]
+    return F.transform(F.array(F.sort_array(tokens)), run)[0]
 
 
 class PostingIndex:

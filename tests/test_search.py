@@ -195,3 +195,13 @@ def test_with_prefix(spark):
         out = catalog.with_prefix(own, asked)
         assert sorted(tuple(r) for r in out.collect()) == want
         assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_are_cut_into_tokens_once_for_a_score(spark):
+    """Before, the counts and the scores cut every text anew, and their filters once more."""
+    from tessella.operators.bm25 import Bm25Index
+
+    texts = spark.createDataFrame([(1, "Zebra, zebra lion"), (2, "lion"), (3, None), (4, "the of")], "id long, text string")
+    scored = Bm25Index(texts).score("zebra lion")
+    assert "regexp" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["id"] for r in scored.collect()) == [1, 2]
