@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions.text import is_blank, span
 
+#: With more distinct beginnings of short samples than these, all beginnings are counted.
+BROADCAST_HEADS = 200_000
 STATUSES = ["pending", "processing", "completed", "failed"]
 
 
@@ -59,10 +61,16 @@ def with_prefix(docs: DataFrame, samples: DataFrame, length: int = 101) -> DataF
     asked = samples.where("text is not null").select("sample_id", n.alias("_n"), begun(F.col("text"), n).alias("_head"))
     short = sorted(r[0] for r in asked.where(F.col("_n") < length).select("_n").distinct().collect())  # lengths below the full one
     whole = F.col("head") if "head" in docs.columns else begun(F.col("content"), F.lit(length))
-    classes = [F.when(F.length("content") >= length, F.struct(F.lit(length).alias("_n"), whole.alias("_head")))]
-    classes += [F.when(F.length("content") >= k, F.struct(F.lit(k).alias("_n"), begun(F.col("content"), F.lit(k)).alias("_head"))) for k in short]
-    each = docs.where("content is not null").select("id", F.explode(F.filter(F.array(*classes), lambda x: x.isNotNull())).alias("c"))
-    found = each.groupBy("c._n", "c._head").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    count = lambda rows: rows.groupBy("_n", "_head").agg(F.min("id").alias("first_id"), F.count("*").alias("n"))
+    kept = docs.where("content is not null")
+    found = count(kept.where(F.length("content") >= length).select("id", F.lit(length).alias("_n"), whole.alias("_head")))
+    if short:
+        classes = [F.when(F.length("content") >= k, F.struct(F.lit(k).alias("_n"), begun(F.col("content"), F.lit(k)).alias("_head"))) for k in short]
+        each = kept.select("id", F.explode(F.filter(F.array(*classes), lambda x: x.isNotNull())).alias("c")).select("id", "c._n", "c._head")
+        heads = asked.where(F.col("_n") < length).select("_n", "_head").distinct()
+        if heads.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS:  # of all beginnings only those asked for are counted
+            each = each.join(F.broadcast(heads), ["_n", "_head"], "left_semi")
+        found = found.unionByName(count(each))
     return asked.join(found, ["_n", "_head"]).select("sample_id", "first_id", "n")
 
 

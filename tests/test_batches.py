@@ -48,3 +48,15 @@ def test_models_are_asked_once_when_chunks_are_exploded(spark):
     each = indexed(docs, HashEmbedder(4), EchoGenerator(lambda p: "c"), dim=4).select("id", "embedding", F.explode("chunks").alias("c"))
     plan = each._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython [") == 4 and each.count() == 2
+
+
+def test_only_beginnings_that_are_asked_for_are_counted(spark):
+    """Before, every document's beginnings of each short sample's length were grouped."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators import catalog
+
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["ab", "abc", "x" * 120, "x" * 101, "", None, "abcd" * 40])], "id long, content string")
+    got = catalog.with_prefix(docs, docs.select(F.col("id").alias("sample_id"), F.col("content").alias("text")))
+    assert sorted(map(tuple, got.collect())) == [(0, 0, 3), (1, 1, 2), (2, 2, 2), (3, 2, 2), (4, 0, 6), (6, 6, 1)]
+    assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
