@@ -677,15 +677,22 @@ SELECT item_id::VARCHAR AS lecture_id, sha256(answer) AS answer_sha, len(sources
   round(CASE WHEN common > 0 THEN 2 * (common / len(ta)) * (common / len(te)) / (common / len(ta) + common / len(te)) ELSE 0 END, 6) AS token_f1 FROM n"""
 
 
+def _embedded(docs: DataFrame, embedder) -> DataFrame:
+    """One chunk a document (id, content) over its whole content, with its vector or zeros. The vector has a name of its own, so the embedder is asked once."""
+    from tessella.sources.providers import embed_udf, or_zero
+
+    own = docs.select("id", F.length("content").alias("end_char"), embed_udf(embedder)(text.normalize(F.col("content"))).alias("vector"))
+    return own.select("id", F.col("id").alias("document_id"), F.lit(0).alias("start_char"), "end_char", or_zero(F.col("vector"), _DIM).alias("embedding"), F.lit(None).cast("string").alias("context"))
+
+
 @query("eval_run", _EVAL_RUN)
 def eval_run(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark item asked of all documents by hybrid search, answered by the best passage's first line, and measured."""
-    from tessella.sources.providers import EchoGenerator, HashEmbedder, embed_udf, first_passage, or_zero
+    from tessella.sources.providers import EchoGenerator, HashEmbedder, first_passage
 
     embedder = HashEmbedder(_DIM)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).where("content is not null and content <> ''")
-    chunks = docs.select("id", F.col("id").alias("document_id"), F.lit(0).alias("start_char"), F.length("content").alias("end_char"),
-                         or_zero(embed_udf(embedder)(text.normalize(F.col("content"))), _DIM).alias("embedding"), F.lit(None).cast("string").alias("context"))
+    chunks = _embedded(docs, embedder)
     questions = table(spark, d, "benchmark").select(
         F.col("item_id").cast("string").alias("lecture_id"), F.col("text").alias("question"), F.col("text").alias("expected_answer"), F.slice(text.eval_tokens(F.col("text")), 1, 3).alias("expected_keywords"))
     results = evaluate.evaluate(questions, evaluate.answers_to(questions, chunks, docs, embedder, EchoGenerator(first_passage), "hybrid"))
@@ -730,12 +737,11 @@ def _offline(prompt: str) -> str:
 @query("rag_rewritten", _REWRITTEN)
 def rag_rewritten(spark: SparkSession, d: str) -> DataFrame:
     """Each benchmark item decomposed, each part found by a passage written about it, hits merged, reranked and answered, all at once."""
-    from tessella.sources.providers import EchoGenerator, HashEmbedder, embed_udf, or_zero
+    from tessella.sources.providers import EchoGenerator, HashEmbedder
 
     embedder = HashEmbedder(_DIM)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content")).where("content is not null and content <> ''")
-    chunks = docs.select("id", F.col("id").alias("document_id"), F.lit(0).alias("start_char"), F.length("content").alias("end_char"),
-                         or_zero(embed_udf(embedder)(text.normalize(F.col("content"))), _DIM).alias("embedding"), F.lit(None).cast("string").alias("context"))
+    chunks = _embedded(docs, embedder)
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     found = rag.answer_all(chunks, docs, queries, embedder, EchoGenerator(_offline), rag.Options("hybrid", rerank=True, hyde=True, decompose=True))
     ids = F.array_join(F.transform("sources", lambda s: s["chunk_id"].cast("string")), ",")

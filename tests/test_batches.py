@@ -60,3 +60,19 @@ def test_only_beginnings_that_are_asked_for_are_counted(spark):
     got = catalog.with_prefix(docs, docs.select(F.col("id").alias("sample_id"), F.col("content").alias("text")))
     assert sorted(map(tuple, got.collect())) == [(0, 0, 3), (1, 1, 2), (2, 2, 2), (3, 2, 2), (4, 0, 6), (6, 6, 1)]
     assert "LeftSemi" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_embedder_is_asked_once_when_vectors_are_filtered(spark):
+    """Before, the filter on vectors was pushed below and the texts went to Python twice, to workers of their own."""
+    from pyspark.sql import functions as F
+
+    from tessella.operators.search import chunk_texts
+    from tessella.plans.retrieval import _embedded
+    from tessella.sources.providers import HashEmbedder, embed_udf
+
+    docs = spark.createDataFrame([(1, "One two."), (2, "Three.")], "id long, content string")
+    chunks = _embedded(docs, HashEmbedder(64))
+    plan = chunk_texts(chunks, docs)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython [") == 1 and chunk_texts(chunks, docs).count() == 2
+    asked = docs.withColumn("vector", embed_udf(HashEmbedder(4))(F.col("content"))).where("size(vector) > 0")
+    assert asked._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython [") == 1
