@@ -17,10 +17,13 @@ from tessella.session import stored
 
 from .blocked import best_distinct, best_each
 from .bm25 import BROADCAST_TERMS, Bm25Index, idf, matches, query_terms, term_counts, term_scores
+from .postings import counted
 
 DOCUMENT_THRESHOLD, CHUNK_THRESHOLD, HYBRID_THRESHOLD, TOP, ALPHA = 0.6, 0.4, 0.0, 5, 0.7
 #: More hits than these meet their chunks by a shuffle and not by a broadcast.
 FEW_HITS = 10_000
+#: Distinct terms of a batch of queries up to which texts are met by a list of them, and not by a join.
+LISTED_TERMS = 20_000
 
 
 def deduplicate(rows: DataFrame, content: Column, *order: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -60,10 +63,10 @@ _HIT = ["content", "score", "document_id", "chunk_id", "start_char", "end_char"]
 
 
 def _fetched(best_: DataFrame, chunks: DataFrame, docs: DataFrame, few: bool, *more: str) -> DataFrame:
-    """best_ (chunk_id, score, ...) as hits with their contents, which are read for these chunks alone."""
-    own = best_.withColumnRenamed("chunk_id", "id")
-    met = chunks.drop("embedding").join(F.broadcast(own) if few else own, "id")
-    return chunk_texts(met, docs, vectors=False).withColumn("content", F.col("text")).select(*more, *_HIT)
+    """best_ (chunk_id, score, ...) as hits with their contents, which are read for these chunks alone. ``few`` hits go to the documents, which stay where they are."""
+    sent = F.broadcast if few else lambda df: df
+    met = chunks.drop("embedding").join(sent(best_.withColumnRenamed("chunk_id", "id")), "id")
+    return chunk_texts(sent(met), docs, vectors=False).withColumn("content", F.col("text")).select(*more, *_HIT)
 
 
 def chunk_search(chunks: DataFrame, docs: DataFrame, vector: list[float], search_type: object = "cosine", top: int | None = TOP, threshold: float = CHUNK_THRESHOLD) -> DataFrame:
@@ -113,6 +116,28 @@ def _few(best_: DataFrame) -> bool:
     return best_.limit(FEW_HITS + 1).count() <= FEW_HITS
 
 
+def _listed(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """(id, _fp, embedding, dl, terms, tfs) of chunk_texts(): the number of a text's tokens, and its counts of these terms.
+
+    A text is cut, and its terms are counted, where it is read; its tokens are neither written nor shuffled.
+    """
+    words = F.transform(F.array(index_tokens(F.col("text"))), lambda t: F.struct(F.size(t).alias("dl"), counted(F.filter(t, lambda x: x.isin(terms))).alias("c")))[0]
+    rows = stored(texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding", words.alias("words")), "hybrid-counts")
+    return rows.select("id", "_fp", "embedding", "words.dl", "words.c.terms", "words.c.tfs")
+
+
+def _joined(texts: DataFrame, terms: DataFrame, few: bool, index) -> tuple[DataFrame, DataFrame, int, float]:
+    """The rows of _listed() for any number of terms (query_id, term), their (term, df), the number of texts and their average length."""
+    slim = texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding", *([] if index is not None else [index_tokens(F.col("text")).alias("tokens")]))
+    slim = stored(slim, "hybrid-texts")
+    own = index if index is not None else Bm25Index.of(slim.select("id", "tokens"))
+    tf, df = own.asked_frequencies(terms, few)
+    counts = tf.groupBy("id").agg(F.max("dl").alias("dl"), F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("_t"))  # of one text
+    rows = slim.drop("tokens").join(counts, "id", "left").select(
+        "id", "_fp", "embedding", F.coalesce("dl", F.lit(0)).alias("dl"), F.col("_t.term").alias("terms"), F.col("_t.tf").alias("tfs"))
+    return stored(rows, "hybrid-counts"), df, *own.stats().first()
+
+
 def batch_chunk_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, search_type: object = "cosine", top: int = TOP, threshold: float | None = None, alpha: float = ALPHA, index=None) -> DataFrame:
     """Hits with query_id and rank from 0 for queries (query_id, query, vector), as hybrid_search() or chunk_search() finds them.
 
@@ -129,16 +154,14 @@ def batch_chunk_search(chunks: DataFrame, docs: DataFrame, queries: DataFrame, s
         return _fetched(best_, chunks, docs, _few(best_), "query_id", "rank")
     terms = asked.select("query_id", F.explode(F.array_distinct(index_tokens(F.col("query")))).alias("term"))
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    slim = texts.select(F.col("chunk_id").alias("id"), fingerprint(F.col("raw")).alias("_fp"), "embedding", *([] if index is not None else [index_tokens(F.col("text")).alias("tokens")]))
-    slim = stored(slim, "hybrid-texts")
-    own = index if index is not None else Bm25Index.of(slim.select("id", "tokens"))
-    tf, df = own.asked_frequencies(terms, few)
-    n, avgdl = own.stats().first()
-    weights = stored(terms.join(df, "term").select("query_id", "term", idf(F.lit(n), F.col("df")).alias("w")), "weights")
-    counts = tf.groupBy("id").agg(F.max("dl").alias("dl"), F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("_t"))  # of one text
-    rows = slim.drop("tokens").join(counts, "id", "left").select(
-        "id", "_fp", "embedding", F.coalesce("dl", F.lit(0)).alias("dl"), F.col("_t.term").alias("terms"), F.col("_t.tf").alias("tfs"))
-    rows = stored(rows, "hybrid-counts")
+    listed = [] if index is not None else [r["term"] for r in terms.select("term").distinct().limit(LISTED_TERMS + 1).collect()]
+    if index is None and len(listed) <= LISTED_TERMS:
+        rows = _listed(texts, listed)
+        df = rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        n, avgdl = rows.agg(F.count("*"), F.coalesce(F.avg("dl"), F.lit(1.0))).first()
+    else:
+        rows, df, n, avgdl = _joined(texts, terms, few, index)
+    weights = stored(terms.join(F.broadcast(df) if few else df, "term").select("query_id", "term", idf(F.lit(n), F.col("df")).alias("w")), "weights")
     best_ = best_each(rows, asked, top, "cosine", HYBRID_THRESHOLD if threshold is None else threshold, weights=weights, avgdl=avgdl, alpha=alpha)
     best_ = stored(best_.withColumnRenamed("id", "chunk_id"), "best")
     return _fetched(best_, chunks, docs, _few(best_), "query_id", "rank")

@@ -98,3 +98,32 @@ def test_hybrid_batch_as_one_by_one(spark, tmp_path):
         got = search.batch_chunk_search(chunks, docs, asked, "hybrid", 7, index=own).collect()
         assert {(r["query_id"], r["rank"]): (r["chunk_id"], round(r["score"], 9), r["content"]) for r in got} == want
     assert Bm25Index(docs.selectExpr("id", "content as text")).size() == 60
+
+
+def test_listed_terms_as_joined_ones(spark, monkeypatch):
+    """Terms of queries are counted where texts are read, whatever their number, and rows are the same either way; no query, no text, no known term."""
+    rng = random.Random(6)
+    embedder = HashEmbedder(16)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta", "omega", "the", "x"], k=rng.randint(0, 30))) for _ in range(80)]
+    docs = spark.createDataFrame(list(enumerate([*texts, "", None])), "id long, content string")
+    chunks = spark.createDataFrame([(100 + i, i, 0, len(t or ""), embedder.embed([t])[0], "alpha" if i % 5 == 0 else None) for i, t in enumerate([*texts, "", None])], "id long, document_id long, start_char int, end_char int, embedding array<double>, context string")
+    asked = spark.createDataFrame([(i, q, embedder.embed([q])[0]) for i, q in enumerate(["alpha beta", "omega omega", "unknown", "the", ""])], "query_id int, query string, vector array<double>")
+
+    def found(chunks, asked):
+        return sorted(map(tuple, search.batch_chunk_search(chunks, docs, asked, "hybrid", 7).collect()))
+
+    seen = []
+    monkeypatch.setattr(search, "stored", lambda df, name, real=search.stored: seen.append((name, df.schema.simpleString())) or real(df, name))
+    listed = [found(chunks, asked), found(chunks.limit(0), asked), found(chunks, asked.limit(0)), found(chunks, asked.where("query_id = 2"))]
+    assert "hybrid-counts" in dict(seen) and not any("tokens" in kinds for _, kinds in seen)
+    monkeypatch.setattr(search, "LISTED_TERMS", -1)
+    assert listed == [found(chunks, asked), found(chunks.limit(0), asked), found(chunks, asked.limit(0)), found(chunks, asked.where("query_id = 2"))] and len(listed[0]) > 10
+
+
+def test_few_hits_go_to_the_documents(spark):
+    """Before, every document's text was shuffled to fetch a few."""
+    docs = spark.createDataFrame([(1, "Alpha"), (2, "Beta")], "id long, content string")
+    chunks = spark.createDataFrame([(7, 1, 0, 5, [1.0], None)], "id long, document_id long, start_char int, end_char int, embedding array<double>, context string")
+    hits = search._fetched(spark.createDataFrame([(7, 0.5)], "chunk_id long, score double"), chunks, docs, True)
+    assert "Exchange hashpartitioning" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in hits.collect()] == [("Alpha", 0.5, 1, 7, 0, 5)]

@@ -34,3 +34,28 @@ def test_fast_cosine_agrees(spark, rows, q):
         assert r["a"] == pytest.approx(r["b"], abs=1e-9)
         if e is not None and np.linalg.norm(e) > 1e-100 and np.linalg.norm(q) > 1e-100:
             assert r["a"] == pytest.approx(np.dot(e, q) / np.linalg.norm(e) / np.linalg.norm(q), abs=1e-6)
+
+
+def test_hashed_vectors_are_counts_of_tokens(monkeypatch):
+    """As one token after another, with what is remembered begun anew in between."""
+    import hashlib
+    import math
+    import pickle
+
+    from tessella.functions.text import STOP_WORDS
+    from tessella.sources import providers
+
+    def plain(text, dim):
+        v = [0.0] * dim
+        for t in providers._TOKENS((text or "").lower()):
+            if t not in STOP_WORDS:
+                v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % dim] += 1
+        n = math.sqrt(sum(x * x for x in v))
+        return [x / n for x in v] if n else v
+
+    texts = [None, "", "the of", "Größe x9 Alpha alpha the", " ".join(f"w{i % 37}" for i in range(500))]
+    monkeypatch.setattr(providers, "TOKENS_HELD", 5)
+    for dim in (1, 8, 64):
+        embedder = providers.HashEmbedder(dim)
+        assert embedder.embed(texts) == [plain(t, dim) for t in texts] and 0 < len(embedder.buckets) <= 5
+        assert not pickle.loads(pickle.dumps(embedder)).buckets
